@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, quality
+from . import bpe, license_scan, line_dedup, quality, warc
 from .common import table
 
 
@@ -18,6 +18,24 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"), license_scan.known_licenses(spark))
 
 
+def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_digests(docs, vocabulary()).drop("text")
+
+
+def vocabulary() -> str:
+    """Path of the byte-level vocabulary, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    index = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_records(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality.quality_rules(docs, trusted(spark, sf_dir))
@@ -30,4 +48,4 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_line_dedup, op4_license_scan, op9_quality_rules)}
+    return {f.__name__: f for f in (op3_line_dedup, op4_license_scan, op5_bpe_codec, op8_warc, op9_quality_rules)}
