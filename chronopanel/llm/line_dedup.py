@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, hash128, text_of
+from .common import SPACES, ascii_lower, hash128, stored, text_of
 
 
 def line_key(line: Column) -> Column:
@@ -37,6 +37,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .select("__row", "__id", "__at", F.col("__h.a").alias("__a"), F.col("__h.b").alias("__b"))
     )
     common = lines.groupBy("__a", "__b").agg(F.count_distinct("__id").alias("__n"), F.max("__id").alias("__keep")).where(F.col("__n") >= min_docs)
+    common = stored(common.drop("__n"), "common-lines")  # read back as a plain table, so that AQE can split a hot key in the join
     drops = (
         lines.join(common, ["__a", "__b"])
         .where(~F.col("__id").eqNullSafe(F.col("__keep")))
