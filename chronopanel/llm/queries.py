@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, line_dedup, quality, warc
+from . import bpe, license_scan, line_dedup, near_dedup, quality, warc
 from .common import table
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -48,4 +52,4 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_line_dedup, op4_license_scan, op5_bpe_codec, op8_warc, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_order_minhash, op3_line_dedup, op4_license_scan, op5_bpe_codec, op8_warc, op9_quality_rules)}
