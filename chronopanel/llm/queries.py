@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, line_dedup, near_dedup, quality, warc
+from . import bpe, decontaminate, license_scan, line_dedup, near_dedup, quality, warc
 from .common import table
 
 
@@ -34,6 +34,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.archive_folder(spark)
     index = warc.write_archives(table(spark, sf_dir, "pages"), folder)
@@ -52,4 +56,4 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_order_minhash, op3_line_dedup, op4_license_scan, op5_bpe_codec, op8_warc, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_order_minhash, op3_line_dedup, op4_license_scan, op5_bpe_codec, op7_decontamination, op8_warc, op9_quality_rules)}
