@@ -89,7 +89,7 @@ def fit_ratio(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", t
     bucket. Only the bucket sums, at most ``buckets`` rows each, reach the driver.
     """
     ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("__trusted")).distinct()
-    chosen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids, F.col("__id") == F.col("__trusted"), "left_semi")
+    chosen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids.hint("merge"), F.col("__id") == F.col("__trusted"), "left_semi")
     both = bucket_counts(docs, text_col, buckets).withColumn("trusted", F.lit(0)).unionByName(bucket_counts(chosen, "__text", buckets).withColumn("trusted", F.lit(1)))
     counts = np.ones((2, buckets))
     for r in both.collect():
