@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, license_scan, line_dedup, near_dedup, quality, warc
+from . import bpe, decontaminate, license_scan, line_dedup, near_dedup, quality, repeats, warc
 from .common import table
 
 
@@ -55,5 +55,9 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
 
 
+def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_order_minhash, op3_line_dedup, op4_license_scan, op5_bpe_codec, op7_decontamination, op8_warc, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_order_minhash, op3_line_dedup, op4_license_scan, op5_bpe_codec, op7_decontamination, op8_warc, op9_quality_rules, op10_suffix_repeats)}
