@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, license_scan, line_dedup, near_dedup, quality, repeats, warc
+from . import bpe, chat, decontaminate, license_scan, line_dedup, near_dedup, quality, repeats, warc
 from .common import table
 
 
@@ -34,6 +34,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.in_reply_order(chat.link_quotes(table(spark, sf_dir, "conversations")))
+    return out.withColumn("body_sha256", F.sha2("body", 256)).drop("body")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,4 +65,4 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_order_minhash, op3_line_dedup, op4_license_scan, op5_bpe_codec, op7_decontamination, op8_warc, op9_quality_rules, op10_suffix_repeats)}
+    return {f.__name__: f for f in (op1_order_minhash, op3_line_dedup, op4_license_scan, op5_bpe_codec, op6_quotation_linking, op7_decontamination, op8_warc, op9_quality_rules, op10_suffix_repeats)}
