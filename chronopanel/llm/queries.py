@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, license_scan, line_dedup, near_dedup, quality, repeats, warc
+from . import bpe, chat, decontaminate, license_scan, line_dedup, lm_score, near_dedup, quality, repeats, warc
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -65,4 +69,4 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_order_minhash, op3_line_dedup, op4_license_scan, op5_bpe_codec, op6_quotation_linking, op7_decontamination, op8_warc, op9_quality_rules, op10_suffix_repeats)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_recurrent_lm, op3_line_dedup, op4_license_scan, op5_bpe_codec, op6_quotation_linking, op7_decontamination, op8_warc, op9_quality_rules, op10_suffix_repeats)}
