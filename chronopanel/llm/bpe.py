@@ -10,7 +10,7 @@ from functools import cache
 
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Splits text before the merges; any white space that follows a visible character starts a new piece.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -206,9 +206,8 @@ def _mapped(docs: DataFrame, path: str, text_col: str, row, added: str) -> DataF
 
     kept = [c for c in docs.columns if c not in {x.split()[0] for x in added.split(", ")}]
     out = docs.select(*kept)
-    schema = type(docs.schema)(list(out.schema)).add("__x", "int")
-    extra = docs.sparkSession.createDataFrame([], added).schema
-    schema = type(docs.schema)([*out.schema, *extra])
+    extra = StructType.fromDDL(added)
+    schema = StructType([*out.schema, *extra])
     arrow = to_arrow_schema(extra)
     at = kept.index(text_col)
 
