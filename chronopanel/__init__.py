@@ -1,0 +1 @@
+"""Point-in-time panel analytics on Spark DataFrames."""
