@@ -130,4 +130,7 @@ def with_tables(body: str, extra: dict[str, str] | None = None) -> str:
 
     add(body)
     parts = [f"{n} as ({known[n]})" for n in known if n in need]
-    return (f"with {', '.join(parts)} " if parts else "") + body
+    if not parts:
+        return body
+    own = body.startswith("with ")
+    return f"with {', '.join(parts)}" + (f", {body[5:]}" if own else f" {body}")

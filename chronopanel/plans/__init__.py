@@ -1,6 +1,6 @@
 """All registered queries of the panel engine."""
 
-from . import price_queries  # noqa: F401
+from . import join_queries, price_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
