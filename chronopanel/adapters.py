@@ -132,5 +132,6 @@ def with_tables(body: str, extra: dict[str, str] | None = None) -> str:
     parts = [f"{n} as ({known[n]})" for n in known if n in need]
     if not parts:
         return body
-    own = body.startswith("with ")
-    return f"with {', '.join(parts)}" + (f", {body[5:]}" if own else f" {body}")
+    head = "with recursive" if body.startswith("with recursive ") else "with"
+    own = body.removeprefix("with recursive ").removeprefix("with ")
+    return f"{head} {', '.join(parts)}" + (f", {own}" if own != body else f" {body}")
