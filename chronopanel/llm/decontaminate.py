@@ -19,6 +19,8 @@ BLOCK_ITEMS = 8
 MIN_SCORE, MIN_OVERLAP, GRAM = 0.5, 0.7, 3
 #: Bounds of one index; more items make more indexes, each searched with all passages.
 INDEX_ITEMS, INDEX_WORDS = 20_000, 2_000_000
+#: Words searched at a time in a task.
+PART_WORDS = 1 << 17
 
 
 def hashed_words(text: Column) -> Column:
@@ -145,8 +147,44 @@ def overlap(part: np.ndarray, passage: np.ndarray) -> float:
 
 
 def leaks(index: Index, words: np.ndarray, at: np.ndarray) -> list[tuple]:
-    """(row, item id, score, question overlap, answer overlap) of a batch of texts: values and offsets of word hashes."""
+    """(row, item id, score, question overlap, answer overlap) of a batch of texts: values and offsets of word hashes.
+
+    Works through parts of about PART_WORDS words: short texts together, longer ones in parts that overlap by a passage.
+    """
     width = max(128, 2 * index.longest)
+    size = max(PART_WORDS, 4 * width)
+    best: dict = {}
+    rows: list[int] = []
+    parts: list[np.ndarray] = []
+    held = 0
+
+    def flush() -> None:
+        if rows:
+            ends = np.r_[0, np.cumsum([len(p) for p in parts])]
+            for r, item, *found in _leaks(index, np.concatenate(parts), ends, width):
+                key = rows[r], item
+                best[key] = max(best.get(key, (0.0, 0.0, 0.0)), tuple(found))
+
+    for row in range(len(at) - 1):
+        lo, end = int(at[row]), int(at[row + 1])
+        while True:
+            hi = min(lo + size, end)
+            rows.append(row)
+            parts.append(words[lo:hi])
+            held += hi - lo
+            if held >= size:
+                flush()
+                rows.clear()
+                parts.clear()
+                held = 0
+            if hi == end:
+                break
+            lo = hi - width
+    flush()
+    return [(r, index.ids[i], *v) for (r, i), v in sorted(best.items())]
+
+
+def _leaks(index: Index, words: np.ndarray, at: np.ndarray, width: int) -> list[tuple]:
     step = width // 2
     sizes = np.diff(at)
     found = np.searchsorted(index.terms, words)
@@ -168,7 +206,7 @@ def leaks(index: Index, words: np.ndarray, at: np.ndarray) -> list[tuple]:
         asked, answered = overlap(own[:cut], passage), overlap(own[cut:], passage)
         if asked >= MIN_OVERLAP and answered >= MIN_OVERLAP:
             best[r, item] = max(best.get((r, item), (0.0, 0.0, 0.0)), (float(score), asked, answered))
-    return [(r, index.ids[i], *v) for (r, i), v in sorted(best.items())]
+    return [(r, int(i), *v) for (r, i), v in best.items()]
 
 
 def indexes(items: DataFrame, id_col: str, text_col: str):
