@@ -14,7 +14,8 @@ SIMILARITY = 0.8
 #: Minima kept per sketch, sketches per text, and sketches that a pair must share outside its first bucket. Texts that
 #: share 0.8 of their shingles agree in a sketch with probability 0.8^4 = 0.41: under 3 of 32 in about 1 of 80,000 pairs.
 MINIMA, SKETCHES, SHARED = 4, 32, 3
-BLOCK = 512
+#: Members of a bucket up to which all its pairs across components are candidates; in larger ones all members meet the center.
+SMALL = 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -173,29 +174,19 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _mixed_pairs(buckets: DataFrame, sketches: DataFrame, kind: str) -> DataFrame:
-    """Pairs of one bucket and different components that share enough sketches, each from its first common bucket.
-
-    Members of a bucket are numbered and cut into blocks of BLOCK; blocks meet pairwise, so no task holds a whole bucket.
-    """
-    from pyspark.sql import Window
-
-    numbered = buckets.withColumn("block", F.expr(f"(row_number() over (partition by sk order by id) - 1) div {BLOCK}").cast("int"))
-    blocks = buckets.groupBy("sk").agg(F.expr(f"cast((count(*) - 1) div {BLOCK} as int)").alias("last"))
-    rows = numbered.join(blocks, "sk").join(sketches.select("id", "sketch"), "id")
-    other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
-    rows = rows.select("sk", "id", "root", "sketch", "block", other).select("sk", "id", "root", "sketch", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+def _mixed_pairs(small: DataFrame, sketches: DataFrame, kind: str) -> DataFrame:
+    """Pairs of one bucket (of at most SMALL members) and different components that share SHARED sketches, each from its
+    first common bucket."""
+    rows = small.join(sketches.select("id", "sketch"), "id").select("sk", "id", "root", "sketch")
 
     def run(pdf):
         import pandas as pd
 
         s = np.array(pdf["sketch"].tolist(), np.int64)
-        sk, ids, roots, block = pdf["sk"].iloc[0], pdf["id"].to_numpy(), pdf["root"].to_numpy(), pdf["block"].to_numpy()
-        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
+        sk, ids, roots = pdf["sk"].iloc[0], pdf["id"].to_numpy(), pdf["root"].to_numpy()
         out = []
-        rights = np.flatnonzero(block == y)
-        for i in np.flatnonzero(block == x):
-            js = rights[rights > i] if x == y else rights
+        for i in range(len(ids)):
+            js = np.arange(i + 1, len(ids))
             js = js[roots[js] != roots[i]]
             if len(js):
                 same = s[js] == s[i]
@@ -204,7 +195,7 @@ def _mixed_pairs(buckets: DataFrame, sketches: DataFrame, kind: str) -> DataFram
                 out += [(max(ids[i], ids[j]), min(ids[i], ids[j])) for j in js]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return rows.groupBy("sk", "x", "y").applyInPandas(run, f"a {kind}, b {kind}")
+    return rows.groupBy("sk").applyInPandas(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,21 +217,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     folded = stored(worded.groupBy("ka", "kb").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.count("*").alias("n")), "folded")
     sketches = folded.where(F.size("sketch") > 0).select("id", "sketch")
     members = sketches.select("id", F.explode("sketch").alias("sk"))
-    buckets = stored(members.groupBy("sk").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1").select("sk", "center"), "buckets")
-    shared = stored(members.join(buckets, "sk").select("sk", "id", "center"), "shared")
-    involved = shared.select("id").distinct()
+    buckets = stored(members.groupBy("sk").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    shared = stored(members.join(buckets, "sk").select("sk", "id", "n"), "shared")
+    # the text that others are copies of meets most texts in its buckets; it becomes the center of each of them
+    hubs = stored(shared.groupBy("id").agg(F.sum("n").alias("hub")), "hubs")
+    ranked = shared.join(hubs, "id")
+    centers = stored(ranked.groupBy("sk").agg(F.max_by("id", F.struct("hub", (-F.col("id")).alias("o"))).alias("center"), F.max("hub").alias("top")), "centers")
+    shared = stored(shared.join(centers, "sk"), "shared")
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"))
-    texts = source.join(involved, "id").select("id", word_hashes(text_of("__text")).alias("w"))
+    texts = source.join(hubs.select("id"), "id").select("id", word_hashes(text_of("__text")).alias("w"))
     # the same id may stand on several rows: the text that was folded to it is meant
     keys = folded.select(F.col("id").alias("__id"), "ka", "kb")
     texts = texts.withColumn("ka", F.xxhash64("w")).withColumn("kb", F.xxhash64(F.lit(77), "w"))
     texts = stored(texts.dropDuplicates(["id", "ka", "kb"]).join(keys, (F.col("id") == F.col("__id")) & (texts["ka"] == keys["ka"]) & (texts["kb"] == keys["kb"])).select("id", "w"), "texts")
-    first = shared.where("id != center").groupBy(F.col("id").alias("a")).agg(F.min("center").alias("b"))
+    pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
+    best = shared.where("id != center").groupBy("id").agg(F.max_by("center", F.struct("top", (-F.col("center")).alias("o"))).alias("center"))
+    first = stored(best.select(*pair("id", "center")).distinct(), "first")
     links = stored(verified(first, texts), "links")
-    roots = components(links)
-    located = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").select("sk", "id", F.coalesce("root", "id").alias("root"))
+    roots = stored(components(links).withColumnRenamed("node", "id"), "roots-1")
+    located = shared.join(roots, "id", "left").select("sk", "id", "n", "center", F.coalesce("root", "id").alias("root"))
     mixed = stored(located.groupBy("sk").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sk"), "mixed")
-    pairs = stored(_mixed_pairs(stored(located.join(mixed, "sk"), "located"), sketches, kind).join(first, ["a", "b"], "left_anti").distinct(), "pairs")
+    located = stored(located.join(mixed, "sk"), "located")
+    near = _mixed_pairs(located.where(F.col("n") <= SMALL), sketches, kind)
+    its_root = roots.select(F.col("id").alias("center"), F.col("root").alias("center_root"))
+    far = located.where(F.col("n") > SMALL).select("id", "root", "center").distinct().join(its_root, "center", "left")
+    far = far.where(F.col("root") != F.coalesce("center_root", "center")).select(*pair("id", "center"))
+    pairs = stored(near.unionByName(far).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     more = verified(pairs, texts)
     final = stored(components(links.unionByName(more)), "roots")
     classes = folded.select("ka", "kb", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("ka", "kb", F.coalesce("root", "id").alias("root"))
