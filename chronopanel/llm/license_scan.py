@@ -40,17 +40,20 @@ KNOWN = (
 
 # Endings that are spelled in two ways, as (pattern, common form).
 SPELLINGS = (
-    (r"\blicenc(e|es|ed|ing|or|ee)\b", "licens$1"),
-    (r"(\p{L})is(e|es|ed|ing|er|ation|ations)\b", "$1iz$2"),
-    (r"(\p{L})our(s|ed|able)?\b", "$1or$2"),
-    (r"(dg)ement\b", "$1ment"),
+    (r"licenc(e|es|ed|ing|or|ee)( |$)", "licens$1$2"),
+    (r"(\p{L})is(e|es|ed|ing|er|ation|ations)( |$)", "$1iz$2$3"),
+    (r"(\p{L})our(s|ed|able|)( |$)", "$1or$2$3"),
+    (r"dgement( |$)", "dgment$1"),
 )
 
 
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright(?:[^\p{L}\p{N}\n][^\n]*)?|(?:\(c\)|©)[^\n]*)$"
+
+
 def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, equivalent spellings, letters and digits separated by one space."""
     c = F.lower(text)
-    c = F.regexp_replace(c, r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©)[^\n]*$", " ")
+    c = F.regexp_replace(c, COPYRIGHT_LINE, " ")
     c = F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")
     for pattern, common in SPELLINGS:
         c = F.regexp_replace(c, pattern, common)
