@@ -31,14 +31,14 @@ def a01_parquet_snapshot(spark, d):
     return spark.read.parquet(path).where("year >= 1998").select("date", "ticker", F.round("close", 6).alias("close"), F.col("year").cast("long").alias("year"))
 
 
-@query("select ref_date, realtime_start, case when day(realtime_start) = 1 then null else round(value, 3) end as value from vintages")
+@query("select ref_date, realtime_start, case when day(realtime_start) = 1 then null else round(value, 6) end as value from vintages")
 def a02_vintage_json(spark, d):
     path = scratch(spark, "vintages")
     v = A.vintages(spark, d)
-    text = F.when(F.dayofmonth("realtime_start") == 1, ".").otherwise(F.format_string("%.9f", "value"))
+    text = F.when(F.dayofmonth("realtime_start") == 1, ".").otherwise(F.format_string("%.12f", "value"))
     o = F.struct(F.col("ref_date").cast("string").alias("date"), F.col("realtime_start").cast("string").alias("realtime_start"), text.alias("value"))
     v.groupBy(F.year("ref_date").alias("y")).agg(F.collect_list(o).alias("observations")).select("observations").write.json(path)
-    return readers.vintage_observations(spark, path, multi_line=False).select("ref_date", "realtime_start", F.round("value", 3).alias("value"))
+    return readers.vintage_observations(spark, path, multi_line=False).select("ref_date", "realtime_start", F.round("value", 6).alias("value"))
 
 
 @query("select ticker, 'm1' as metric, \"end\", filed, form, round(value, 2) as value from facts where metric = case when exists (select 1 from facts g where g.ticker = facts.ticker and g.metric = '1-URGENT' and g.form = '10-K') then '1-URGENT' else '2-HIGH' end and form = '10-K'")
