@@ -11,6 +11,8 @@ from .common import SPACES, let, text_of, words_of
 #: Runs of letters, digits and underscores, or runs of other visible characters.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 WINDOW = 5
+#: Weight of the raw corpus in the trusted multinomial, in n-grams.
+PRIOR = 1000
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -85,17 +87,19 @@ def bucket_counts(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
 def fit_ratio(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 10_000) -> np.ndarray:
     """log of the trusted over the raw bucket probability, for each of ``buckets`` hash buckets.
 
-    Both multinomials count every n-gram of every document (raw) and of every trusted document, with one added to each
-    bucket. Only the bucket sums, at most ``buckets`` rows each, reach the driver.
+    The multinomials count every n-gram of every document (raw, one added to each bucket) and of every trusted document,
+    with PRIOR pseudo-counts dealt as the raw ones: without evidence the ratio is 1, so that a small trusted corpus rejects
+    nothing by chance. Only the bucket sums, at most ``buckets`` rows each, reach the driver.
     """
     ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("__trusted")).distinct()
     chosen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids.hint("merge"), F.col("__id") == F.col("__trusted"), "left_semi")
     both = bucket_counts(docs, text_col, buckets).withColumn("trusted", F.lit(0)).unionByName(bucket_counts(chosen, "__text", buckets).withColumn("trusted", F.lit(1)))
-    counts = np.ones((2, buckets))
+    counts = np.zeros((2, buckets))
     for r in both.collect():
         counts[r["trusted"], r["bucket"]] += r["count"]
-    p = np.log(counts) - np.log(counts.sum(axis=1, keepdims=True))
-    return p[1] - p[0]
+    raw = (counts[0] + 1) / (counts[0].sum() + buckets)
+    target = (counts[1] + PRIOR * raw) / (counts[1].sum() + PRIOR)
+    return np.log(target) - np.log(raw)
 
 
 def llr_score(text: Column, ratio: np.ndarray) -> Column:
@@ -120,8 +124,8 @@ def quality_rules(
     below ``min_score``. The verdict depends on the whole text and the whole corpus only; ties are kept.
 
     Returns docs plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr_score and kept
-    (replacing columns of those names). Null and empty text have no words and fail. With no trusted documents the ratio
-    is that of a flat target. Repeated rows are judged alike; an empty table gives an empty table.
+    (replacing columns of those names). Null and empty text have no words and fail. With no trusted documents every ratio
+    is 1 and the method keeps all. Repeated rows are judged alike; an empty table gives an empty table.
     """
     ratio = fit_ratio(docs, trusted_ids, id_col, text_col, buckets)
     scored = base_counts(docs, text_col).withColumn("llr_score", llr_score(text_of(text_col), ratio))
