@@ -233,10 +233,10 @@ def e31_market_state(spark, d):
     return out(with_market(spark, d), r1=back(1), r5=back(5), r21=back(21), vol=R.at_least("ret", 10, F.stddev_pop("ret"), R.last_n(21)), relative=F.col("ret") - F.col("mkt"))
 
 
-@query("select date, round(m, 6) as mkt, round(100 * exp(sum(ln(1 + coalesce(m, 0))) over (order by date)), 4) as idx from (select date, case when mkt > 0.02 then 0.02 when mkt < -0.02 then -0.02 else mkt end as m from mkt)")
+@query("select date, round(m, 6) as mkt, round(100 * exp(sum(ln(1 + coalesce(m, 0))) over (order by date)), 4) as idx from (select date, case when mkt > 0.002 then 0.002 when mkt < -0.002 then -0.002 else mkt end as m from mkt)")
 def e32_market_index(spark, d):
     """Mean return by date and its cumulated index; dates are a calendar, so one sorted pass is enough."""
-    m = returns(spark, d).groupBy("date").agg(R.clipped(F.avg("ret"), 0.02).alias("mkt"))
+    m = returns(spark, d).groupBy("date").agg(R.clipped(F.avg("ret"), 0.002).alias("mkt"))
     w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return m.select("date", F.round("mkt", 6).alias("mkt"), F.round(100 * F.exp(F.sum(F.log(1 + F.coalesce("mkt", F.lit(0.0)))).over(w)), 4).alias("idx"))
 
