@@ -175,23 +175,21 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _mixed_pairs(small: DataFrame, sketches: DataFrame, kind: str) -> DataFrame:
-    """Pairs of one bucket (of at most SMALL members) and different components that share SHARED sketches, each from its
-    first common bucket."""
+    """Pairs of one bucket (of at most SMALL members) and different components that share SHARED sketches; a pair comes
+    once from each such bucket, as its first common one may be larger."""
     rows = small.join(sketches.select("id", "sketch"), "id").select("sk", "id", "root", "sketch")
 
     def run(pdf):
         import pandas as pd
 
         s = np.array(pdf["sketch"].tolist(), np.int64)
-        sk, ids, roots = pdf["sk"].iloc[0], pdf["id"].to_numpy(), pdf["root"].to_numpy()
+        ids, roots = pdf["id"].to_numpy(), pdf["root"].to_numpy()
         out = []
         for i in range(len(ids)):
             js = np.arange(i + 1, len(ids))
             js = js[roots[js] != roots[i]]
             if len(js):
-                same = s[js] == s[i]
-                first = s[i][same.argmax(axis=1)]
-                js = js[(same.sum(axis=1) >= SHARED) & (first == sk)]
+                js = js[(s[js] == s[i]).sum(axis=1) >= SHARED]
                 out += [(max(ids[i], ids[j]), min(ids[i], ids[j])) for j in js]
         return pd.DataFrame(out, columns=["a", "b"])
 

@@ -129,6 +129,17 @@ def test_near_duplicates_match_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_copies_inside_a_large_family_are_linked(spark):
+    r = random.Random(8)
+    template = sentence(r, 160)
+    texts = [f"{template} {sentence(r, 40)}" for _ in range(200)]
+    texts += [" ".join(t.split(" ")[:-3] + sentence(r, 3).split(" ")) for t in texts[:30]]
+    expected = brute_classes(texts)
+    assert len(set(expected)) == 200
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
+
+
 def test_alignment_is_the_longest_common_subsequence():
     r = np.random.default_rng(5)
     for _ in range(300):
