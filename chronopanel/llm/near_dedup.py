@@ -14,8 +14,8 @@ SIMILARITY = 0.8
 #: Minima kept per sketch, sketches per text, and sketches that a pair must share outside its first bucket. Texts that
 #: share 0.8 of their shingles agree in a sketch with probability 0.8^4 = 0.41: under 3 of 32 in about 1 of 80,000 pairs.
 MINIMA, SKETCHES, SHARED = 4, 32, 3
-#: Members of a bucket up to which all its pairs across components are candidates; in larger ones all members meet the center.
-SMALL = 64
+#: Members of a bucket over which they first meet its center, and members of a block of a bucket whose pairs are compared.
+SMALL, BLOCK = 64, 1024
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -174,26 +174,38 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _mixed_pairs(small: DataFrame, sketches: DataFrame, kind: str) -> DataFrame:
-    """Pairs of one bucket (of at most SMALL members) and different components that share SHARED sketches; a pair comes
-    once from each such bucket, as its first common one may be larger."""
-    rows = small.join(sketches.select("id", "sketch"), "id").select("sk", "id", "root", "sketch")
+def _mixed_pairs(located: DataFrame, sketches: DataFrame, kind: str) -> DataFrame:
+    """Pairs (a, b, ra, rb, same) of one bucket and different components that share SHARED sketches, each from its first
+    common bucket. ra > rb: their components; same: the sketches they share.
+
+    Members of a bucket (sk, id, n, root) are dealt by id into blocks of about BLOCK; blocks meet pairwise, so no task
+    holds a whole bucket.
+    """
+    blocks = F.expr(f"cast((n - 1) div {BLOCK} + 1 as int)")
+    block = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    rows = located.select("sk", "id", "root", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.select("sk", "id", "root", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    rows = rows.join(sketches.select("id", "sketch"), "id").select("sk", "x", "y", "id", "root", "block", "sketch")
 
     def run(pdf):
         import pandas as pd
 
         s = np.array(pdf["sketch"].tolist(), np.int64)
-        ids, roots = pdf["id"].to_numpy(), pdf["root"].to_numpy()
+        sk, ids, roots, block = pdf["sk"].iloc[0], pdf["id"].to_numpy(), pdf["root"].to_numpy(), pdf["block"].to_numpy()
+        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
+        rights = np.flatnonzero(block == y)
         out = []
-        for i in range(len(ids)):
-            js = np.arange(i + 1, len(ids))
+        for i in np.flatnonzero(block == x):
+            js = rights[rights > i] if x == y else rights
             js = js[roots[js] != roots[i]]
             if len(js):
-                js = js[(s[js] == s[i]).sum(axis=1) >= SHARED]
-                out += [(max(ids[i], ids[j]), min(ids[i], ids[j])) for j in js]
-        return pd.DataFrame(out, columns=["a", "b"])
+                same = s[js] == s[i]
+                count = same.sum(axis=1)
+                fit = (count >= SHARED) & (s[i][same.argmax(axis=1)] == sk)
+                out += [(max(ids[i], ids[j]), min(ids[i], ids[j]), max(roots[i], roots[j]), min(roots[i], roots[j]), c) for j, c in zip(js[fit], count[fit], strict=True)]
+        return pd.DataFrame(out, columns=["a", "b", "ra", "rb", "same"])
 
-    return rows.groupBy("sk").applyInPandas(run, f"a {kind}, b {kind}")
+    return rows.groupBy("sk", "x", "y").applyInPandas(run, f"a {kind}, b {kind}, ra {kind}, rb {kind}, same int")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,9 +213,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two texts are linked if an alignment of their shingles of five lower-cased words scores 0.8 or more; a class is a
     component of links and of equal word sequences. Equal sequences are first folded to their smallest id. The others
-    get SKETCHES order min-hash sketches; each text is verified against the smallest id that it shares a bucket with,
-    and then, in buckets that still hold several components, all pairs across components that share SHARED sketches are
-    verified, block by block. So large groups of copies cost a link per text, and no candidate is dropped.
+    get SKETCHES order min-hash sketches; each text is verified against the center of its best bucket, then against those
+    of its buckets of over SMALL members. In buckets of any size that still hold several components, all pairs across
+    components that share SHARED sketches are candidates, found block by block: of two components first the pair that
+    shares most, then all others whose texts are still apart. So large groups of copies cost a link per text, and no
+    candidate is dropped.
 
     Ids may repeat: rows of one id belong to one class if any of their texts do. A null id gets a null class. A text
     without words is in a class of its own; a text under five words is linked to equal ones only. Tables without rows
@@ -236,13 +250,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     located = shared.join(roots, "id", "left").select("sk", "id", "n", "center", F.coalesce("root", "id").alias("root"))
     mixed = stored(located.groupBy("sk").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sk"), "mixed")
     located = stored(located.join(mixed, "sk"), "located")
-    near = _mixed_pairs(located.where(F.col("n") <= SMALL), sketches, kind)
     its_root = roots.select(F.col("id").alias("center"), F.col("root").alias("center_root"))
     far = located.where(F.col("n") > SMALL).select("id", "root", "center").distinct().join(its_root, "center", "left")
     far = far.where(F.col("root") != F.coalesce("center_root", "center")).select(*pair("id", "center"))
-    pairs = stored(near.unionByName(far).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    more = verified(pairs, texts)
-    final = stored(components(links.unionByName(more)), "roots")
+    far = stored(far.distinct().join(first, ["a", "b"], "left_anti"), "far")
+    links = stored(links.unionByName(verified(far, texts)), "links")
+    roots = stored(components(links).withColumnRenamed("node", "id"), "roots-2")
+    located = located.select("sk", "id", "n").join(roots, "id", "left").select("sk", "id", "n", F.coalesce("root", "id").alias("root"))
+    mixed = stored(located.groupBy("sk").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sk"), "mixed")
+    pairs = _mixed_pairs(stored(located.join(mixed, "sk"), "located"), sketches, kind).join(first.unionByName(far), ["a", "b"], "left_anti")
+    pairs = stored(pairs.groupBy("a", "b", "ra", "rb").agg(F.max("same").alias("same")), "pairs")
+    likely = stored(pairs.groupBy("ra", "rb").agg(F.max_by(F.struct("a", "b"), F.struct("same", "a", "b")).alias("p")).select("p.a", "p.b"), "likely")
+    links = stored(links.unionByName(verified(likely, texts)), "links")
+    roots = stored(components(links), "roots-3")
+    now = lambda x: roots.select(F.col("node").alias(f"r{x}"), F.col("root").alias(f"root_{x}"))
+    rest = pairs.join(likely, ["a", "b"], "left_anti").join(now("a"), "ra", "left").join(now("b"), "rb", "left")
+    rest = stored(rest.where(F.coalesce("root_a", "ra") != F.coalesce("root_b", "rb")).select("a", "b"), "rest")
+    final = stored(components(links.unionByName(verified(rest, texts))), "roots")
     classes = folded.select("ka", "kb", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("ka", "kb", F.coalesce("root", "id").alias("root"))
     out = worded.select("id", "ka", "kb").join(stored(classes, "classes"), ["ka", "kb"]).groupBy("id").agg(F.min("root").alias("root"))
     ids = docs.select(F.col(id_col).alias("__id"))

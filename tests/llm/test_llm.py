@@ -140,6 +140,21 @@ def test_copies_inside_a_large_family_are_linked(spark):
     assert [got[i] for i in range(len(texts))] == expected
 
 
+def test_drifted_copies_of_large_buckets_are_compared(spark, monkeypatch):
+    # texts differ by single words from two versions of each of 26 places; SMALL = 1 makes all buckets large ones
+    monkeypatch.setattr(near_dedup, "SMALL", 1)
+    r = random.Random(6)
+    versions = [sentence(r, 400).split(" ") for _ in "ab"]
+    texts = []
+    for _ in range(100):
+        w = list(versions[0])
+        for k in range(26):
+            w[8 + 15 * k] = versions[r.randrange(2)][8 + 15 * k]
+        texts.append(" ".join(w))
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(100)] == brute_classes(texts)
+
+
 def test_alignment_is_the_longest_common_subsequence():
     r = np.random.default_rng(5)
     for _ in range(300):
