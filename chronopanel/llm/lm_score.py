@@ -19,8 +19,8 @@ HEAD, HEAD_BYTES = 1 << 18, 64
 EMBED, HIDDEN = 16, 16
 #: Lanes and steps of a training window; lanes of scoring; tokens packed into lanes at a time.
 TRAIN_LANES, STEPS, LANES, PACK = 128, 32, 256, 200_000
-#: A round of training reads one of SHARES parts of the training documents, chosen by their id's checksum.
-SHARES, ROUNDS, RATE = 32, 2, 0.01
+#: Rounds of training: each reads one of ROUNDS parts of the training documents, chosen by their id's checksum.
+ROUNDS, RATE = 2, 0.01
 PIECE = 1 << 22
 ROWS = 1024
 SPACE = re.compile(rb"[ \t-\r]")
@@ -364,8 +364,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A document is held out if crc32 of its id as text (null: of nothing) is divisible by ``held_out``. Words are counted
     over all others. Model: GRU over softmax words and tail classes; a word of the softmax has the probability of its
     class times that within its class, any other word that of its tail class times its smoothed share of the class, so
-    unknown words have some as well. Training: ROUNDS rounds of truncated backpropagation over a SHARES-th of the training
-    documents each, chosen by id and growing with them, in every task at once, with weights averaged.
+    unknown words have some as well. Training: ROUNDS rounds of truncated backpropagation that together read every training
+    document once, dealt over the rounds by id, in every task at once, with weights averaged.
 
     Returns id_col, held_out, n_tokens, n_known, train_tokens, base_score and score. Null and empty text are one end
     token. Every row is scored, repeated ones and null ids included. The head of at most HEAD words goes to all tasks;
@@ -373,7 +373,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     sum_of = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(F.col(id_col).alias("id"), (sum_of % held_out == 0).alias("out"), F.expr(f"pmod(xxhash64(`{id_col}`), {SHARES})").alias("share"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), (sum_of % held_out == 0).alias("out"), F.expr(f"pmod(xxhash64(`{id_col}`), {ROUNDS})").alias("share"), F.col(text_col).alias("text"))
     learn = rows.where(~F.col("out"))
     vocabulary, counts = fit_vocabulary(learn, "text")
     shared = spark.sparkContext.broadcast(vocabulary)

@@ -286,6 +286,13 @@ def test_scores_are_probabilities_and_base_is_exact(spark):
         assert x.score < 0
 
 
+def test_rounds_read_all_training_documents(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(lm_score, "train", lambda docs, vocabulary, flat: read.extend(bytes(x.t).decode() for x in docs.collect()) or flat)
+    rows = lm_score.score_documents(docs_of(spark, [f"text {i}" for i in range(60)] + ["text None"], [*range(60), None])).collect()
+    assert sorted(read) == sorted(f"text {x.doc_id}" for x in rows if not x.held_out)
+
+
 def test_class_probabilities_sum_to_one():
     vocabulary = lm_score.Vocabulary([(b"w%d" % i, 100 - i) for i in range(90)], 10, 5000, 120, {k: (5, 2) for k in range(lm_score.TAILS)})
     model = lm_score.Model(vocabulary)
