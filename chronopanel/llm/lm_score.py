@@ -2,35 +2,54 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
+from collections import Counter
 from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored, text_of, words_of
+from .common import stored, text_of
 
-#: Words of the softmax, words in a class, and classes of all other words by their last three bytes.
-SHORT, PER_CLASS, TAILS = 2000, 50, 32
-#: Words whose counts every task holds; longer words are looked up by a join.
-HEAD, HEAD_BYTES = 1 << 18, 64
+#: Words of the softmax, its classes, and classes of all other words by their last three bytes.
+SHORT, CLASSES, TAILS = 2000, 40, 32
+#: Words whose counts every task holds; longer words are looked up by a join. Different words that a task counts at once.
+HEAD, HEAD_BYTES, COUNTED = 1 << 18, 64, 400_000
 EMBED, HIDDEN = 16, 16
-#: Lanes and steps of a training window; lanes of scoring; tokens packed into lanes at a time.
-TRAIN_LANES, STEPS, LANES, PACK = 128, 32, 256, 200_000
-#: Rounds of training: each reads one of ROUNDS parts of the training documents, chosen by their id's checksum.
+#: Lanes and steps of a training window; most lanes and steps of a scoring window; tokens packed into lanes at a time.
+TRAIN_LANES, STEPS, LANES, SCORE_STEPS, PACK = 128, 32, 512, 64, 4_000_000
+#: Rounds of training: each reads one of ROUNDS parts of the training documents, chosen by a hash of their id.
 ROUNDS, RATE = 2, 0.01
 PIECE = 1 << 22
-ROWS = 1024
+COLUMNS = 512
 SPACE = re.compile(rb"[ \t-\r]")
 BLOCK = 1024
+#: First word of each class and the end: classes grow with the square of their number, so that frequent words share
+#: theirs with few others.
+EDGES = np.unique(np.round(SHORT * (np.arange(CLASSES + 1) / CLASSES) ** 2).astype(int))
+WIDTH = len(EDGES) - 1
+CLASS_OF = np.repeat(np.arange(WIDTH), np.diff(EDGES))
+CLASS_OF_ID = np.r_[CLASS_OF, WIDTH + np.arange(TAILS)].astype(np.int16)
 
 
 def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % TAILS
 
 
+def pieces(data: bytes):
+    """Lower-cased words of a text, about PIECE bytes at a time."""
+    at = 0
+    while at < len(data):
+        end = len(data)
+        if end - at > PIECE and (m := SPACE.search(data, at + PIECE)):
+            end = m.start()
+        yield data[at:end].lower().split()
+        at = end
+
+
 class Vocabulary:
     """Counts of frequent words, and what every token becomes: a softmax word, or a tail class and its share of it."""
 
@@ -43,7 +62,7 @@ class Vocabulary:
         self.counts = counts
         self.log_count = np.log10(counts + 0.1)
         self.known = counts > 0
-        self.input = np.array([*range(self.short + 1), *(SHORT + tail_class(w) for w, _ in head[self.short :])], np.int32)
+        self.input = np.array([*range(self.short + 1), *(SHORT + tail_class(w) for w, _ in head[self.short :])], np.int16)
         mass = np.array([tails.get(k, (0, 0)) for k in range(TAILS)], float)
         self.tail_mass = mass[:, 0]
         self.tail_base = -np.log10(mass[:, 0] + 0.1 * (mass[:, 1] + 1))
@@ -51,31 +70,26 @@ class Vocabulary:
 
     def codes(self, data: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Of a text's tokens: places in head (-1: not there), input ids, and the words that are not there."""
-        parts, at = [], 0
-        rare: list[bytes] = []
-        rare_class: list[int] = []
-        while at < len(data):
-            end = len(data)
-            if end - at > PIECE and (m := SPACE.search(data, at + PIECE)):
-                end = m.start()
-            words = data[at:end].lower().split()
-            got = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        parts, rare, rare_class = [], [], []
+        for words in pieces(data):
+            got = np.fromiter(map(self.at.get, words, repeat(-1)), np.int32, len(words))
             missing = [words[i] for i in np.flatnonzero(got < 0).tolist()]
             rare += missing
             rare_class += [SHORT + tail_class(w) for w in missing]
             parts.append(got)
-            at = end
-        place = np.concatenate([*parts, [0]])
+        place = np.concatenate([*parts, np.zeros(1, np.int32)])
         ids = self.input[place]
         ids[place < 0] = rare_class
         return place, ids, rare
 
 
 class Model:
-    """A GRU over token ids that predicts a class and, within classes of frequent words, a word."""
+    """A GRU over token ids that predicts a class and, within classes of frequent words, a word.
+
+    Arrays hold features in rows and lanes or tokens in columns; the last column of the output weights is their bias.
+    """
 
     START = SHORT + TAILS
-    CLASSES = SHORT // PER_CLASS + TAILS
 
     def __init__(self, vocabulary: Vocabulary | None = None, flat: np.ndarray | None = None):
         r = np.random.default_rng(7)
@@ -84,21 +98,19 @@ class Model:
             "wx": r.normal(0, EMBED**-0.5, (3 * HIDDEN, EMBED)),
             "wh": r.normal(0, HIDDEN**-0.5, (3 * HIDDEN, HIDDEN)),
             "b": np.zeros(3 * HIDDEN),
-            "wc": np.zeros((self.CLASSES, HIDDEN)),
-            "bc": np.zeros(self.CLASSES),
-            "wo": np.zeros((SHORT, HIDDEN)),
-            "bo": np.zeros(SHORT),
+            "wc": np.zeros((WIDTH + TAILS, HIDDEN + 1)),
+            "wo": np.zeros((SHORT, HIDDEN + 1)),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         if vocabulary is not None:  # at first the model is the unigram distribution
             n = vocabulary.short + 1
             counts = np.zeros(SHORT)
             counts[:n] = vocabulary.counts[:n] + 0.1
-            by_class = counts.reshape(-1, PER_CLASS).sum(axis=1)
+            by_class = np.add.reduceat(counts, EDGES[:-1])
             mass = np.r_[by_class + 1e-9, vocabulary.tail_mass + 0.1]
-            self.p["bc"][:] = np.log(mass / mass.sum())
-            share = counts / np.maximum(np.repeat(by_class, PER_CLASS), 1e-9)
-            self.p["bo"][:] = np.where(counts > 0, np.log(np.maximum(share, 1e-30)), -1e4)
+            self.p["wc"][:, -1] = np.log(mass / mass.sum())
+            share = counts / np.maximum(by_class[CLASS_OF], 1e-9)
+            self.p["wo"][:, -1] = np.where(counts > 0, np.log(np.maximum(share, 1e-30)), -1e4)
         if flat is not None:
             at = 0
             for k, v in self.p.items():
@@ -108,155 +120,184 @@ class Model:
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
 
-    def states(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, table: np.ndarray | None = None, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden states (steps, lanes, HIDDEN) for inputs x; fresh marks where a text begins. keep: gets what backward needs."""
-        table = self.p["emb"] @ self.p["wx"].T + self.p["b"] if table is None else table
-        wh, out = self.p["wh"].T.copy(), np.empty((*x.shape, HIDDEN), np.float32)
+    def table(self) -> np.ndarray:
+        """What each input id adds to the gates, (3 * HIDDEN, ids)."""
+        return np.ascontiguousarray((self.p["emb"] @ self.p["wx"].T + self.p["b"]).T)
+
+    def states(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, table: np.ndarray, keep: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden states and a row of ones (HIDDEN + 1, steps, lanes) for inputs x (steps, lanes), and the last state;
+        fresh marks where a text begins. keep: gets what backward needs."""
+        out = np.empty((HIDDEN + 1, *x.shape), np.float32)
+        out[HIDDEN] = 1
+        gates, wh = np.take(table, x, axis=1, mode="clip"), self.p["wh"]
+        if keep is not None:
+            keep["h0"], keep["an"] = np.empty((HIDDEN, *x.shape), np.float32), np.empty((HIDDEN, *x.shape), np.float32)
+        begins = fresh.any(axis=1)
         for t in range(len(x)):
-            if fresh[t].any():
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            g, a = table[x[t]], h @ wh
-            an = a[:, 2 * HIDDEN :]
-            zr, n = g[:, : 2 * HIDDEN], g[:, 2 * HIDDEN :]
-            zr += a[:, : 2 * HIDDEN]
+            if begins[t]:
+                h = h * ~fresh[t]
+            a = wh @ h
+            zr, n = gates[: 2 * HIDDEN, t], gates[2 * HIDDEN :, t]
+            zr += a[: 2 * HIDDEN]
             np.exp(np.negative(zr, out=zr), out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            n += r * an
-            np.tanh(n, out=n)
+            an = a[2 * HIDDEN :]
             if keep is not None:
-                keep.append((h, z, r, an, n))
-            h = n + z * (h - n)
-            out[t] = h
+                keep["h0"][:, t], keep["an"][:, t] = h, an
+            n += zr[HIDDEN:] * an
+            np.tanh(n, out=n)
+            h = h - n
+            h *= zr[:HIDDEN]
+            h += n
+            out[:HIDDEN, t] = h
+        if keep is not None:
+            keep["z"], keep["r"], keep["n"] = gates[:HIDDEN], gates[HIDDEN : 2 * HIDDEN], gates[2 * HIDDEN :]
         return out, h
 
+    def _softmax(self, name: str, span: slice, h: np.ndarray, k: np.ndarray, grad: dict | None, clip: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """Log-probabilities of row k[i] for column i; with grad, also the gradient of their negative sum by h."""
+        w, i = self.p[name][span], np.arange(len(k))
+        v = w @ h
+        if clip:
+            np.minimum(v, 60, out=v)
+        own = v[k, i]
+        np.exp(v, out=v)
+        total = v.sum(axis=0)
+        own -= np.log(total)
+        if grad is None:
+            return own, None
+        v *= 1 / total
+        v[k, i] -= 1
+        grad[name][span] += v @ h.T
+        return own, w[:, :HIDDEN].T @ v
+
     def log_probs(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probabilities of targets y (class and, if short, word) from rows h. grad: also adds the gradients
-        of the mean negative sum and returns that with respect to h."""
-        cls = np.where(y < SHORT, y // PER_CLASS, y - SHORT + SHORT // PER_CLASS)
-        out = np.empty(len(y), np.float32)
-        dh = np.empty((len(y), HIDDEN), np.float32) if grad is not None else None
-        wc = self.p["wc"].T.copy()
-        for lo in range(0, len(y), ROWS):  # a block of logits stays in the cache
-            at = slice(lo, lo + ROWS)
-            logits = h[at] @ wc
-            logits += self.p["bc"]
-            np.minimum(logits, 60, out=logits)  # biases are log shares, so this is out of reach; exp stays finite
-            rows = np.arange(len(logits))
-            own = logits[rows, cls[at]]
-            e = np.exp(logits, out=logits)
-            total = e.sum(axis=1)
-            out[at] = own - np.log(total)
-            if grad is not None:
-                e /= total[:, None]
-                e[rows, cls[at]] -= 1
-                e /= len(y)
-                grad["wc"] += e.T @ h[at]
-                grad["bc"] += e.sum(axis=0)
-                dh[at] = e @ self.p["wc"]
-        short = np.minimum(cls, SHORT // PER_CLASS).astype(np.int16)
-        order = np.argsort(short, kind="stable")
-        bounds = np.searchsorted(short[order], np.arange(SHORT // PER_CLASS + 1))
-        for c in range(SHORT // PER_CLASS):
-            at = order[bounds[c] : bounds[c + 1]]
-            if not len(at):
+        """Natural log-probabilities of targets y (class and, if short, word) from columns of h. grad: also adds the
+        gradients of the negative sum and returns that with respect to h."""
+        # states lie in (-1, 1) and biases are log shares, so exp stays finite below this bound
+        clip = max(float((np.abs(w[:, :HIDDEN]).sum(axis=1) + np.maximum(w[:, HIDDEN], 0)).max()) for w in (self.p["wc"], self.p["wo"])) > 60
+        short = y < SHORT
+        cls = CLASS_OF_ID[y]
+        out, dh = np.empty(len(y), np.float32), np.empty((HIDDEN, len(y)), np.float32) if grad is not None else None
+        for lo in range(0, len(y), COLUMNS):  # a block of logits stays in the cache
+            at = slice(lo, lo + COLUMNS)
+            out[at], d = self._softmax("wc", slice(None), h[:, at], cls[at], grad, clip)
+            if dh is not None:
+                dh[:, at] = d
+        where = np.flatnonzero(short)
+        where = where[np.argsort(cls[where], kind="stable")]
+        bounds = np.searchsorted(cls[where], np.arange(WIDTH + 1))
+        hs, ys = np.take(h, where, axis=1), y[where]
+        own, ds = np.empty(len(where), np.float32), np.empty((HIDDEN, len(where)), np.float32) if grad is not None else None
+        for c in range(WIDTH):
+            at = slice(bounds[c], bounds[c + 1])
+            if bounds[c] == bounds[c + 1]:
                 continue
-            span = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
-            hc, k = h[at], y[at] - c * PER_CLASS
-            v = hc @ self.p["wo"][span].T + self.p["bo"][span]
-            np.minimum(v, 60, out=v)
-            i = np.arange(len(at))
-            own = v[i, k]
-            e = np.exp(v, out=v)
-            total = e.sum(axis=1)
-            out[at] += own - np.log(total)
-            if grad is not None:
-                e /= total[:, None]
-                e[i, k] -= 1
-                e /= len(y)
-                grad["wo"][span] += e.T @ hc
-                grad["bo"][span] += e.sum(axis=0)
-                dh[at] += e @ self.p["wo"][span]
+            own[at], d = self._softmax("wo", slice(EDGES[c], EDGES[c + 1]), hs[:, at], ys[at] - EDGES[c], grad, clip)
+            if ds is not None:
+                ds[:, at] = d
+        out[where] += own
+        if dh is not None:
+            dh[:, where] += ds
         return out, dh
 
-    def gradients(self, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[dict, float, np.ndarray]:
-        """Backpropagation through the steps of one window; the state before it is taken as given (truncation)."""
+    def gradients(self, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[dict, float, np.ndarray]:
+        """Of the mean negative log-probability of one window (steps, lanes), by backpropagation through its steps; the
+        state before it is taken as given (truncation)."""
         grad = {k: np.zeros_like(v) for k, v in self.p.items()}
-        keep: list = []
-        hs, last = self.states(x, fresh, h, keep=keep)
-        live = np.flatnonzero(mask.ravel())
-        logp, dlive = self.log_probs(hs.reshape(-1, HIDDEN)[live], y.ravel()[live], grad)
-        dhs = np.zeros((x.size, HIDDEN), np.float32)
-        dhs[live] = dlive
-        dhs = dhs.reshape(hs.shape)
-        dg = np.empty((*x.shape, 3 * HIDDEN), np.float32)
-        carry = np.zeros_like(h)
+        keep: dict = {}
+        hs, last = self.states(x, fresh, h, self.table(), keep)
+        hs, y = hs.reshape(HIDDEN + 1, -1), y.ravel()
+        if live.all():
+            logp, dh = self.log_probs(hs, y, grad)
+        else:
+            at = np.flatnonzero(live.ravel())
+            dh = np.zeros((HIDDEN, x.size), np.float32)
+            logp, dh[:, at] = self.log_probs(hs[:, at], y[at], grad)
+        dh = dh.reshape(HIDDEN, *x.shape)
+        h0, an, z, r, n = (keep[k] for k in ("h0", "an", "z", "r", "n"))
+        rest = 1 - z
+        by_z = h0 - n
+        by_z *= z
+        by_z *= rest
+        by_r = 1 - r
+        by_r *= r
+        by_r *= an
+        by_n = n * n
+        np.subtract(1, by_n, out=by_n)
+        by_n *= rest
+        dg, da = np.empty((3 * HIDDEN, *x.shape), np.float32), np.empty((3 * HIDDEN, *x.shape), np.float32)
+        back, carry, begins = np.ascontiguousarray(self.p["wh"].T), np.zeros_like(last), fresh.any(axis=1)
         for t in range(len(x) - 1, -1, -1):
-            h0, z, r, an, n = keep[t]
-            d = dhs[t] + carry
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (h0 - n) * z * (1 - z)
-            dr = dn * an * r * (1 - r)
-            dg[t] = np.concatenate([dz, dr, dn], axis=1)
-            da = np.concatenate([dz, dr, dn * r], axis=1)
-            grad["wh"] += da.T @ h0
-            carry = (d * z + da @ self.p["wh"]) * ~fresh[t][:, None]
-        flat_g, ids = dg.reshape(-1, 3 * HIDDEN), x.ravel()
-        used, where = np.unique(ids, return_inverse=True)
-        summed = np.zeros((len(used), 3 * HIDDEN), np.float32)
-        np.add.at(summed, where, flat_g)
-        grad["b"] = flat_g.sum(axis=0)
+            d = carry
+            d += dh[:, t]
+            dn = np.multiply(d, by_n[:, t], out=dg[2 * HIDDEN :, t])
+            np.multiply(d, by_z[:, t], out=dg[:HIDDEN, t])
+            np.multiply(dn, by_r[:, t], out=dg[HIDDEN : 2 * HIDDEN, t])
+            da[: 2 * HIDDEN, t] = dg[: 2 * HIDDEN, t]
+            np.multiply(dn, r[:, t], out=da[2 * HIDDEN :, t])
+            carry = back @ da[:, t]
+            d *= z[:, t]
+            carry += d
+            if begins[t]:
+                carry *= ~fresh[t]
+        grad["wh"] = da.reshape(3 * HIDDEN, -1) @ h0.reshape(HIDDEN, -1).T
+        dg, ids = dg.reshape(3 * HIDDEN, -1), x.ravel()
+        grad["b"] = dg.sum(axis=1)
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        used, summed = ids[first], np.add.reduceat(np.ascontiguousarray(dg.T)[order], first, axis=0)
         grad["wx"] = summed.T @ self.p["emb"][used]
         grad["emb"][used] = summed @ self.p["wx"]
+        for g in grad.values():
+            g /= max(len(logp), 1)
         return grad, float(-logp.mean()), last
 
 
-def lanes(texts: list[np.ndarray], n: int) -> tuple[np.ndarray, ...]:
-    """Token ids of texts packed into at most n lanes: inputs, beginnings, targets, live marks and text numbers (steps, lanes)."""
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    n = max(1, min(n, len(texts)))
+def lanes(ids: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Texts ids[at[i]:at[i + 1]] packed into at most n lanes: inputs, beginnings, targets, live marks and text numbers
+    (steps, lanes), lanes by falling length. There are as many lanes as the longest text leaves room for."""
+    sizes = np.diff(at)
+    n = max(1, min(n, len(sizes), max(int(at[-1] - at[0]) // int(sizes.max()), n // 8)))
     put, load = [[] for _ in range(n)], [(0, k) for k in range(n)]
-    import heapq
-
-    for i in order:
+    for i in np.argsort(-sizes, kind="stable").tolist():
         size, k = heapq.heappop(load)
         put[k].append(i)
-        heapq.heappush(load, (size + len(texts[i]), k))
-    put.sort(key=lambda own: -sum(len(texts[i]) for i in own))
-    sizes = np.array([sum(len(texts[i]) for i in own) for own in put])
-    steps = int(sizes[0])
-    x, y = np.full((steps, n), Model.START, np.int32), np.zeros((steps, n), np.int32)
-    fresh, live, owner = np.zeros((steps, n), bool), np.zeros((steps, n), bool), np.zeros((steps, n), np.int32)
+        heapq.heappush(load, (size + int(sizes[i]), k))
+    put.sort(key=lambda own: -int(sizes[own].sum()))
+    steps = int(sizes[put[0]].sum())
+    x, y = np.full((n, steps), Model.START, np.int16), np.zeros((n, steps), np.int16)
+    fresh, live, owner = np.zeros((n, steps), bool), np.zeros((n, steps), bool), np.zeros((n, steps), np.int32)
     for k, own in enumerate(put):
-        at = 0
+        to = 0
         for i in own:
-            end = at + len(texts[i])
-            y[at:end, k], live[at:end, k], owner[at:end, k] = texts[i], True, i
-            x[at + 1 : end, k] = texts[i][:-1]
-            fresh[at, k] = True
-            at = end
-    return x, fresh, y, live, owner
+            text = ids[at[i] : at[i + 1]]
+            end = to + len(text)
+            y[k, to:end], owner[k, to:end] = text, i
+            x[k, to + 1 : end] = text[:-1]
+            fresh[k, to] = True
+            to = end
+        live[k, :to] = True
+    return tuple(np.ascontiguousarray(v.T) for v in (x, fresh, y, live, owner))
 
 
-def windows(parts: tuple[np.ndarray, ...]):
-    """STEPS at a time of the lanes that still hold text; lanes stand by falling length, so ended ones drop off."""
-    live = parts[3]
-    for t in range(0, len(live), STEPS):
-        k = int(live[t].sum())
-        yield [p[t : t + STEPS, :k] for p in parts]
-
-
-def score_texts(model: Model, texts: list[np.ndarray], table: np.ndarray) -> np.ndarray:
+def score_texts(model: Model, ids: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarray:
     """log10 probability of the classes and softmax words of each text; the state runs through the whole text."""
-    parts = lanes(texts, LANES)
-    h = np.zeros((parts[0].shape[1], HIDDEN), np.float32)
-    out = np.zeros(len(texts))
-    for x, fresh, y, live, owner in windows(parts):
-        hs, h = model.states(x, fresh, h[: x.shape[1]], table)
-        at = np.flatnonzero(live.ravel())
-        logp, _ = model.log_probs(hs.reshape(-1, HIDDEN)[at], y.ravel()[at])
-        out += np.bincount(owner.ravel()[at], logp.astype(float), len(texts))
+    parts = lanes(ids, at, LANES)
+    h = np.zeros((HIDDEN, parts[0].shape[1]), np.float32)
+    out = np.zeros(len(at) - 1)
+    for t in range(0, len(parts[0]), SCORE_STEPS):
+        k = int(parts[3][t].sum())  # lanes that still hold text: ended ones drop off
+        x, fresh, y, live, owner = (p[t : t + SCORE_STEPS, :k] for p in parts)
+        hs, h = model.states(x, fresh, h[:, :k], table)
+        hs, y, owner = hs.reshape(HIDDEN + 1, -1), y.ravel(), owner.ravel()
+        if not live.all():
+            some = np.flatnonzero(live.ravel())
+            hs, y, owner = hs[:, some], y[some], owner[some]
+        logp, _ = model.log_probs(hs, y)
+        out += np.bincount(owner, logp.astype(float), len(out))
     return out / np.log(10)
 
 
@@ -277,61 +318,120 @@ class Adam:
             self.model.p[k] -= np.float32(rate) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8))
 
 
-def train_texts(model: Model, adam: Adam, texts: list[np.ndarray]) -> int:
-    parts = lanes(texts, TRAIN_LANES)
-    h = np.zeros((parts[0].shape[1], HIDDEN), np.float32)
-    for x, fresh, y, live, _ in windows(parts):
-        grad, _, h = model.gradients(x, fresh, y, live, h[: x.shape[1]])
+def train_texts(model: Model, adam: Adam, ids: np.ndarray, at: np.ndarray) -> int:
+    """One pass over texts ids[at[i]:at[i + 1]], which stand one after the other in lanes of equal length; the state runs
+    on from window to window and begins anew with each text and lane."""
+    at = at - at[0]
+    n = max(1, min(TRAIN_LANES, len(ids) // STEPS))
+    steps = -(-len(ids) // n)
+    fresh = np.zeros(n * steps, bool)
+    fresh[at[:-1]] = True
+    x = np.r_[Model.START, ids[:-1]]
+    x[at[:-1]] = Model.START
+    spread = lambda v: np.r_[v, np.zeros(n * steps - len(v), v.dtype)].reshape(n, steps).T
+    parts = [np.ascontiguousarray(v) for v in (spread(x.astype(np.int16)), fresh.reshape(n, steps).T, spread(ids), spread(np.ones(len(ids), bool)))]
+    parts[1][0] = True
+    h = np.zeros((HIDDEN, n), np.float32)
+    for t in range(0, steps, STEPS):
+        grad, _, h = model.gradients(*(v[t : t + STEPS] for v in parts), h)
         adam.step(grad)
-    return int(parts[3].sum())
-
-
-def packs(batches, vocabulary: Vocabulary, column: int):
-    """(batch, row numbers, places, ids, rare words) of rows until about PACK tokens are together."""
-    for batch in batches:
-        rows, places, ids, rare, size = [], [], [], [], 0
-        for i in range(batch.num_rows):
-            p, v, w = vocabulary.codes(batch.column(column)[i].as_py())
-            rows.append(i)
-            places.append(p)
-            ids.append(v)
-            rare.append(w)
-            size += len(v)
-            if size >= PACK:
-                yield batch, rows, places, ids, rare
-                rows, places, ids, rare, size = [], [], [], [], 0
-        if rows:
-            yield batch, rows, places, ids, rare
+    return len(ids)
+
+
+def _packs(column):
+    """Ids and bounds of texts of an Arrow list column, about PACK tokens at a time, with the number of the first text."""
+    ids, at = column.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+    lo = 0
+    while lo < len(at) - 1:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + PACK)) - 1)
+        yield lo, ids, at[lo : hi + 1]
+        lo = hi
+
+
+def word_counts(train: DataFrame, text: str) -> DataFrame:
+    """(word binary, c) of all words of the texts. Tasks count by themselves, COUNTED different words at a time."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def out(counts):
+            keys, values = list(counts), list(counts.values())
+            for lo in range(0, len(keys), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 50_000], pa.binary()), pa.array(values[lo : lo + 50_000], pa.int64())], names=["word", "c"])
+
+        counts = Counter()
+        for batch in batches:
+            for data in batch.column(0):
+                for words in pieces(data.as_py()):
+                    counts.update(words)
+                    if len(counts) > COUNTED:
+                        yield from out(counts)
+                        counts = Counter()
+        yield from out(counts)
+
+    return train.select(text_of(text).cast("binary").alias("t")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def fit_vocabulary(train: DataFrame, text: str) -> tuple[Vocabulary, DataFrame]:
     """Vocabulary and the table of (word, c) of all words of the training texts."""
-    counts = stored(train.select(F.explode(words_of(ascii_lower(text_of(text)))).alias("word")).groupBy("word").agg(F.count("*").alias("c")), "word-counts")
+    counts = stored(word_counts(train, text), "word-counts")
     ends = train.count()
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    tail = F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(TAILS)).alias("k")
+    mass = {r["k"]: [r["c"], r["n"]] for r in counts.groupBy(tail).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()}
+    total, distinct = (sum(v[i] for v in mass.values()) for i in (0, 1))
     # the count from which words go to the head: by bins of counts, so that at most HEAD words are gathered
-    fit = F.octet_length("word") <= HEAD_BYTES
-    bins = counts.where(fit).groupBy(F.floor(F.log2("c") * 16).alias("bin")).count().orderBy(F.desc("bin")).collect()
+    fit, bin_of = F.octet_length("word") <= HEAD_BYTES, F.floor(F.log2("c") * 16)
+    bins = counts.where(fit).groupBy(bin_of.alias("bin")).count().orderBy(F.desc("bin")).collect()
     room, low = HEAD, None
     for b in bins:
         room -= b["count"]
         if room < 0:
             break
         low = b["bin"]
-    head = [] if low is None else counts.where(fit & (F.floor(F.log2("c") * 16) >= low)).select(F.encode("word", "UTF-8").alias("w"), "c").collect()
-    head = sorted(((bytes(r["w"]), r["c"]) for r in head), key=lambda x: (-x[1], x[0]))
-    short = {w for w, _ in head[: SHORT - 1]}
-    kind = F.pmod(F.crc32(F.substring(F.encode("word", "UTF-8"), -3, 3)), F.lit(TAILS)).alias("k")
-    mass = {r["k"]: [r["c"], r["n"]] for r in counts.groupBy(kind).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()}
+    head = [] if low is None else counts.where(fit & (bin_of >= low)).collect()
+    head = sorted(((bytes(r["word"]), r["c"]) for r in head), key=lambda x: (-x[1], x[0]))
     for w, c in head[: SHORT - 1]:
         mass[tail_class(w)][0] -= c
         mass[tail_class(w)][1] -= 1
     return Vocabulary(head, ends, total + ends, distinct + (1 if ends else 0), {k: tuple(v) for k, v in mass.items()}), counts
 
 
-def train(docs: DataFrame, vocabulary, flat: np.ndarray) -> np.ndarray:
-    """One round: every task trains a copy on its texts; the weights are averaged by tokens seen, block by block."""
-    spark = docs.sparkSession
+def tokens(rows: DataFrame, vocabulary) -> DataFrame:
+    """rows (id, out, share, t) with their token ids, counts of tokens and known ones, the sums of log counts of known
+    words and of shares of tail classes, the words outside the head, and a number of the row."""
+    kind = dict(rows.dtypes)["id"]
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        v, row = vocabulary.value, TaskContext.get().partitionId() << 33
+        for batch in batches:
+            lo = 0
+            while lo < batch.num_rows:
+                out, ids, size = [], [], 0
+                while lo + len(out) < batch.num_rows and size < PACK // 4:
+                    place, own, rare = v.codes(batch.column(3)[lo + len(out)].as_py())
+                    at = place[place >= 0]
+                    tail = own >= SHORT
+                    inside = v.log_count[place[tail & (place >= 0)]].sum() + v.tail_base[own[tail] - SHORT].sum()
+                    out.append((row, len(own), int(v.known[at].sum()), float(v.log_count[at].sum()), float(inside), rare))
+                    ids.append(own)
+                    size += len(own)
+                    row += 1
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in ids])], pa.int32()), pa.array(np.concatenate(ids), pa.int16()))
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
+                cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+                part = batch.slice(lo, len(out))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *cols, lists], names=["id", "out", "share", "row", "n", "known", "logs", "inside", "rare", "ids"])
+                lo += len(out)
+
+    return rows.mapInArrow(run, f"id {kind}, out boolean, share int, row long, n long, known long, logs double, inside double, rare array<binary>, ids array<smallint>")
+
+
+def train(coded: DataFrame, flat: np.ndarray) -> np.ndarray:
+    """One round: every task trains a copy on its ids; the weights are averaged by tokens seen, block by block."""
+    spark = coded.sparkSession
     start = spark.sparkContext.broadcast(flat)
 
     def run(batches):
@@ -340,8 +440,9 @@ def train(docs: DataFrame, vocabulary, flat: np.ndarray) -> np.ndarray:
 
         model = Model(flat=start.value)
         adam, seen = Adam(model), 0
-        for _, _, _, ids, _ in packs(batches, vocabulary.value, 0):
-            seen += train_texts(model, adam, ids)
+        for batch in batches:
+            for _, ids, at in _packs(batch.column(0)):
+                seen += train_texts(model, adam, ids[at[0] : at[-1]], at)
         if seen:
             out = model.flat()
             blocks = [out[i : i + BLOCK] * np.float32(seen) for i in range(0, len(out), BLOCK)]
@@ -354,10 +455,26 @@ def train(docs: DataFrame, vocabulary, flat: np.ndarray) -> np.ndarray:
 
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "salt": [pdf["salt"].iloc[0]], "seen": [pdf["seen"].sum()], "w": [np.sum(np.stack(pdf["w"].tolist()), axis=0, dtype=np.float64).astype(np.float32)]})
 
-    rows = docs.mapInArrow(run, kind).groupBy("block", "salt").applyInPandas(summed, kind).withColumn("salt", F.lit(0)).groupBy("block", "salt").applyInPandas(summed, kind).orderBy("block").collect()
+    rows = coded.mapInArrow(run, kind).groupBy("block", "salt").applyInPandas(summed, kind).withColumn("salt", F.lit(0)).groupBy("block", "salt").applyInPandas(summed, kind).orderBy("block").collect()
     return np.concatenate([np.array(r["w"], np.float32) / np.float32(r["seen"]) for r in rows]) if rows else flat
 
 
+def scores(coded: DataFrame, flat: np.ndarray) -> DataFrame:
+    """(row, score) of rows (row, ids): log10 probability of the classes and softmax words."""
+    final = coded.sparkSession.sparkContext.broadcast(flat)
+
+    def run(batches):
+        import pyarrow as pa
+
+        model = Model(flat=final.value)
+        table = model.table()
+        for batch in batches:
+            for lo, ids, at in _packs(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(at) - 1), pa.array(score_texts(model, ids, at, table))], names=["row", "score"])
+
+    return coded.select("row", "ids").mapInArrow(run, "row long, score double")
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 10) -> DataFrame:
     """Scores of all texts by a unigram base and by the recurrent model, both learnt from the training documents.
 
@@ -368,49 +485,25 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document once, dealt over the rounds by id, in every task at once, with weights averaged.
 
     Returns id_col, held_out, n_tokens, n_known, train_tokens, base_score and score. Null and empty text are one end
-    token. Every row is scored, repeated ones and null ids included. The head of at most HEAD words goes to all tasks;
-    counts of other words are joined to the texts' rare words. Texts never move between tasks.
+    token. Every row is scored, repeated ones and null ids included; a table without rows gives none; other columns are
+    ignored. The head of at most HEAD words goes to all tasks; counts of other words are joined to the texts' rare words.
+    Token ids of all texts are written once to the shared folder and read by each round and for the scores. Texts never
+    move between tasks.
     """
     spark = docs.sparkSession
     sum_of = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(F.col(id_col).alias("id"), (sum_of % held_out == 0).alias("out"), F.expr(f"pmod(xxhash64(`{id_col}`), {ROUNDS})").alias("share"), F.col(text_col).alias("text"))
-    learn = rows.where(~F.col("out"))
-    vocabulary, counts = fit_vocabulary(learn, "text")
-    shared = spark.sparkContext.broadcast(vocabulary)
+    share = F.pmod(F.xxhash64(id_col), F.lit(ROUNDS)).cast("int")
+    rows = docs.select(F.col(id_col).alias("id"), (sum_of % held_out == 0).alias("out"), share.alias("share"), text_of(text_col).cast("binary").alias("t"))
+    vocabulary, counts = fit_vocabulary(rows.where(~F.col("out")).select(F.col("t").cast("string")), "t")
+    coded = stored(tokens(rows, spark.sparkContext.broadcast(vocabulary)), "lm-tokens")
     flat = Model(vocabulary).flat()
     for k in range(ROUNDS):
-        flat = train(learn.where(F.col("share") == k).select(text_of("text").cast("binary").alias("t")), shared, flat)
-    final = spark.sparkContext.broadcast(flat)
-    kind = dict(docs.dtypes)[id_col]
-
-    def run(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        v, model = shared.value, Model(flat=final.value)
-        table = model.p["emb"] @ model.p["wx"].T + model.p["b"]
-        row = TaskContext.get().partitionId() << 33
-        for batch, at, places, ids, rare in packs(batches, v, 2):
-            scores = score_texts(model, ids, table)
-            out = []
-            for p, i, w, s in zip(places, ids, rare, scores, strict=True):
-                found = p >= 0
-                tail = i >= SHORT
-                logs = v.log_count[p[found]]
-                inside = v.log_count[p[found & tail]].sum() + v.tail_base[i[tail] - SHORT].sum()
-                out.append((row, len(p), int(v.known[p[found]].sum()), float(logs.sum()), float(s + inside), w))
-                row += 1
-            taken = pa.array(at, pa.int64())
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
-            cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), *cols], names=["id", "out", "row", "n", "known", "logs", "score", "rare"])
-
-    scored = rows.select("id", "out", text_of("text").cast("binary").alias("t")).mapInArrow(run, f"id {kind}, out boolean, row long, n long, known long, logs double, score double, rare array<binary>")
-    scored = stored(scored, "lm-scores")
-    rare = scored.select("row", F.explode("rare").alias("w")).select("row", F.decode("w", "UTF-8").alias("word")).join(counts, "word", "left")
+        flat = train(coded.where(~F.col("out") & (F.col("share") == k)).select("ids"), flat)
+    rare = coded.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
     rare = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("rare_logs"), F.count("c").alias("rare_known"))
+    scored = stored(scores(coded, flat), "lm-scores")
     zero = F.lit(0.0)
-    return scored.drop("rare").join(rare, "row", "left").select(
+    return coded.drop("rare", "ids", "share").join(scored, "row").join(rare, "row", "left").select(
         F.col("id").alias(id_col), F.col("out").alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(vocabulary.total).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("rare_logs", zero) + F.col("n") * F.lit(float(vocabulary.base))).alias("base_score"), (F.col("score") + F.coalesce("rare_logs", zero)).alias("score"),
+        (F.col("logs") + F.coalesce("rare_logs", zero) + F.col("n") * F.lit(float(vocabulary.base))).alias("base_score"), (F.col("score") + F.col("inside") + F.coalesce("rare_logs", zero)).alias("score"),
     )

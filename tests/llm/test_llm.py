@@ -287,21 +287,91 @@ def test_scores_are_probabilities_and_base_is_exact(spark):
 
 
 def test_rounds_read_all_training_documents(spark, monkeypatch):
-    read = []
-    monkeypatch.setattr(lm_score, "train", lambda docs, vocabulary, flat: read.extend(bytes(x.t).decode() for x in docs.collect()) or flat)
+    read, words = [], []
+    monkeypatch.setattr(lm_score, "train", lambda coded, flat: read.extend(tuple(x.ids) for x in coded.collect()) or flat)
+    fit = lm_score.fit_vocabulary
+    monkeypatch.setattr(lm_score, "fit_vocabulary", lambda *a: words.append(fit(*a)[0]) or fit(*a))
     rows = lm_score.score_documents(docs_of(spark, [f"text {i}" for i in range(60)] + ["text None"], [*range(60), None])).collect()
-    assert sorted(read) == sorted(f"text {x.doc_id}" for x in rows if not x.held_out)
+    want = [f"text {x.doc_id}".encode() for x in rows if not x.held_out]
+    assert sorted(read) == sorted(tuple(words[0].codes(t)[1]) for t in want) and len(set(want)) == len(want)
 
 
-def test_class_probabilities_sum_to_one():
+def small_model(seed=1):
     vocabulary = lm_score.Vocabulary([(b"w%d" % i, 100 - i) for i in range(90)], 10, 5000, 120, {k: (5, 2) for k in range(lm_score.TAILS)})
-    model = lm_score.Model(vocabulary)
-    h = np.random.default_rng(1).normal(0, 1, (1, lm_score.HIDDEN)).astype(np.float32)
-    ids = [*range(91), *range(lm_score.SHORT, lm_score.SHORT + lm_score.TAILS)]
-    logp, _ = model.log_probs(np.repeat(h, len(ids), axis=0), np.array(ids))
+    model, r = lm_score.Model(vocabulary), np.random.default_rng(seed)
+    for k, v in model.p.items():
+        model.p[k] = v + r.normal(0, 0.1, v.shape).astype(np.float32)
+    return model, r
+
+
+def test_class_probabilities_sum_to_one():
+    model, r = small_model()
+    h = np.r_[r.normal(0, 1, lm_score.HIDDEN), 1].astype(np.float32)[:, None]
+    ids = np.array([*range(91), *range(lm_score.SHORT, lm_score.SHORT + lm_score.TAILS)], np.int16)
+    logp, _ = model.log_probs(np.repeat(h, len(ids), axis=1), ids)
     assert abs(np.exp(logp).sum() - 1) < 1e-3
 
 
+def test_gradients_match_finite_differences():
+    model, r = small_model()
+    H, shape = lm_score.HIDDEN, (6, 5)
+    x, y = r.integers(0, model.START + 1, shape).astype(np.int16), r.integers(0, lm_score.SHORT + lm_score.TAILS, shape).astype(np.int16)
+    y = np.where(y < lm_score.SHORT, y % 91, y).astype(np.int16)  # the other words do not occur
+    y[:, :2] = r.integers(0, 60, (6, 2))
+    fresh, live, h = r.random(shape) < 0.2, r.random(shape) < 0.9, r.normal(0, 0.5, (H, 5)).astype(np.float32)
+    grad, loss, _ = model.gradients(x, fresh, y, live, h)
+    exact = lm_score.Model()
+    exact.p = {k: v.astype(float) for k, v in model.p.items()}
+
+    def value():
+        hs, _ = exact.states(x, fresh, h, exact.table())
+        at = np.flatnonzero(live.ravel())
+        return -exact.log_probs(hs.reshape(H + 1, -1)[:, at], y.ravel()[at])[0].mean()
+
+    assert abs(value() - loss) < 1e-4
+    for k, p in exact.p.items():
+        for i in [np.unravel_index(np.abs(grad[k]).argmax(), p.shape), *(tuple(r.integers(0, n) for n in p.shape) for _ in range(5))]:
+            at, step = p[i], 1e-2
+            p[i] = at + step
+            up = value()
+            p[i] = at - step
+            down = value()
+            p[i] = at
+            assert abs((up - down) / (2 * step) - grad[k][i]) < 2e-3 * max(1, abs(grad[k][i]) * 10), (k, i)
+
+
+def test_state_runs_through_windows_and_lanes_do_not_mix(monkeypatch):
+    model, r = small_model(2)
+    texts = [r.integers(0, lm_score.SHORT + lm_score.TAILS, n).astype(np.int16) for n in (700, 1, 3, 250, 90, 64, 65, 12)]
+    ids, at = np.concatenate(texts), np.r_[0, np.cumsum([len(t) for t in texts])]
+    table, H = model.table(), lm_score.HIDDEN
+    want = []
+    for t in texts:  # one token after the other
+        h, total = np.zeros((H, 1), np.float32), 0.0
+        for x, y in zip([model.START, *t[:-1]], t, strict=True):
+            hs, h = model.states(np.array([[x]], np.int16), np.zeros((1, 1), bool), h, table)
+            total += float(model.log_probs(hs.reshape(H + 1, 1), np.array([y]))[0][0])
+        want.append(total / math.log(10))
+    for width in (1, 3, 512):
+        monkeypatch.setattr(lm_score, "LANES", width)
+        assert np.allclose(lm_score.score_texts(model, ids, at, table), want, rtol=1e-4)
+
+
+def test_training_beats_the_base_on_held_out_text(spark):
+    r = random.Random(12)
+    follow = {w: r.sample(range(30), 2) for w in range(30)}
+
+    def chain(n):
+        w, out = r.randrange(30), []
+        for _ in range(n):
+            out.append(f"word{w}")
+            w = r.choice(follow[w])
+        return " ".join(out)
+
+    rows = lm_score.score_documents(docs_of(spark, [chain(r.randrange(40, 400)) for _ in range(600)])).where("held_out").collect()
+    assert sum(x.score for x in rows) > 0.92 * sum(x.base_score for x in rows)
+
+
 # repeated strings
 
 
