@@ -14,8 +14,8 @@ SIMILARITY = 0.8
 #: Minima kept per sketch, sketches per text, and sketches that a pair must share outside its first bucket. Texts that
 #: share 0.8 of their shingles agree in a sketch with probability 0.8^4 = 0.41: under 3 of 32 in about 1 of 80,000 pairs.
 MINIMA, SKETCHES, SHARED = 4, 32, 3
-#: Members of a bucket over which they first meet its center, and members of a block of a bucket whose pairs are compared.
-SMALL, BLOCK = 64, 1024
+#: Members and words of a block of a bucket; blocks of a bucket meet pairwise. Words of buckets that a group handles at once.
+BLOCK, WORDS = 1024, 500_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -174,38 +174,85 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _mixed_pairs(located: DataFrame, sketches: DataFrame, kind: str) -> DataFrame:
-    """Pairs (a, b, ra, rb, same) of one bucket and different components that share SHARED sketches, each from its first
-    common bucket. ra > rb: their components; same: the sketches they share.
-
-    Members of a bucket (sk, id, n, root) are dealt by id into blocks of about BLOCK; blocks meet pairwise, so no task
-    holds a whole bucket.
+class _Block:
+    """Texts of one bucket: which pairs are of different components, share enough sketches and are similar."""
+
+    def __init__(self, sketches: np.ndarray, texts: list[np.ndarray], roots: np.ndarray):
+        self.sketches, self.texts, self.roots = sketches, texts, roots.copy()
+        self.index = None
+
+    def _fit(self, i: int, others: np.ndarray, sk: int) -> np.ndarray:
+        others = others[self.roots[others] != self.roots[i]]
+        same = self.sketches[others] == self.sketches[i]
+        return others[(same.sum(axis=1) >= SHARED) & (self.sketches[i][same.argmax(axis=1)] == sk)]
+
+    def _score(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Jaccard index of labelled shingles of text i and others, from the places where its shingles stand."""
+        if self.index is None:
+            marks = [labelled(t) for t in self.texts]
+            sizes = np.array([len(m) for m in marks])
+            _, v = np.unique(np.concatenate(marks), return_inverse=True)
+            order = np.argsort(v, kind="stable")
+            self.index = np.split(v, np.cumsum(sizes)[:-1]), np.repeat(np.arange(len(marks)), sizes)[order], np.r_[0, np.cumsum(np.bincount(v))], sizes
+        own, owner, at, sizes = self.index
+        both = np.bincount(np.concatenate([owner[at[k] : at[k + 1]] for k in own[i]]), minlength=len(sizes))[others]
+        return both / (sizes[i] + sizes[others] - both)
+
+    def links(self, sk: int, lefts: np.ndarray, rights: np.ndarray):
+        """Pairs (i, j) that link components, closest first for each i; linked components count as one from then on."""
+        for i in lefts.tolist():
+            others = self._fit(i, rights[rights > i] if lefts is rights else rights, sk)
+            if not len(others):
+                continue
+            score = self._score(i, others)
+            fit = np.flatnonzero(score >= SIMILARITY - 1e-12)
+            for j in others[fit[np.argsort(-score[fit], kind="stable")]].tolist():
+                if self.roots[j] != self.roots[i] and similarity(self.texts[i], self.texts[j]) > 0:
+                    self.roots[self.roots == self.roots[j]] = self.roots[i]
+                    yield i, j
+
+
+def _mixed_links(located: DataFrame, buckets: DataFrame, sketches: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
+    """Links (a, b) between components inside buckets: of all pairs of one bucket (sk) and different components (root)
+    that share SHARED sketches, each looked at in its first common bucket, as many as connect what they connect.
+
+    Members of a bucket are dealt by id into blocks of about BLOCK texts and WORDS words; blocks meet pairwise, so no task
+    holds a whole bucket. Buckets of one block are handled many at a time.
     """
-    blocks = F.expr(f"cast((n - 1) div {BLOCK} + 1 as int)")
-    block = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    rows = located.select("sk", "id", "root", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rows = rows.select("sk", "id", "root", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    rows = rows.join(sketches.select("id", "sketch"), "id").select("sk", "x", "y", "id", "root", "block", "sketch")
-
-    def run(pdf):
-        import pandas as pd
-
-        s = np.array(pdf["sketch"].tolist(), np.int64)
-        sk, ids, roots, block = pdf["sk"].iloc[0], pdf["id"].to_numpy(), pdf["root"].to_numpy(), pdf["block"].to_numpy()
-        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
-        rights = np.flatnonzero(block == y)
+    blocks = F.expr(f"cast(greatest((n - 1) div {BLOCK}, words div {WORDS}) + 1 as int)")
+    rows = located.select("sk", "id", "root").join(buckets.select("sk", blocks.alias("blocks")), "sk")
+    total = buckets.agg(F.coalesce(F.sum(F.when(blocks == 1, F.col("words"))), F.lit(0))).first()[0]
+    alone = F.pmod(F.xxhash64("sk"), F.lit(total // WORDS + 1))
+    rows = rows.select("sk", "id", "root", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("id", "sk", "root", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("blocks") == 1)
+    rows = rows.toDF("id", "sk", "root", "block", "x", "y", "single").withColumn("g", F.when(F.col("single"), alone).otherwise(F.xxhash64("sk", "x", "y"))).drop("single")
+    rows = rows.join(sketches.select("id", "sketch"), "id").join(texts, "id")
+    parts = 2 * int(located.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(group):
+        import pyarrow as pa
+
+        column = lambda name: group.column(name).combine_chunks()
+        sk, x, y, block = (column(c).to_numpy(zero_copy_only=False) for c in ("sk", "x", "y", "block"))
+        s = column("sketch").flatten().to_numpy().reshape(-1, SKETCHES)
+        roots = column("root").dictionary_encode().indices.to_numpy()
+        words, at = _lists(column("w"))
+        order = np.lexsort((block, y, x, sk))
+        ends = np.flatnonzero(np.r_[(sk[order][1:] != sk[order][:-1]) | (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1]), True]) + 1
         out = []
-        for i in np.flatnonzero(block == x):
-            js = rights[rights > i] if x == y else rights
-            js = js[roots[js] != roots[i]]
-            if len(js):
-                same = s[js] == s[i]
-                count = same.sum(axis=1)
-                fit = (count >= SHARED) & (s[i][same.argmax(axis=1)] == sk)
-                out += [(max(ids[i], ids[j]), min(ids[i], ids[j]), max(roots[i], roots[j]), min(roots[i], roots[j]), c) for j, c in zip(js[fit], count[fit], strict=True)]
-        return pd.DataFrame(out, columns=["a", "b", "ra", "rb", "same"])
+        for lo, hi in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+            own = order[lo:hi]
+            if (roots[own] == roots[own[0]]).all():
+                continue
+            texts = [shingles(words[at[i] : at[i + 1]]) for i in own]
+            left = np.flatnonzero(block[own] == x[own[0]])
+            right = left if x[own[0]] == y[own[0]] else np.flatnonzero(block[own] == y[own[0]])
+            out += [(own[i], own[j]) for i, j in _Block(s[own], texts, roots[own]).links(sk[own[0]], left, right)]
+        i, j = (pa.array([p[c] for p in out], pa.int64()) for c in (0, 1))
+        return pa.table({"a": column("id").take(i), "b": column("id").take(j)})
 
-    return rows.groupBy("sk", "x", "y").applyInPandas(run, f"a {kind}, b {kind}, ra {kind}, rb {kind}, same int")
+    found = rows.repartition(parts, "g").groupBy("g").applyInArrow(run, f"a {kind}, b {kind}")
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,11 +260,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two texts are linked if an alignment of their shingles of five lower-cased words scores 0.8 or more; a class is a
     component of links and of equal word sequences. Equal sequences are first folded to their smallest id. The others
-    get SKETCHES order min-hash sketches; each text is verified against the center of its best bucket, then against those
-    of its buckets of over SMALL members. In buckets of any size that still hold several components, all pairs across
-    components that share SHARED sketches are candidates, found block by block: of two components first the pair that
-    shares most, then all others whose texts are still apart. So large groups of copies cost a link per text, and no
-    candidate is dropped.
+    get SKETCHES order min-hash sketches; each text is verified against the center of its best bucket. In buckets
+    that still hold several components, whatever their size, all pairs across components that share SHARED sketches are
+    candidates: block by block they are compared by the Jaccard index of their shingles, which no alignment exceeds, then
+    by alignment, until their components are linked.
+    So large groups of copies cost a link per text, pairs are never written out, and no candidate is dropped.
 
     Ids may repeat: rows of one id belong to one class if any of their texts do. A null id gets a null class. A text
     without words is in a class of its own; a text under five words is linked to equal ones only. Tables without rows
@@ -226,16 +273,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = dict(docs.dtypes)[id_col]
     all_rows = stored(sketched(docs, id_col, text_col), "sketches")
     worded = all_rows.where("n > 0")
-    folded = stored(worded.groupBy("ka", "kb").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.count("*").alias("n")), "folded")
-    sketches = folded.where(F.size("sketch") > 0).select("id", "sketch")
-    members = sketches.select("id", F.explode("sketch").alias("sk"))
-    buckets = stored(members.groupBy("sk").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    shared = stored(members.join(buckets, "sk").select("sk", "id", "n"), "shared")
+    folded = stored(worded.groupBy("ka", "kb").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("n").alias("words")), "folded")
+    sketches = folded.where(F.size("sketch") > 0).select("id", "words", "sketch")
+    members = sketches.select("id", "words", F.explode("sketch").alias("sk"))
+    buckets = stored(members.groupBy("sk").agg(F.count("*").alias("n"), F.sum("words").alias("words")).where("n > 1"), "buckets")
+    shared = stored(members.drop("words").join(buckets, "sk").select("sk", "id", "n"), "shared")
     # the text that others are copies of meets most texts in its buckets; it becomes the center of each of them
     hubs = stored(shared.groupBy("id").agg(F.sum("n").alias("hub")), "hubs")
     ranked = shared.join(hubs, "id")
-    centers = stored(ranked.groupBy("sk").agg(F.max_by("id", F.struct("hub", (-F.col("id")).alias("o"))).alias("center"), F.max("hub").alias("top")), "centers")
-    shared = stored(shared.join(centers, "sk"), "shared")
+    centers = ranked.groupBy("sk").agg(F.max("hub").alias("top"), F.min_by("id", F.struct(-F.col("hub"), F.col("id"))).alias("center"))
+    shared = stored(shared.join(stored(centers, "centers"), "sk"), "shared")
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"))
     texts = source.join(hubs.select("id"), "id").select("id", word_hashes(text_of("__text")).alias("w"))
     # the same id may stand on several rows: the text that was folded to it is meant
@@ -243,30 +290,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = texts.withColumn("ka", F.xxhash64("w")).withColumn("kb", F.xxhash64(F.lit(77), "w"))
     texts = stored(texts.dropDuplicates(["id", "ka", "kb"]).join(keys, (F.col("id") == F.col("__id")) & (texts["ka"] == keys["ka"]) & (texts["kb"] == keys["kb"])).select("id", "w"), "texts")
     pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
-    best = shared.where("id != center").groupBy("id").agg(F.max_by("center", F.struct("top", (-F.col("center")).alias("o"))).alias("center"))
+
+    best = shared.where("id != center").groupBy("id").agg(F.min_by("center", F.struct(-F.col("top"), F.col("center"))).alias("center"))
     first = stored(best.select(*pair("id", "center")).distinct(), "first")
     links = stored(verified(first, texts), "links")
     roots = stored(components(links).withColumnRenamed("node", "id"), "roots-1")
-    located = shared.join(roots, "id", "left").select("sk", "id", "n", "center", F.coalesce("root", "id").alias("root"))
+    located = shared.join(roots, "id", "left").select("sk", "id", F.coalesce("root", "id").alias("root"))
     mixed = stored(located.groupBy("sk").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sk"), "mixed")
     located = stored(located.join(mixed, "sk"), "located")
-    its_root = roots.select(F.col("id").alias("center"), F.col("root").alias("center_root"))
-    far = located.where(F.col("n") > SMALL).select("id", "root", "center").distinct().join(its_root, "center", "left")
-    far = far.where(F.col("root") != F.coalesce("center_root", "center")).select(*pair("id", "center"))
-    far = stored(far.distinct().join(first, ["a", "b"], "left_anti"), "far")
-    links = stored(links.unionByName(verified(far, texts)), "links")
-    roots = stored(components(links).withColumnRenamed("node", "id"), "roots-2")
-    located = located.select("sk", "id", "n").join(roots, "id", "left").select("sk", "id", "n", F.coalesce("root", "id").alias("root"))
-    mixed = stored(located.groupBy("sk").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sk"), "mixed")
-    pairs = _mixed_pairs(stored(located.join(mixed, "sk"), "located"), sketches, kind).join(first.unionByName(far), ["a", "b"], "left_anti")
-    pairs = stored(pairs.groupBy("a", "b", "ra", "rb").agg(F.max("same").alias("same")), "pairs")
-    likely = stored(pairs.groupBy("ra", "rb").agg(F.max_by(F.struct("a", "b"), F.struct("same", "a", "b")).alias("p")).select("p.a", "p.b"), "likely")
-    links = stored(links.unionByName(verified(likely, texts)), "links")
-    roots = stored(components(links), "roots-3")
-    now = lambda x: roots.select(F.col("node").alias(f"r{x}"), F.col("root").alias(f"root_{x}"))
-    rest = pairs.join(likely, ["a", "b"], "left_anti").join(now("a"), "ra", "left").join(now("b"), "rb", "left")
-    rest = stored(rest.where(F.coalesce("root_a", "ra") != F.coalesce("root_b", "rb")).select("a", "b"), "rest")
-    final = stored(components(links.unionByName(verified(rest, texts))), "roots")
+    links = links.unionByName(stored(_mixed_links(located, buckets.join(mixed, "sk"), sketches, texts, kind), "late-links"))
+    final = stored(components(links), "roots")
     classes = folded.select("ka", "kb", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("ka", "kb", F.coalesce("root", "id").alias("root"))
     out = worded.select("id", "ka", "kb").join(stored(classes, "classes"), ["ka", "kb"]).groupBy("id").agg(F.min("root").alias("root"))
     ids = docs.select(F.col(id_col).alias("__id"))

@@ -141,8 +141,8 @@ def test_copies_inside_a_large_family_are_linked(spark):
 
 
 def test_drifted_copies_of_large_buckets_are_compared(spark, monkeypatch):
-    # texts differ by single words from two versions of each of 26 places; SMALL = 1 makes all buckets large ones
-    monkeypatch.setattr(near_dedup, "SMALL", 1)
+    # texts differ by single words from two versions of each of 26 places; buckets are cut into blocks of about 8 texts
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
     r = random.Random(6)
     versions = [sentence(r, 400).split(" ") for _ in "ab"]
     texts = []
@@ -155,6 +155,15 @@ def test_drifted_copies_of_large_buckets_are_compared(spark, monkeypatch):
     assert [got[i] for i in range(100)] == brute_classes(texts)
 
 
+def test_text_ids_repeated_rows_and_null_ids(spark):
+    r = random.Random(13)
+    base = sentence(r, 200)
+    rows = [("b", base), ("a", base + " tail"), (None, base), ("c", sentence(r, 50)), ("c", base + " end"), ("d", None), ("e", "")]
+    docs = spark.createDataFrame([(*x, "mine") for x in rows], "doc_id string, text string, class_id string")
+    got = {(x.doc_id, x.class_id) for x in near_dedup.near_duplicates(docs).collect()}
+    assert got == {("a", "a"), ("b", "a"), ("c", "a"), (None, None), ("d", "d"), ("e", "e")}
+
+
 def test_alignment_is_the_longest_common_subsequence():
     r = np.random.default_rng(5)
     for _ in range(300):
