@@ -4,37 +4,45 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import SPACES, stored, text_of
 from .grouping_sort import suffix_array
 
 #: Bytes that make a repeat; bytes of an anchor; bytes of a block, which divides WIDTH.
 WIDTH, ANCHOR, STEP = 400, 32, 40
+#: Words that make a shared passage, and words of its anchor. Both anchors' lengths are powers of two.
+PASSAGE, GRAM = 50, 16
 #: Bytes handled at a time in a task, and symbols of one suffix array.
 CHUNK, SYMBOLS = 1 << 22, 200_000
 #: Different strings of one anchor that a task may hold; anchors with more are cut into finer keys first.
-GROUP = 20_000
+GROUP = 1_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-RUN = "ra long, rb long, lo int, h long, a int, n int, ca long, cb long"
+RUN = "ra long, rb long, w boolean, lo int, h long, a int, n int, ca long, cb long"
+KEY = ["w", "h", "a", "n", "ca", "cb"]
+KEY_TYPES = "w boolean, h long, a int, n int, ca long, cb long"
+#: Columns of the first and last document that a run occurs in.
+DOCS = ["fa", "fb", "la", "lb"]
+IS_SPACE = np.isin(np.arange(256), [ord(c) for c in SPACES])
 
 
-def anchors(data: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """For each start of a window of ``width`` bytes: the place of its anchor, the left-most smallest ANCHOR-gram; and
+def anchors(units: np.ndarray, gram: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each start of a window of ``width`` units: the place of its anchor, the left-most smallest run of ``gram``; and
     the hashes of all grams. Equal windows have their anchor at the same place within them."""
-    x = (data.astype(np.uint64) + np.uint64(1)) * M1
+    x = (units.astype(np.uint64) + np.uint64(1)) * M1
     span = 1
-    while span < ANCHOR:
+    while span < gram:
         x = (x[:-span] * M2) ^ (x[:-span] >> np.uint64(27)) ^ (x[span:] * M1)
         span *= 2
     x ^= x >> np.uint64(31)
     x *= M1
     low = np.uint64((1 << 24) - 1)
     y = (x & ~low) | np.arange(len(x), dtype=np.uint64)
-    size, span = width - ANCHOR + 1, 1
+    size, span = width - gram + 1, 1
     while span * 2 <= size:
         y = np.minimum(y[:-span], y[span:])
         span *= 2
@@ -59,30 +67,78 @@ def runs(texts: list[bytes], width: int = WIDTH):
         yield from _runs(part, width)
 
 
-def _runs(part: list[tuple[int, int, bytes]], width: int):
-    data = b"".join(p for _, _, p in part)
-    raw = np.frombuffer(data, np.uint8)
-    at, x = anchors(raw, width)
-    ends = np.cumsum([len(p) for _, _, p in part])
-    begins = ends - np.array([len(p) for _, _, p in part])
+def _split(at: np.ndarray, begins: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last + 1 start of the runs of windows with one anchor inside texts begins[j]..ends[j], and their text j."""
     change = np.r_[True, at[1:] != at[:-1]]
-    change[begins] = True
     valid = np.zeros(len(at) + 1, bool)
-    for b, e in zip(begins, ends, strict=True):
-        valid[b : e - width + 1] = True
+    for b, e in zip(begins.tolist(), ends.tolist(), strict=True):
+        if e - b >= width:
+            change[b] = True
+            valid[b : e - width + 1] = True
     starts = np.flatnonzero(change & valid[:-1])
-    stop = np.searchsorted(starts, ends, side="left")
-    last = np.r_[starts[1:], 0]
-    for j, (b, e) in enumerate(zip(begins, ends, strict=True)):
-        if stop[j] and starts[stop[j] - 1] >= b:
-            last[stop[j] - 1] = e - width + 1
     owner = np.searchsorted(ends, starts, side="right")
+    last = np.r_[starts[1:], 0]
+    final = np.flatnonzero(np.r_[owner[1:] != owner[:-1], True]) if len(starts) else []
+    last[final] = ends[owner[final]] - width + 1
+    return starts, last, owner
+
+
+def _runs(part: list[tuple[int, int, bytes]], width: int):
+    data = b"".join(p for _, _, p in part)
+    at, x = anchors(np.frombuffer(data, np.uint8), ANCHOR, width)
+    ends = np.cumsum([len(p) for _, _, p in part])
+    begins = ends - np.array([len(p) for _, _, p in part])
+    starts, last, owner = _split(at, begins, ends, width)
     h = x[at[starts]].view(np.int64)
     for s, e, o, a, k in zip(starts.tolist(), last.tolist(), owner.tolist(), (at[starts] - starts).tolist(), h.tolist(), strict=True):
         i, lo, _ = part[o]
         yield i, lo + s - int(begins[o]), k, a, e - s, data[s : e - 1 + width]
 
 
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places and 64-bit hashes of the words of a text; words hold anything but ASCII white space."""
+    raw = np.frombuffer(data, np.uint8)
+    inside = ~IS_SPACE[raw]
+    starts = np.flatnonzero(inside & np.r_[True, ~inside[:-1]])
+    if not len(starts):
+        return starts, np.empty(0, np.uint64)
+    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.r_[starts, len(raw)])) if starts[0] == 0 else np.arange(len(raw)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(raw)]))
+    v = (raw.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(1)) * M1
+    v ^= v >> np.uint64(29)
+    v *= M2
+    v[~inside] = 0
+    v = np.add.reduceat(v, starts)
+    return starts, v ^ (v >> np.uint64(31))
+
+
+def word_runs(texts: list[bytes]):
+    """(text, lo, h, a, n, word hashes) like runs(), for windows of PASSAGE words."""
+    part: list[tuple[int, bytes]] = []
+    held = 0
+    for i, t in enumerate(texts):
+        if len(t) >= 2 * PASSAGE - 1:
+            part.append((i, t))
+            held += len(t)
+        if held >= CHUNK:
+            yield from _word_runs(part)
+            part, held = [], 0
+    if part:
+        yield from _word_runs(part)
+
+
+def _word_runs(part: list[tuple[int, bytes]]):
+    starts, hashes = word_hashes(b" ".join(t for _, t in part))
+    if len(hashes) < PASSAGE:
+        return
+    ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for _, t in part]))
+    begins = np.r_[0, ends[:-1]]
+    at, x = anchors(hashes, GRAM, PASSAGE)
+    starts, last, owner = _split(at, begins, ends, PASSAGE)
+    h = (x[at[starts]] ^ M2).view(np.int64)
+    for s, e, o, a, k in zip(starts.tolist(), last.tolist(), owner.tolist(), (at[starts] - starts).tolist(), h.tolist(), strict=True):
+        yield part[o][0], s - int(begins[o]), k, a, e - s, hashes[s : e - 1 + PASSAGE].tobytes()
+
+
 def digest(data: bytes) -> tuple[int, int]:
     import xxhash
 
@@ -243,6 +299,39 @@ def resolve(contexts: DataFrame, width: int, group: int, bins: int = 16) -> Data
     return small.unionByName(back.groupBy(*key).agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
 
+def _shared_windows(contexts: DataFrame) -> DataFrame:
+    """(KEY, spans): starts of word runs (KEY, data, first and last document) whose window stands in two documents."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            data, n = batch.column("data").to_pylist(), batch.column("n").to_numpy()
+            row = np.repeat(np.arange(len(n)), n)
+            off = np.concatenate([np.arange(k) for k in n]) if len(n) else row
+            found = [digest(d[8 * k : 8 * (k + PASSAGE)]) for d, m in zip(data, n.tolist(), strict=True) for k in range(m)]
+            taken, rest = pa.array(row, pa.int64()), ["off", "wa", "wb"]
+            cols = [batch.column(c).take(taken) for c in [*KEY, *DOCS]]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(off, pa.int32()), *(pa.array([f[c] for f in found], pa.int64()) for c in (0, 1))], names=[*KEY, *DOCS, *rest])
+
+    rows = contexts.select(*KEY, *DOCS, "data").mapInArrow(run, f"{KEY_TYPES}, fa long, fb long, la long, lb long, off int, wa long, wb long")
+    rows = stored(rows, "word-windows")
+    ends = rows.groupBy("wa", "wb").agg(F.min(F.struct("fa", "fb")).alias("lo"), F.max(F.struct("la", "lb")).alias("hi"))
+    several = stored(ends.where("lo != hi").select("wa", "wb"), "shared-windows")
+    return rows.join(several, ["wa", "wb"]).groupBy(*KEY).agg(F.collect_list(F.struct(F.col("off").alias("u"), F.col("off").alias("v"))).alias("spans"))
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Sorted disjoint [from, to) of spans [from, to) that may overlap."""
+    out: list[list[int]] = []
+    for u, v in sorted(spans):
+        if out and u <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], v)
+        else:
+            out.append([u, v])
+    return out
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, group: int = GROUP, with_text: bool = False) -> DataFrame:
     """Remove every byte that a ``width``-byte string covers which also starts anywhere else in the corpus.
 
@@ -252,9 +341,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows shared by strings that differ elsewhere. Nothing is assembled per hot anchor but one string of each kind, and
     anchors with over ``group`` kinds are cut into finer ones.
 
-    Returns (id_col, n_bytes, n_removed, n_spans, kept_sha256) and, if asked for, ``kept`` (binary: a cut can fall into
-    a character). Strings are judged on the input, matches don't cross rows, overlaps count, repeated rows and rows with
-    one id are texts like any other. Null and empty text: 0 bytes.
+    n_shared_words counts the words (white space stripped) in passages of at least PASSAGE words that another document
+    holds as well: such a passage may have under ``width`` bytes and then stays. Its windows are found by anchors and runs
+    in the same passes; windows of runs that differ elsewhere are compared by their hashes.
+
+    Returns (id_col, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words) and, if asked for, ``kept`` (binary: a cut
+    can fall into a character). Strings are judged on the input, matches don't cross rows, overlaps count, repeated rows
+    and rows with one id are texts like any other (rows equal in id and text are one document for n_shared_words). Null
+    and empty text: 0 bytes. A table without rows gives none; other columns are ignored.
     """
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("t"), F.xxhash64(id_col, text_col).alias("ra"), F.xxhash64(F.lit(41), id_col, text_col).alias("rb"))
@@ -262,12 +356,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def found(batches):
         import pyarrow as pa
 
+        types = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
         for batch in batches:
             texts, ra, rb = (batch.column(c).to_pylist() for c in range(3))
-            out = [(ra[i], rb[i], lo, h, a, n, *digest(data)) for i, lo, h, a, n, data in runs(texts, width)]
-            if out:
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in RUN.split(", ")])
+            for word, some in ((False, runs(texts, width)), (True, word_runs(texts))):
+                while out := [(ra[i], rb[i], word, lo, h, a, n, *digest(data)) for i, lo, h, a, n, data in islice(some, 100_000)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in RUN.split(", ")])
 
     def packed(batches):
         import pyarrow as pa
@@ -276,36 +370,43 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             z = pa.array([zlib.compress(t, 1) for t in batch.column(0).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([z, batch.column(1), batch.column(2), batch.column(3)], names=["z", "ra", "rb", "id"])
 
-    every = rows.where(F.octet_length("t") >= width).select("t", "ra", "rb").mapInArrow(found, RUN)
+    every = stored(rows.where(F.octet_length("t") >= min(width, 2 * PASSAGE - 1)).select("t", "ra", "rb").mapInArrow(found, RUN), "all-runs")
     z = rows.select("t", "ra", "rb", "id").mapInArrow(packed, f"z binary, ra long, rb long, id {kind}")
-    key = ["h", "a", "n", "ca", "cb"]
     twice = stored(every.select("h").groupBy("h").count().where("count > 1").select("h"), "anchors")
     again = stored(every.join(twice, "h"), "runs")
-    kinds = stored(again.groupBy(*key).agg(F.count("*").alias("m"), F.min(F.struct("ra", "rb", "lo")).alias("one")), "kinds")
-    mixed = stored(kinds.groupBy("h").agg(F.count("*").alias("k"), F.min("m").alias("least")).where("k > 1 and least = 1").select("h"), "mixed")
-    wanted = kinds.join(mixed, "h").groupBy(F.col("one.ra").alias("ra"), F.col("one.rb").alias("rb")).agg(F.collect_list(F.struct(*key, F.col("one.lo").alias("lo"))).alias("want"))
+    kinds = again.groupBy(*KEY).agg(F.count("*").alias("m"), F.min(F.struct("ra", "rb", "lo")).alias("one"), F.max(F.struct("ra", "rb")).alias("last"))
+    # a byte run repeats if it occurs twice, a word run if it occurs in two documents
+    repeats = F.when(F.col("w"), (F.col("one.ra") != F.col("last.ra")) | (F.col("one.rb") != F.col("last.rb"))).otherwise(F.col("m") > 1)
+    kinds = stored(kinds.withColumn("settled", repeats), "kinds")
+    mixed = stored(kinds.groupBy("h").agg(F.count("*").alias("k"), F.min("settled").alias("all")).where("k > 1 and not all").select("h"), "mixed")
+    wanted = kinds.join(mixed, "h").groupBy(F.col("one.ra").alias("ra"), F.col("one.rb").alias("rb")).agg(F.collect_list(F.struct(*KEY, F.col("one.lo").alias("lo"), F.col("last.ra").alias("la"), F.col("last.rb").alias("lb"))).alias("want"))
 
     def context(batches):
         import pyarrow as pa
 
+        types = (pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
             for i in range(batch.num_rows):
                 text = zlib.decompress(batch.column(0)[i].as_py())
                 want = batch.column(1)[i].as_py()
-                cols = [pa.array([w[c] for w in want], t) for c, t in zip(key, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
-                data = pa.array([text[w["lo"] : w["lo"] + w["n"] - 1 + width] for w in want], pa.binary())
-                yield pa.RecordBatch.from_arrays([*cols, data], names=[*key, "data"])
+                hashes = word_hashes(text)[1].tobytes() if any(w["w"] for w in want) else b""
+                cols = [pa.array([w[c] for w in want], t) for c, t in zip([*KEY, "la", "lb"], types, strict=True)]
+                data = [hashes[8 * w["lo"] : 8 * (w["lo"] + w["n"] - 1 + PASSAGE)] if w["w"] else text[w["lo"] : w["lo"] + w["n"] - 1 + width] for w in want]
+                first = [pa.array([batch.column(c)[i].as_py()] * len(want), pa.int64()) for c in (2, 3)]
+                yield pa.RecordBatch.from_arrays([*cols, *first, pa.array(data, pa.binary())], names=[*KEY, "la", "lb", "fa", "fb", "data"])
 
-    contexts = z.join(wanted, ["ra", "rb"]).select("z", "want").mapInArrow(context, "h long, a int, n int, ca long, cb long, data binary")
+    contexts = z.join(wanted, ["ra", "rb"]).select("z", "want", "ra", "rb").mapInArrow(context, f"{KEY_TYPES}, la long, lb long, fa long, fb long, data binary")
     contexts = stored(contexts, "contexts")
-    spans = resolve(contexts, width, group).unionByName(kinds.where("m > 1").select(*key, F.expr("array(named_struct('u', 0, 'v', n - 1))").alias("spans")))
+    settled = kinds.where("settled").select(*KEY, F.expr("array(named_struct('u', 0, 'v', n - 1))").alias("spans"))
+    in_bytes = resolve(contexts.where("not w").select(*KEY[1:], "data"), width, group).withColumn("w", F.lit(False)).select(*KEY, "spans")
+    spans = settled.unionByName(in_bytes).unionByName(_shared_windows(contexts.where("w")))
     covers = (
-        again.join(stored(spans, "spans"), key)
-        .select("ra", "rb", F.expr("transform(spans, x -> named_struct('u', lo + x.u, 'v', lo + x.v))").alias("s"))
+        again.join(stored(spans, "spans"), KEY)
+        .select("ra", "rb", F.expr("transform(spans, x -> named_struct('w', w, 'u', lo + x.u, 'v', lo + x.v))").alias("s"))
         .groupBy("ra", "rb")
         .agg(F.flatten(F.collect_set("s")).alias("cover"))
     )
-    schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
+    schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long" + (", kept binary" if with_text else "")
 
     def cut(batches):
         import pyarrow as pa
@@ -313,22 +414,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             out = []
             for packed_text, cover in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                text = zlib.decompress(packed_text)
-                kept, at, removed, n = [], 0, 0, 0
-                end = -1
-                for u, v in sorted((c["u"], c["v"] + width) for c in cover or ()):
-                    if u > end:
-                        kept.append(text[at:u])
-                        n += 1
-                        removed += v - u
-                        at = end = v
-                    elif v > end:
-                        removed += v - end
-                        at = end = v
+                text, cover = zlib.decompress(packed_text), cover or ()
+                kept, at, removed = [], 0, 0
+                spans = _merged([(c["u"], c["v"] + width) for c in cover if not c["w"]])
+                for u, v in spans:
+                    kept.append(text[at:u])
+                    removed += v - u
+                    at = v
                 kept = b"".join([*kept, text[at:]])
-                out.append((len(text), removed, n, hashlib.sha256(kept).hexdigest(), kept))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())[: 5 if with_text else 4]
+                words = sum(v - u for u, v in _merged([(c["u"], c["v"] + PASSAGE) for c in cover if c["w"]]))
+                out.append((len(text), removed, len(spans), hashlib.sha256(kept).hexdigest(), words, kept))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())[: 6 if with_text else 5]
             cols = [pa.array([r[c] for r in out], t) for c, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(cols) + 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words", "kept"][: len(cols) + 1])
 
     return z.join(covers, ["ra", "rb"], "left").select("id", "z", "cover").mapInArrow(cut, schema)

@@ -409,6 +409,26 @@ def test_repeats_match_brute_force(spark, group):
         assert x.n_spans == len([s for s in bytes(gone).split(b"\0") if s])
 
 
+def test_shared_passages_match_brute_force(spark):
+    r = random.Random(14)
+    size = repeats.PASSAGE
+    passages = [sentence(r, size + k).split(" ") for k in (0, 3, 20, 90)] + [("x " * (size + 5)).split()]
+    texts = []
+    for _ in range(60):
+        p = r.choice(passages)
+        lo, hi = r.randrange(0, 8), len(p) - r.randrange(0, 8)
+        texts.append(r.choice([" ", "\n", "\t \x0b"]).join([*sentence(r, r.randrange(1, 40)).split(" "), *p[lo:hi], *sentence(r, r.randrange(1, 40)).split(" ")]))
+    texts += [None, "", " ", sentence(r, 30), " ".join(sentence(r, size).split(" ") * 2), texts[0], "é" * 5000, "  " + " ".join(passages[3])]
+    words = [re.findall("[^\x20\x09-\x0d]+", t or "") for t in texts]
+    held = defaultdict(set)
+    for i, w in enumerate(words):
+        for k in range(len(w) - size + 1):
+            held[tuple(w[k : k + size])].add(i)
+    for x in repeats.remove_repeats(docs_of(spark, texts)).collect():
+        w = words[x.doc_id]
+        assert x.n_shared_words == len({j for k in range(len(w) - size + 1) if len(held[tuple(w[k : k + size])]) > 1 for j in range(k, k + size)}), x.doc_id
+
+
 # all operators on empty tables, and the pipeline
 
 
