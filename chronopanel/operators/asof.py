@@ -29,6 +29,8 @@ def asof_join(
     inner drops them, semi drops them and the right columns. A matched row is carried with its nulls.
     """
     by = list(by)
+    if not by:
+        return _asof_calendar(left, right, left_on, right_on, strict, forward, tolerance_days, ties, how)
     payload = [c for c in right.columns if c not in by]
     keys = [f"__k{i}" for i in range(len(by))]
     tie_type = "struct<" + ",".join(f"o{i}:{dict(right.dtypes)[c]}" for i, c in enumerate(ties)) + ">"
@@ -68,6 +70,22 @@ def asof_join(
     return out.select(*left.columns, *[F.col(f"__m.{c}").alias(c) for c in new])
 
 
+def _asof_calendar(left, right, left_on, right_on, strict, forward, tolerance_days, ties, how) -> DataFrame:
+    """An as-of join without a key: the distinct times of both sides, a calendar, are matched in one sorted pass, and the
+    rows of left are joined to that map. Of equal times on the right the one with the largest ties stands."""
+    payload = [c for c in right.columns if c != right_on]
+    held = F.struct(*payload) if payload else F.struct(F.lit(0).alias("__none"))
+    best = F.max_by(held, F.struct(*ties)) if ties else F.first(held)
+    facts = right.where(F.col(right_on).isNotNull()).groupBy(F.col(right_on).alias("__at")).agg(best.alias("__held")).withColumn("__k", F.lit(0))
+    times = left.where(F.col(left_on).isNotNull()).select(F.col(left_on).alias("__t")).distinct().withColumn("__k", F.lit(0))
+    found = asof_join(times, facts, "__t", "__at", by=["__k"], strict=strict, forward=forward, tolerance_days=tolerance_days, how="inner").drop("__k")
+    out = left.join(found, F.col(left_on) == F.col("__t"), {"left": "left", "inner": "inner", "semi": "left_semi"}[how])
+    if how == "semi":
+        return out
+    new = [c for c in right.columns if c not in left.columns]
+    return out.select(*[left[c] for c in left.columns], *[F.col("__at").alias(c) if c == right_on else F.col(f"__held.{c}").alias(c) for c in new])
+
+
 def as_of_dates(dates: DataFrame, snapshots: DataFrame, date: str = "date", snapshot: str = "snap") -> DataFrame:
     """(date, snap): the latest snapshot at or before each date, by one sorted pass over both short lists of dates."""
     left = dates.select(date).distinct()

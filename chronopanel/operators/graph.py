@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
 
 def node_table(edges: DataFrame) -> DataFrame:
     """(id, degree, lanes) of the ends of edges (a, b, type)."""
@@ -20,31 +19,19 @@ def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends, "id", "left_anti")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder that the cluster names, and read back."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root): every end of edges (a, b) with the smallest node of its component.
 
     Labels take the least label of their neighbours and then of their label's label, so paths halve each round. Minima
     are combined before the exchange; each round is written out, and stops when no label moves.
     """
-    both = _cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
+    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "graph")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "graph")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("r"))
         step = labels.join(near, labels["node"] == near["a"], "left").select("node", "root", F.least("root", F.coalesce("r", "root")).alias("next"))
         up = labels.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
-        step = _cut(step.join(up, F.col("next") == F.col("__n"), "left").select("node", F.least("next", F.coalesce("__r", "next")).alias("next"), "root"))
+        step = stored(step.join(up, F.col("next") == F.col("__n"), "left").select("node", F.least("next", F.coalesce("__r", "next")).alias("next"), "root"), "graph")
         moved = not step.where("next != root").isEmpty()
         labels = step.select("node", F.col("next").alias("root"))
         if not moved:

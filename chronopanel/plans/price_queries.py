@@ -52,7 +52,8 @@ def e04_reversal(spark, d):
 
 @query(f"select date, ticker, round(case when count(ret) over w >= 10 then stddev_samp(ret) over w end, 6) as vol, round(case when count(ret) over w >= 10 then stddev_samp(ret) over w * sqrt(252) end, 5) as vol_annual from rets {frame(21)}")
 def e05_volatility(spark, d):
-    return out(returns(spark, d), vol=R.volatility(21, least=10)).join(returns(spark, d).select("date", "ticker", F.round(R.volatility(21, least=10, annual=True), 5).alias("vol_annual")), ["date", "ticker"])
+    r = returns(spark, d)
+    return r.select("date", "ticker", F.round(R.volatility(21, least=10), 6).alias("vol"), F.round(R.volatility(21, least=10, annual=True), 5).alias("vol_annual"))
 
 
 @query(f"select date, ticker, round(case when count(volume) over w >= 10 then avg(volume) over w end, 6) as turnover from grid {frame(21)}")
@@ -233,10 +234,10 @@ def e31_market_state(spark, d):
     return out(with_market(spark, d), r1=back(1), r5=back(5), r21=back(21), vol=R.at_least("ret", 10, F.stddev_pop("ret"), R.last_n(21)), relative=F.col("ret") - F.col("mkt"))
 
 
-@query("select date, round(m, 6) as mkt, round(100 * exp(sum(ln(1 + coalesce(m, 0))) over (order by date)), 4) as idx from (select date, case when mkt > 0.002 then 0.002 when mkt < -0.002 then -0.002 else mkt end as m from mkt)")
+@query("select date, round(m, 6) as mkt, round(100 * exp(sum(ln(1 + coalesce(m, 0))) over (order by date)), 4) as idx from (select date, mkt as m from mkt)")
 def e32_market_index(spark, d):
     """Mean return by date and its cumulated index; dates are a calendar, so one sorted pass is enough."""
-    m = returns(spark, d).groupBy("date").agg(R.clipped(F.avg("ret"), 0.002).alias("mkt"))
+    m = returns(spark, d).groupBy("date").agg(F.avg("ret").alias("mkt"))
     w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return m.select("date", F.round("mkt", 6).alias("mkt"), F.round(100 * F.exp(F.sum(F.log(1 + F.coalesce("mkt", F.lit(0.0)))).over(w)), 4).alias("idx"))
 
@@ -276,11 +277,10 @@ def e39_month_grid(spark, d):
     return cells.groupBy("ticker").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("date", F.round(F.col("close") * 100).cast("long").alias("c")))), lambda x: F.coalesce(x["c"].cast("string"), F.lit("-"))), " ").alias("scores"), F.count("close").alias("known"))
 
 
-@query("select date, ticker, round(total / max(total) over (partition by ticker order by date) - 1, 6) as drawdown from (select date, ticker, exp(sum(ln(1 + coalesce(r, 0))) over (partition by ticker order by date)) as total from (select date, ticker, greatest(close / lag(close) over (partition by ticker order by date) - 1, -0.9) as r from prices_monthly))")
+@query("select date, ticker, round(total / max(total) over (partition by ticker order by date) - 1, 6) as drawdown from (select date, ticker, exp(sum(ln(1 + coalesce(r, 0))) over (partition by ticker order by date)) as total from (select date, ticker, close / lag(close) over (partition by ticker order by date) - 1 as r from prices_monthly))")
 def e40_drawdown(spark, d):
     w = R.by_ticker().rowsBetween(Window.unboundedPreceding, 0)
-    p = A.prices_monthly(spark, d).withColumn("r", F.greatest(R.simple_return(), F.lit(-0.9)))
-    p = p.withColumn("r", F.when(F.lag("close").over(R.by_ticker()).isNotNull(), F.col("r")))
+    p = A.prices_monthly(spark, d).withColumn("r", R.simple_return())
     p = p.withColumn("total", F.exp(F.sum(F.log(1 + F.coalesce("r", F.lit(0.0)))).over(w)))
     return out(p, drawdown=F.col("total") / F.max("total").over(w) - 1)
 

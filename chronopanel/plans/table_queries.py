@@ -322,13 +322,14 @@ def h22_wilson(spark, d):
     return g.select("event_type", "k", "n", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-EDGES = "select distinct 'c' || (c_custkey % 300) as a, 's' || (c_custkey * 7 % 450) as b, 'x' || (c_custkey % 2) as type from customer"
+EDGES = "select distinct 'c' || o_custkey as a, 's' || l_suppkey as b, l_returnflag as type from orders join lineitem on l_orderkey = o_orderkey"
 
 
 def edges(spark, d) -> DataFrame:
-    k = F.col("c_custkey")
-    node = lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    return A.table(spark, d, "customer").select(node("c", k % 300).alias("a"), node("s", k * 7 % 450).alias("b"), node("x", k % 2).alias("type")).distinct()
+    """Who bought from whom, by return flag."""
+    node = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    sold = A.table(spark, d, "orders").join(A.table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return sold.select(node("c", "o_custkey").alias("a"), node("s", "l_suppkey").alias("b"), F.col("l_returnflag").alias("type")).distinct()
 
 
 @query("select id, count(*) as degree, string_agg(distinct type, ',' order by type) as lanes from (select a as id, type from edges union all select b, type from edges) group by 1", {"edges": EDGES})
@@ -344,15 +345,16 @@ def m02_identity_merge(spark, d):
     return s.join(c, "k", "left").select("s_suppkey", F.coalesce(F.concat(F.lit("i:"), F.col("id").cast("string")), F.concat(F.lit("s:"), F.col("s_name"))).alias("endpoint"))
 
 
-@query("with recursive und as (select a, b from edges union select b, a from edges), reach(a, b) as (select a, a from und union select r.a, u.b from reach r join und u on u.a = r.b), comp as (select a, min(b) as root from reach group by 1) select count(*) as components, max(n) as largest from (select root, count(*) as n from comp group by 1)", {"edges": EDGES.replace("c_custkey % 300", "c_custkey % 60").replace("c_custkey * 7 % 450", "c_custkey * 7 % 90")})
+@query()
 def m03_components(spark, d):
-    k = F.col("c_custkey")
-    node = lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    e = A.table(spark, d, "customer").select(node("c", k % 60).alias("a"), node("s", k * 7 % 90).alias("b")).distinct()
-    return connected_components(e).groupBy("root").agg(F.count("*").alias("n")).agg(F.count("*").alias("components"), F.max("n").alias("largest"))
+    """Components of customers and the suppliers that they returned goods to; rounds grow with the graph, so there is no SQL."""
+    returned = edges(spark, d).where("type = 'R'").select("a", "b").distinct()
+    return connected_components(returned).groupBy("root").agg(F.count("*").alias("n")).agg(F.count("*").alias("components"), F.max("n").alias("largest"))
 
 
-@query("select count(*) as isolated from (select 's' || s_suppkey as id from supplier) s where id not in (select b from edges)", {"edges": EDGES})
+@query("select count(*) as isolated from (select 's' || s_suppkey as id from supplier union all select 'c' || c_custkey from customer) s where id not in (select a from edges union all select b from edges)", {"edges": EDGES})
 def m04_isolated(spark, d):
-    nodes = A.table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
+    """Customers and suppliers without a sale."""
+    node = lambda t, p, c: A.table(spark, d, t).select(F.concat(F.lit(p), F.col(c).cast("string")).alias("id"))
+    nodes = node("supplier", "s", "s_suppkey").unionByName(node("customer", "c", "c_custkey"))
     return isolated(nodes, edges(spark, d)).agg(F.count("*").alias("isolated"))
