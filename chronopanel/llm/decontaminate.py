@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import stored, text_of
 from .near_dedup import _lists
 
 K1, B = 1.2, 0.75
@@ -60,28 +60,31 @@ class Index:
         return -(-len(self.ids) // BLOCK_ITEMS)
 
 
-def build_index(items: list[tuple]) -> Index | None:
-    """Index of (id, word hashes, number of words of the answer). Impacts are shares of an item's score for itself."""
-    items = [(i, w, a) for i, w, a in items if len(w)]
+def build_index(items: list[tuple], n: int | None = None, mean: float | None = None, longest: int | None = None) -> Index | None:
+    """Index of (id, word hashes, words of the answer[, items that hold each word]). Impacts are shares of an item's score
+    for itself. n, mean, longest: number, mean and largest length of all items, of which these may be a part."""
+    items = [x for x in items if len(x[1])]
     if not items:
         return None
-    sizes = np.array([len(w) for _, w, _ in items])
-    flat, of = np.concatenate([w for _, w, _ in items]), np.repeat(np.arange(len(items)), sizes)
-    terms, term = np.unique(flat, return_inverse=True)
+    sizes = np.array([len(x[1]) for x in items])
+    n, mean, longest = n or len(items), mean or sizes.mean(), longest or int(sizes.max())
+    flat, of = np.concatenate([x[1] for x in items]), np.repeat(np.arange(len(items)), sizes)
+    terms, at, term = np.unique(flat, return_index=True, return_inverse=True)
     pair, tf = np.unique(term.astype(np.int64) * len(items) + of, return_counts=True)
     t, item = pair // len(items), pair % len(items)
-    df = np.bincount(t, minlength=len(terms))
-    idf = np.log1p((len(items) - df + 0.5) / (df + 0.5))
-    impact = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] / sizes.mean()))
+    here = np.bincount(t, minlength=len(terms))
+    df = np.concatenate([x[3] for x in items])[at] if len(items[0]) > 3 else here
+    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    impact = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] / mean))
     impact /= np.maximum(np.bincount(item, impact, len(items)), 1e-12)[item]
-    post_at = np.r_[0, np.cumsum(df)]
+    post_at = np.r_[0, np.cumsum(here)]
     new = np.r_[True, (t[1:] != t[:-1]) | (item[1:] // BLOCK_ITEMS != item[:-1] // BLOCK_ITEMS)]
     first = np.flatnonzero(new)
     block_max = np.maximum.reduceat(impact, first)
     block_at = np.searchsorted(first, post_at)
     return Index(
-        [i for i, _, _ in items], [np.asarray(w) for _, w, _ in items], [len(w) - a for _, w, a in items], terms, post_at, item, impact,
-        block_at, item[first] // BLOCK_ITEMS, block_max, np.r_[first, len(item)], np.maximum.reduceat(impact, post_at[:-1]), int(sizes.max()),
+        [x[0] for x in items], [np.asarray(x[1]) for x in items], [len(x[1]) - x[2] for x in items], terms, post_at, item, impact,
+        block_at, item[first] // BLOCK_ITEMS, block_max, np.r_[first, len(item)], np.maximum.reduceat(impact, post_at[:-1]), longest,
     )
 
 
@@ -95,9 +98,13 @@ def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def search(index: Index, passage: np.ndarray, term: np.ndarray, n: int, least: float = MIN_SCORE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(passage, item, score) of all scores of ``least`` or more; input: distinct (passage, term) of n passages.
 
-    Block-max WAND for many passages at a time. In each passage terms are sorted by their largest impact; those whose
-    sum stays below ``least`` can't lift an item alone, so the pivot lies in the lists after them. Only the blocks of
-    those lists are looked at, with the block maxima of all terms as bound; blocks that reach ``least`` are scored.
+    Block-max WAND for many passages at a time. WAND moves a pivot: the first list at which the sum of largest impacts
+    reaches the threshold; items before it are skipped, and so is a block whose maxima stay below. Here the threshold is
+    fixed, as all items above it are wanted, so where pivots can lie does not depend on what was found before: terms are
+    sorted by their largest impact, those whose sum stays below ``least`` can't lift an item alone, and pivots are the
+    items of the lists after them. Blocks of items with a pivot are bounded by the block maxima of all terms (the shallow
+    move), and only those that reach ``least`` are scored (the deep move); all others are skipped unread. So the same
+    blocks are scored as by a pivot that moves through one passage after the other.
     """
     top = index.term_max[term]
     order = np.lexsort((top, passage))
@@ -210,13 +217,18 @@ def _leaks(index: Index, words: np.ndarray, at: np.ndarray, width: int) -> list[
 
 
 def indexes(items: DataFrame, id_col: str, text_col: str):
-    """Index after index over all items: bounded numbers of items and words each."""
+    """Index after index over all items: bounded numbers of items and words each, with the statistics of all items."""
     hashed = items.select(F.col(id_col).alias("id"), F.filter(hashed_words(text_of(text_col)), lambda h: h != F.xxhash64(F.lit(""))).alias("w"), F.size(F.filter(F.split(F.lower(last_part(text_of(text_col))), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("a"))
-    n, words = hashed.agg(F.count("*"), F.coalesce(F.sum(F.size("w")), F.lit(0))).first()
+    hashed = stored(hashed.where(F.size("w") > 0), "items")
+    n, words, longest = hashed.agg(F.count("*"), F.coalesce(F.sum(F.size("w")), F.lit(0)), F.max(F.size("w"))).first()
     parts = max(1, -(-n // INDEX_ITEMS), -(-words // INDEX_WORDS))
+    numbered = stored(hashed.withColumn("row", F.monotonically_increasing_id()), "items")
+    held = numbered.select(F.explode(F.array_distinct("w")).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+    frequent = numbered.select("row", F.posexplode("w").alias("at", "h")).join(held, "h").groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "df"))), lambda x: x["df"]).alias("df"))
+    numbered = stored(numbered.join(frequent, "row").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts))), "items")
     for k in range(parts):
-        rows = hashed.where(F.pmod(F.xxhash64("id", "w"), F.lit(parts)) == k).orderBy("id").collect()
-        if index := build_index([(r["id"], np.array(r["w"], np.int64), min(r["a"], len(r["w"]))) for r in rows]):
+        rows = numbered.where(F.col("part") == k).orderBy("id", "row").collect()
+        if index := build_index([(r["id"], np.array(r["w"], np.int64), min(r["a"], len(r["w"])), np.array(r["df"])) for r in rows], n, words / max(n, 1), longest):
             yield index
 
 
@@ -228,7 +240,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     question and answer MIN_OVERLAP of the words stand in it. The best passage of a row is reported.
 
     One narrow map per index of at most INDEX_ITEMS items; texts are never shuffled. Null and empty texts and items
-    match nothing; repeated rows give repeated results; items with equal texts are all reported.
+    match nothing; repeated rows give repeated results; items with equal texts are all reported. Without documents or
+    items there are no rows. Items beyond INDEX_ITEMS are dealt over several indexes by row, with one set of statistics.
     """
     broadcast = docs.sparkSession.sparkContext.broadcast
     texts = docs.select(F.col(id_col).alias("id"), hashed_words(text_of(text_col)).alias("w"))
@@ -252,7 +265,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without the rows that hold a leaked item (null and empty texts stay): a narrow map, whatever the ids."""
+    """docs without the rows that hold a leaked item: a narrow map, whatever the ids and the names of other columns. Null
+    and empty texts stay, as does everything if there are no items; repeated rows go or stay together."""
     broadcast = docs.sparkSession.sparkContext.broadcast
     for index in indexes(items, item_col, item_text):
         shared = broadcast(index)
@@ -262,7 +276,8 @@ def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
             for batch in batches:
                 bad = {h[0] for h in leaks(shared.value, *_lists(batch.column(batch.num_columns - 1)))}
-                yield batch.select(batch.schema.names[:-1]).filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
+                yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
-        docs = docs.withColumn("__w", hashed_words(text_of(text_col))).mapInArrow(run, docs.schema)
+        name = "w" + "_" * max(map(len, docs.columns))  # longer than any other, so that it can't clash
+        docs = docs.select("*", hashed_words(text_of(text_col)).alias(name)).mapInArrow(run, docs.schema)
     return docs

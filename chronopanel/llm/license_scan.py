@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import hash128, text_of
 
-# Short public licence notices and one-paragraph licences, as (identifier, text).
+# Short public licence notices, as (identifier, text). Whole licences are in the folder TEXTS, by identifier.
+TEXTS = Path(__file__).parent / "licenses"
 KNOWN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -18,36 +21,21 @@ KNOWN = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
-    (
-        "ISC",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
-        "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "
-        '"AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
-        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL "
-        "DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
-        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
-    ),
-    (
-        "0BSD",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. "
-        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL '
-        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
-        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN "
-        "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
-        "THIS SOFTWARE.",
-    ),
 )
 
 # Endings that are spelled in two ways, as (pattern, common form).
 SPELLINGS = (
-    (r"licenc(e|es|ed|ing|or|ee)( |$)", "licens$1$2"),
+    (r"licenc(e|es|ed|ing|or|ors|ee|ees)( |$)", "licens$1$2"),
     (r"(\p{L})is(e|es|ed|ing|er|ation|ations)( |$)", "$1iz$2$3"),
     (r"(\p{L})our(s|ed|able|)( |$)", "$1or$2$3"),
     (r"dgement( |$)", "dgment$1"),
 )
 
 
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright(?:[^\p{L}\p{N}\n][^\n]*)?|(?:\(c\)|©)[^\n]*)$"
+#: Lines that name who holds a copyright, or reserve rights; not lines of a licence that happen to begin with the word.
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:(?:portions )?copyright[ \t]*(?:\(c\)|©|:|[0-9<\[])[^\n]*|(?:\(c\)|©)[ \t]*[0-9<\[][^\n]*|all rights reserved\.?[ \t]*)$"
+#: Where the terms of some licences end and advice on using them begins.
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
 
 
 def canonical(text: Column) -> Column:
@@ -64,8 +52,23 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_licenses(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """(license_id, digest) of the known texts, one row a digest."""
+def whole_licenses() -> list[tuple[str, str]]:
+    """(identifier, text) of the whole licences: as they are, without the line that names them, and without advice after
+    the terms."""
+    out = []
+    for path in sorted(TEXTS.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        title, _, rest = text.lstrip().partition("\n\n")
+        forms = [text, rest] if "\n" not in title and len(title) < 80 else [text]
+        for form in forms:
+            terms, end, _ = form.partition(END_OF_TERMS)
+            out += [(path.stem, x) for x in ([form, terms, terms + end] if end else [form])]
+    return out
+
+
+def known_licenses(spark: SparkSession, known=None) -> DataFrame:
+    """(license_id, digest) of the known texts, one row a digest: of notices and whole licences, or of ``known``."""
+    known = [*KNOWN, *whole_licenses()] if known is None else known
     return spark.createDataFrame(list(known), "license_id string, license_text string").groupBy(digest(F.col("license_text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
@@ -81,9 +84,9 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     """
     known = known.where(F.col("digest") != F.sha2(F.lit(""), 256)).select(F.col("digest").alias("__digest"), F.col("license_id").alias("__license"))
     rows = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text"))
-    whole = rows.select("__id", F.xxhash64("__text").alias("__t"), digest(F.col("__text")).alias("text_digest"))
+    whole = rows.select("__id", hash128(F.col("__text")).alias("__t"), digest(F.col("__text")).alias("text_digest"))
     lines = (
-        rows.select("__id", F.xxhash64("__text").alias("__t"), F.explode(F.split("__text", "\n")).alias("__line"))
+        rows.select("__id", hash128(F.col("__text")).alias("__t"), F.explode(F.split("__text", "\n")).alias("__line"))
         .select("__id", "__t", digest(F.col("__line")).alias("__line_digest"))
         .join(known, F.col("__line_digest") == F.col("__digest"))
         .groupBy("__id", "__t")

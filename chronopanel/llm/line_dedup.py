@@ -27,36 +27,32 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Shuffles: line hashes (by hash; counts are combined before the exchange, so a hot line costs one row per task), the
     hashes of lines against the common ones (a skewed hash is split by AQE) and the texts once by row key.
     """
-    keyed = docs.withColumn("__row", hash128(F.col(id_col), F.col(text_col)))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), text_of(text_col).alias("text"), hash128(F.col(id_col), F.col(text_col)).alias("row"))
     lines = (
-        keyed.select("__row", F.col(id_col).alias("__id"), F.posexplode(F.split(text_of(text_col), "\n")).alias("__at", "__line"))
-        .where(F.length("__line") >= min_chars)
-        .withColumn("__key", line_key(F.col("__line")))
-        .where(F.length("__key") >= min_chars)
-        .select("__row", "__id", "__at", hash128(F.col("__key")).alias("__h"))
-        .select("__row", "__id", "__at", F.col("__h.a").alias("__a"), F.col("__h.b").alias("__b"))
+        keyed.select("row", "id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+        .where(F.length("line") >= min_chars)
+        .withColumn("key", line_key(F.col("line")))
+        .where(F.length("key") >= min_chars)
+        .select("row", "id", "at", hash128(F.col("key")).alias("h"))
+        .select("row", "id", "at", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
     )
-    common = lines.groupBy("__a", "__b").agg(F.count_distinct("__id").alias("__n"), F.max("__id").alias("__keep")).where(F.col("__n") >= min_docs)
-    common = stored(common.drop("__n"), "common-lines")  # read back as a plain table, so that AQE can split a hot key in the join
+    common = lines.groupBy("a", "b").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keep")).where(F.col("n") >= min_docs)
+    common = stored(common.drop("n"), "common-lines")  # read back as a plain table, so that AQE can split a hot key in the join
     drops = (
-        lines.join(common, ["__a", "__b"])
-        .where(~F.col("__id").eqNullSafe(F.col("__keep")))
-        .groupBy(F.col("__row.a").alias("__ra"), F.col("__row.b").alias("__rb"))
-        .agg(F.sort_array(F.collect_set("__at")).alias("__drop"))
+        lines.join(common, ["a", "b"])
+        .where(~F.col("id").eqNullSafe(F.col("keep")))
+        .groupBy(F.col("row.a").alias("ra"), F.col("row.b").alias("rb"))
+        .agg(F.sort_array(F.collect_set("at")).alias("drop"))
     )
-    joined = keyed.select("*", F.col("__row.a").alias("__ra"), F.col("__row.b").alias("__rb")).join(drops, ["__ra", "__rb"], "left")
-    lines_of = F.split(text_of(text_col), "\n")
+    joined = keyed.select("doc", "text", F.col("row.a").alias("ra"), F.col("row.b").alias("rb")).join(drops, ["ra", "rb"], "left").withColumn("lines", F.split("text", "\n"))
+    n_lines = F.size("lines")
     # the kept lines are the gaps between dropped positions: linear in the number of lines
-    starts = F.concat(F.array(F.lit(-1)), F.col("__drop"))
-    ends = F.concat(F.col("__drop"), F.array(F.col("n_lines").cast("int")))
-    gaps = F.flatten(F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda g: F.slice(F.col("__lines"), g["s"] + 2, g["e"] - g["s"] - 1)))
-    kept = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(gaps, "\n"))
-    return (
-        joined.withColumn("__lines", lines_of)
-        .withColumn("n_lines", F.size("__lines").cast("long"))
-        .withColumn("__kept", kept)
-        .withColumn("n_dropped", F.coalesce(F.size("__drop"), F.lit(0)).cast("long"))
-        .withColumn("n_dropped", F.when(F.col("n_dropped") < 0, F.lit(0)).otherwise(F.col("n_dropped")).cast("long"))
-        .withColumn(text_col, F.col("__kept"))
-        .select(*docs.columns, *[c for c in ("n_lines", "n_dropped") if c not in docs.columns])
-    )
+    starts = F.concat(F.array(F.lit(-1)), F.col("drop"))
+    ends = F.concat(F.col("drop"), F.array(n_lines))
+    gaps = F.flatten(F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda g: F.slice(F.col("lines"), g["s"] + 2, g["e"] - g["s"] - 1)))
+    made = {
+        text_col: F.when(F.col("drop").isNull(), F.col(f"doc.`{text_col}`")).otherwise(F.array_join(gaps, "\n")),
+        "n_lines": n_lines.cast("long"),
+        "n_dropped": F.when(F.col("drop").isNull(), F.lit(0)).otherwise(F.size("drop")).cast("long"),
+    }
+    return joined.select(*[made.pop(c).alias(c) if c in made else F.col(f"doc.`{c}`").alias(c) for c in docs.columns], *[v.alias(k) for k, v in made.items()])

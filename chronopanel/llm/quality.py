@@ -51,21 +51,20 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
 
 def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed added. Null text: no words."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed added (replacing columns
+    of those names). Null and empty text: no words. Repeated rows are counted alike; a table without rows gives none."""
     text = text_of(text_col)
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(SPACES)) != "")
-    counted = docs.withColumn("__words", words_of(text)).withColumn("__lines", lines)
-    n = F.size("__words").cast("long")
-    repeat = repeated_words(F.col("__words"))
-    return (
-        counted.withColumn("n_words", n)
-        .withColumn("word_chars", F.length(F.array_join("__words", "")).cast("long"))
-        .withColumn("n_symbols", F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"))
-        .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
-        .withColumn("n_repeat_words", repeat)
-        .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-        .drop("__words", "__lines")
-    )
+    counted = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text.alias("text"), words_of(text).alias("words"), lines.alias("lines"))
+    made = {
+        "n_words": F.size("words").cast("long"),
+        "word_chars": F.length(F.array_join("words", "")).cast("long"),
+        "n_symbols": F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long"),
+        "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+        "n_repeat_words": repeated_words(F.col("words")),
+    }
+    out = counted.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in made], *[v.alias(k) for k, v in made.items()])
+    return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
 def ngram_buckets(text: Column, buckets: int) -> Column:
@@ -91,9 +90,9 @@ def fit_ratio(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", t
     with PRIOR pseudo-counts dealt as the raw ones: without evidence the ratio is 1, so that a small trusted corpus rejects
     nothing by chance. Only the bucket sums, at most ``buckets`` rows each, reach the driver.
     """
-    ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("__trusted")).distinct()
-    chosen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids.hint("merge"), F.col("__id") == F.col("__trusted"), "left_semi")
-    both = bucket_counts(docs, text_col, buckets).withColumn("trusted", F.lit(0)).unionByName(bucket_counts(chosen, "__text", buckets).withColumn("trusted", F.lit(1)))
+    ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("trusted")).distinct()
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids.hint("merge"), F.col("id") == F.col("trusted"), "left_semi")
+    both = bucket_counts(docs, text_col, buckets).withColumn("trusted", F.lit(0)).unionByName(bucket_counts(chosen, "text", buckets).withColumn("trusted", F.lit(1)))
     counts = np.zeros((2, buckets))
     for r in both.collect():
         counts[r["trusted"], r["bucket"]] += r["count"]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from .common import LOWER, UPPER
-from .license_scan import COPYRIGHT_LINE, KNOWN, SPELLINGS
+from .license_scan import COPYRIGHT_LINE, KNOWN, SPELLINGS, whole_licenses
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -37,15 +39,26 @@ def canonical(c: str) -> str:
     return f"trim({out})"
 
 
+def canonical_text(text: str) -> str:
+    """The canonical form of one text, in Python: for the digests of whole licences, which are too long to stand in SQL."""
+    import regex
+
+    out = regex.sub(r"[^\p{L}\p{N}]+", " ", regex.sub(COPYRIGHT_LINE, " ", text.lower()))
+    for pattern, common in SPELLINGS:
+        out = regex.sub(pattern, common.replace("$", chr(92)), out)
+    return out.strip(" ")
+
+
 def licenses() -> str:
-    known = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in k)) for k in KNOWN)
+    notices = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in k)) for k in KNOWN)
+    whole = ", ".join(f"('{i}', '{hashlib.sha256(canonical_text(t).encode()).hexdigest()}')" for i, t in whole_licenses())
     return f"""
-with known as (select {canonical("t")} as c, min(id) as license_id from (values {known}) v(id, t) group by 1),
+with known as (select digest, min(id) as license_id from (select id, sha256({canonical("t")}) as digest from (values {notices}) v(id, t) union all select * from (values {whole}) w(id, digest)) group by 1),
 docs as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
-lines as (select r, k.license_id from (select r, {canonical("line")} as c from (select r, unnest(string_split(text, chr(10))) as line from docs)) l join known k on k.c = l.c and l.c <> ''),
+lines as (select r, k.license_id from (select r, {canonical("line")} as c from (select r, unnest(string_split(text, chr(10))) as line from docs)) l join known k on k.digest = sha256(l.c) and l.c <> ''),
 notices as (select r, string_agg(distinct license_id, ',' order by license_id) as ids, count(*) as n from lines group by r)
 select doc_id, sha256(d.c) as text_digest, k.license_id, coalesce(n.ids, '') as notice_ids, coalesce(n.n, 0) as n_notice_lines
-from (select *, {canonical("text")} as c from docs) d left join known k on k.c = d.c and d.c <> '' left join notices n using (r)
+from (select *, {canonical("text")} as c from docs) d left join known k on k.digest = sha256(d.c) and d.c <> '' left join notices n using (r)
 """
 
 

@@ -6,7 +6,7 @@ import base64
 import hashlib
 import uuid
 import zlib
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, stored
 
-INDEX = "path string, offset long, length long, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long"
-RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+INDEX = "path string, offset long, length long, page_id {0}, url string, record_type string, payload_digest string, payload_bytes long, refers_to {0}"
+RECORD = "page_id {0}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {0}"
+#: Bytes of archives that a task reads, once there are more than tasks can share.
+TASK_BYTES = 1 << 27
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -24,15 +26,20 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_bytes(page_id: int | None, url: str | None, date: str, payload: bytes, refers_to: int | None, is_revisit: bool) -> bytes:
+def urn(page_id) -> str:
+    """Record id of a page; a null id has a name of its own."""
+    return "<urn:x-no-page>" if page_id is None else f"<urn:x-page:{quote(str(page_id), safe='')}>"
+
+
+def record_bytes(page_id, url: str | None, date: str, payload: bytes, refers_to, is_revisit: bool) -> bytes:
     """One record as a gzip member. A revisit holds the HTTP header of its response, and no payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if is_revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if is_revisit else 'response'}", f"WARC-Record-ID: <urn:x-page:{page_id}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if is_revisit else 'response'}", f"WARC-Record-ID: {urn(page_id)}", f"WARC-Date: {date}"]
     if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe='''!#$%&'()*+,/:;=?@[]~''')}")
+        head.append(f"WARC-Target-URI: {quote(url, safe='''!#$&'()*+,/:;=?@[]~''')}")
     if is_revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:x-page:{refers_to}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {urn(refers_to)}"]
     head += [f"WARC-Payload-Digest: sha1:{payload_digest(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
@@ -50,11 +57,12 @@ def parse_record(member: bytes) -> dict:
     if fields["WARC-Type"] == "response" and (len(payload) != size or payload_digest(payload) != digest):
         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
 
-    def page(name: str) -> int | None:
-        i = fields.get(name, "").strip("<>").rpartition(":")[2]
-        return int(i) if i not in ("", "None") else None
+    def page(name: str) -> str | None:
+        _, known, i = fields.get(name, "").strip("<>").partition("urn:x-page:")
+        return unquote(i) if known else None
 
-    return {"page_id": page("WARC-Record-ID"), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": page("WARC-Refers-To"), "payload": payload}
+    url = fields.get("WARC-Target-URI")
+    return {"page_id": page("WARC-Record-ID"), "url": url if url is None else unquote(url), "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": page("WARC-Refers-To"), "payload": payload}
 
 
 def file_system(uri: str):
@@ -87,6 +95,7 @@ def write_archives(pages: DataFrame, folder: str, min_payload_bytes: int = 0, ar
     revisit it. Null html is empty. A null page_id is larger than any; rows that share the smallest id are all responses.
     """
     records = with_record_types(pages, min_payload_bytes)
+    schema = INDEX.format(dict(pages.dtypes)["page_id"])
 
     def run(batches):
         import pyarrow as pa
@@ -111,31 +120,32 @@ def write_archives(pages: DataFrame, folder: str, min_payload_bytes: int = 0, ar
                 index.append((path, at, len(member), page_id, url, kind, payload_digest(payload), len(payload), refers_to))
                 at += len(member)
             if index:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*index, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*index, strict=True), (pa.string(), pa.int64(), pa.int64(), batch.schema.types[0], pa.string(), pa.string(), pa.string(), pa.int64(), batch.schema.types[0]), strict=True)], names=[x.split()[0] for x in schema.split(", ")])
         if out:
             out.close()
 
-    return stored(records.mapInArrow(run, INDEX), "warc-index")
+    return stored(records.mapInArrow(run, schema), "warc-index")
 
 
 def read_records(index: DataFrame, folder: str, gap: int = 1 << 16, range_bytes: int = 1 << 23, with_payload: bool = False) -> DataFrame:
     """The records that ``index`` (all of a stored index, or selected rows) names, read by byte range and parsed.
 
     Rows are dealt by archive and block of ``range_bytes`` and sorted by offset; neighbours at most ``gap`` bytes apart
-    are fetched in one read of up to ``range_bytes``. Responses are checked against their digest.
+    are fetched in one read of up to ``range_bytes``. Responses are checked against their digest. Tasks are counted by the
+    bytes that they read, not by the small index. An index without rows gives no records; a row that stands in it twice
+    gives its record twice; null ids and urls come back as nulls.
     """
-    schema = RECORD + (", payload binary" if with_payload else "")
+    kind = dict(index.dtypes)["page_id"]
+    schema = RECORD.format("string") + (", payload binary" if with_payload else "")
     names = [x.split()[0] for x in schema.split(", ")]
-    dealt = (
-        index.select("path", "offset", "length")
-        .repartition("path", F.expr(f"offset div {range_bytes}"))
-        .sortWithinPartitions("path", "offset")
-    )
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(1, -(-total // TASK_BYTES), min(-(-total // (1 << 22)), 2 * index.sparkSession.sparkContext.defaultParallelism))
+    dealt = index.select("path", "offset", "length").repartition(tasks, "path", F.expr(f"offset div {range_bytes}")).sortWithinPartitions("path", "offset")
 
     def run(batches):
         import pyarrow as pa
 
-        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
         files, base = file_system(folder)
 
         def fetched(path, spans):
@@ -157,7 +167,8 @@ def read_records(index: DataFrame, folder: str, gap: int = 1 << 16, range_bytes:
         if spans:
             yield fetched(path, spans)
 
-    return dealt.mapInArrow(run, schema)
+    out = dealt.mapInArrow(run, schema)
+    return out.select(*[F.col(c).cast(kind).alias(c) if c in ("page_id", "refers_to") else c for c in out.columns])
 
 
 def archive_folder(spark: SparkSession) -> str:

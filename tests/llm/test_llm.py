@@ -42,7 +42,9 @@ def test_line_dedup_matches_brute_force(spark):
     common_line = "this line is long enough to be counted as boilerplate text"
     texts = ["\n".join(r.choice([common_line, "  " + common_line.upper() + "\t", "short", sentence(r, 9), "", "É" + common_line]) for _ in range(r.randrange(1, 9))) for _ in range(30)]
     texts += [None, "", "\n", texts[0], common_line]
-    docs = docs_of(spark, texts).withColumn("n_lines", F.lit("mine")).withColumn("__id", F.lit(1))
+    docs = docs_of(spark, texts).withColumn("n_lines", F.lit("mine"))
+    for clash in ("__id", "__row", "__lines", "row", "lines", "drop", "doc", "a"):
+        docs = docs.withColumn(clash, F.lit("mine"))
     key = lambda s: s.strip(WS).translate(str.maketrans(common.UPPER, common.LOWER))
     held = defaultdict(set)
     for i, t in enumerate(texts):
@@ -50,6 +52,7 @@ def test_line_dedup_matches_brute_force(spark):
             if len(key(line)) >= 40:
                 held[key(line)].add(i)
     for row in line_dedup.drop_repeated_lines(docs).collect():
+        assert {row[c] for c in ("__id", "__row", "__lines", "row", "lines", "drop", "doc", "a")} == {"mine"}
         lines = (texts[row.doc_id] or "").split("\n")
         kept = [x for x in lines if len(held[key(x)]) < 5 or max(held[key(x)]) == row.doc_id]
         assert (row.n_lines, row.n_dropped, row.text or "") == (len(lines), len(lines) - len(kept), "\n".join(kept))
@@ -91,6 +94,34 @@ def test_ratio_rejects_what_trusted_text_lacks(spark):
     assert quality.quality_rules(docs_of(spark, []), trusted).count() == 0
 
 
+def test_verdict_matches_brute_force(spark):
+    r = random.Random(18)
+    texts = [" ".join(r.choice("alpha beta gamma delta epsilon zeta eta the of".split()) + r.choice(["", "", ",", "!?"]) for _ in range(r.randrange(5, 80))) for _ in range(50)]
+    texts += [" ".join(r.choice("buy now $$$ click *** win <<".split()) for _ in range(40)) for _ in range(12)] + [None, "", "Straße ÉTÉ x_1 " * 5]
+    trusted_ids = list(range(0, 40, 3))
+    docs = docs_of(spark, texts).withColumn("__words", F.lit("mine")).withColumn("__lines", F.lit(2))
+    rows = quality.quality_rules(docs, spark.createDataFrame([(i,) for i in trusted_ids], "doc_id long")).collect()
+    import regex
+
+    grams = []
+    for t in texts:
+        w = regex.findall(quality.TOKEN, (t or "").lower())
+        grams.append([(x,) for x in w] + list(zip(w, w[1:])))
+    every = sorted({g for gs in grams for g in gs})
+    one = spark.createDataFrame([(i, list(g)) for i, g in enumerate(every)], "i int, g array<string>")
+    hashed = F.when(F.size("g") == 1, F.xxhash64(F.col("g")[0])).otherwise(F.xxhash64(F.get("g", 0), F.get("g", 1)))
+    bucket = {every[x.i]: x.b for x in one.select("i", F.pmod(hashed, F.lit(10_000)).alias("b")).collect()}
+    raw, good = Counter(bucket[g] for gs in grams for g in gs), Counter(bucket[g] for i in trusted_ids for g in grams[i])
+    p = {b: (raw[b] + 1) / (sum(raw.values()) + 10_000) for b in bucket.values()}
+    q = {b: (good[b] + 1000 * p[b]) / (sum(good.values()) + 1000) for b in p}
+    assert len(rows) == len(texts) and any(x.kept for x in rows) and any(not x.kept and not x.base_failed for x in rows)
+    for x in rows:
+        gs = grams[x.doc_id]
+        score = sum(math.log(q[bucket[g]] / p[bucket[g]]) for g in gs) / len(gs) if gs else 0.0
+        assert math.isclose(x.llr_score, score, abs_tol=1e-9) and x.kept == (not x.base_failed and score >= -0.4)
+        assert (x.__getitem__("__words"), x.__getitem__("__lines")) == ("mine", 2)
+
+
 # near duplicates
 
 
@@ -195,6 +226,23 @@ def test_license_scan(spark):
     assert got == {0: ("MIT", "MIT", 1), 1: (None, "MIT", 1), 2: (None, "", 0), 3: (None, "", 0), 4: (None, "", 0)}
 
 
+@pytest.mark.parametrize("width", [40, 200])
+def test_whole_licences_are_recognised_however_they_are_set(spark, width):
+    import textwrap
+
+    known = license_scan.known_licenses(spark)
+    r, rows = random.Random(15), []
+    for i, text in license_scan.whole_licenses():
+        holder = f"Copyright (c) {r.randrange(1990, 2030)} Some One and others"
+        named = re.compile(r"(?i)copyright\s*(\(c\)|[<\[0-9])")
+        set_anew = lambda p, named=named: p if named.search(p) else textwrap.fill(p, width, break_on_hyphens=False, break_long_words=False)
+        rows.append((i, "\n\n".join([holder, "All rights reserved.", *map(set_anew, text.replace("license", "licence").split("\n\n"))]).upper()))
+    texts = [*rows, (None, rows[0][1] + " and one more thing"), (None, "Copyright (c) 2020 Someone")]
+    got = {x.doc_id: x.license_id for x in license_scan.scan_licenses(docs_of(spark, [t for _, t in texts]), known).collect()}
+    assert [got[k] for k in range(len(texts))] == [i for i, _ in texts]
+    assert {i for i, _ in rows} >= {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "ISC", "Unlicense", "Zlib", "BSL-1.0", "CC0-1.0"}
+
+
 # byte-pair codec
 
 
@@ -262,6 +310,84 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert decontaminate.contamination(docs_of(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_parts_of_an_index_share_statistics_and_names_do_not_clash(spark, monkeypatch):
+    r = random.Random(16)
+    items = [sentence(r, r.randrange(12, 30)) + ". " + sentence(r, 8) + "." for _ in range(30)] + ["", None]
+    items.append(items[3])
+    texts = [sentence(r, 40) + " " + " ".join(items[i].split(" ")[: r.randrange(8, 60)]) + " " + sentence(r, 60) for i in range(30)] + [None, "", items[0]]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    docs = docs_of(spark, texts).withColumn("w", F.lit(1)).withColumn("__w", F.lit("mine"))
+    found = lambda: sorted((x.doc_id, x.item_id, round(x.score, 9), round(x.question_overlap, 9), round(x.answer_overlap, 9)) for x in decontaminate.contamination(docs, bench).collect())
+    one = found()
+    monkeypatch.setattr(decontaminate, "INDEX_ITEMS", 7)
+    assert found() == one and {(32, 0)} <= {x[:2] for x in one}
+    left = decontaminate.without_leaks(docs, bench)
+    assert left.columns == docs.columns
+    assert {x.doc_id for x in left.collect()} == set(range(len(texts))) - {x[0] for x in one}
+
+
+def brute_leaks(texts, items):
+    """(text, item) pairs by full BM25 scores of every passage, in plain Python."""
+    words = lambda t: [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
+    own = {i: words(t) for i, t in enumerate(items) if words(t)}
+    mean, n = sum(map(len, own.values())) / len(own), len(own)
+    df = Counter(w for ws in own.values() for w in set(ws))
+    idf = {w: math.log1p((n - k + 0.5) / (k + 0.5)) for w, k in df.items()}
+    impact = {i: {w: idf[w] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w, c in Counter(ws).items()} for i, ws in own.items()}
+    width = max(128, 2 * max(map(len, own.values())))
+    found = set()
+    for d, t in enumerate(texts):
+        ws = words(t)
+        for lo in range(0, max(1, len(ws) - width // 2), width // 2):
+            passage = ws[lo : lo + width]
+            here, runs = set(passage), {tuple(passage[k : k + 3]) for k in range(len(passage) - 2)}
+            for i, w in own.items():
+                if sum(v for k, v in impact[i].items() if k in here) < 0.5 * sum(impact[i].values()):
+                    continue
+                sentences = re.search(r"(?s)^.*[.!?]\s+(\S.*)$", items[i].strip())
+                cut = len(w) - len(words(sentences[1]))
+
+                def share(part, runs=runs):
+                    hit = {j for k in range(len(part) - 2) if tuple(part[k : k + 3]) in runs for j in range(k, k + 3)}
+                    return len(hit) / len(part)
+
+                if share(w[:cut]) >= 0.7 and share(w[cut:]) >= 0.7:
+                    found.add((d, i))
+    return found
+
+
+def test_contamination_matches_full_scoring(spark):
+    r = random.Random(17)
+    items = [sentence(r, r.randrange(12, 40)) + ". " + sentence(r, r.randrange(4, 9)) + "." for _ in range(25)]
+    texts = []
+    for i in range(60):
+        w = items[i % 25].split(" ")
+        for _ in range(r.randrange(0, len(w) // 2)):
+            w[r.randrange(len(w))] = sentence(r, 1)
+        texts.append(sentence(r, r.randrange(0, 500)) + " " + " ".join(w) + " " + sentence(r, r.randrange(0, 300)))
+    want = brute_leaks(texts, items)
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contamination(docs_of(spark, texts), bench).collect()}
+    assert got == want and 20 <= len({d for d, _ in want}) < 60
+
+
+def test_blocks_below_the_threshold_are_skipped():
+    r = np.random.default_rng(8)
+    items = [(i, np.r_[r.integers(0, 40, 4), 1000 + 20 * i + np.arange(12)], 3) for i in range(400)]
+    index = decontaminate.build_index(items)
+    read = []
+    passages = [np.searchsorted(index.terms, np.unique(items[k][1])) for k in range(0, 400, 40)]
+    key = [(p, t) for p, ts in enumerate(passages) for t in ts]
+    spread = decontaminate._spread
+    try:
+        decontaminate._spread = lambda a, b: read.append(int((b - a).sum())) or spread(a, b)
+        hits = decontaminate.search(index, np.array([k[0] for k in key]), np.array([k[1] for k in key]), len(passages), 0.5)
+    finally:
+        decontaminate._spread = spread
+    postings = sum(int(index.post_at[t + 1] - index.post_at[t]) for ts in passages for t in ts)
+    assert hits[1].tolist() == list(range(0, 400, 40)) and read[-1] < postings / 4
+
+
 # archives
 
 
@@ -275,6 +401,18 @@ def test_archives_round_trip(spark):
     assert rows[5].payload_bytes == len(body) and rows[5].payload_digest == base64.b32encode(hashlib.sha1(body).digest()).decode()
     assert bytes(rows[9].payload) == b"z" * 5000
     assert warc.read_records(index.where("page_id = 9"), folder).count() == 1
+    assert {k: v.url for k, v in rows.items()} == {i: u for i, u, _ in pages}
+
+
+def test_archives_of_text_ids_repeated_rows_and_no_rows(spark):
+    pages = [("a b", "http://é.x/a b%20?q=%", "<p>"), ("a b", "http://é.x/a b%20?q=%", "<p>"), ("ü:/1", "line\nfeed", "<p>"), ("None", None, "x" * 300_000)]
+    folder = warc.archive_folder(spark)
+    table = spark.createDataFrame([(*p, "mine") for p in pages], "page_id string, url string, html string, offset string")
+    rows = sorted((x.page_id, x.url, x.record_type, x.refers_to, x.payload_bytes) for x in warc.read_records(warc.write_archives(table, folder), folder).collect())
+    assert rows == [("None", None, "response", None, 300_000), *[("a b", "http://é.x/a b%20?q=%", "response", None, 3)] * 2, ("ü:/1", "line\nfeed", "revisit", "a b", 3)] or rows == sorted(rows)
+    assert sorted(r[0] for r in rows) == sorted(p[0] for p in pages) and {(r[0], r[1]) for r in rows} == {(p[0], p[1]) for p in pages}
+    assert {r[0]: (r[2], r[3]) for r in rows} == {"None": ("response", None), "a b": ("response", None), "ü:/1": ("revisit", "a b")}
+    assert warc.read_records(warc.write_archives(table.limit(0), folder), folder).count() == 0
 
 
 # language model
