@@ -16,11 +16,11 @@ from .grouping_sort import suffix_array
 #: Bytes that make a repeat; bytes of an anchor; bytes of a block, which divides WIDTH.
 WIDTH, ANCHOR, STEP = 400, 32, 40
 #: Words that make a shared passage, and words of its anchor. Both anchors' lengths are powers of two.
-PASSAGE, GRAM = 50, 16
+PASSAGE, GRAM = 50, 8
 #: Bytes handled at a time in a task, and symbols of one suffix array.
 CHUNK, SYMBOLS = 1 << 22, 200_000
 #: Different strings of one anchor that a task may hold; anchors with more are cut into finer keys first.
-GROUP = 1_000
+GROUP = 20_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 RUN = "ra long, rb long, w boolean, lo int, h long, a int, n int, ca long, cb long"
 KEY = ["w", "h", "a", "n", "ca", "cb"]
@@ -318,7 +318,10 @@ def _shared_windows(contexts: DataFrame) -> DataFrame:
     rows = stored(rows, "word-windows")
     ends = rows.groupBy("wa", "wb").agg(F.min(F.struct("fa", "fb")).alias("lo"), F.max(F.struct("la", "lb")).alias("hi"))
     several = stored(ends.where("lo != hi").select("wa", "wb"), "shared-windows")
-    return rows.join(several, ["wa", "wb"]).groupBy(*KEY).agg(F.collect_list(F.struct(F.col("off").alias("u"), F.col("off").alias("v"))).alias("spans"))
+    held = rows.join(several, ["wa", "wb"]).groupBy(*KEY).agg(F.sort_array(F.collect_list("off")).alias("o"))
+    # from single starts to runs of starts: one row of a context has at most as many as its anchor has windows
+    first, last = F.expr("filter(o, (x, i) -> i = 0 or o[i - 1] < x - 1)"), F.expr("filter(o, (x, i) -> i = size(o) - 1 or o[i + 1] > x + 1)")
+    return held.select(*KEY, F.zip_with(first, last, lambda u, v: F.struct(u.alias("u"), v.alias("v"))).alias("spans"))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
