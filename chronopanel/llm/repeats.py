@@ -17,8 +17,9 @@ from .grouping_sort import suffix_array
 WIDTH, ANCHOR, STEP = 400, 32, 40
 #: Words that make a shared passage, and words of its anchor. Both anchors' lengths are powers of two.
 PASSAGE, GRAM = 50, 8
-#: Bytes handled at a time in a task, and symbols of one suffix array.
-CHUNK, SYMBOLS = 1 << 22, 200_000
+#: Bytes handled at a time in a task (arrays stay in the cache), and symbols of one suffix array.
+CHUNK, SYMBOLS = 1 << 18, 200_000
+ROWS = 1000
 #: Different strings of one anchor that a task may hold; anchors with more are cut into finer keys first.
 GROUP = 20_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -361,17 +362,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         types = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
         for batch in batches:
-            texts, ra, rb = (batch.column(c).to_pylist() for c in range(3))
-            for word, some in ((False, runs(texts, width)), (True, word_runs(texts))):
-                while out := [(ra[i], rb[i], word, lo, h, a, n, *digest(data)) for i, lo, h, a, n, data in islice(some, 100_000)]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in RUN.split(", ")])
+            for at in range(0, batch.num_rows, ROWS):
+                texts, ra, rb = (c.to_pylist() for c in batch.slice(at, ROWS).columns)
+                for word, some in ((False, runs(texts, width)), (True, word_runs(texts))):
+                    while out := [(ra[i], rb[i], word, lo, h, a, n, *digest(data)) for i, lo, h, a, n, data in islice(some, 50_000)]:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in RUN.split(", ")])
 
     def packed(batches):
         import pyarrow as pa
 
         for batch in batches:
-            z = pa.array([zlib.compress(t, 1) for t in batch.column(0).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([z, batch.column(1), batch.column(2), batch.column(3)], names=["z", "ra", "rb", "id"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                z = pa.array([zlib.compress(t, 1) for t in part.column(0).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([z, part.column(1), part.column(2), part.column(3)], names=["z", "ra", "rb", "id"])
 
     every = stored(rows.where(F.octet_length("t") >= min(width, 2 * PASSAGE - 1)).select("t", "ra", "rb").mapInArrow(found, RUN), "all-runs")
     z = rows.select("t", "ra", "rb", "id").mapInArrow(packed, f"z binary, ra long, rb long, id {kind}")
@@ -414,7 +418,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             out = []
             for packed_text, cover in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 text, cover = zlib.decompress(packed_text), cover or ()
