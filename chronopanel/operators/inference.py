@@ -75,6 +75,64 @@ def risk_summary(df: DataFrame, series: list[str], order: str, r: str, periods:
 
 
 
+def text_hash(*cols: Column | str) -> Column:
+    """A number from 0 to 2^32 that depends on the columns as text: the same in any engine that knows md5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols])), 1, 8), 16, 10).cast("long")
+
+
+def normal_quantile(p: str) -> str:
+    """SQL text of the standard normal quantile of the expression p, by a published rational approximation (error below
+    1.2e-9); null outside (0, 1)."""
+    # Coefficients of the approximation, for the tails and for the middle.
+    a = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+    b = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572)
+    c = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+    d = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416)
+
+    def horner(ks: tuple, x: str, last: str = "") -> str:
+        text = f"cast({ks[0]} as double)"
+        for k in ks[1:]:
+            text = f"({text} * {x} + cast({k} as double))"
+        return f"({text} * {x} + 1)" if last else text
+
+    def tail(q: str) -> str:
+        x = f"sqrt(-2 * ln({q}))"
+        return f"({horner(c, x)} / {horner(d, x, 'one')})"
+
+    y = f"({p} - 0.5)"
+    mid = f"({horner(a, f'({y} * {y})')} * {y} / {horner(b, f'({y} * {y})', 'one')})"
+    return f"(case when {p} <= 0 or {p} >= 1 then null when {p} < 0.02425 then {tail(p)} when {p} > 1 - 0.02425 then -{tail(f'(1 - {p})')} else {mid} end)"
+
+
+def factor_regression(df: DataFrame, series: list[str], order: str, y: str, x1: str, x2: str) -> DataFrame:
+    """y on two factors and a constant per series, with Newey-West errors: (series, n, lag, r2, and per coefficient
+    alpha, b1, b2 its value, standard error and t).
+
+    Coefficients are closed forms of grouped moments. A coefficient is a sum of weighted residuals around its true value,
+    so its robust variance is that of one series of such terms: three series a regression go through hac().
+    """
+    known = df.where(F.col(y).isNotNull() & F.col(x1).isNotNull() & F.col(x2).isNotNull()).select(*series, order, F.col(y).alias("__y"), F.col(x1).alias("__x1"), F.col(x2).alias("__x2"))
+    m = known.groupBy(*series).agg(
+        F.count("*").alias("__n"), F.avg("__y").alias("__my"), F.avg("__x1").alias("__m1"), F.avg("__x2").alias("__m2"), F.var_pop("__x1").alias("__s11"), F.var_pop("__x2").alias("__s22"),
+        F.covar_pop("__x1", "__x2").alias("__s12"), F.covar_pop("__x1", "__y").alias("__s1y"), F.covar_pop("__x2", "__y").alias("__s2y"), F.var_pop("__y").alias("__syy"),
+    )
+    c = {k: F.col(f"__{k}") for k in ("n", "my", "m1", "m2", "s11", "s22", "s12", "s1y", "s2y", "syy")}
+    det = c["s11"] * c["s22"] - c["s12"] * c["s12"]
+    m = m.withColumn("__det", det).where((F.col("__det") > 1e-12 * c["s11"] * c["s22"]) & (c["n"] > 3))
+    m = m.withColumns({"__b1": (c["s22"] * c["s1y"] - c["s12"] * c["s2y"]) / F.col("__det"), "__b2": (c["s11"] * c["s2y"] - c["s12"] * c["s1y"]) / F.col("__det")})
+    m = m.withColumns({"__a": c["my"] - F.col("__b1") * c["m1"] - F.col("__b2") * c["m2"], "r2": (F.col("__b1") * c["s1y"] + F.col("__b2") * c["s2y"]) / c["syy"]})
+    d1, d2 = F.col("__x1") - c["m1"], F.col("__x2") - c["m2"]
+    u = F.col("__y") - F.col("__a") - F.col("__b1") * F.col("__x1") - F.col("__b2") * F.col("__x2")
+    w1, w2 = (c["s22"] * d1 - c["s12"] * d2) / F.col("__det"), (c["s11"] * d2 - c["s12"] * d1) / F.col("__det")
+    terms = {"alpha": (F.col("__a"), 1 - c["m1"] * w1 - c["m2"] * w2), "b1": (F.col("__b1"), w1), "b2": (F.col("__b2"), w2)}
+    long = known.join(m, series).select(*series, order, "r2", F.explode(F.array(*[F.struct(F.lit(k).alias("coef"), v.alias("value"), (u * w).alias("z")) for k, (v, w) in terms.items()])).alias("t")).select(*series, order, "r2", "t.*")
+    errors = hac(long, [*series, "coef"], order, "z").select(*series, "coef", "n", "lag", "se")
+    values = long.groupBy(*series, "coef").agg(F.max("value").alias("value"), F.max("r2").alias("r2")).join(errors, [*series, "coef"])
+    pick = lambda k, v: F.max(F.when(F.col("coef") == k, v))
+    per = [e for k in terms for e in (pick(k, F.col("value")).alias(k), pick(k, F.col("se")).alias(f"{k}_se"), pick(k, F.col("value") / F.col("se")).alias(f"{k}_t"))]
+    return values.groupBy(*series).agg(F.max("n").alias("n"), F.max("lag").alias("lag"), F.max("r2").alias("r2"), *per)
+
+
 def bootstrap_means(df: DataFrame, series: list[str], order: str, x: str, n_boot: int = 200, block: int = 6, seed: int = 7) -> DataFrame:
     """Moving-block bootstrap: (series, replicate, mean). Starts come from hashes, so replicates need no driver state."""
     w = Window.partitionBy(*series)
@@ -82,7 +140,7 @@ def bootstrap_means(df: DataFrame, series: list[str], order: str, x: str, n_boot
     size = rows.groupBy(*series).agg(F.max("__n").alias("__n"))
     size = size.select(*series, "__n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
     size = size.select("*", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("__n") / block) - 1).cast("int"))).alias("__b"))
-    start = F.pmod(F.xxhash64(F.lit(seed), *series, "replicate", "__b"), F.greatest(F.col("__n") - block + 1, F.lit(1)))
+    start = F.pmod(text_hash(F.lit(seed), *series, "replicate", "__b"), F.greatest(F.col("__n") - block + 1, F.lit(1)))
     draws = size.select(*series, "replicate", "__n", "__b", start.alias("__s")).select("*", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("__o"))
     draws = draws.where(F.col("__b") * block + F.col("__o") < F.col("__n")).withColumn("__i", F.least(F.col("__s") + F.col("__o"), F.col("__n") - 1))
     return draws.join(rows.drop("__n"), [*series, "__i"]).groupBy(*series, "replicate").agg(F.avg("__x").alias("mean"))

@@ -16,17 +16,20 @@ def inner_edges(x: str, n: int) -> Column:
     return F.array_distinct(F.percentile(x, F.array(*[F.lit(i / n) for i in range(1, n)])))
 
 
-def population_stability(reference: DataFrame, sample: DataFrame, x: str, n: int = 10, least: float = 1e-4) -> DataFrame:
-    """One row: the population stability index of sample against reference over reference's quantile buckets."""
-    edges = reference.agg(inner_edges(x, n).alias("edges"))
+def population_stability(reference: DataFrame, sample: DataFrame, x: str, n: int = 10, least: float = 1e-4, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """(by, psi): the population stability index of sample against reference over reference's quantile buckets. Shares
+    under ``least`` count as that."""
+    by = list(by)
+    edges = reference.groupBy(*by).agg(inner_edges(x, n).alias("edges"))
 
     def shares(df: DataFrame, name: str) -> DataFrame:
-        counted = df.crossJoin(F.broadcast(edges)).groupBy(bucket(F.col(x), F.col("edges")).alias("b")).agg(F.count("*").alias("c"))
-        return counted.select("b", (F.col("c") / F.sum("c").over(Window.partitionBy(F.lit(0)))).alias(name))  # n rows
+        with_edges = df.join(F.broadcast(edges), by) if by else df.crossJoin(F.broadcast(edges))  # a row per group
+        counted = with_edges.groupBy(*by, bucket(F.col(x), F.col("edges")).alias("b")).agg(F.count("*").alias("c"))
+        return counted.select(*by, "b", (F.col("c") / F.sum("c").over(Window.partitionBy(*by, F.lit(0)))).alias(name))  # n rows
 
-    joined = shares(reference, "p").join(shares(sample, "q"), "b", "full")
+    joined = shares(reference, "p").join(shares(sample, "q"), [*by, "b"], "full")
     p, q = (F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(least)) for c in ("p", "q"))
-    return joined.agg(F.sum((p - q) * F.log(p / q)).alias("psi"))
+    return joined.groupBy(*by).agg(F.sum((p - q) * F.log(p / q)).alias("psi"))
 
 
 def reliability(df: DataFrame, p: str, y: str, n: int = 10) -> DataFrame:
@@ -54,5 +57,7 @@ def micro_scores(df: DataFrame, gold: str, predicted: str) -> list[Column]:
 
 
 def fingerprint(df: DataFrame) -> list[Column]:
-    """Row count and an order-free hash of all rows."""
-    return [F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("hash")]
+    """Row count and an order-free hash of all rows as text (numbers with two digits): the sum of the first 32 bits of their
+    md5, so that repeated rows count."""
+    row = F.concat_ws("|", *[F.coalesce(F.format_string("%.2f", c) if t in ("double", "float") else F.col(c).cast("string"), F.lit("")) for c, t in df.dtypes])
+    return [F.count("*").alias("rows"), F.coalesce(F.sum(F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("long")), F.lit(0)).alias("hash")]

@@ -65,14 +65,25 @@ def turnover(w: int = 21, v: str = "volume", least: int | None = None) -> Column
     return at_least(v, least or w, F.avg(v), last_n(w))
 
 
-def beta(w: int, least: int, r: Column | str = "ret", m: Column | str = "mkt") -> Column:
-    """Rolling covariance over variance; both over rows where both are known."""
+def rolling_sums(df: DataFrame, w: int, key: str = "ticker", order: str = "date", **terms: Column) -> DataFrame:
+    """df with, for each name, the sum of its term (null: 0) over the last w rows of the key: the difference of two running
+    sums, so that the work is linear whatever the length of the frame."""
+    run = by_ticker(key=key, order=order)
+    total = lambda k: f"__sum_{k}"
+    sums = df.withColumns({total(k): F.sum(F.coalesce(t.cast("double"), F.lit(0.0))).over(run.rowsBetween(Window.unboundedPreceding, 0)) for k, t in terms.items()})
+    return sums.withColumns({k: F.col(total(k)) - F.coalesce(F.lag(total(k), w).over(run), F.lit(0.0)) for k in terms}).drop(*map(total, terms))
+
+
+def with_beta(df: DataFrame, name: str, w: int, least: int, r: Column | str = "ret", m: Column | str = "mkt") -> DataFrame:
+    """df with the rolling covariance of r and m over the variance of m, over rows where both are known."""
     r, m = (F.col(c) if isinstance(c, str) else c for c in (r, m))
     both = r.isNotNull() & m.isNotNull()
-    r, m = F.when(both, r), F.when(both, m)
-    frame = last_n(w)
-    var = F.var_samp(m).over(frame)
-    return F.when((F.count(m).over(frame) >= least) & (var > 1e-18), F.covar_samp(r, m).over(frame) / var)
+    terms = {"n": F.lit(1), "r": r, "m": m, "rm": r * m, "mm": m * m}
+    sums = rolling_sums(df, w, **{f"__{k}": F.when(both, t) for k, t in terms.items()})
+    n, sr, sm, rm, mm = (F.nullif(F.col("__n"), F.lit(0.0)) if k == "n" else F.col(f"__{k}") for k in terms)
+    var = mm - sm * sm / n
+    beta = F.when((n >= least) & (var > 1e-12 * mm), (rm - sr * sm / n) / var)
+    return sums.withColumn(name, beta).drop(*[f"__{k}" for k in terms])
 
 
 def illiquidity(w: int = 21, least: int = 1) -> Column:

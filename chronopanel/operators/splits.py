@@ -44,9 +44,11 @@ def chronology(tagged: DataFrame, date: str, label_end: str) -> DataFrame:
 
 
 def hash_permuted(df: DataFrame, value: str, within: list[str], order: list[str], seed: int) -> DataFrame:
-    """df with value permuted among the rows of each group: natural order joined to hash order."""
+    """df with value permuted among the rows of each group: natural order joined to the order of an md5 of the seed and the
+    order columns. Rows that agree in all of these must agree in value as well."""
     natural = Window.partitionBy(*within).orderBy(*order)
-    mixed = Window.partitionBy(*within).orderBy(F.xxhash64(F.lit(seed), *order), *order)
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in order]))
+    mixed = Window.partitionBy(*within).orderBy(key, *order)
     place = df.withColumn("__i", F.row_number().over(natural))
     other = df.select(*within, F.col(value).alias("__v"), F.row_number().over(mixed).alias("__i"))
     return place.join(other, [*within, "__i"]).drop("__i", value).withColumnRenamed("__v", value)

@@ -84,21 +84,28 @@ def d12_sector_rollup(spark, d):
     return A.table(spark, d, "documents").groupBy(sector.alias("sector")).agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 4).alias("mean"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("regions")).where("n >= 3")
 
 
-@query("select date, round(sd, 6) as sd, round(spread, 6) as spread, round(avg(sd) over (order by date rows between 11 preceding and current row), 6) as sd_12 from (select date, stddev_samp(close) as sd, quantile_cont(close, 0.9) - quantile_cont(close, 0.1) as spread from prices_monthly group by 1)")
+@query("select date, round(sd, 6) as sd, round(spread, 6) as spread, round(avg(sd) over (order by date rows between 11 preceding and current row), 6) as sd_12, case when sd > avg(sd) over (order by date rows between 11 preceding and current row) then 'high' else 'low' end as state from (select date, stddev_samp(close) as sd, quantile_cont(close, 0.9) - quantile_cont(close, 0.1) as spread from prices_monthly group by 1)")
 def d13_dispersion(spark, d):
     p = F.percentile("close", F.array(F.lit(0.1), F.lit(0.9)))
     m = A.prices_monthly(spark, d).groupBy("date").agg(F.stddev_samp("close").alias("sd"), (p[1] - p[0]).alias("spread"))
-    return m.select("date", F.round("sd", 6).alias("sd"), F.round("spread", 6).alias("spread"), F.round(F.avg("sd").over(Window.orderBy("date").rowsBetween(-11, 0)), 6).alias("sd_12"))  # months
+    year = F.avg("sd").over(Window.orderBy("date").rowsBetween(-11, 0))  # months
+    return m.select("date", F.round("sd", 6).alias("sd"), F.round("spread", 6).alias("spread"), F.round(year, 6).alias("sd_12"), F.when(F.col("sd") > year, "high").otherwise("low").alias("state"))
 
 
 FIFTHS = "select date, ticker, close, r, ntile from (select p.*, lead(close) over (partition by ticker order by date) / close - 1 as r, 0 as ntile from prices_monthly p) where r is not null"
 
 
-@query("select f.date, cast((f.close > e.q[1])::int + (f.close > e.q[2])::int + (f.close > e.q[3])::int + (f.close > e.q[4])::int as int) as bucket, count(*) as n, round(avg(r), 6) as mean_return from fwdm f join (select date, quantile_cont(close, [0.2, 0.4, 0.6, 0.8]) as q from fwdm group by 1 having count(*) >= 5) e using (date) group by 1, 2", {"fwdm": FIFTHS})
+TENTHS = "select f.date, cast(len(list_filter(e.q, lambda x: f.close > x)) as int) as bucket, count(*) as n, avg(r) as m from fwdm f join (select date, quantile_cont(close, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as q from fwdm group by 1 having count(*) >= 30) e using (date) group by 1, 2"
+
+
+@query("select date, bucket, n, round(m, 6) as mean_return, round(max(case when bucket = 9 then m end) over (partition by date) - max(case when bucket = 0 then m end) over (partition by date), 6) as top_less_bottom from tenths", {"fwdm": FIFTHS, "tenths": TENTHS})
 def d14_quantile_returns(spark, d):
+    """Mean forward return by tenth of each date with 30 names or more, and that of the top less the bottom tenth."""
     p = A.prices_monthly(spark, d).withColumn("r", R.forward_return(1)).where("r is not null")
-    edges = p.groupBy("date").agg(M.inner_edges("close", 5).alias("edges"), F.count("*").alias("k")).where("k >= 5").select("date", "edges")
-    return p.join(edges, "date").groupBy("date", M.bucket(F.col("close"), F.col("edges")).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("r"), 6).alias("mean_return"))
+    edges = p.groupBy("date").agg(M.inner_edges("close", 10).alias("edges"), F.count("*").alias("k")).where("k >= 30").select("date", "edges")
+    g = p.join(edges, "date").groupBy("date", M.bucket(F.col("close"), F.col("edges")).alias("bucket")).agg(F.count("*").alias("n"), F.avg("r").alias("m"))
+    of = lambda k: F.max(F.when(F.col("bucket") == k, F.col("m"))).over(Window.partitionBy("date"))
+    return g.select("date", "bucket", "n", F.round("m", 6).alias("mean_return"), F.round(of(9) - of(0), 6).alias("top_less_bottom"))
 
 
 @query("select date, round(avg(r) filter (k <= 5), 6) as picks, round(avg(r), 6) as everyone, avg(r) filter (k <= 5) > avg(r) as hit from (select *, row_number() over (partition by date order by close desc, ticker) as k from fwdm) group by 1", {"fwdm": FIFTHS})
@@ -118,13 +125,32 @@ def d16_population_stability(spark, d):
     return M.population_stability(p.where("date < '1999-01-01'"), p.where("date >= '1999-01-01'"), "close").select(F.round("psi", 6).alias("psi"))
 
 
-@query("select round((select avg(ic) from ic), 6) as ic_full, round((select avg(ic) from ic where month >= date '2000-01-01'), 6) as ic_recent, round((select avg((y > 0)::int) from eom), 6) as base_rate")
-def d17_drift_summary(spark, d):
-    from .inference_queries import monthly_ic
+DRIFT = {
+    "pairs": "select *, dense_rank() over (partition by region order by month desc) <= 12 as recent from (select case when right(ticker, 1) < '5' then 'a' else 'b' end as region, date as month, ticker, close / lag(close) over (partition by ticker order by date) - 1 as score, lead(close) over (partition by ticker order by date) / close - 1 as y from prices_monthly) where score is not null and y is not null",
+    "pedges": "select region, quantile_cont(score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as q from pairs where not recent group by 1",
+    "pshare": "select region, recent, b, count(*) / sum(count(*)) over (partition by region, recent) as s from (select p.region, recent, len(list_filter(q, lambda x: score > x)) as b from pairs p join pedges using (region)) group by 1, 2, 3",
+    "ppsi": "select region, sum((p - q) * ln(p / q)) as psi from (select region, b, greatest(coalesce(max(s) filter (not recent), 0), 0.0001) as p, greatest(coalesce(max(s) filter (recent), 0), 0.0001) as q from pshare group by 1, 2) group by 1",
+    "pic": "select region, recent, avg(ic) as ic from (select region, recent, month, corr(rs, ry) as ic from (select *, rank() over (partition by region, month order by score) + (count(*) over (partition by region, month, score) - 1) / 2.0 as rs, rank() over (partition by region, month order by y) + (count(*) over (partition by region, month, y) - 1) / 2.0 as ry from pairs) group by 1, 2, 3 having count(*) >= 10) where not isnan(ic) group by 1, 2",
+}
 
-    ics = monthly_ic(spark, d).agg(F.round(F.avg("ic"), 6).alias("ic_full"), F.round(F.avg(F.when(F.col("month") >= "2000-01-01", F.col("ic"))), 6).alias("ic_recent"))
-    base = labelled(spark, d).agg(F.round(F.avg((F.col("y") > 0).cast("int")), 6).alias("base_rate"))
-    return ics.crossJoin(base)  # two single rows
+
+@query("select region, count(*) filter (not recent) as n_history, count(*) filter (recent) as n_recent, round(any_value(psi), 4) as psi, case when any_value(psi) < 0.1 then 'stable' when any_value(psi) < 0.25 then 'moderate' else 'significant' end as regime, round(max(i.ic), 4) as ic_history, round(max(j.ic), 4) as ic_recent, round(avg((y > 0)::int), 4) as base_rate, round(avg((y > 0)::int) filter (recent), 4) as base_rate_recent from pairs p join ppsi using (region) left join (select region, ic from pic where not recent) i using (region) left join (select region, ic from pic where recent) j using (region) group by region", DRIFT)
+def d17_drift_summary(spark, d):
+    """Per region: drift of the scores of its last 12 months against the months before, rank IC and base rate of both."""
+    from ..operators import inference as I
+
+    side = F.when(F.substring("ticker", -1, 1) < "5", "a").otherwise("b")
+    p = A.prices_monthly(spark, d).select(side.alias("region"), F.col("date").alias("month"), R.simple_return().alias("score"), R.forward_return(1).alias("y")).where("score is not null and y is not null")
+    months = p.select("region", "month").distinct().withColumn("recent", F.dense_rank().over(Window.partitionBy("region").orderBy(F.desc("month"))) <= 12)  # a calendar
+    p = p.join(F.broadcast(months), ["region", "month"])
+    psi = M.population_stability(p.where("not recent"), p.where("recent"), "score", by=["region"])
+    ic = I.rank_ic(p, ["region", "month"], "score", "y", least=10).join(F.broadcast(months), ["region", "month"])
+    when = lambda c, v: F.avg(F.when(c, v))
+    ics = ic.groupBy("region").agg(F.round(when(~F.col("recent"), F.col("ic")), 4).alias("ic_history"), F.round(when(F.col("recent"), F.col("ic")), 4).alias("ic_recent"))
+    up = (F.col("y") > 0).cast("int")
+    g = p.groupBy("region").agg(F.count_if(~F.col("recent")).alias("n_history"), F.count_if("recent").alias("n_recent"), F.round(F.avg(up), 4).alias("base_rate"), F.round(when(F.col("recent"), up), 4).alias("base_rate_recent"))
+    regime = F.when(F.col("psi") < 0.1, "stable").when(F.col("psi") < 0.25, "moderate").otherwise("significant")
+    return g.join(psi, "region").join(ics, "region", "left").withColumns({"regime": regime, "psi": F.round("psi", 4)})
 
 
 def calibration_rows(spark, d) -> DataFrame:
@@ -163,10 +189,13 @@ def d19_micro_scores(spark, d):
     return rows.agg(*M.micro_scores(rows, "gold", "predicted"))
 
 
-@query(f"select lang, {ROUNDED} from (select lang, {SCORES}, count(predicted) / count(*) as cov from gold group by 1)", {"gold": GOLD})
+@query(f"select *, round(avg(f1) over (), 4) as macro_f1, coalesce((select string_agg(lang, ',' order by lang) from strata where f1 is null), '') as omitted from strata", {"gold": GOLD, "strata": f"select lang, {ROUNDED} from (select lang, {SCORES}, count(predicted) / count(*) as cov from gold group by 1)"})
 def d20_scores_by_stratum(spark, d):
     rows = gold_rows(spark, d)
-    return rows.groupBy("lang").agg(*M.micro_scores(rows, "gold", "predicted"))
+    strata = rows.groupBy("lang").agg(*M.micro_scores(rows, "gold", "predicted"))
+    every = Window.partitionBy(F.lit(0))  # a row per stratum
+    omitted = F.array_join(F.sort_array(F.collect_list(F.when(F.col("f1").isNull(), F.col("lang"))).over(every)), ",")
+    return strata.withColumns({"macro_f1": F.round(F.avg("f1").over(every), 4), "omitted": omitted})
 
 
 @query("select round(min(j), 6) as worst, min_by(month, j) as month, round(avg(j), 6) as mean, avg(j) >= 0.5 as agrees from (select month, count(*) filter (a is not null and b is not null) / count(*) as j from (select coalesce(m.date, p.date) as month, m.ticker as a, p.ticker as b from membership m full join (select distinct date_trunc('month', date)::date as date, ticker from prices where volume > 30) p on p.date = m.date and p.ticker = m.ticker) group by 1)")
@@ -176,21 +205,24 @@ def d21_jaccard_verdict(spark, d):
     return j.agg(F.round(F.min("j"), 6).alias("worst"), F.min_by("date", F.struct("j", "date")).alias("month"), F.round(F.avg("j"), 6).alias("mean"), (F.avg("j") >= 0.5).alias("agrees"))
 
 
-ANOM = "select ticker, 'jump' as kind, date from (select *, close / lag(close) over (partition by ticker order by date) - 1 as r from prices_monthly) where abs(r) > 0.1 union all select ticker, 'nonpositive', date from prices_monthly where close <= 0 union all select ticker, 'gap', date from (select g.*, lead(n) over (partition by ticker order by date) as nxt, lag(n) over (partition by ticker order by date) as prv from (select t.ticker, m.date, p.close as n from (select distinct ticker from prices_monthly) t cross join (select distinct date from prices_monthly) m left join prices_monthly p on p.ticker = t.ticker and p.date = m.date) g) where n is null and nxt is not null and prv is not null"
+ANOM = "select ticker, 'stale' as kind, min(date) as date, cast(count(*) as double) as detail from (select *, sum(new) over (partition by ticker order by date) as run from (select *, case when floor(close / 100) = lag(floor(close / 100)) over (partition by ticker order by date) then 0 else 1 end as new from prices_monthly)) group by ticker, run having count(*) >= 3 union all select ticker, 'jump', date, round(r, 6) from (select *, close / lag(close) over (partition by ticker order by date) - 1 as r from prices_monthly) where abs(r) > 0.1 union all select ticker, 'nonpositive', date, round(close, 6) from prices_monthly where close <= 0 union all select ticker, 'gap', date, null from (select g.*, lead(n) over (partition by ticker order by date) as nxt, lag(n) over (partition by ticker order by date) as prv from (select t.ticker, m.date, p.close as n from (select distinct ticker from prices_monthly) t cross join (select distinct date from prices_monthly) m left join prices_monthly p on p.ticker = t.ticker and p.date = m.date) g) where n is null and nxt is not null and prv is not null"
 
 
 def anomalies(spark, d) -> DataFrame:
-    """Nonpositive values, jumps over 10 % and single missing sessions between known ones."""
+    """Nonpositive values, jumps over 10 %, single missing sessions between known ones, and runs of three sessions or more
+    in the same hundred (stale), with the value, the jump or the length."""
     from ..operators.rolling import dense_grid
 
     p = A.prices_monthly(spark, d)
     w = R.by_ticker()
     g = dense_grid(p).withColumns({"r": R.simple_return(), "next": F.lead("close").over(w), "prior": F.lag("close").over(w)})
     raw = p.withColumn("r", R.simple_return())
-    jump = raw.where(F.abs("r") > 0.1).select("ticker", F.lit("jump").alias("kind"), "date")
-    low = p.where("close <= 0").select("ticker", F.lit("nonpositive").alias("kind"), "date")
-    gap = g.where("close is null and next is not null and prior is not null").select("ticker", F.lit("gap").alias("kind"), "date")
-    return jump.unionByName(low).unionByName(gap)
+    jump = raw.where(F.abs("r") > 0.1).select("ticker", F.lit("jump").alias("kind"), "date", F.round("r", 6).alias("detail"))
+    low = p.where("close <= 0").select("ticker", F.lit("nonpositive").alias("kind"), "date", F.round("close", 6).alias("detail"))
+    gap = g.where("close is null and next is not null and prior is not null").select("ticker", F.lit("gap").alias("kind"), "date", F.lit(None).cast("double").alias("detail"))
+    runs = R.run_lengths(p.withColumn("v", F.floor(F.col("close") / 100)), "v").where("length >= 3")
+    stale = runs.select("ticker", F.lit("stale").alias("kind"), F.col("first").alias("date"), F.col("length").cast("double").alias("detail"))
+    return jump.unionByName(low).unionByName(gap).unionByName(stale)
 
 
 @query("select * from anom", {"anom": ANOM})
@@ -282,15 +314,24 @@ def d33_person_rollup(spark, d):
     return A.member_trades(spark, d).groupBy("member").agg(F.array_join(F.sort_array(F.collect_set("direction")), ",").alias("roles"), F.count_distinct("ticker").alias("seats"))
 
 
-@query("select ticker, max(date) as date, round(max_by(close, date), 6) as latest, round(avg(close), 6) as mean from prices_monthly group by 1")
+@query("select ticker, date, round(latest, 6) as latest, round(z, 5) as z, round(avg(z) over (), 5) as mean_z, round(avg(abs(z)) over (), 5) as mean_abs_z from (select ticker, max(date) as date, max_by(close, date) as latest, (max_by(close, date) - avg(close)) / nullif(stddev_samp(close), 0) as z from prices_monthly group by 1)")
 def d34_market_panel(spark, d):
-    return A.prices_monthly(spark, d).groupBy("ticker").agg(F.max("date").alias("date"), F.round(F.max_by("close", "date"), 6).alias("latest"), F.round(F.avg("close"), 6).alias("mean"))
+    """Latest value of each market in deviations from its mean, and the composite of all markets."""
+    latest = F.max_by("close", "date")
+    g = A.prices_monthly(spark, d).groupBy("ticker").agg(F.max("date").alias("date"), latest.alias("latest"), ((latest - F.avg("close")) / F.nullif(F.stddev_samp("close"), F.lit(0.0))).alias("z"))
+    whole = g.agg(F.round(F.avg("z"), 5).alias("mean_z"), F.round(F.avg(F.abs("z")), 5).alias("mean_abs_z"))
+    return g.crossJoin(F.broadcast(whole)).select("ticker", "date", F.round("latest", 6).alias("latest"), F.round("z", 5).alias("z"), "mean_z", "mean_abs_z")  # one row
 
 
-@query("select word as ticker, count(*) as mentions, count(distinct doc_id) as docs from (select doc_id, unnest(string_split_regex(text, '[^A-Za-z]+')) as word from documents) where word in ('the', 'and', 'der', 'que', 'les', 'von', 'of') group by 1")
+@query("select w.word as ticker, count(*) as mentions, round(avg(mood), 6) as sentiment, round(count(*) filter (mood > 0) / nullif(count(mood) filter (mood <> 0), 0), 6) as bull_ratio, cast(sum(score) as bigint) as score from (select distinct doc_id, n_chars % 100 as score, lower(unnest(string_split_regex(text, '[^A-Za-z]+'))) as word from documents) w left join (select doc_id, avg(case when quality = 1 then 1.0 else -1.0 end) as mood from labels group by 1) l using (doc_id) where w.word in (select lower(unnest(string_split_regex(text, '[^A-Za-z]+'))) from benchmark) and length(w.word) >= 4 group by 1")
 def d35_mention_snapshot(spark, d):
-    words = A.table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "[^A-Za-z]+")).alias("ticker"))
-    return words.where(F.col("ticker").isin("the", "and", "der", "que", "les", "von", "of")).groupBy("ticker").agg(F.count("*").alias("mentions"), F.count_distinct("doc_id").alias("docs"))
+    """Words of the benchmark as tickers, posts that mention them, their mood (by label), share of bullish ones, and score."""
+    words = lambda c: F.transform(F.split(c, "[^A-Za-z]+"), lambda w: F.lower(w))
+    universe = A.table(spark, d, "benchmark").select(F.explode(words("text")).alias("ticker")).distinct().where(F.length("ticker") >= 4)
+    posts = A.table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 100).alias("score"), F.explode(F.array_distinct(words("text"))).alias("ticker")).join(universe, "ticker", "left_semi").distinct()
+    mood = A.table(spark, d, "labels").groupBy("doc_id").agg(F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(-1.0)).alias("mood"))
+    m = F.col("mood")
+    return posts.join(mood, "doc_id", "left").groupBy("ticker").agg(F.count("*").alias("mentions"), F.round(F.avg(m), 6).alias("sentiment"), F.round(F.try_divide(F.count_if(m > 0), F.count_if(m != 0)), 6).alias("bull_ratio"), F.sum("score").cast("long").alias("score"))
 
 
 @query("select ticker, n7::bigint as n7, p7::bigint as p7, round(n7 / nullif(p7, 0) - 1, 6) as velocity, round(mood, 6) as mood, case when n7 >= 2 * p7 and n7 >= 10 then 'high' when n7 > p7 then 'rising' else 'calm' end as grade from (select ticker, coalesce(sum(mentions) filter (date > date '2024-01-21' and date <= date '2024-01-28'), 0) as n7, coalesce(sum(mentions) filter (date > date '2024-01-14' and date <= date '2024-01-21'), 0) as p7, avg(sentiment) as mood from mentions group by 1 having count(*) >= 5)")
@@ -366,11 +407,19 @@ def d45_snapshot_integrity(spark, d):
     return m.agg(F.min("date").alias("first"), F.max("date").alias("last"), F.min("n").alias("fewest"), F.max("n").alias("most"), ((F.min("n") >= 15) & (F.max("n") <= 25)).alias("ok"))
 
 
-@query("select sector, max(date) as as_of, round(avg(close) filter (date = last), 6) as latest, count(distinct date) as months from (select *, max(date) over (partition by sector) as last from (select date, replace(ticker, 'S', 'N') as ticker, close from prices_monthly) join sectors using (ticker)) group by 1")
+THEMES = "select sector, date, avg(close) as m, row_number() over (partition by sector order by date desc) as k from (select date, replace(ticker, 'S', 'N') as ticker, close from prices_monthly) join sectors using (ticker) group by 1, 2"
+
+
+@query("select sector, max(date) as as_of, round(max(m) filter (k = 1), 6) as latest, count(*) as months, string_agg(cast(cast(round(m * 100) as bigint) as varchar), ' ' order by date) filter (k <= 6) as tail, min(max(date)) over () as oldest, max(max(date)) over () as newest from themes group by sector", {"themes": THEMES})
 def d46_theme_rollup(spark, d):
+    """Per theme the latest cross-section mean, a tail of six, and how far the themes' freshness spreads."""
     p = A.prices_monthly(spark, d).withColumn("ticker", F.regexp_replace("ticker", "^S", "N")).join(F.broadcast(A.sectors(spark, d)), "ticker")
-    p = p.withColumn("last", F.max("date").over(Window.partitionBy("sector")))
-    return p.groupBy("sector").agg(F.max("date").alias("as_of"), F.round(F.avg(F.when(F.col("date") == F.col("last"), F.col("close"))), 6).alias("latest"), F.count_distinct("date").alias("months"))
+    m = p.groupBy("sector", "date").agg(F.avg("close").alias("m"))
+    m = m.withColumn("k", F.row_number().over(Window.partitionBy("sector").orderBy(F.desc("date"))))
+    last = F.sort_array(F.collect_list(F.when(F.col("k") <= 6, F.struct("date", F.round(F.col("m") * 100).cast("long").alias("c")))))
+    g = m.groupBy("sector").agg(F.max("date").alias("as_of"), F.round(F.max(F.when(F.col("k") == 1, F.col("m"))), 6).alias("latest"), F.count("*").alias("months"), F.array_join(F.transform(last, lambda x: x["c"].cast("string")), " ").alias("tail"))
+    every = Window.partitionBy(F.lit(0))  # a row per theme
+    return g.withColumns({"oldest": F.min("as_of").over(every), "newest": F.max("as_of").over(every)})
 
 
 @query("select event_id, ts, json_keys.k as key, json_extract_string(props, '$.' || json_keys.k) as value from events, lateral (select unnest(json_keys(props)) as k) json_keys where event_type = 'purchase'")

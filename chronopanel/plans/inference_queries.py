@@ -61,7 +61,17 @@ def l03_diebold_mariano(spark, d):
     return h.select("ticker", "n", F.round("mean", 6).alias("mean"), F.round(F.col("t") * F.sqrt((F.col("n") - 1) / F.col("n")), 5).alias("dm"))
 
 
-@query()
+def boot_ctes(src: str, series: str, order: str, x: str) -> dict[str, str]:
+    """CTEs bx (numbered rows) and boots (sid, rep, mean): 200 replicates of blocks of 6, starts from md5."""
+    start = "('0x' || substr(md5('7|' || sid || '|' || rep || '|' || b), 1, 8))::bigint % greatest(n - 6 + 1, 1)"
+    return {
+        "bx": f"select {series} as sid, {x} as x, row_number() over (partition by {series} order by {order}) - 1 as i, count(*) over (partition by {series}) as n from {src} where {x} is not null",
+        "bs": f"select sid, n, rep, b, {start} as s from (select sid, n, rep, unnest(range(cast(ceil(n / 6) as bigint))) as b from (select distinct sid, n from bx), (select unnest(range(200)) as rep))",
+        "boots": "select d.sid, d.rep, avg(x.x) as mean from (select sid, n, rep, least(s + o, n - 1) as i from bs, (select unnest(range(6)) as o) where b * 6 + o < n) d join bx x on x.sid = d.sid and x.i = d.i group by 1, 2",
+    }
+
+
+@query("select sid as ticker, round(avg((abs(mean - m) >= abs(m))::int), 6) as p from boots join (select ticker, avg(ret) as m from retsm group by 1) on ticker = sid group by 1", {"retsm": RETS_M} | boot_ctes("retsm", "ticker", "date", "ret"))
 def l04_block_bootstrap_dm(spark, d):
     """Share of replicate means as far from the mean as the mean is from zero."""
     r = monthly_returns(spark, d)
@@ -70,7 +80,7 @@ def l04_block_bootstrap_dm(spark, d):
     return means.join(base, "ticker").groupBy("ticker").agg(F.round(F.avg((F.abs(F.col("mean") - F.col("m")) >= F.abs("m")).cast("int")), 6).alias("p"))
 
 
-@query()
+@query("select sid as ticker, round(quantile_cont(mean, 0.025), 6) as low, round(quantile_cont(mean, 0.975), 6) as high from boots group by 1", {"retsm": RETS_M} | boot_ctes("retsm", "ticker", "date", "ret"))
 def l05_bootstrap_interval(spark, d):
     means = I.bootstrap_means(monthly_returns(spark, d), ["ticker"], "date", "ret")
     q = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975)))
@@ -156,11 +166,39 @@ def l10_risk_summary(spark, d):
     return s.select("ticker", "n", *[F.round(c, 6).alias(c) for c in ("annual", "vol", "sharpe", "sortino", "drawdown", "calmar", "var95", "cvar95")])
 
 
-@query("select ticker, n, round(m / sd, 6) as sharpe, round((m3 - 3 * m * m2 + 2 * m * m * m) / pow(sp, 3) * sqrt(n * (n - 1.0)) / (n - 2), 5) as skew, round((m4 - 4 * m * m3 + 6 * m * m * m2 - 3 * m * m * m * m) / pow(sp, 4), 5) as kurtosis from (select ticker, count(ret) as n, avg(ret) as m, stddev_samp(ret) as sd, stddev_pop(ret) as sp, avg(ret * ret) as m2, avg(ret * ret * ret) as m3, avg(ret * ret * ret * ret) as m4 from retsm where ret is not null group by 1)", {"retsm": RETS_M})
+def trial_hurdles() -> dict[int, float]:
+    """Expected largest of n standard normals, for each number of trials."""
+    import math
+    from statistics import NormalDist
+
+    z, g = NormalDist().inv_cdf, 0.5772156649015329
+    return {n: 0.0 if n == 1 else (1 - g) * z(1 - 1 / n) + g * z(1 - 1 / (n * math.e)) for n in (1, 2, 5, 20)}
+
+
+def cdf_sql(x: str) -> str:
+    return f"(case when {x} >= 0 then 1 - {erf_p(x)} / 2 else {erf_p(x)} / 2 end)"
+
+
+MOMENTS = "select *, (m3 - 3 * m * m2 + 2 * m * m * m) / pow(sp, 3) * sqrt(n * (n - 1.0)) / (n - 2) as skew, (n - 1.0) / ((n - 2.0) * (n - 3)) * ((n + 1) * (m4 - 4 * m * m3 + 6 * m * m * m2 - 3 * m * m * m * m) / pow(sp, 4) - 3 * (n - 1)) + 3 as kurtosis, m / sd as sharpe from (select ticker, count(ret) as n, avg(ret) as m, stddev_samp(ret) as sd, stddev_pop(ret) as sp, avg(ret * ret) as m2, avg(ret * ret * ret) as m3, avg(ret * ret * ret * ret) as m4 from retsm where ret is not null group by 1)"
+SHARPES = "select t.*, trials, hurdle * sqrt(1.0 / (n - 1)) as expected_max, sqrt(var / (n - 1)) as se from (select *, 1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe as var from moments where n >= 4 and sd >= 1e-6) t, (values " + ", ".join(f"({n}, cast({h!r} as double))" for n, h in trial_hurdles().items()) + ") h(trials, hurdle) where var > 0"
+BONF = f"least(1, trials * (1 - {cdf_sql('(sharpe / se)')}))"
+
+
+@query(f"select ticker, n, trials, round(sharpe, 6) as sharpe, round(skew, 5) as skew, round(kurtosis, 5) as kurtosis, round(expected_max, 6) as expected_max, round({cdf_sql('((sharpe - expected_max) / se)')}, 5) as deflated, case when sharpe > 0 then round(1 + var * 2.705543454095404 / (sharpe * sharpe), 2) end as min_track, case when sharpe > 0 then round(p, 5) end as p_bonferroni, case when sharpe > 0 then round({I.normal_quantile('(1 - p)')} * se, 4) end as haircut from (select *, {BONF} as p from sharpes)", {"retsm": RETS_M, "moments": MOMENTS, "sharpes": SHARPES})
 def l11_sharpe_moments(spark, d):
-    n = F.count("ret")
-    g = monthly_returns(spark, d).where("ret is not null").groupBy("ticker").agg(n.alias("n"), (F.avg("ret") / F.stddev_samp("ret")).alias("sharpe"), (F.skewness("ret") * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"), (F.kurtosis("ret") + 3).alias("kurtosis"))
-    return g.select("ticker", "n", F.round("sharpe", 6).alias("sharpe"), F.round("skew", 5).alias("skew"), F.round("kurtosis", 5).alias("kurtosis"))
+    """Sharpe ratio with its moments; per number of trials: the largest to expect by chance, the deflated probability,
+    and for positive ones the track record needed at 95 %, and the p-value and the ratio after a Bonferroni haircut."""
+    n, s = F.col("n"), F.col("sharpe")
+    g = monthly_returns(spark, d).where("ret is not null").groupBy("ticker").agg(F.count("ret").alias("n"), (F.avg("ret") / F.stddev_samp("ret")).alias("sharpe"), F.stddev_samp("ret").alias("sd"), F.skewness("ret").alias("g1"), F.kurtosis("ret").alias("g2"))
+    g = g.where("n >= 4 and sd >= 1e-6").withColumns({"skew": F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2), "kurtosis": (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6) + 3})
+    g = g.withColumn("var", 1 - F.col("skew") * s + (F.col("kurtosis") - 1) / 4 * s * s).where("var > 0").withColumn("se", F.sqrt(F.col("var") / (n - 1)))
+    g = g.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("trials"), F.lit(h).alias("hurdle")) for k, h in trial_hurdles().items()])).alias("t")).withColumns({"trials": F.col("t.trials"), "expected_max": F.col("t.hurdle") * F.sqrt(1 / (n - 1))})
+    g = g.withColumn("p", F.least(F.lit(1.0), F.col("trials") * (1 - I.normal_cdf(s / F.col("se"))))).withColumn("z", F.expr(I.normal_quantile("(1 - p)")))
+    positive = lambda c, digits: F.when(s > 0, F.round(c, digits))
+    return g.select(
+        "ticker", "n", "trials", F.round(s, 6).alias("sharpe"), F.round("skew", 5).alias("skew"), F.round("kurtosis", 5).alias("kurtosis"), F.round("expected_max", 6).alias("expected_max"),
+        F.round(I.normal_cdf((s - F.col("expected_max")) / F.col("se")), 5).alias("deflated"), positive(1 + F.col("var") * 2.705543454095404 / (s * s), 2).alias("min_track"), positive("p", 5).alias("p_bonferroni"), positive(F.col("z") * F.col("se"), 4).alias("haircut"),
+    )
 
 
 PBO_COMBOS = "select unnest([7, 11, 13, 14, 19, 21, 22, 25, 26, 28, 35, 37, 38, 41, 42, 44, 49, 50, 52, 56]) as mask"
@@ -180,35 +218,45 @@ def l12_backtest_overfit(spark, d):
     return best.agg(F.count("*").alias("splits"), F.round(F.avg((F.col("place") / F.col("s") > 0.5).cast("int")), 6).alias("pbo"))
 
 
-@query()
+FACTORS = "select date, ticker, ret, avg(ret) over (partition by date) as mkt, dv from (select date, ticker, close / lag(close) over (partition by ticker order by date) - 1 as ret, volume / lag(volume) over (partition by ticker order by date) - 1 as dv from prices_monthly)"
+REGRESSION = {
+    "fr": f"select * from ({FACTORS}) where ret is not null and dv is not null and mkt is not null",
+    "fm": "select *, s11 * s22 - s12 * s12 as det from (select ticker, avg(ret) as my, avg(mkt) as m1, avg(dv) as m2, var_pop(mkt) as s11, var_pop(dv) as s22, covar_pop(mkt, dv) as s12, covar_pop(mkt, ret) as s1y, covar_pop(dv, ret) as s2y, var_pop(ret) as syy from fr group by 1 having count(*) > 3)",
+    "fb": "select *, my - b1 * m1 - b2 * m2 as a from (select *, (s22 * s1y - s12 * s2y) / det as b1, (s11 * s2y - s12 * s1y) / det as b2 from fm where det > 1e-12 * s11 * s22)",
+    "fw": "select ticker, date, ret - a - b1 * mkt - b2 * dv as u, (s22 * (mkt - m1) - s12 * (dv - m2)) / det as w1, (s11 * (dv - m2) - s12 * (mkt - m1)) / det as w2, m1, m2 from fr join fb using (ticker)",
+    "fz": "select ticker || ':alpha' as sid, date, u * (1 - m1 * w1 - m2 * w2) as z from fw union all select ticker || ':b1', date, u * w1 from fw union all select ticker || ':b2', date, u * w2 from fw",
+}
+
+
+@query("select b.ticker, h.n, cast(h.lag as int) as lag, round((b.b1 * b.s1y + b.b2 * b.s2y) / b.syy, 6) as r2, round(b.a, 6) as alpha, round(b.a / h.se, 4) as alpha_t, round(b.b1, 6) as market, round(b.b1 / h1.se, 4) as market_t, round(b.b2, 6) as volume, round(b.b2 / h2.se, 4) as volume_t from fb b join hl h on h.sid = b.ticker || ':alpha' join hl h1 on h1.sid = b.ticker || ':b1' join hl h2 on h2.sid = b.ticker || ':b2'", REGRESSION | hac_ctes("fz", "sid", "date", "z"))
 def l13_factor_regression(spark, d):
-    """Returns on market and volume change per ticker: normal-equation sums in Spark, a small solve per group."""
-    p = A.prices_monthly(spark, d).withColumns({"ret": R.simple_return(), "dv": R.simple_return("volume")})
-    p = p.withColumn("mkt", F.avg("ret").over(Window.partitionBy("date"))).where("ret is not null and dv is not null")
-    xs = {"c": F.lit(1.0), "m": F.col("mkt"), "v": F.col("dv")}
-    names = list(xs)
-    sums = [F.sum(xs[a] * xs[b]).alias(f"{a}{b}") for i, a in enumerate(names) for b in names[i:]] + [F.sum(xs[a] * F.col("ret")).alias(f"{a}y") for a in names]
-    g = p.groupBy("ticker").agg(F.count("*").alias("n"), *sums)
-
-    def solve(batches):
-        import numpy as np
+    """Returns on market and volume change per ticker, with Newey-West errors."""
+    p = A.prices_monthly(spark, d).withColumns({"ret": R.simple_return(), "dv": R.simple_return("volume")}).withColumn("mkt", F.avg("ret").over(Window.partitionBy("date")))
+    g = I.factor_regression(p, ["ticker"], "date", "ret", "mkt", "dv")
+    names = {"alpha": "alpha", "b1": "market", "b2": "volume"}
+    return g.select("ticker", "n", "lag", F.round("r2", 6).alias("r2"), *[e for k, v in names.items() for e in (F.round(k, 6).alias(v), F.round(f"{k}_t", 4).alias(f"{v}_t"))])
 
-        for pdf in batches:
-            xx = np.array([[pdf[min(a, b, key=names.index) + max(a, b, key=names.index)] for b in names] for a in names], float).transpose(2, 0, 1)
-            xy = np.array([pdf[f"{a}y"] for a in names], float).T
-            beta = np.array([np.linalg.lstsq(m, v, rcond=None)[0] for m, v in zip(xx, xy, strict=True)]).reshape(-1, len(names))
-            yield pdf[["ticker", "n"]].assign(alpha=beta[:, 0].round(6), market=beta[:, 1].round(6), volume=beta[:, 2].round(6))
 
-    return g.mapInPandas(solve, "ticker string, n long, alpha double, market double, volume double")
+EXPOSED = "select *, ret is not null and mkt is not null and vf is not null as ok from (select *, avg(ret) over (partition by date) as mkt, avg(dv) over (partition by date) as vf from (select date, ticker, close / lag(close) over (partition by ticker order by date) - 1 as ret, volume / lag(volume) over (partition by ticker order by date) - 1 as dv from grid))"
+EXPO_W = "select *, count(r) over w as n, var_pop(f1) over w as s11, var_pop(f2) over w as s22, covar_pop(f1, f2) over w as s12, covar_pop(f1, r) over w as s1y, covar_pop(f2, r) over w as s2y from (select date, ticker, case when ok then ret end as r, case when ok then mkt end as f1, case when ok then vf end as f2 from exposed) window w as (partition by ticker order by date rows between 251 preceding and current row)"
 
 
-@query("select date, ticker, round(case when count(m) over w >= 60 then regr_slope(r, m) over w end, 5) as exposure from (select *, case when ret is not null and mkt is not null then ret end as r, case when ret is not null and mkt is not null then mkt end as m from retm) window w as (partition by ticker order by date rows between 251 preceding and current row)")
+@query("select date, ticker, case when n >= 60 and s11 * s22 - s12 * s12 > 1e-9 * s11 * s22 then round((s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12), 5) end as market, case when n >= 60 and s11 * s22 - s12 * s12 > 1e-9 * s11 * s22 then round((s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12), 5) end as volume, case when n >= 60 then round(s1y / s11, 5) end as market_alone from expo_w where date in (select max(date) from grid group by date_trunc('month', date))", {"exposed": EXPOSED, "expo_w": EXPO_W})
 def l14_rolling_exposure(spark, d):
-    """Single-factor exposures over 252 sessions from windowed sums; no list of rows is built."""
-    both = F.col("ret").isNotNull() & F.col("mkt").isNotNull()
-    df = with_market(spark, d).withColumns({"r": F.when(both, F.col("ret")), "m": F.when(both, F.col("mkt"))})
-    w = R.last_n(252)
-    return df.select("date", "ticker", F.round(F.when(F.count("m").over(w) >= 60, F.regr_slope("r", "m").over(w)), 5).alias("exposure"))
+    """Month-end exposures to two factors together, and to the first alone, over 252 sessions: running sums of products."""
+    by_date = Window.partitionBy("date")
+    df = A.grid(spark, d).withColumns({"ret": R.simple_return(), "dv": R.simple_return("volume")}).withColumns({"mkt": F.avg("ret").over(by_date), "vf": F.avg("dv").over(by_date)})
+    ok = F.col("ret").isNotNull() & F.col("mkt").isNotNull() & F.col("vf").isNotNull()
+    y, f1, f2 = F.col("ret"), F.col("mkt"), F.col("vf")
+    terms = {"n": F.lit(1), "y": y, "x1": f1, "x2": f2, "x11": f1 * f1, "x22": f2 * f2, "x12": f1 * f2, "x1y": f1 * y, "x2y": f2 * y}
+    df = R.rolling_sums(df, 252, **{k: F.when(ok, t) for k, t in terms.items()})
+    ends = df.select("date").distinct().groupBy(F.trunc("date", "month").alias("month")).agg(F.max("date").alias("date")).select("date")
+    df = df.join(F.broadcast(ends), "date", "left_semi")  # a calendar
+    n, centered = F.col("n"), lambda ab, a, b: F.col(ab) - F.try_divide(F.col(a) * F.col(b), F.col("n"))
+    s11, s22, s12, s1y, s2y = centered("x11", "x1", "x1"), centered("x22", "x2", "x2"), centered("x12", "x1", "x2"), centered("x1y", "x1", "y"), centered("x2y", "x2", "y")
+    det = s11 * s22 - s12 * s12
+    both = (n >= 60) & (det > 1e-9 * s11 * s22)
+    return df.select("date", "ticker", F.when(both, F.round(F.try_divide(s22 * s1y - s12 * s2y, det), 5)).alias("market"), F.when(both, F.round(F.try_divide(s11 * s2y - s12 * s1y, det), 5)).alias("volume"), F.when(n >= 60, F.round(F.try_divide(s1y, s11), 5)).alias("market_alone"))
 
 
 @query("select round(regr_slope(ic, v), 9) as slope, round(regr_intercept(ic, v), 6) as intercept, round(regr_r2(ic, v), 6) as r2, count(*) as n from (select i.month, i.ic, f.value / 1000 as v from (select * from ic where ic is not null and not isnan(ic)) i asof join first_print f on i.month >= f.realtime_start)", {"first_print": "select realtime_start, max_by(value, ref_date) as value from (select ref_date, min(realtime_start) as realtime_start, min_by(value, realtime_start) as value from vintages group by ref_date) group by 1"})
@@ -218,14 +266,16 @@ def l15_conditional_ic(spark, d):
     return j.agg(F.round(F.regr_slope("ic", "v"), 9).alias("slope"), F.round(F.regr_intercept("ic", "v"), 6).alias("intercept"), F.round(F.regr_r2("ic", "v"), 6).alias("r2"), F.count("*").alias("n"))
 
 
-@query("select sid as look, n, round(mean, 6) as mean, round(mean - 1.959963984540054 / sqrt(sid / 4.0) * se, 6) as low, round(mean + 1.959963984540054 / sqrt(sid / 4.0) * se, 6) as high, mean - 1.959963984540054 / sqrt(sid / 4.0) * se > -0.2 and mean + 1.959963984540054 / sqrt(sid / 4.0) * se < 0.2 as equivalent from hl", {"iclook": "select k as look, month, ic from (select *, row_number() over (order by month) as i, count(*) over () as n from ic where ic is not null and not isnan(ic)), (select unnest([1, 2, 3, 4]) as k) where i <= ceil(n * k / 4.0)"} | hac_ctes("iclook", "look", "month", "ic"))
+@query("select sid as look, n, round(mean, 6) as mean, round(mean - 1.959963984540054 / sqrt(sid / 4.0) * se, 6) as low, round(mean + 1.959963984540054 / sqrt(sid / 4.0) * se, 6) as high, equivalent, equivalent and sid = min(case when equivalent then sid end) over () as stops from (select *, mean - 1.959963984540054 / sqrt(sid / 4.0) * se > -0.2 and mean + 1.959963984540054 / sqrt(sid / 4.0) * se < 0.2 as equivalent from hl)", {"iclook": "select k as look, month, ic from (select *, row_number() over (order by month) as i, count(*) over () as n from ic where ic is not null and not isnan(ic)), (select unnest([1, 2, 3, 4]) as k) where i <= ceil(n * k / 4.0)"} | hac_ctes("iclook", "look", "month", "ic"))
 def l16_group_sequential(spark, d):
     ics = monthly_ic(spark, d).withColumns({"i": F.row_number().over(Window.orderBy("month")), "all": F.count("*").over(Window.partitionBy(F.lit(0)))})  # months
     looks = ics.select("month", "ic", "i", "all", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("look")).where(F.col("i") <= F.ceil(F.col("all") * F.col("look") / 4))
     h = I.hac(looks, ["look"], "month", "ic")
     half = 1.959963984540054 / F.sqrt(F.col("look") / 4) * F.col("se")
     low, high = F.col("mean") - half, F.col("mean") + half
-    return h.select("look", "n", F.round("mean", 6).alias("mean"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), ((low > -0.2) & (high < 0.2)).alias("equivalent"))
+    h = h.withColumn("equivalent", (low > -0.2) & (high < 0.2))
+    stop = F.min(F.when(F.col("equivalent"), F.col("look"))).over(Window.partitionBy(F.lit(0)))  # four looks
+    return h.select("look", "n", F.round("mean", 6).alias("mean"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), "equivalent", (F.col("equivalent") & (F.col("look") == stop)).alias("stops"))
 
 
 STUDY = "with e as (select event_id, event_type, ticker, min(s.idx) as idx from study_events join sessions s on s.date >= event_date group by 1, 2, 3), r as (select ticker, idx, ret - mkt as ab from retm join sessions using (date) where ret is not null), c as (select e.event_id, e.event_type, r.idx - e.idx as off, sum(ab) over (partition by e.event_id order by r.idx) as car, count(*) over (partition by e.event_id) as n from e join r on r.ticker = e.ticker and r.idx between e.idx - 2 and e.idx + 3) select event_type, cast(off as int) as \"offset\", count(*) as n, round(avg(car), 6) as mean, round(stddev_samp(car) / sqrt(count(*)), 6) as se from c where n = 6 group by 1, 2"
@@ -240,11 +290,12 @@ def l17_event_study(spark, d):
     return out.select("event_type", "offset", "n", F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"))
 
 
-@query("select 'filing' as kind, ticker, filed as date, count(*) as n from facts group by all union all select 'study', ticker, event_date, count(*) from study_events group by all")
+@query("select 'filing' as kind, ticker, filed as date, count(*) as n from facts group by all union all select 'study', ticker, event_date, count(*) from study_events group by all union all select 'macro', 'ALL', realtime_start, count(*) from vintages group by all")
 def l18_event_frames(spark, d):
     a = A.facts(spark, d).select(F.lit("filing").alias("kind"), "ticker", F.col("filed").alias("date"))
     b = A.study_events(spark, d).select(F.lit("study").alias("kind"), "ticker", F.col("event_date").alias("date"))
-    return a.unionByName(b).groupBy("kind", "ticker", "date").agg(F.count("*").alias("n"))
+    c = A.vintages(spark, d).select(F.lit("macro").alias("kind"), F.lit("ALL").alias("ticker"), F.col("realtime_start").alias("date"))
+    return a.unionByName(b).unionByName(c).groupBy("kind", "ticker", "date").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -289,12 +340,14 @@ def l20_horizon_sweep(spark, d):
     return I.rank_ic(arms, ["h", "date"], "close", "y").groupBy("h").agg(F.count("ic").alias("months"), F.round(F.avg("ic"), 6).alias("mean_ic"))
 
 
-@query("select n, round(mean, 6) as mean, round(se, 6) as se, mean - 1.96 * se > 0 as publish from hl", {"arms": "select month, a.ic - b.ic as d from (select date as month, corr(rs, ry) as ic from (select date, rank() over (partition by date order by close) + (count(*) over (partition by date, close) - 1) / 2.0 as rs, rank() over (partition by date order by y) + (count(*) over (partition by date, y) - 1) / 2.0 as ry from (select date, close, lead(close, 1) over (partition by ticker order by date) / close - 1 as y from prices_monthly) where y is not null) group by 1 having count(*) >= 5) a join (select date as month, corr(rs, ry) as ic from (select date, rank() over (partition by date order by volume) + (count(*) over (partition by date, volume) - 1) / 2.0 as rs, rank() over (partition by date order by y) + (count(*) over (partition by date, y) - 1) / 2.0 as ry from (select date, volume, lead(close, 1) over (partition by ticker order by date) / close - 1 as y from prices_monthly) where y is not null) group by 1 having count(*) >= 5) b using (month)"} | hac_ctes("arms", "1", "month", "d"))
+@query("select n, round(mean, 6) as mean, round(se, 6) as se, mean - 1.96 * se > 0 as publish, (select round(avg((abs(b.mean - h.mean) >= abs(h.mean))::int), 6) from boots b) as p_boot from hl h", {"arms": "select month, a.ic - b.ic as d from (select date as month, corr(rs, ry) as ic from (select date, rank() over (partition by date order by close) + (count(*) over (partition by date, close) - 1) / 2.0 as rs, rank() over (partition by date order by y) + (count(*) over (partition by date, y) - 1) / 2.0 as ry from (select date, close, lead(close, 1) over (partition by ticker order by date) / close - 1 as y from prices_monthly) where y is not null) group by 1 having count(*) >= 5) a join (select date as month, corr(rs, ry) as ic from (select date, rank() over (partition by date order by volume) + (count(*) over (partition by date, volume) - 1) / 2.0 as rs, rank() over (partition by date order by y) + (count(*) over (partition by date, y) - 1) / 2.0 as ry from (select date, volume, lead(close, 1) over (partition by ticker order by date) / close - 1 as y from prices_monthly) where y is not null) group by 1 having count(*) >= 5) b using (month)"} | hac_ctes("arms", "1", "month", "d") | boot_ctes("arms", "1", "month", "d"))
 def l22_ic_differential(spark, d):
     p = A.prices_monthly(spark, d).withColumn("y", R.forward_return(1))
     a, b = (I.rank_ic(p, ["date"], c, "y").select("date", F.col("ic").alias(n)) for c, n in (("close", "a"), ("volume", "b")))
-    h = I.hac(a.join(b, "date").select("date", (F.col("a") - F.col("b")).alias("d"), F.lit(1).alias("sid")), ["sid"], "date", "d")
-    return h.select("n", F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"), (F.col("mean") - 1.96 * F.col("se") > 0).alias("publish"))
+    diff = a.join(b, "date").select("date", (F.col("a") - F.col("b")).alias("d"), F.lit(1).alias("sid"))
+    h = I.hac(diff, ["sid"], "date", "d")
+    far = I.bootstrap_means(diff, ["sid"], "date", "d").join(h.select("sid", F.col("mean").alias("m")), "sid").groupBy("sid").agg(F.round(F.avg((F.abs(F.col("mean") - F.col("m")) >= F.abs("m")).cast("int")), 6).alias("p_boot"))
+    return h.join(far, "sid").select("n", F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"), (F.col("mean") - 1.96 * F.col("se") > 0).alias("publish"), "p_boot")
 
 
 @query("select bps, round(avg(turnover * bps / 10000.0), 8) as mean_cost, round(sum(turnover * bps / 10000.0), 6) as total from turn, (select unnest([0, 5, 10, 25, 50]) as bps) group by 1", {"weights": WEIGHTS, "turn": TURN})

@@ -66,7 +66,7 @@ BETA = "select *, case when ret is not null and mkt is not null then ret end as
 
 @query(f"select date, ticker, round(case when count(m) over w >= 60 then covar_samp(r, m) over w / var_samp(m) over w end, 6) as beta from both_known {frame(252)}", {"both_known": BETA})
 def e07_beta(spark, d):
-    return out(with_market(spark, d), beta=R.beta(252, 60))
+    return out(R.with_beta(with_market(spark, d), "b", 252, 60), beta=F.col("b"))
 
 
 @query(f"select date, ticker, round(case when count(x) over w >= 1 then avg(x) over w end, 9) as illiquidity from (select *, abs(ret) / nullif(close * volume, 0) as x from rets) {frame(21)}")
@@ -133,17 +133,21 @@ DOWN = "select *, case when mkt < 0 and ret is not null then ret end as r, case
 
 @query(f"select date, ticker, round(case when count(m) over w >= 30 then covar_samp(r, m) over w / var_samp(m) over w end, 6) as downside_beta from down_days {frame(252)}", {"down_days": DOWN})
 def e17_downside_beta(spark, d):
-    return out(with_market(spark, d), downside_beta=R.beta(252, 30, down("ret"), down("mkt")))
+    return out(R.with_beta(with_market(spark, d), "b", 252, 30, down("ret"), down("mkt")), downside_beta=F.col("b"))
 
 
-def idiosyncratic(df: DataFrame, w: int = 63, least: int = 20) -> Column:
-    return R.at_least("resid", least, F.stddev_samp("resid"), R.last_n(w))
+def residuals(df: DataFrame, w: int = 63, least: int = 20) -> DataFrame:
+    """df with resid: return less market return times the beta of the same window."""
+    return R.with_beta(df, "b63", w, least).withColumn("resid", F.col("ret") - F.col("mkt") * F.col("b63"))
 
 
-@query(f"select date, ticker, round(case when count(resid) over w >= 20 then stddev_samp(resid) over w end, 6) as idio_vol from (select date, ticker, ret - mkt * (case when count(m) over w >= 60 then covar_samp(r, m) over w / var_samp(m) over w end) as resid from both_known {frame(252)}) {frame(63)}", {"both_known": BETA})
+RESID = f"select *, ret - mkt * (case when count(m) over w >= 20 then covar_samp(r, m) over w / var_samp(m) over w end) as resid from both_known {frame(63)}"
+
+
+@query(f"select date, ticker, round(case when count(resid) over w >= 20 then stddev_samp(resid) over w end, 6) as idio_vol from residual {frame(63)}", {"both_known": BETA, "residual": RESID})
 def e18_idiosyncratic_volatility(spark, d):
-    df = with_market(spark, d).withColumn("resid", F.col("ret") - F.col("mkt") * R.beta(252, 60))
-    return out(df, idio_vol=idiosyncratic(df))
+    """One window for the beta and for the deviation of its residuals."""
+    return out(residuals(with_market(spark, d)), idio_vol=R.at_least("resid", 20, F.stddev_samp("resid"), R.last_n(63)))
 
 
 SKEW = "case when n >= 30 and sd > 1e-12 then (m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1) / (sd * sd * sd) * sqrt(n * (n - 1)) / (n - 2) end"
@@ -159,10 +163,19 @@ def e20_worst_day(spark, d):
     return out(returns(spark, d), worst_day=R.at_least("ret", 20, F.min("ret"), R.last_n(63)))
 
 
-@query(f"select date, ticker, round(case when count(m) over y >= 60 then covar_samp(r, m) over y / var_samp(m) over y end, 6) as beta, round(case when count(dm) over y >= 30 then covar_samp(dr, dm) over y / var_samp(dm) over y end, 6) as downside_beta, round(case when count(ret) over q >= 20 then min(ret) over q end, 6) as worst_day from (select *, case when m < 0 then r end as dr, case when m < 0 then m end as dm from both_known) {frame(252, 'y')}, {frame(63, 'q')[7:]}", {"both_known": BETA})
+SKEW63 = SKEW.replace("n >= 30", "n >= 20")
+
+
+@query(f"select date, ticker, beta, downside_beta, idio_vol, round({SKEW63}, 4) as skew, worst_day from (select date, ticker, round(case when count(m) over y >= 60 then covar_samp(r, m) over y / var_samp(m) over y end, 6) as beta, round(case when count(dm) over y >= 30 then covar_samp(dr, dm) over y / var_samp(dm) over y end, 6) as downside_beta, round(case when count(ret) over q >= 20 then min(ret) over q end, 6) as worst_day, round(case when count(resid) over q >= 20 then stddev_samp(resid) over q end, 6) as idio_vol, count(ret) over q as n, avg(ret) over q as m1, avg(ret * ret) over q as m2, avg(ret * ret * ret) over q as m3, stddev_pop(ret) over q as sd from (select *, case when m < 0 then r end as dr, case when m < 0 then m end as dm from residual) {frame(252, 'y')}, {frame(63, 'q')[7:]})", {"both_known": BETA, "residual": RESID})
 def e21_risk_factors(spark, d):
     """All risk factors in one pass over one sort by ticker."""
-    return out(with_market(spark, d), beta=R.beta(252, 60), downside_beta=R.beta(252, 30, down("ret"), down("mkt")), worst_day=R.at_least("ret", 20, F.min("ret"), R.last_n(63)))
+    df = R.with_beta(with_market(spark, d), "b", 252, 60)
+    df = residuals(R.with_beta(df, "db", 252, 30, down("ret"), down("mkt")))
+    q = R.last_n(63)
+    return df.select(
+        "date", "ticker", F.round("b", 6).alias("beta"), F.round("db", 6).alias("downside_beta"), F.round(R.at_least("resid", 20, F.stddev_samp("resid"), q), 6).alias("idio_vol"),
+        F.round(R.sample_skew("ret", 63, 20), 4).alias("skew"), F.round(R.at_least("ret", 20, F.min("ret"), q), 6).alias("worst_day"),
+    )
 
 
 PRIOR = "rows between {n} preceding and 1 preceding"
@@ -303,11 +316,11 @@ def e42_prior_context(spark, d):
     )
 
 
-@query("select date, ticker, round(max(close) over w, 6) as high, round(min(close) over w, 6) as low, round(close / lag(close, 4) over o - 1, 6) as change_4 from prices_monthly window w as (partition by ticker order by date rows between 51 preceding and current row), o as (partition by ticker order by date) qualify row_number() over (partition by ticker order by date desc) <= 24")
+@query("select date, ticker, round(max(close) over w, 6) as high, round(min(close) over w, 6) as low, round(close / lag(close, 4) over o - 1, 6) as change_4 from prices_monthly window w as (partition by ticker order by date rows between 51 preceding and current row), o as (partition by ticker order by date) qualify row_number() over (partition by ticker order by date desc) <= 104")
 def e43_high_low(spark, d):
     w = R.last_n(52)
     p = out(A.prices_monthly(spark, d), high=F.max("close").over(w), low=F.min("close").over(w), change_4=F.col("close") / F.lag("close", 4).over(R.by_ticker()) - 1)
-    return p.withColumn("n", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))).where("n <= 24").drop("n")
+    return p.withColumn("n", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))).where("n <= 104").drop("n")
 
 
 def labelled(spark, d) -> DataFrame:

@@ -170,9 +170,13 @@ def a17_timeline(spark, d):
     return readers.timeline(spark, path, multi_line=False)
 
 
-@query("select 'prices' as name, count(*) as rows from prices union all select 'facts', count(*) from facts union all select '*', (select count(*) from prices) + (select count(*) from facts)")
+ROW_HASH = "('0x' || substr(md5({}), 1, 8))::bigint"
+HELD = f"select 'prices' as name, count(*) as rows, sum({ROW_HASH.format("date || '|' || ticker || '|' || printf('%.2f', volume)")})::bigint as hash from prices union all select 'facts', count(*), sum({ROW_HASH.format("concat_ws('|', ticker, metric, " + chr(34) + "end" + chr(34) + ", filed, form, printf('%.2f', value))")})::bigint from facts"
+
+
+@query(f"select * from held union all select '*', sum(rows)::bigint, sum({ROW_HASH.format("name || '|' || rows || '|' || hash")})::bigint from held", {"held": HELD})
 def a18_manifest(spark, d):
-    return sinks.manifest({"prices": A.prices(spark, d), "facts": A.facts(spark, d)}).select("name", "rows")
+    return sinks.manifest({"prices": A.prices(spark, d).select("date", "ticker", "volume"), "facts": A.facts(spark, d).select("ticker", "metric", "end", "filed", "form", "value")})
 
 
 @query("select ref_date as month, round(min(value), 4) as value from vintages where month(ref_date) <> 3 group by 1")

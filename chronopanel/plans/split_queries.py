@@ -79,26 +79,32 @@ def k06_relevance_bins(spark, d):
     return j.groupBy("date", M.bucket(F.col("y"), F.coalesce("edges", "pooled")).alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query()
+SHIFT = "15 + ('0x' || substr(md5('11|' || ticker), 1, 8))::bigint % 76"
+
+
+@query(f"select ticker, metric, filed, cast(filed + cast({SHIFT} as int) as date) as shifted, count(*) as n from facts group by all")
 def k07_lag_shift_control(spark, d):
     """Filing dates moved by 15 to 90 days, the same for all rows of a key."""
-    shift = (F.pmod(F.xxhash64("ticker", F.lit(11)), F.lit(76)) + 15).cast("int")
-    f = A.facts(spark, d).withColumn("shifted", F.date_add("filed", shift))
-    return f.groupBy("ticker").agg(F.min(F.datediff("shifted", "filed")).alias("least"), F.max(F.datediff("shifted", "filed")).alias("most"), F.count("*").alias("n"))
+    from ..operators.inference import text_hash
+
+    shift = (F.pmod(text_hash(F.lit(11), "ticker"), F.lit(76)) + 15).cast("int")
+    return A.facts(spark, d).groupBy("ticker", "metric", "filed", F.date_add("filed", shift).alias("shifted")).agg(F.count("*").alias("n"))
+
 
+FACT_KEY = "concat_ws('|', ticker, \"end\", filed, form, printf('%.2f', value))"
 
-@query("select metric, date_trunc('month', filed)::date as month, count(*) as n, round(sum(value), 2) as total from facts group by 1, 2")
+
+@query(f"select p.ticker, p.metric, p.filed, v.value from (select *, row_number() over (partition by metric, date_trunc('month', filed) order by {FACT_KEY}) as i from facts) p join (select metric, date_trunc('month', filed) as month, value, row_number() over (partition by metric, date_trunc('month', filed) order by md5('5|' || {FACT_KEY}), {FACT_KEY}) as i from facts) v on v.metric = p.metric and v.month = date_trunc('month', p.filed) and v.i = p.i")
 def k08_month_placebo(spark, d):
-    """Values permuted inside (metric, filing month): counts and sums of every group must not move."""
-    f = A.facts(spark, d).withColumn("month", F.trunc("filed", "month")).withColumn("id", F.xxhash64(*A.facts(spark, d).columns))
-    mixed = S.hash_permuted(f, "value", ["metric", "month"], ["id", "ticker", "filed"], 5)
-    return mixed.groupBy("metric", "month").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    """Values permuted inside (metric, filing month): who filed what and when stays, the values move."""
+    f = A.facts(spark, d).withColumns({"month": F.trunc("filed", "month"), "key": F.concat_ws("|", "ticker", F.col("end").cast("string"), F.col("filed").cast("string"), "form", F.format_string("%.2f", "value"))})
+    return S.hash_permuted(f, "value", ["metric", "month"], ["key"], 5).select("ticker", "metric", "filed", "value")
 
 
-@query("select date, count(*) as n, round(sum(close), 4) as total from prices_monthly group by 1")
+@query("select p.date, p.ticker, round(v.close, 10) as close from (select *, row_number() over (partition by date order by ticker) as i from prices_monthly) p join (select date, close, row_number() over (partition by date order by md5('9|' || ticker), ticker) as i from prices_monthly) v using (date, i)")
 def k09_cross_section_shuffle(spark, d):
-    mixed = S.hash_permuted(A.prices_monthly(spark, d), "close", ["date"], ["ticker"], 9)
-    return mixed.groupBy("date").agg(F.count("*").alias("n"), F.round(F.sum("close"), 4).alias("total"))
+    """Values permuted across the tickers of each date."""
+    return S.hash_permuted(A.prices_monthly(spark, d), "close", ["date"], ["ticker"], 9).select("date", "ticker", F.round("close", 10).alias("close"))
 
 
 @query("select arm, count(*) as n, count(value) as known from (select 'filed' as arm, f.value from months m join (select distinct ticker, metric from facts) k using (ticker) asof left join (select ticker, metric, filed, max(value) as value from facts group by all) f on f.ticker = m.ticker and f.metric = k.metric and m.date >= f.filed union all select 'period', f.value from months m join (select distinct ticker, metric from facts) k using (ticker) asof left join (select ticker, metric, cast(\"end\" + case when form = '10-K' then interval 6 month else interval 4 month end as date) as avail, max(value) as value from facts group by all) f on f.ticker = m.ticker and f.metric = k.metric and m.date >= f.avail) group by 1", {"months": "select distinct cast(date_trunc('month', date) as date) as date, ticker from prices"})
@@ -140,13 +146,20 @@ def k12_frozen_vs_refit(spark, d):
     return long.groupBy(F.col("s.arm").alias("arm"), "fold").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("y") - F.col("s.v"))), 6).alias("mae"))
 
 
-@query("select t.fold, round(avg(abs(t.y)), 6) as zero, round(avg(abs(t.y - m.p)), 6) as mean, round(avg((t.y > 0)::int), 6) as always_up, round(avg(abs(t.y - (m.a + m.b * t.close / 1000))), 6) as line from tagged t join (select fold, avg(y) as p, regr_slope(y, close / 1000) as b, regr_intercept(y, close / 1000) as a from tagged where role = 'train' group by 1) m using (fold) where t.role = 'test' group by 1", WF)
+AR_PANEL = "select *, cast(date + interval 1 month as date) as label_end from (select date, ticker, close, close / lag(close) over (partition by ticker order by date) - 1 as ret_1, lead(close) over (partition by ticker order by date) / close - 1 as y from prices_monthly) where y is not null"
+
+
+@query("select t.fold, round(avg(abs(t.y)), 6) as zero, round(avg(abs(t.y - m.p)), 6) as mean, round(avg((t.y > 0)::int), 6) as always_up, round(avg(abs(t.y - coalesce(m.a + m.b * t.ret_1, m.p))), 6) as ar1 from tagged t join (select fold, avg(y) as p, regr_slope(y, ret_1) as b, regr_intercept(y, ret_1) as a from tagged where role = 'train' group by 1) m using (fold) where t.role = 'test' group by 1", WF | {"pan": AR_PANEL})
 def k13_naive_baselines(spark, d):
-    t = tagged(spark, d).withColumn("x", F.col("close") / 1000)
-    m = t.where("role = 'train'").groupBy("fold").agg(F.avg("y").alias("p"), F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
-    j = t.where("role = 'test'").join(F.broadcast(m), "fold")
+    """Errors of no change, of the training mean, of a first-order autoregression (the mean where the last return is not
+    known), and how often it went up."""
+    p = A.prices_monthly(spark, d).select("date", "ticker", "close", R.simple_return().alias("ret_1"), R.forward_return(1).alias("y")).where("y is not null").withColumn("label_end", F.add_months("date", 1))
+    t = S.tag_walk_forward(p, S.walk_forward_folds(p, "date", 4), "date", "label_end")
+    m = t.where("role = 'train'").groupBy("fold").agg(F.avg("y").alias("p"), F.regr_slope("y", "ret_1").alias("b"), F.regr_intercept("y", "ret_1").alias("a"))
+    j = t.where("role = 'test'").join(F.broadcast(m), "fold")  # a row per fold
     err = lambda c: F.round(F.avg(F.abs(F.col("y") - c)), 6)
-    return j.groupBy(F.col("fold").cast("long").alias("fold")).agg(err(F.lit(0.0)).alias("zero"), err(F.col("p")).alias("mean"), F.round(F.avg((F.col("y") > 0).cast("int")), 6).alias("always_up"), err(F.col("a") + F.col("b") * F.col("x")).alias("line"))
+    ar = F.coalesce(F.col("a") + F.col("b") * F.col("ret_1"), F.col("p"))
+    return j.groupBy(F.col("fold").cast("long").alias("fold")).agg(err(F.lit(0.0)).alias("zero"), err(F.col("p")).alias("mean"), F.round(F.avg((F.col("y") > 0).cast("int")), 6).alias("always_up"), err(ar).alias("ar1"))
 
 
 LIFT = "select date, avg(((ret > 0) = (lagged > 0))::int) - avg((ret > 0)::int) as lift from (select *, lag(ret) over (partition by ticker order by date) as lagged from (select date, ticker, close / lag(close) over (partition by ticker order by date) - 1 as ret from prices_monthly)) where ret is not null and lagged is not null group by 1"
@@ -227,10 +240,18 @@ def k20_design_matrix(spark, d):
     return aligned.join(state, ["t_info_date", "ticker"]).select("event_id", "event_type", "t_info_date", F.round("ret", 6).alias("ret"), F.round("mkt", 6).alias("mkt"))
 
 
-@query("select event_id, (event_type = '1-URGENT')::int as urgent, (event_type = '2-HIGH')::int as high, (event_type = '3-MEDIUM')::int as medium, (event_type = '4-NOT SPECIFIED')::int as unspecified, (event_type = '5-LOW')::int as low from study_events")
+KINDS = {"event_type": ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"), "status": ("F", "O", "P"), "segment": ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"), "side": ("debt", "credit")}
+ONE_HOT = ", ".join(f"coalesce(({c} = '{v}')::int, 0) as {c}_{i}" for c, vs in KINDS.items() for i, v in enumerate(vs))
+
+
+@query(f"select event_id, {ONE_HOT}, round(ln(1 + value), 6) as log_value, round(balance / 1000, 6) as balance from (select o_orderkey as event_id, o_orderpriority as event_type, o_orderstatus as status, c_mktsegment as segment, case when c_acctbal < 0 then 'debt' else 'credit' end as side, o_totalprice as value, c_acctbal as balance from orders join customer on c_custkey = o_custkey)")
 def k21_event_vectors(spark, d):
-    one = lambda v: (F.col("event_type") == v).cast("int")
-    return A.study_events(spark, d).select("event_id", one("1-URGENT").alias("urgent"), one("2-HIGH").alias("high"), one("3-MEDIUM").alias("medium"), one("4-NOT SPECIFIED").alias("unspecified"), one("5-LOW").alias("low"))
+    """Four enums as indicators (all 0 for a value that is not listed) and two numbers."""
+    side = F.when(F.col("c_acctbal") < 0, "debt").otherwise("credit")
+    e = A.table(spark, d, "orders").join(A.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    e = e.select(F.col("o_orderkey").alias("event_id"), F.col("o_orderpriority").alias("event_type"), F.col("o_orderstatus").alias("status"), F.col("c_mktsegment").alias("segment"), side.alias("side"), "o_totalprice", "c_acctbal")
+    hot = [F.coalesce((F.col(c) == v).cast("int"), F.lit(0)).alias(f"{c}_{i}") for c, vs in KINDS.items() for i, v in enumerate(vs)]
+    return e.select("event_id", *hot, F.round(F.log1p("o_totalprice"), 6).alias("log_value"), F.round(F.col("c_acctbal") / 1000, 6).alias("balance"))
 
 
 @query("select m.date, m.ticker, round(f.value, 4) as fact, round(l.value, 4) as macro from (select distinct date, ticker from prices_m) m asof left join (select ticker, filed, max(value) as value from facts group by 1, 2) f on f.ticker = m.ticker and m.date >= f.filed left join (select d.date, v.value from (select distinct date from prices_m) d asof left join (select ref_date, min(realtime_start) as realtime_start, min_by(value, realtime_start) as value from vintages group by ref_date) v on d.date > v.realtime_start) l on l.date = m.date", {"prices_m": "select cast(date_trunc('month', date) as date) as date, ticker from prices"})
