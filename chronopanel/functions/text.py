@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Legal suffixes that don't tell companies apart, and words that don't identify one.
@@ -80,3 +80,40 @@ def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[
     mid, half = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     d = 1 + z * z / n
     return F.when(n > 0, (mid - half) / d), F.when(n > 0, (mid + half) / d)
+
+
+def rule_hit(text: Column, pattern: str, window: int = 3, negations: str = "no|not|never|without") -> Column:
+    """Whether a text has a match of pattern (case ignored) that no negation stands up to ``window`` words before."""
+    negated = rf"(?i)(^|[^A-Za-z0-9])({negations})([^A-Za-z0-9]+[A-Za-z0-9]+){{0,{window - 1}}}[^A-Za-z0-9]+({pattern})"
+    return F.regexp_replace(text, negated, " ").rlike(f"(?i)({pattern})")
+
+
+def classified(text: Column, rules: list[tuple[int, str, str, bool]]) -> Column:
+    """Label of a text under frozen rules (rank, label, pattern, abstain only): abstain if an abstain-only rule hits or none
+    does; else the label of the least rank that hits, conflict if it has several."""
+    hits = [(rank, label, rule_hit(text, pattern), only) for rank, label, pattern, only in rules]
+    stop = F.lit(False)
+    for _, _, hit, only in hits:
+        stop = stop | hit if only else stop
+    out = F.lit("abstain")
+    for rank in sorted({h[0] for h in hits if not h[3]}, reverse=True):
+        labels = F.array_distinct(F.array_compact(F.array(*[F.when(hit, F.lit(label)) for r, label, hit, only in hits if r == rank and not only])))
+        out = F.when(F.size(labels) > 1, "conflict").when(F.size(labels) == 1, F.get(labels, F.lit(0))).otherwise(out)
+    return F.when(stop, "abstain").otherwise(out)
+
+
+def person_key(name: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(name), r"[^a-z0-9]+", " "))
+
+
+def merged_persons(rows: DataFrame) -> DataFrame:
+    """(name, n, roles, n_stripped) of rows (raw, age, role) by normal name. A two-digit tail of a name is taken for an age
+    and stripped only if the row's own age says so, or if the name is known without it from another row."""
+    tail, bare = F.col("raw").rlike(" [0-9][0-9]$"), F.regexp_replace("raw", " [0-9][0-9]$", "")
+    keyed = rows.select("*", tail.alias("__tail"), person_key(bare).alias("__bare"))
+    known = keyed.where(~F.col("__tail")).select(F.col("__bare").alias("__known")).distinct()
+    keyed = keyed.join(known, F.col("__bare") == F.col("__known"), "left")
+    seen = F.coalesce(F.substring("raw", -2, 2) == F.col("age"), F.lit(False))
+    keyed = keyed.withColumn("__strip", F.col("__tail") & (seen | F.col("__known").isNotNull()))
+    name = F.when(F.col("__strip"), F.col("__bare")).otherwise(person_key(F.col("raw")))
+    return keyed.groupBy(name.alias("name")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("role")), ",").alias("roles"), F.count_if("__strip").alias("n_stripped"))

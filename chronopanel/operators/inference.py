@@ -146,6 +146,18 @@ def bootstrap_means(df: DataFrame, series: list[str], order: str, x: str, n_boot
     return draws.join(rows.drop("__n"), [*series, "__i"]).groupBy(*series, "replicate").agg(F.avg("__x").alias("mean"))
 
 
+def half_splits(df: DataFrame, block: str, n: int, key: str = "ticker", r: str = "ret") -> DataFrame:
+    """Per way to choose half of n blocks as the inside: the key with the best mean inside, its rank outside from the top
+    (place) and from the bottom (low), and the number of keys (s). All work is on sums by key and block."""
+    masks = [m for m in range(1 << n) if m.bit_count() == n // 2]
+    sums = df.groupBy(key, F.col(block).alias("__b")).agg(F.sum(r).alias("__s"), F.count("*").alias("__n"))
+    a = sums.select("*", F.explode(F.array(*map(F.lit, masks))).alias("mask")).withColumn("__in", F.expr("(shiftright(mask, __b) & 1) = 1"))
+    part = lambda c: F.sum(F.when(c, F.col("__s"))) / F.sum(F.when(c, F.col("__n")))
+    a = a.groupBy("mask", key).agg(part(F.col("__in")).alias("ins"), part(~F.col("__in")).alias("oos")).where("ins is not null and oos is not null")
+    w = Window.partitionBy("mask")
+    return a.withColumns({"__best": F.row_number().over(w.orderBy(F.desc("ins"), key)), "place": F.rank().over(w.orderBy(F.desc("oos"))), "low": F.rank().over(w.orderBy("oos")), "s": F.count("*").over(w)}).where("__best = 1").drop("__best")
+
+
 def event_study(returns: DataFrame, events: DataFrame, sessions: DataFrame, before: int = 10, after: int = 20) -> DataFrame:
     """Mean cumulative abnormal return by event type and offset; events with an incomplete window are dropped.
 

@@ -204,18 +204,26 @@ def l11_sharpe_moments(spark, d):
 PBO_COMBOS = "select unnest([7, 11, 13, 14, 19, 21, 22, 25, 26, 28, 35, 37, 38, 41, 42, 44, 49, 50, 52, 56]) as mask"
 
 
-@query("with b as (select ticker, ret, cast((dense_rank() over (order by date) - 1) % 6 as int) as blk from retsm where ret is not null), a as (select mask, ticker, avg(ret) filter ((mask >> blk) & 1 = 1) as ins, avg(ret) filter ((mask >> blk) & 1 = 0) as oos from b, combos group by 1, 2), r as (select mask, ticker, row_number() over (partition by mask order by ins desc, ticker) as best, rank() over (partition by mask order by oos desc) as place, count(*) over (partition by mask) as s from a) select count(*) as splits, round(avg((place / s > 0.5)::int), 6) as pbo from r where best = 1", {"retsm": RETS_M, "combos": PBO_COMBOS})
+CSCV = "select mask, ticker, sum(s) filter ((mask >> blk) & 1 = 1) / sum(n) filter ((mask >> blk) & 1 = 1) as ins, sum(s) filter ((mask >> blk) & 1 = 0) / sum(n) filter ((mask >> blk) & 1 = 0) as oos from (select ticker, blk, sum(ret) as s, count(*) as n from {0} group by 1, 2), {1} group by 1, 2"
+PLACED = "select mask, ticker, row_number() over (partition by mask order by ins desc, ticker) as best, rank() over (partition by mask order by oos desc) as place, rank() over (partition by mask order by oos) as low, count(*) over (partition by mask) as s from ({0}) where ins is not null and oos is not null"
+BLOCKS = {
+    "b6": "select ticker, ret, cast((dense_rank() over (order by date) - 1) % 6 as int) as blk from retsm where ret is not null",
+    "b10": "select r.ticker, r.ret, k.blk from retsm r join (select date, cast(ntile(10) over (order by date) - 1 as int) as blk from (select distinct date from retsm where ret is not null)) k using (date) where ret is not null",
+    "combos10": "select m as mask from (select unnest(range(1024)) as m) where bit_count(m::int) = 5",
+}
+
+
+@query(f"select 'interleaved' as form, count(*) as splits, round(avg((place / s > 0.5)::int), 6) as pbo from ({PLACED.format(CSCV.format('b6', 'combos'))}) where best = 1 union all select 'contiguous', count(*), round(avg((ln((low / (s + 1.0)) / (1 - low / (s + 1.0))) < 0)::int), 6) from ({PLACED.format(CSCV.format('b10', 'combos10'))}) where best = 1", {"retsm": RETS_M, "combos": PBO_COMBOS} | BLOCKS)
 def l12_backtest_overfit(spark, d):
-    """All ways to choose three of six interleaved blocks: how often the best inside ranks in the lower half outside."""
-    r = monthly_returns(spark, d).where("ret is not null").withColumn("blk", (F.dense_rank().over(Window.orderBy("date")) - 1) % 6)
-    masks = [m for m in range(64) if m.bit_count() == 3]
-    sums = r.groupBy("ticker", "blk").agg(F.sum("ret").alias("s"), F.count("*").alias("n"))  # all later work is on these sums
-    a = sums.select("*", F.explode(F.array(*map(F.lit, masks))).alias("mask")).withColumn("inside", F.expr("(shiftright(mask, blk) & 1) = 1"))
-    part = lambda c: F.sum(F.when(c, F.col("s"))) / F.sum(F.when(c, F.col("n")))
-    a = a.groupBy("mask", "ticker").agg(part(F.col("inside")).alias("ins"), part(~F.col("inside")).alias("oos"))
-    w = Window.partitionBy("mask")
-    best = a.withColumns({"best": F.row_number().over(w.orderBy(F.desc("ins"), "ticker")), "place": F.rank().over(w.orderBy(F.desc("oos"))), "s": F.count("*").over(w)}).where("best = 1")
-    return best.agg(F.count("*").alias("splits"), F.round(F.avg((F.col("place") / F.col("s") > 0.5).cast("int")), 6).alias("pbo"))
+    """How often the strategy that is best inside does badly outside, over all ways to choose half of the blocks: six
+    interleaved ones, by its rank in the lower half; and ten contiguous ones, by a negative logit of its relative rank."""
+    r = monthly_returns(spark, d).where("ret is not null")
+    dates = r.select("date").distinct().select("date", ((F.dense_rank().over(Window.orderBy("date")) - 1) % 6).alias("i"), (F.ntile(10).over(Window.orderBy("date")) - 1).alias("c"))  # a calendar
+    r = r.join(F.broadcast(dates), "date")
+    inter = I.half_splits(r, "i", 6).agg(F.lit("interleaved").alias("form"), F.count("*").alias("splits"), F.round(F.avg((F.col("place") / F.col("s") > 0.5).cast("int")), 6).alias("pbo"))
+    share = F.col("low") / (F.col("s") + 1)
+    cont = I.half_splits(r, "c", 10).agg(F.lit("contiguous").alias("form"), F.count("*").alias("splits"), F.round(F.avg((F.log(share / (1 - share)) < 0).cast("int")), 6).alias("pbo"))
+    return inter.unionByName(cont)
 
 
 FACTORS = "select date, ticker, ret, avg(ret) over (partition by date) as mkt, dv from (select date, ticker, close / lag(close) over (partition by ticker order by date) - 1 as ret, volume / lag(volume) over (partition by ticker order by date) - 1 as dv from prices_monthly)"

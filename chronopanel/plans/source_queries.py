@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import adapters as A
@@ -284,12 +284,27 @@ def i08_commit_reveal(spark, d):
     return j.select("event_id", F.round("score", 2).alias("score"), status.alias("status"))
 
 
-@query("select month, round(max(v) filter (arm = 'a'), 6) as a, round(max(v) filter (arm = 'b'), 6) as b from (select date_trunc('month', l_shipdate)::date as month, case when l_suppkey % 2 = 0 then 'a' else 'b' end as arm, min_by(l_quantity, l_shipdate::varchar || lpad(l_orderkey::varchar, 12, '0') || lpad(l_linenumber::varchar, 4, '0') || lpad((l_quantity*100)::bigint::varchar, 8, '0')) as v from lineitem group by 1, 2) group by 1 having count(*) = 2")
+ARM_IC = "select {run} as run, arm, date as month, corr(rs, ry) as ic from (select *, rank() over (partition by arm, date order by x) + (count(*) over (partition by arm, date, x) - 1) / 2.0 as rs, rank() over (partition by arm, date order by y) + (count(*) over (partition by arm, date, y) - 1) / 2.0 as ry from (select unnest(['a', 'b']) as arm, date, unnest([close, volume]) as x, y from (select *, lead(close, {h}) over (partition by ticker order by date) / close - 1 as y from prices_monthly) where y is not null)) group by 2, 3 having count(*) >= 5"
+
+
+@query("select month, round(a, 6) as a, round(b, 6) as b, round(a - b, 6) as difference, round(avg(a - b) over (order by month), 6) as so_far from (select month, max(ic) filter (arm = 'a') as a, max(ic) filter (arm = 'b') as b from (select arm, month, min_by(ic, run) as ic from runs where not isnan(ic) group by 1, 2) group by 1) where a is not null and b is not null", {"runs": f"select * from ({ARM_IC.format(run=1, h=1)}) where month < date '1999-01-01' union all select * from ({ARM_IC.format(run=2, h=3)})"})
 def i09_paired_accumulation(spark, d):
-    li = A.table(spark, d, "lineitem").withColumns({"month": F.trunc("l_shipdate", "month"), "arm": F.when(F.col("l_suppkey") % 2 == 0, "a").otherwise("b")})
-    first = li.groupBy("month", "arm").agg(F.min_by("l_quantity", F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")).alias("v"))
-    wide = first.groupBy("month").pivot("arm", ["a", "b"]).agg(F.max("v")).where("a is not null and b is not null")
-    return wide.select("month", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
+    """Rank ICs of two arms, collected run after run in a table that only grows: of a month the first run counts, whatever
+    later runs find. Months known for both arms give the difference and its mean so far."""
+    from ..operators import inference as I
+
+    ledger = scratch(spark, "ics")
+    p = A.prices_monthly(spark, d)
+    for run, h in ((1, 1), (2, 3)):
+        y = p.withColumn("y", R.forward_return(h)).where("y is not null")
+        arms = y.select("date", "y", F.explode(F.array(F.struct(F.lit("a").alias("arm"), F.col("close").alias("x")), F.struct(F.lit("b").alias("arm"), F.col("volume").alias("x")))).alias("s")).select("date", "y", "s.arm", "s.x")
+        ics = I.rank_ic(arms, ["arm", "date"], "x", "y").select(F.lit(run).alias("run"), "arm", F.col("date").alias("month"), "ic")
+        sinks.append_new_rows(ics.where("month < '1999-01-01'") if run == 1 else ics, ledger)
+    held = spark.read.schema("run int, arm string, month date, ic double").parquet(ledger)
+    first = held.groupBy("arm", "month").agg(F.min_by("ic", "run").alias("ic"))
+    wide = first.groupBy("month").pivot("arm", ["a", "b"]).agg(F.max("ic")).where("a is not null and b is not null")
+    so_far = F.avg(F.col("a") - F.col("b")).over(Window.orderBy("month").rowsBetween(Window.unboundedPreceding, 0))  # months
+    return wide.select("month", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round(F.col("a") - F.col("b"), 6).alias("difference"), F.round(so_far, 6).alias("so_far"))
 
 
 @query("select event_id, event_type from events where ts >= timestamp '2024-01-10'")

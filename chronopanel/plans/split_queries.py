@@ -14,6 +14,7 @@ from .inference_queries import monthly_ic, monthly_returns
 from .join_queries import latest_facts, pit_align
 from .price_queries import labelled, returns, with_market
 from .registry import query
+from ..shared import stored
 
 PANEL = "select *, cast(date + interval 1 month as date) as label_end from (select date, ticker, close, lead(close) over (partition by ticker order by date) / close - 1 as y from prices_monthly) where y is not null"
 FOLDS = "select b as fold, min(date) as test_start, max(date) as test_end from (select date, ntile(5) over (order by date) - 1 as b from (select distinct date from pan)) where b > 0 group by 1"
@@ -136,14 +137,31 @@ def k11_fold_fit(spark, d):
     return scored.groupBy("fold").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg((F.col("y") - F.col("score")) ** 2)), 6).alias("rmse"))
 
 
-@query("select arm, fold, count(*) as n, round(avg(abs(y - pred)), 6) as mae from (select 'frozen' as arm, t.fold, t.y, (select avg(y) from tagged where role = 'train' and fold = 1) as pred from tagged t where role = 'test' union all select 'refit', t.fold, t.y, m.p from tagged t join (select fold, avg(y) as p from tagged where role = 'train' group by 1) m using (fold) where role = 'test') group by 1, 2", WF)
+WEEKS = {
+    "wk": "select ticker, week, max_by(close, date) as close from (select ticker, date, close, cast(date_trunc('week', date) as date) as week from prices) group by 1, 2",
+    "wp": "select * from (select ticker, week, close / lag(close) over (partition by ticker order by week) - 1 as x, lead(close) over (partition by ticker order by week) / close - 1 as y from wk) where x is not null and y is not null",
+    "ws": "select week, count(*) as n, sum(x) as x, sum(y) as y, sum(x * x) as xx, sum(x * y) as xy from wp group by 1",
+    "wc": "select week, sum(n) over w as n, sum(x) over w as x, sum(y) over w as y, sum(xx) over w as xx, sum(xy) over w as xy from ws window w as (order by week rows between unbounded preceding and 5 preceding)",
+    "wf": "select week, n, (n * xy - x * y) / (n * xx - x * x) as b, (y - (n * xy - x * y) / (n * xx - x * x) * x) / n as a from wc where n >= 1000",
+}
+
+
+@query("select year(p.week) as year, count(*) as n, round(avg(abs(y - (f.a + f.b * p.x))), 6) as refit, round(avg(abs(y - (z.a + z.b * p.x))), 6) as frozen from wp p join wf f using (week), (select * from wf order by week limit 1) z group by 1", WEEKS)
 def k12_frozen_vs_refit(spark, d):
-    t = tagged(spark, d)
-    means = t.where("role = 'train'").groupBy("fold").agg(F.avg("y").alias("p"))
-    frozen = means.where("fold = 1").select(F.col("p").alias("f"))
-    j = t.where("role = 'test'").join(F.broadcast(means), "fold").crossJoin(F.broadcast(frozen))  # one row
-    long = j.select(F.col("fold").cast("long").alias("fold"), "y", F.explode(F.array(F.struct(F.lit("refit").alias("arm"), F.col("p").alias("v")), F.struct(F.lit("frozen").alias("arm"), F.col("f").alias("v")))).alias("s"))
-    return long.groupBy(F.col("s.arm").alias("arm"), "fold").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("y") - F.col("s.v"))), 6).alias("mae"))
+    """A line fitted once, and one fitted anew each week on all weeks up to five before it (so that their labels are known),
+    from 1,000 rows on. Fits are running sums over weeks: no week is read twice."""
+    w = A.prices(spark, d).groupBy("ticker", F.to_date(F.date_trunc("week", "date")).alias("week")).agg(F.max_by("close", "date").alias("close"))
+    by = R.by_ticker(order="week")
+    p = w.select("ticker", "week", (F.col("close") / F.lag("close").over(by) - 1).alias("x"), (F.lead("close").over(by) / F.col("close") - 1).alias("y")).where("x is not null and y is not null")
+    sums = p.groupBy("week").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
+    before = Window.orderBy("week").rowsBetween(Window.unboundedPreceding, -5)  # weeks
+    c = sums.select("week", *[F.sum(k).over(before).alias(k) for k in ("n", "sx", "sy", "sxx", "sxy")]).where("n >= 1000")
+    b = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
+    fits = c.select("week", b.alias("b"), ((F.col("sy") - b * F.col("sx")) / F.col("n")).alias("a"))
+    frozen = fits.agg(F.min_by("a", "week").alias("fa"), F.min_by("b", "week").alias("fb"))
+    j = p.join(F.broadcast(fits), "week").crossJoin(F.broadcast(frozen))  # weeks, one row
+    err = lambda a, b: F.round(F.avg(F.abs(F.col("y") - (F.col(a) + F.col(b) * F.col("x")))), 6)
+    return j.groupBy(F.year("week").cast("long").alias("year")).agg(F.count("*").alias("n"), err("a", "b").alias("refit"), err("fa", "fb").alias("frozen"))
 
 
 AR_PANEL = "select *, cast(date + interval 1 month as date) as label_end from (select date, ticker, close, close / lag(close) over (partition by ticker order by date) - 1 as ret_1, lead(close) over (partition by ticker order by date) / close - 1 as y from prices_monthly) where y is not null"
@@ -183,18 +201,41 @@ def k15_cutoff_gap(spark, d):
     return lifts(spark, d).agg(F.round(old, 6).alias("before"), F.round(new, 6).alias("after"), F.round(old - new, 6).alias("gap"))
 
 
-@query()
+def platt_ctes(steps: int) -> dict[str, str]:
+    """CTEs pr (rows), pf (folds), pt (training rows of folds), w0.. (coefficients after each Newton step)."""
+    out = {
+        "pr": "select case when right(ticker, 1) < '5' then 'a' else 'b' end as region, date as month, close / 1000 as s, (y > 0)::int as u from pan",
+        "pf": "select distinct region, month as fold from pr qualify dense_rank() over (partition by region order by month desc) <= 6",
+        "pt": "select f.region, f.fold, s, u from pr p join pf f on f.region = p.region and p.month < f.fold",
+        "w0": "select region, fold, 0.0::double as a, 0.0::double as b from pf",
+    }
+    for k in range(steps):
+        sums = f"select region, fold, a, b, sum(u - q) as g0, sum((u - q) * s) as g1, sum(q * (1 - q) + 1e-6) as h00, sum((q * (1 - q) + 1e-6) * s) as h01, sum((q * (1 - q) + 1e-6) * s * s) as h11 from (select t.*, w.a, w.b, 1 / (1 + exp(-(w.a + w.b * t.s))) as q from pt t join w{k} w using (region, fold)) group by 1, 2, 3, 4"
+        out[f"w{k + 1}"] = f"select region, fold, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01 + 1e-9) as a, b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01 + 1e-9) as b from ({sums})"
+    return out
+
+
+@query("select p.region, p.month, any_value(w.fold) = max(any_value(w.fold)) over (partition by p.region) as latest, round(any_value(a), 5) as intercept, round(any_value(b), 5) as slope, count(*) as n, round(avg(1 / (1 + exp(-(a + b * s)))), 6) as predicted, round(avg(u), 6) as observed, round(avg((1 / (1 + exp(-(a + b * s))) - u) * (1 / (1 + exp(-(a + b * s))) - u)), 6) as brier from pr p join w5 w on w.region = p.region and w.fold = p.month group by 1, 2", WF | platt_ctes(5))
 def k16_platt_calibration(spark, d):
-    """Score to probability of a rise per ticker: Newton steps whose sums are grouped aggregates."""
-    p = panel(spark, d).select("ticker", (F.col("close") / 1000).alias("s"), (F.col("y") > 0).cast("double").alias("u"))
-    w = p.select("ticker").distinct().select("ticker", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
-    for _ in range(4):
+    """Score to probability of a rise: per region, each of the last six months is calibrated on all months before it, the
+    latest included. Newton steps whose sums are grouped aggregates over one stored table of training sums' rows."""
+    side = F.when(F.substring("ticker", -1, 1) < "5", "a").otherwise("b")
+    p = stored(panel(spark, d).select(side.alias("region"), F.col("date").alias("month"), (F.col("close") / 1000).alias("s"), (F.col("y") > 0).cast("double").alias("u")), "calibration")
+    folds = p.select("region", "month").distinct().withColumn("k", F.dense_rank().over(Window.partitionBy("region").orderBy(F.desc("month")))).where("k <= 6").select("region", F.col("month").alias("fold"))  # a calendar
+    train = p.join(F.broadcast(folds), "region").where("month < fold").select("region", "fold", "s", "u")
+    w = folds.withColumns({"a": F.lit(0.0), "b": F.lit(0.0)})
+    for _ in range(5):
         q = 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("s"))))
-        j = p.join(w, "ticker").withColumns({"g": F.col("u") - q, "h": q * (1 - q) + 1e-6})
-        sums = j.groupBy("ticker").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.sum("g").alias("g0"), F.sum(F.col("g") * F.col("s")).alias("g1"), F.sum("h").alias("h00"), F.sum(F.col("h") * F.col("s")).alias("h01"), F.sum(F.col("h") * F.col("s") * F.col("s")).alias("h11"))
+        j = train.join(F.broadcast(w), ["region", "fold"]).withColumns({"g": F.col("u") - q, "h": q * (1 - q) + 1e-6})  # a row per fold
+        sums = j.groupBy("region", "fold").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.sum("g").alias("g0"), F.sum(F.col("g") * F.col("s")).alias("g1"), F.sum("h").alias("h00"), F.sum(F.col("h") * F.col("s")).alias("h01"), F.sum(F.col("h") * F.col("s") * F.col("s")).alias("h11"))
         det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01") + 1e-9
-        w = sums.select("ticker", (F.col("a") + (F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1")) / det).alias("a"), (F.col("b") + (F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0")) / det).alias("b"))
-    return w.select("ticker", F.round("a", 5).alias("intercept"), F.round("b", 5).alias("slope"))
+        step = lambda x, y, g, h: (F.col(x) * F.col(g) - F.col(y) * F.col(h)) / det
+        w = stored(sums.select("region", "fold", (F.col("a") + step("h11", "h01", "g0", "g1")).alias("a"), (F.col("b") + step("h00", "h01", "g1", "g0")).alias("b")), "platt")
+    prob = 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("s"))))
+    g = p.join(F.broadcast(w.withColumnRenamed("fold", "month")), ["region", "month"]).withColumn("p", prob).groupBy("region", "month").agg(
+        F.round(F.max("a"), 5).alias("intercept"), F.round(F.max("b"), 5).alias("slope"), F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("predicted"), F.round(F.avg("u"), 6).alias("observed"), F.round(F.avg((F.col("p") - F.col("u")) ** 2), 6).alias("brier")
+    )
+    return g.withColumn("latest", F.col("month") == F.max("month").over(Window.partitionBy("region")))
 
 
 K17 = "with labels21 as (select *, lead(close, 21) over (partition by ticker order by date) / close - 1 as y from grid), f as (select ticker, metric, filed, max_by(value, {s: \"end\", v: value}) as value from facts group by all), pit as (select g.date, g.ticker, k.metric, f.value from (select date, ticker from grid) g cross join (select unnest(['1-URGENT', '2-HIGH']) as metric) k asof left join f on f.ticker = g.ticker and f.metric = k.metric and g.date >= f.filed), wide as (select date, ticker, max(value) filter (metric = '1-URGENT') as urgent, max(value) filter (metric = '2-HIGH') as high from pit group by 1, 2), snaps as (select d.date, max(m.date) as snap from (select distinct date from grid) d join (select distinct date from membership) m on m.date <= d.date group by d.date) select l.date, l.ticker, round(l.close, 6) as close, round(l.y, 6) as y, round(w.urgent, 4) as urgent, round(w.high, 4) as high, round(case when abs(w.high) >= 1e-9 then w.urgent / w.high end, 6) as ratio, round(mk.mkt, 6) as mkt from labels21 l join wide w using (date, ticker) join snaps s using (date) join membership m on m.date = s.snap and m.ticker = l.ticker left join mkt mk on mk.date = l.date"

@@ -297,19 +297,29 @@ def h19_json_path(spark, d):
     return A.table(spark, d, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("select doc_id, case when regexp_matches(text, '(?i)license') then case when regexp_matches(text, '(?i)apache') then 'apache' when regexp_matches(text, '(?i)general public') then 'gpl' else 'other' end else 'abstain' end as label from documents")
+# Fixed values of this query: rank, label, pattern, abstain only.
+RULES = [(1, "permissive", "apache|mit", False), (1, "copyleft", "general public|by-sa", False), (2, "other", "license|released under", False), (3, "void", "all rights reserved", True)]
+HIT = "regexp_matches(regexp_replace(text, '(?i)(^|[^A-Za-z0-9])(no|not|never|without)([^A-Za-z0-9]+[A-Za-z0-9]+){{0,2}}[^A-Za-z0-9]+({0})', ' ', 'g'), '(?i)({0})')"
+
+
+@query(f"select doc_id, case when v then 'abstain' when p and c then 'conflict' when p then 'permissive' when c then 'copyleft' when o then 'other' else 'abstain' end as label from (select doc_id, {HIT.format('apache|mit')} as p, {HIT.format('general public|by-sa')} as c, {HIT.format('license|released under')} as o, {HIT.format('all rights reserved')} as v from documents)")
 def h20_rule_classes(spark, d):
-    rules = spark.createDataFrame([(1, "apache", "(?i)apache"), (2, "gpl", "(?i)general public"), (3, "other", "(?i)license")], "rank int, label string, pattern string")
-    docs = A.table(spark, d, "documents").select("doc_id", "text")
-    hits = docs.join(F.broadcast(rules), F.col("text").rlike("(?i)license") & F.expr("text rlike pattern"))
-    best = hits.groupBy("doc_id").agg(F.min_by("label", "rank").alias("label"))
-    return docs.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("label", F.lit("abstain")).alias("label"))
+    return A.table(spark, d, "documents").select("doc_id", T.classified(F.col("text"), RULES).alias("label"))
+
+
+PERSONS = "select role, role || ' Member' || (conv_id % 7) || case when turn % 3 = 0 then ' ' || (30 + conv_id % 40) else '' end as raw, case when turn % 4 = 0 then 30 + conv_id % 40 end as age from conversations"
+BARE = "trim(regexp_replace(lower(regexp_replace(raw, ' [0-9][0-9]$', '')), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query("select name, count(*) as n, string_agg(distinct role, ',' order by role) as roles from (select trim(regexp_replace(lower(role || ' ' || conv_id % 7), '[^a-z0-9]+', ' ', 'g')) as name, role from conversations) group by 1")
+@query(f"select name, count(*) as n, string_agg(distinct role, ',' order by role) as roles, count(*) filter (stripped) as n_stripped from (select role, stripped, trim(regexp_replace(lower(case when stripped then regexp_replace(raw, ' [0-9][0-9]$', '') else raw end), '[^a-z0-9]+', ' ', 'g')) as name from (select *, regexp_matches(raw, ' [0-9][0-9]$') and (coalesce(right(raw, 2) = age::varchar, false) or {BARE} in (select {BARE} from persons where not regexp_matches(raw, ' [0-9][0-9]$'))) as stripped from persons)) group by 1", {"persons": PERSONS})
 def h21_person_rows(spark, d):
-    name = F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", "role", (F.col("conv_id") % 7).cast("string"))), "[^a-z0-9]+", " "))
-    return A.table(spark, d, "conversations").groupBy(name.alias("name")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("role")), ",").alias("roles"))
+    """A bare age at the end of a name goes if that age was seen in the row or the name is known without it; then rows are
+    merged by normal name."""
+    c = F.col("conv_id")
+    age = (30 + c % 40).cast("string")
+    raw = F.concat("role", F.lit(" Member"), (c % 7).cast("string"), F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" "), age)).otherwise(""))
+    p = A.table(spark, d, "conversations").select("role", raw.alias("raw"), F.when(F.col("turn") % 4 == 0, age).alias("age"))
+    return T.merged_persons(p)
 
 
 Z = "1.959963984540054"
