@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import hash128, stored, text_of
 
 #: A quoted line: marks, each with up to one blank before it, then the passage.
-QUOTE = r"^((?:[ \t]?>)+)[ \t]?(.*)$"
+QUOTE = r"(?s)^((?:[ \t]?>)+)[ \t]?(.*)$"
 
 
 def passage_key(line: Column) -> Column:

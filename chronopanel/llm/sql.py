@@ -63,7 +63,7 @@ from (select *, {canonical("text")} as c from docs) d left join known k on k.dig
 
 
 KEY = r"trim(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
-QUOTE = r"^((?:[ \t]?>)+)[ \t]?(.*)$"
+QUOTE = r"(?s)^((?:[ \t]?>)+)[ \t]?(.*)$"
 
 CHAT = rf"""
 with recursive msgs as (select conv_id, turn, role, coalesce(text, '') as text from conversations),

@@ -94,13 +94,8 @@ def test_ratio_rejects_what_trusted_text_lacks(spark):
     assert quality.quality_rules(docs_of(spark, []), trusted).count() == 0
 
 
-def test_verdict_matches_brute_force(spark):
-    r = random.Random(18)
-    texts = [" ".join(r.choice("alpha beta gamma delta epsilon zeta eta the of".split()) + r.choice(["", "", ",", "!?"]) for _ in range(r.randrange(5, 80))) for _ in range(50)]
-    texts += [" ".join(r.choice("buy now $$$ click *** win <<".split()) for _ in range(40)) for _ in range(12)] + [None, "", "Straße ÉTÉ x_1 " * 5]
-    trusted_ids = list(range(0, 40, 3))
-    docs = docs_of(spark, texts).withColumn("__words", F.lit("mine")).withColumn("__lines", F.lit(2))
-    rows = quality.quality_rules(docs, spark.createDataFrame([(i,) for i in trusted_ids], "doc_id long")).collect()
+def brute_scores(spark, texts, trusted_ids):
+    """Mean log ratios with Spark's hash of each n-gram, all else in plain Python."""
     import regex
 
     grams = []
@@ -114,11 +109,28 @@ def test_verdict_matches_brute_force(spark):
     raw, good = Counter(bucket[g] for gs in grams for g in gs), Counter(bucket[g] for i in trusted_ids for g in grams[i])
     p = {b: (raw[b] + 1) / (sum(raw.values()) + 10_000) for b in bucket.values()}
     q = {b: (good[b] + 1000 * p[b]) / (sum(good.values()) + 1000) for b in p}
+    return [sum(math.log(q[bucket[g]] / p[bucket[g]]) for g in gs) / len(gs) if gs else 0.0 for gs in grams]
+
+
+def base_fails(t):
+    w = [x for x in re.split("[\x20\x09-\x0d]+", t or "") if x]
+    seen = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    covered = {j for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+    return len(w) < 10 or 100 * len(covered) > 20 * len(w)
+
+
+def test_verdict_matches_brute_force(spark):
+    r = random.Random(18)
+    texts = [" ".join(r.choice("alpha beta gamma delta epsilon zeta eta the of".split()) + r.choice(["", "", ",", "!?"]) for _ in range(r.randrange(5, 80))) for _ in range(50)]
+    texts += [" ".join(r.choice("buy now $$$ click *** win <<".split()) for _ in range(40)) for _ in range(12)] + [None, "", "Straße ÉTÉ x_1 " * 5]
+    trusted_ids = list(range(0, 40, 3))
+    docs = docs_of(spark, texts).withColumn("__words", F.lit("mine")).withColumn("__lines", F.lit(2))
+    rows = quality.quality_rules(docs, spark.createDataFrame([(i,) for i in trusted_ids], "doc_id long")).collect()
+    scores = brute_scores(spark, texts, trusted_ids)
     assert len(rows) == len(texts) and any(x.kept for x in rows) and any(not x.kept and not x.base_failed for x in rows)
     for x in rows:
-        gs = grams[x.doc_id]
-        score = sum(math.log(q[bucket[g]] / p[bucket[g]]) for g in gs) / len(gs) if gs else 0.0
-        assert math.isclose(x.llr_score, score, abs_tol=1e-9) and x.kept == (not x.base_failed and score >= -0.4)
+        score = scores[x.doc_id]
+        assert math.isclose(x.llr_score, score, abs_tol=1e-9) and x.base_failed == base_fails(texts[x.doc_id]) and x.kept == (not x.base_failed and score >= -0.4)
         assert (x.__getitem__("__words"), x.__getitem__("__lines")) == ("mine", 2)
 
 
@@ -281,6 +293,65 @@ def test_quotes_link_to_the_earliest_message(spark):
     assert got[(2, 0)] == (None, 0, 0, "") and got[(2, 1)] == (None, 1, 0, "x")
 
 
+def brute_links(rows):
+    """link_quotes in plain Python: {(conv, turn): (reply_to, root, depth, n_quoted, n_linked)} and bodies by row."""
+    quote = re.compile(r"(?s)^((?:[ \t]?>)+)[ \t]?(.*)$")
+    key = lambda x: " ".join(re.findall(r"[^\W_]+", x.lower()))
+    copies, own, quoted, bodies = Counter(), {}, defaultdict(Counter), []
+    for conv, turn, _, text in rows:
+        copies[conv, turn] += 1
+        lines = re.split(r"\r?\n", text or "")
+        marks = [quote.match(x) for x in lines]
+        for x, m in zip(lines, marks, strict=True):
+            if m and key(m[2]):
+                quoted[conv, turn][m[1].count(">"), key(m[2])] += 1
+            elif not m and key(x):
+                own[conv, key(x)] = min(own.get((conv, key(x)), turn), turn)
+        bodies.append("\n".join(x for x, m in zip(lines, marks, strict=True) if not m) if any(marks) else text or "")
+    up, linked = {}, Counter()
+    for (conv, turn), held in quoted.items():
+        votes = Counter()
+        for (level, k), n in held.items():
+            if own.get((conv, k), turn) < turn:
+                votes[level, own[conv, k]] += n
+                linked[conv, turn] += n
+        if votes:
+            up[conv, turn] = max(votes, key=lambda v: (-v[0], votes[v], v[1]))[1]
+    out = {}
+    for conv, turn in copies:
+        at, depth = turn, 0
+        while (conv, at) in up:
+            at, depth = up[conv, at], depth + 1
+        n = copies[conv, turn]
+        out[conv, turn] = (up.get((conv, turn)), at, depth, sum(quoted[conv, turn].values()) // n, linked[conv, turn] // n)
+    return out, bodies
+
+
+def test_threads_match_brute_force(spark):
+    r = random.Random(19)
+    rows = []
+    for conv, turns in ((1, 30), (2, 12), (3, 250), (4, 1), (5, 40)):
+        texts = []
+        for turn in range(turns):
+            lines = [sentence(r, r.randrange(1, 6)) for _ in range(r.randrange(0, 4))]
+            if r.random() < 0.1:
+                lines.append("me too")  # a line that many messages hold
+            if texts and r.random() < 0.8:
+                source = r.choice(texts[-8:]).split("\n")
+                part = source[: r.randrange(0, len(source) + 1)]
+                part = [r.choice([x, x.upper(), x + "!", "  " + x]) for x in part]
+                lines = [r.choice(["> ", ">", " > "]) + x for x in part] + [r.choice(["someone wrote:", ""])] + lines
+            texts.append(r.choice(["\n", "\n", "\r\n"]).join(lines))
+            rows.append((conv, turn, r.choice(["user", "assistant"]), texts[-1]))
+    rows += [(6, 0, "user", None), (6, 1, "user", ""), (6, 2, "user", ">"), (6, 3, "user", "> \n>> x"), (6, 4, "u", "x"), rows[5], rows[5], rows[20]]
+    want, bodies = brute_links(rows)
+    assert sum(v[0] is not None for v in want.values()) > 150 and max(v[2] for v in want.values()) > 3
+    out = chat.in_reply_order(chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("up", F.lit("mine")))).collect()
+    assert len(out) == len(rows) and Counter((x.conv_id, x.turn, x.role, x.body) for x in out) == Counter((c, t, role, b) for (c, t, role, _), b in zip(rows, bodies, strict=True))
+    for x in out:
+        assert (x.reply_to, x.root_turn, x.depth, x.n_quoted, x.n_linked) == want[x.conv_id, x.turn], (x.conv_id, x.turn)
+
+
 # decontamination
 
 
@@ -577,6 +648,82 @@ def test_empty_tables(spark):
     assert lm_score.score_documents(none).count() == 0
     assert license_scan.scan_licenses(none, license_scan.known_licenses(spark)).count() == 0
     assert chat.link_quotes(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
+    assert bpe.encode_digests(none, __import__("public_tokenizers").path("byte_bpe_50k.json")).count() == 0
+    items = spark.createDataFrame([(1, "a question of some words. An answer.")], "item_id long, text string")
+    assert decontaminate.contamination(none, items).count() == 0 and decontaminate.without_leaks(none, items).count() == 0
+    assert quality.base_counts(none).count() == 0 and line_dedup.drop_repeated_lines(none).count() == 0
+
+
+def pipeline_tables(spark, folder, texts, items, good, ids=None):
+    docs = docs_of(spark, texts, ids).select("doc_id", "text", F.lit("en").alias("lang"), F.lit("src0").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([*enumerate(items)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in good], "doc_id long, quality long, toxic long").write.parquet(f"{folder}/labels.parquet")
+    return docs
+
+
+def test_pipeline_matches_brute_force_stage_by_stage(spark, tmp_path):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    r = random.Random(20)
+    items = [sentence(r, 20) + ". " + sentence(r, 8) + "." for _ in range(6)]
+    common_line = "This line stands in many documents and says nothing at all"
+    texts = [sentence(r, r.randrange(40, 160)) for _ in range(40)]
+    texts = [t + ("\n" + common_line if k % 3 == 0 else "") for k, t in enumerate(texts)]
+    texts += [texts[0] + " one more", texts[4], " ".join(texts[7].split(" ")[2:]), sentence(r, 60) + " " + items[2] + " " + sentence(r, 50), "too short", None, "", "spam spam spam eggs eggs " * 20]
+    texts += [" ".join(r.choice("buy now $$$ click *** win <<".split()) for _ in range(40)) for _ in range(6)]
+    folder = str(tmp_path / "tables")
+    docs = pipeline_tables(spark, folder, texts, items, range(44))
+    library = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    scores = brute_scores(spark, texts, range(44))
+    now = {i: t for i, t in enumerate(texts) if not base_fails(t) and scores[i] >= -0.4}
+    assert 40 <= len(now) < len(texts)
+    key = lambda x: x.strip(WS).translate(str.maketrans(common.UPPER, common.LOWER))
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.stored(stage(spark, docs, folder), name)
+        if name == "line_dedup":
+            held = defaultdict(set)
+            for i, t in now.items():
+                for line in t.split("\n"):
+                    if len(key(line)) >= 40:
+                        held[key(line)].add(i)
+            now = {i: "\n".join(x for x in t.split("\n") if len(held[key(x)]) < 5 or max(held[key(x)]) == i) for i, t in now.items()}
+        elif name == "near_dedup":
+            ids = list(now)
+            root = brute_classes([now[i] for i in ids])
+            now = {i: now[i] for k, i in enumerate(ids) if root[k] == k}
+        elif name == "decontamination":
+            ids = list(now)
+            bad = {ids[d] for d, _ in brute_leaks([now[i] for i in ids], items)}
+            assert bad
+            now = {i: t for i, t in now.items() if i not in bad}
+        if name == "bpe_encoding":
+            for x in out.collect():
+                got = library.encode(now[x.doc_id], add_special_tokens=False).ids
+                assert (x.n_tokens, x.ids_sha256) == (len(got), sha(",".join(map(str, got)).encode()))
+                assert x.decoded_sha256 == sha(library.decode(got, skip_special_tokens=False).encode())
+            assert sorted(x.doc_id for x in out.collect()) == sorted(now)
+        else:
+            assert {x.doc_id: x.text for x in out.collect()} == now and out.columns == docs.columns
+        docs = out
+
+
+def test_pipeline_of_odd_rows_and_of_none(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(21)
+    text = sentence(r, 120)
+    texts = [None, "", text, text, text, sentence(r, 100), " \n\t", sentence(r, 30) * 300]
+    ids = [1, 2, 3, 3, None, None, 4, 5]
+    folder = str(tmp_path / "odd")
+    pipeline_tables(spark, folder, texts, [], [3, 5], ids)
+    assert Counter(x.doc_id for x in corpus_pipeline.run(spark, folder).collect()) == Counter([3, 3, None, None, 5])
+    folder = str(tmp_path / "none")
+    pipeline_tables(spark, folder, [], [], [])
+    assert corpus_pipeline.run(spark, folder).count() == 0
 
 
 def test_pipeline_keeps_documents_columns(spark):
