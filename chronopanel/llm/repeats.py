@@ -15,7 +15,7 @@ from .grouping_sort import suffix_array
 
 #: Bytes that make a repeat; bytes of an anchor; bytes of a block, which divides WIDTH.
 WIDTH, ANCHOR, STEP = 400, 32, 40
-#: Words that make a shared passage, and words of its anchor. Both anchors' lengths are powers of two.
+#: Words that make a passage, and words of its anchor. Both anchors' lengths are powers of two.
 PASSAGE, GRAM = 50, 8
 #: Bytes handled at a time in a task (arrays stay in the cache), and symbols of one suffix array.
 CHUNK, SYMBOLS = 1 << 18, 200_000
@@ -23,11 +23,8 @@ ROWS = 1000
 #: Different strings of one anchor that a task may hold; anchors with more are cut into finer keys first.
 GROUP = 20_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-RUN = "ra long, rb long, w boolean, lo int, h long, a int, n int, ca long, cb long"
-KEY = ["w", "h", "a", "n", "ca", "cb"]
-KEY_TYPES = "w boolean, h long, a int, n int, ca long, cb long"
-#: Columns of the first and last document that a run occurs in.
-DOCS = ["fa", "fb", "la", "lb"]
+RUN = "ra long, rb long, lo int, h long, a int, n int, ca long, cb long"
+KEY = ["h", "a", "n", "ca", "cb"]
 IS_SPACE = np.isin(np.arange(256), [ord(c) for c in SPACES])
 
 
@@ -96,48 +93,53 @@ def _runs(part: list[tuple[int, int, bytes]], width: int):
         yield i, lo + s - int(begins[o]), k, a, e - s, data[s : e - 1 + width]
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and 64-bit hashes of the words of a text; words hold anything but ASCII white space."""
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First places, places after the end, and 64-bit hashes of the words of a text: runs of anything but ASCII white space."""
     raw = np.frombuffer(data, np.uint8)
     inside = ~IS_SPACE[raw]
-    starts = np.flatnonzero(inside & np.r_[True, ~inside[:-1]])
+    starts, ends = np.flatnonzero(inside & np.r_[True, ~inside[:-1]]), np.flatnonzero(inside & np.r_[~inside[1:], True]) + 1
     if not len(starts):
-        return starts, np.empty(0, np.uint64)
-    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.r_[starts, len(raw)])) if starts[0] == 0 else np.arange(len(raw)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(raw)]))
+        return starts, ends, np.empty(0, np.uint64)
+    lead = np.r_[0, starts] if starts[0] else starts
+    place = np.arange(len(raw)) - np.repeat(lead, np.diff(np.r_[lead, len(raw)]))
     v = (raw.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(1)) * M1
     v ^= v >> np.uint64(29)
     v *= M2
     v[~inside] = 0
     v = np.add.reduceat(v, starts)
-    return starts, v ^ (v >> np.uint64(31))
+    return starts, ends, v ^ (v >> np.uint64(31))
 
 
-def word_runs(texts: list[bytes]):
-    """(text, lo, h, a, n, word hashes) like runs(), for windows of PASSAGE words."""
-    part: list[tuple[int, bytes]] = []
-    held = 0
+def left_runs(texts: list[bytes], covers: list[list[list[int]]]) -> tuple[np.ndarray, ...]:
+    """Text number, first window, anchor hash and number of windows of runs of PASSAGE-word windows with one anchor, of
+    words that touch no byte of the covers [from, to). Windows are numbered by their first word in the text."""
+    found, lo, held = [], 0, 0
     for i, t in enumerate(texts):
-        if len(t) >= 2 * PASSAGE - 1:
-            part.append((i, t))
-            held += len(t)
-        if held >= CHUNK:
-            yield from _word_runs(part)
-            part, held = [], 0
-    if part:
-        yield from _word_runs(part)
-
-
-def _word_runs(part: list[tuple[int, bytes]]):
-    starts, hashes = word_hashes(b" ".join(t for _, t in part))
-    if len(hashes) < PASSAGE:
-        return
-    ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for _, t in part]))
-    begins = np.r_[0, ends[:-1]]
-    at, x = anchors(hashes, GRAM, PASSAGE)
-    starts, last, owner = _split(at, begins, ends, PASSAGE)
-    h = (x[at[starts]] ^ M2).view(np.int64)
-    for s, e, o, a, k in zip(starts.tolist(), last.tolist(), owner.tolist(), (at[starts] - starts).tolist(), h.tolist(), strict=True):
-        yield part[o][0], s - int(begins[o]), k, a, e - s, hashes[s : e - 1 + PASSAGE].tobytes()
+        held += len(t)
+        if held >= CHUNK or i == len(texts) - 1:
+            found.append(_left_runs(texts[lo : i + 1], covers[lo : i + 1], lo))
+            lo, held = i + 1, 0
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _left_runs(texts, covers, number: int) -> tuple[np.ndarray, ...]:
+    starts, ends, hashes = word_hashes(b" ".join(texts))
+    at = np.r_[0, np.cumsum([len(t) + 1 for t in texts])]
+    first = np.searchsorted(starts, at)
+    parts = []  # text, first word, last word + 1
+    for i, cover in enumerate(covers):
+        w, e = int(first[i]), int(first[i + 1])
+        for u, v in cover:
+            parts.append((i, w, int(np.searchsorted(ends, at[i] + u, "right"))))
+            w = max(w, int(np.searchsorted(starts, at[i] + v)))
+        parts.append((i, w, e))
+    parts = np.array([p for p in parts if p[2] - p[1] >= PASSAGE], np.int64).reshape(-1, 3)
+    if not len(parts):
+        return tuple(np.empty(0, t) for t in (np.int64, np.int32, np.int64, np.int32))
+    where, x = anchors(hashes, GRAM, PASSAGE)
+    s, last, owner = _split(where, parts[:, 1], parts[:, 2], PASSAGE)
+    text = parts[owner, 0]
+    return text + number, (s - first[text]).astype(np.int32), x[where[s]].view(np.int64), (last - s).astype(np.int32)
 
 
 def digest(data: bytes) -> tuple[int, int]:
@@ -300,29 +302,37 @@ def resolve(contexts: DataFrame, width: int, group: int, bins: int = 16) -> Data
     return small.unionByName(back.groupBy(*key).agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
 
-def _shared_windows(contexts: DataFrame) -> DataFrame:
-    """(KEY, spans): starts of word runs (KEY, data, first and last document) whose window stands in two documents."""
+def _shared_words(kept: DataFrame, rows: DataFrame) -> DataFrame:
+    """(ra, rb, n): words of what is left of documents in passages that what is left of another one holds as well.
 
-    def run(batches):
+    kept: (ra, rb, h, lo, n) with the word runs as lists, rows: (t, ra, rb). Anchor hashes are counted; the windows of
+    those that two documents have are hashed, from the texts of these documents only, and compared.
+    """
+    left = kept.select("ra", "rb", F.explode(F.arrays_zip("h", "lo", "n")).alias("x")).select("ra", "rb", "x.h", "x.lo", "x.n")
+    several = left.groupBy("h").agg(F.min("ra").alias("p"), F.max("ra").alias("q")).where("p != q").select("h")
+    wanted = left.join(stored(several, "word-anchors"), "h").groupBy("ra", "rb").agg(F.collect_set(F.struct("lo", "n")).alias("want"))
+
+    def windows(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            data, n = batch.column("data").to_pylist(), batch.column("n").to_numpy()
-            row = np.repeat(np.arange(len(n)), n)
-            off = np.concatenate([np.arange(k) for k in n]) if len(n) else row
-            found = [digest(d[8 * k : 8 * (k + PASSAGE)]) for d, m in zip(data, n.tolist(), strict=True) for k in range(m)]
-            taken, rest = pa.array(row, pa.int64()), ["off", "wa", "wb"]
-            cols = [batch.column(c).take(taken) for c in [*KEY, *DOCS]]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(off, pa.int32()), *(pa.array([f[c] for f in found], pa.int64()) for c in (0, 1))], names=[*KEY, *DOCS, *rest])
-
-    rows = contexts.select(*KEY, *DOCS, "data").mapInArrow(run, f"{KEY_TYPES}, fa long, fb long, la long, lb long, off int, wa long, wb long")
-    rows = stored(rows, "word-windows")
-    ends = rows.groupBy("wa", "wb").agg(F.min(F.struct("fa", "fb")).alias("lo"), F.max(F.struct("la", "lb")).alias("hi"))
-    several = stored(ends.where("lo != hi").select("wa", "wb"), "shared-windows")
-    held = rows.join(several, ["wa", "wb"]).groupBy(*KEY).agg(F.sort_array(F.collect_list("off")).alias("o"))
-    # from single starts to runs of starts: one row of a context has at most as many as its anchor has windows
-    first, last = F.expr("filter(o, (x, i) -> i = 0 or o[i - 1] < x - 1)"), F.expr("filter(o, (x, i) -> i = size(o) - 1 or o[i + 1] > x + 1)")
-    return held.select(*KEY, F.zip_with(first, last, lambda u, v: F.struct(u.alias("u"), v.alias("v"))).alias("spans"))
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            row, off, found = [], [], []
+            for i, (text, want) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                data = word_hashes(text)[2].tobytes()
+                places = [k for w in want for k in range(w["lo"], w["lo"] + w["n"])]
+                row += [i] * len(places)
+                off += places
+                found += [digest(data[8 * k : 8 * (k + PASSAGE)]) for k in places]
+            taken = pa.array(row, pa.int64())
+            cols = [batch.column(2).take(taken), batch.column(3).take(taken), pa.array(off, pa.int32()), *(pa.array([f[c] for f in found], pa.int64()) for c in (0, 1))]
+            yield pa.RecordBatch.from_arrays(cols, names=["ra", "rb", "k", "wa", "wb"])
+
+    texts = rows.select("t", "ra", "rb").join(stored(wanted, "word-runs"), ["ra", "rb"]).select("t", "want", "ra", "rb")
+    hashed = stored(texts.mapInArrow(windows, "ra long, rb long, k int, wa long, wb long"), "word-windows")
+    both = hashed.groupBy("wa", "wb").agg(F.min("ra").alias("p"), F.max("ra").alias("q")).where("p != q").select("wa", "wb")
+    k = hashed.join(stored(both, "shared-windows"), ["wa", "wb"]).groupBy("ra", "rb").agg(F.sort_array(F.collect_set("k")).alias("k"))
+    steps = F.zip_with(F.slice("k", 1, F.size("k") - 1), F.slice("k", 2, F.size("k") - 1), lambda x, y: F.least(F.lit(PASSAGE), y - x))
+    return k.select("ra", "rb", F.aggregate(steps, F.lit(PASSAGE), lambda n, s: n + s).cast("long").alias("n"))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -345,14 +355,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows shared by strings that differ elsewhere. Nothing is assembled per hot anchor but one string of each kind, and
     anchors with over ``group`` kinds are cut into finer ones.
 
-    n_shared_words counts the words (white space stripped) in passages of at least PASSAGE words that another document
-    holds as well: such a passage may have under ``width`` bytes and then stays. Its windows are found by anchors and runs
-    in the same passes; windows of runs that differ elsewhere are compared by their hashes.
+    A passage of many words can have under ``width`` bytes; such passages stay, and n_shared_words counts their words: of
+    the words that touch no removed byte, those in unbroken runs of PASSAGE words or more that another document holds as
+    well (white space between words may differ). has_repeat says whether anything was removed or counted there.
 
-    Returns (id_col, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words) and, if asked for, ``kept`` (binary: a cut
-    can fall into a character). Strings are judged on the input, matches don't cross rows, overlaps count, repeated rows
-    and rows with one id are texts like any other (rows equal in id and text are one document for n_shared_words). Null
-    and empty text: 0 bytes. A table without rows gives none; other columns are ignored.
+    Returns (id_col, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words, has_repeat) and, if asked for, ``kept``
+    (binary: a cut can fall into a character). Strings are judged on the input, matches don't cross rows, overlaps count,
+    repeated rows and rows with one id are texts like any other (for n_shared_words, rows equal in id and text are one
+    document). Null and empty text: 0 bytes. A table without rows gives none; other columns are ignored.
     """
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("t"), F.xxhash64(id_col, text_col).alias("ra"), F.xxhash64(F.lit(41), id_col, text_col).alias("rb"))
@@ -360,79 +370,75 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def found(batches):
         import pyarrow as pa
 
-        types = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                texts, ra, rb = (c.to_pylist() for c in batch.slice(at, ROWS).columns)
-                for word, some in ((False, runs(texts, width)), (True, word_runs(texts))):
-                    while out := [(ra[i], rb[i], word, lo, h, a, n, *digest(data)) for i, lo, h, a, n, data in islice(some, 50_000)]:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in RUN.split(", ")])
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            texts, ra, rb = (c.to_pylist() for c in batch.columns)
+            some = runs(texts, width)
+            while out := [(ra[i], rb[i], lo, h, a, n, *digest(data)) for i, lo, h, a, n, data in islice(some, 50_000)]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in RUN.split(", ")])
 
     def packed(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                z = pa.array([zlib.compress(t, 1) for t in part.column(0).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([z, part.column(1), part.column(2), part.column(3)], names=["z", "ra", "rb", "id"])
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            z = pa.array([zlib.compress(t, 1) for t in batch.column(0).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([z, batch.column(1), batch.column(2), batch.column(3)], names=["z", "ra", "rb", "id"])
 
-    every = stored(rows.where(F.octet_length("t") >= min(width, 2 * PASSAGE - 1)).select("t", "ra", "rb").mapInArrow(found, RUN), "all-runs")
+    every = stored(rows.where(F.octet_length("t") >= width).select("t", "ra", "rb").mapInArrow(found, RUN), "all-runs")
     z = rows.select("t", "ra", "rb", "id").mapInArrow(packed, f"z binary, ra long, rb long, id {kind}")
     twice = stored(every.select("h").groupBy("h").count().where("count > 1").select("h"), "anchors")
     again = stored(every.join(twice, "h"), "runs")
-    kinds = again.groupBy(*KEY).agg(F.count("*").alias("m"), F.min(F.struct("ra", "rb", "lo")).alias("one"), F.max(F.struct("ra", "rb")).alias("last"))
-    # a byte run repeats if it occurs twice, a word run if it occurs in two documents
-    repeats = F.when(F.col("w"), (F.col("one.ra") != F.col("last.ra")) | (F.col("one.rb") != F.col("last.rb"))).otherwise(F.col("m") > 1)
-    kinds = stored(kinds.withColumn("settled", repeats), "kinds")
-    mixed = stored(kinds.groupBy("h").agg(F.count("*").alias("k"), F.min("settled").alias("all")).where("k > 1 and not all").select("h"), "mixed")
-    wanted = kinds.join(mixed, "h").groupBy(F.col("one.ra").alias("ra"), F.col("one.rb").alias("rb")).agg(F.collect_list(F.struct(*KEY, F.col("one.lo").alias("lo"), F.col("last.ra").alias("la"), F.col("last.rb").alias("lb"))).alias("want"))
+    kinds = stored(again.groupBy(*KEY).agg(F.count("*").alias("m"), F.min(F.struct("ra", "rb", "lo")).alias("one")), "kinds")
+    mixed = stored(kinds.groupBy("h").agg(F.count("*").alias("k"), F.min("m").alias("least")).where("k > 1 and least = 1").select("h"), "mixed")
+    wanted = kinds.join(mixed, "h").groupBy(F.col("one.ra").alias("ra"), F.col("one.rb").alias("rb")).agg(F.collect_list(F.struct(*KEY, F.col("one.lo").alias("lo"))).alias("want"))
 
     def context(batches):
         import pyarrow as pa
 
-        types = (pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
         for batch in batches:
             for i in range(batch.num_rows):
                 text = zlib.decompress(batch.column(0)[i].as_py())
                 want = batch.column(1)[i].as_py()
-                hashes = word_hashes(text)[1].tobytes() if any(w["w"] for w in want) else b""
-                cols = [pa.array([w[c] for w in want], t) for c, t in zip([*KEY, "la", "lb"], types, strict=True)]
-                data = [hashes[8 * w["lo"] : 8 * (w["lo"] + w["n"] - 1 + PASSAGE)] if w["w"] else text[w["lo"] : w["lo"] + w["n"] - 1 + width] for w in want]
-                first = [pa.array([batch.column(c)[i].as_py()] * len(want), pa.int64()) for c in (2, 3)]
-                yield pa.RecordBatch.from_arrays([*cols, *first, pa.array(data, pa.binary())], names=[*KEY, "la", "lb", "fa", "fb", "data"])
-
-    contexts = z.join(wanted, ["ra", "rb"]).select("z", "want", "ra", "rb").mapInArrow(context, f"{KEY_TYPES}, la long, lb long, fa long, fb long, data binary")
-    contexts = stored(contexts, "contexts")
-    settled = kinds.where("settled").select(*KEY, F.expr("array(named_struct('u', 0, 'v', n - 1))").alias("spans"))
-    in_bytes = resolve(contexts.where("not w").select(*KEY[1:], "data"), width, group).withColumn("w", F.lit(False)).select(*KEY, "spans")
-    spans = settled.unionByName(in_bytes).unionByName(_shared_windows(contexts.where("w")))
+                cols = [pa.array([w[c] for w in want], t) for c, t in zip(KEY, types, strict=True)]
+                data = pa.array([text[w["lo"] : w["lo"] + w["n"] - 1 + width] for w in want], pa.binary())
+                yield pa.RecordBatch.from_arrays([*cols, data], names=[*KEY, "data"])
+
+    contexts = stored(z.join(wanted, ["ra", "rb"]).select("z", "want").mapInArrow(context, "h long, a int, n int, ca long, cb long, data binary"), "contexts")
+    spans = resolve(contexts, width, group).unionByName(kinds.where("m > 1").select(*KEY, F.expr("array(named_struct('u', 0, 'v', n - 1))").alias("spans")))
     covers = (
         again.join(stored(spans, "spans"), KEY)
-        .select("ra", "rb", F.expr("transform(spans, x -> named_struct('w', w, 'u', lo + x.u, 'v', lo + x.v))").alias("s"))
+        .select("ra", "rb", F.expr("transform(spans, x -> named_struct('u', lo + x.u, 'v', lo + x.v))").alias("s"))
         .groupBy("ra", "rb")
         .agg(F.flatten(F.collect_set("s")).alias("cover"))
     )
-    schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long" + (", kept binary" if with_text else "")
+    result = f"id {kind}, ra long, rb long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
 
     def cut(batches):
         import pyarrow as pa
 
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())[: 5 if with_text else 4]
+        names = [x.split()[0] for x in result.split(", ")]
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            out = []
+            out, texts, spans = [], [], []
             for packed_text, cover in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                text, cover = zlib.decompress(packed_text), cover or ()
-                kept, at, removed = [], 0, 0
-                spans = _merged([(c["u"], c["v"] + width) for c in cover if not c["w"]])
-                for u, v in spans:
-                    kept.append(text[at:u])
-                    removed += v - u
+                texts.append(zlib.decompress(packed_text))
+                spans.append(_merged([(c["u"], c["v"] + width) for c in cover or ()]))
+                kept, at = [], 0
+                for u, v in spans[-1]:
+                    kept.append(texts[-1][at:u])
                     at = v
-                kept = b"".join([*kept, text[at:]])
-                words = sum(v - u for u, v in _merged([(c["u"], c["v"] + PASSAGE) for c in cover if c["w"]]))
-                out.append((len(text), removed, len(spans), hashlib.sha256(kept).hexdigest(), words, kept))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())[: 6 if with_text else 5]
+                kept = b"".join([*kept, texts[-1][at:]])
+                out.append((len(texts[-1]), len(texts[-1]) - len(kept), len(spans[-1]), hashlib.sha256(kept).hexdigest(), kept))
+            text, lo, h, n = left_runs(texts, spans)
+            ends = pa.array(np.searchsorted(text, np.arange(len(texts) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (h, lo, n)]
             cols = [pa.array([r[c] for r in out], t) for c, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words", "kept"][: len(cols) + 1])
-
-    return z.join(covers, ["ra", "rb"], "left").select("id", "z", "cover").mapInArrow(cut, schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(4), *cols, *lists], names=[*names, "h", "lo", "n"])
+
+    done = z.join(covers, ["ra", "rb"], "left").select("id", "z", "cover", "ra", "rb").mapInArrow(cut, result + ", h array<long>, lo array<int>, n array<int>")
+    done = stored(done, "kept")
+    shared = stored(_shared_words(done, rows), "shared-words")
+    words = F.coalesce("n", F.lit(0))
+    more = ["kept"] if with_text else []
+    return done.drop("h", "lo", "n").join(shared, ["ra", "rb"], "left").select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", words.alias("n_shared_words"), ((F.col("n_removed") > 0) | (words > 0)).alias("has_repeat"), *more)

@@ -621,21 +621,39 @@ def test_repeats_match_brute_force(spark, group):
 def test_shared_passages_match_brute_force(spark):
     r = random.Random(14)
     size = repeats.PASSAGE
-    passages = [sentence(r, size + k).split(" ") for k in (0, 3, 20, 90)] + [("x " * (size + 5)).split()]
+    short = lambda n: [r.choice("abcdefgh") + str(r.randrange(99)) for _ in range(n)]
+    passages = [short(size + k) for k in (0, 3, 20, 90)] + [sentence(r, 90).split(" "), ("x " * (size + 5)).split()]
     texts = []
     for _ in range(60):
         p = r.choice(passages)
         lo, hi = r.randrange(0, 8), len(p) - r.randrange(0, 8)
         texts.append(r.choice([" ", "\n", "\t \x0b"]).join([*sentence(r, r.randrange(1, 40)).split(" "), *p[lo:hi], *sentence(r, r.randrange(1, 40)).split(" ")]))
     texts += [None, "", " ", sentence(r, 30), " ".join(sentence(r, size).split(" ") * 2), texts[0], "é" * 5000, "  " + " ".join(passages[3])]
-    words = [re.findall("[^\x20\x09-\x0d]+", t or "") for t in texts]
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(t[i : i + 400] for t in raw for i in range(len(t) - 399))
+    parts = []
+    for t in raw:
+        gone = bytearray(len(t))
+        for i in range(len(t) - 399):
+            if seen[t[i : i + 400]] > 1:
+                gone[i : i + 400] = b"\1" * 400
+        parts.append([[]])
+        for m in re.finditer(rb"[^\x20\x09-\x0d]+", t):
+            if any(gone[m.start() : m.end()]):
+                parts[-1].append([])
+            else:
+                parts[-1][-1].append(m[0])
     held = defaultdict(set)
-    for i, w in enumerate(words):
-        for k in range(len(w) - size + 1):
-            held[tuple(w[k : k + size])].add(i)
+    for i, ws in enumerate(parts):
+        for w in ws:
+            for k in range(len(w) - size + 1):
+                held[tuple(w[k : k + size])].add(i)
+    found = 0
     for x in repeats.remove_repeats(docs_of(spark, texts)).collect():
-        w = words[x.doc_id]
-        assert x.n_shared_words == len({j for k in range(len(w) - size + 1) if len(held[tuple(w[k : k + size])]) > 1 for j in range(k, k + size)}), x.doc_id
+        n = sum(len({j for k in range(len(w) - size + 1) if len(held[tuple(w[k : k + size])]) > 1 for j in range(k, k + size)}) for w in parts[x.doc_id])
+        assert (x.n_shared_words, x.has_repeat) == (n, n > 0 or x.n_removed > 0), x.doc_id
+        found += n > 0
+    assert found > 10
 
 
 # all operators on empty tables, and the pipeline
