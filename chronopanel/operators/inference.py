@@ -125,7 +125,7 @@ def factor_regression(df: DataFrame, series: list[str], order: str, y: str, x1:
     u = F.col("__y") - F.col("__a") - F.col("__b1") * F.col("__x1") - F.col("__b2") * F.col("__x2")
     w1, w2 = (c["s22"] * d1 - c["s12"] * d2) / F.col("__det"), (c["s11"] * d2 - c["s12"] * d1) / F.col("__det")
     terms = {"alpha": (F.col("__a"), 1 - c["m1"] * w1 - c["m2"] * w2), "b1": (F.col("__b1"), w1), "b2": (F.col("__b2"), w2)}
-    long = known.join(m, series).select(*series, order, "r2", F.explode(F.array(*[F.struct(F.lit(k).alias("coef"), v.alias("value"), (u * w).alias("z")) for k, (v, w) in terms.items()])).alias("t")).select(*series, order, "r2", "t.*")
+    long = known.join(m, series).select(*series, order, "r2", F.explode(F.array(*[F.struct(F.lit(k).alias("coef"), v.alias("value"), (u * w).alias("z")) for k, (v, w) in terms.items()])).alias("__t")).select(*series, order, "r2", "__t.*")
     errors = hac(long, [*series, "coef"], order, "z").select(*series, "coef", "n", "lag", "se")
     values = long.groupBy(*series, "coef").agg(F.max("value").alias("value"), F.max("r2").alias("r2")).join(errors, [*series, "coef"])
     pick = lambda k, v: F.max(F.when(F.col("coef") == k, v))

@@ -219,7 +219,7 @@ def i02_ingest_ledger(spark, d):
     ledger, ck = scratch(spark, "ledger"), scratch(spark, "ck")
     stream = feeds.file_stream(spark, path, schema, 3).withColumn("day", F.to_date("ts"))
     feeds.ingest_ledger(stream, ledger, ck, ["day", "event_type"])
-    return spark.read.schema("day date, event_type string").parquet(ledger)
+    return spark.read.schema("day date, event_type string").parquet(ledger).select("day", "event_type")
 
 
 @query("select user_id, event_id, ts from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k = 1 and date_diff('day', cast(ts as date), (select max(cast(ts as date)) from events)) < 30")
@@ -232,14 +232,16 @@ def i03_newest_wins(spark, d):
 
 
 def drained(spark, d, window: str, slide: str | None, view: str) -> DataFrame:
-    """Event-time counts through the engine's state store, drained into a table of the shared folder."""
+    """Event-time counts through the engine's state store. Each batch adds the counts that it moved; windows that the
+    watermark has passed leave the state. Of a window the counts of the last batch stand."""
     path, schema = day_files(spark, d)
     out, ck = scratch(spark, "windows"), scratch(spark, "ck")
-    counts = feeds.windowed_counts(feeds.file_stream(spark, path, schema, 1000), "ts", "event_type", window, slide, "60 days")
+    counts = feeds.windowed_counts(feeds.file_stream(spark, path, schema, 3), "ts", "event_type", window, slide, "60 days")
     flat = counts.select(F.to_date("window.start").alias("day"), F.to_date("window.end").alias("until"), "event_type", "n")
-    q = flat.writeStream.outputMode("complete").foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/{view}")).option("checkpointLocation", ck).trigger(availableNow=True).start()
+    q = flat.writeStream.outputMode("update").foreachBatch(lambda df, i: feeds._put(df, f"{out}/{view}", i)).option("checkpointLocation", ck).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("day date, until date, event_type string, n long").parquet(f"{out}/{view}")
+    moved = spark.read.schema("day date, until date, event_type string, n long, batch long").parquet(f"{out}/{view}")
+    return moved.groupBy("day", "until", "event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
 @query("select cast(ts as date) as day, event_type, count(*) as n from events group by 1, 2")
@@ -270,8 +272,8 @@ def i07_checkpointed_resume(spark, d):
     rows = spark.read.schema(schema).parquet(a)
     for part in ("event_id % 2 = 0", "event_id % 2 = 1"):
         rows.where(part).write.mode("append").parquet(stage)
-        feeds.run_now(feeds.file_stream(spark, stage, schema, 100).select("event_id", "event_type"), lambda df, _: sinks.append_new_rows(df, table), ck)
-    return spark.read.schema("event_id long, event_type string").parquet(table)
+        feeds.append_batches(feeds.file_stream(spark, stage, schema, 100).select("event_id", "event_type"), table, ck)
+    return spark.read.schema("event_id long, event_type string").parquet(table).select("event_id", "event_type")
 
 
 @query("select event_id, score, case when score <> sealed then 'rejected' when not due then 'early' else 'scored' end as status from (select event_id, round(value, 2) as sealed, case when event_id % 11 = 0 then round(value, 2) + 1 else round(value, 2) end as score, ts < timestamp '2024-01-20' as due from events)")

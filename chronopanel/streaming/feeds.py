@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.sinks import append_new_rows
-
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -18,20 +16,31 @@ def run_now(stream: DataFrame, on_batch, checkpoint: str) -> None:
     q.awaitTermination()
 
 
+def _put(df: DataFrame, table: str, batch: int) -> None:
+    """A batch of rows in a folder of its own: a replayed batch overwrites itself, and no batch reads what others wrote."""
+    df.write.mode("overwrite").parquet(f"{table}/batch={batch}")
+
+
+def append_batches(stream: DataFrame, table: str, checkpoint: str) -> None:
+    """Append every row that arrives, batch by batch."""
+    run_now(stream, lambda df, i: _put(df, table, i), checkpoint)
+
+
 def collect_window(stream: DataFrame, table: str, late: str, checkpoint: str, ts: str, last_poll: str, snapshot: str) -> None:
-    """Append rows timed in (last_poll, snapshot] to ``table``, without rows it has; others, and untimed ones, go to ``late``."""
+    """Append rows timed in (last_poll, snapshot] to ``table``; others, and untimed ones, go to ``late``. Repeated rows come
+    once: the state store knows the rows that were seen, so the work of a batch does not grow with the table."""
     inside = F.col(ts).isNotNull() & (F.col(ts) > F.lit(last_poll).cast("timestamp")) & (F.col(ts) <= F.lit(snapshot).cast("timestamp"))
 
-    def on_batch(df: DataFrame, _: int) -> None:
-        append_new_rows(df.where(inside), table)
-        append_new_rows(df.where(~F.coalesce(inside, F.lit(False))), late)
+    def on_batch(df: DataFrame, batch: int) -> None:
+        _put(df.where(inside), table, batch)
+        _put(df.where(~F.coalesce(inside, F.lit(False))), late, batch)
 
-    run_now(stream, on_batch, checkpoint)
+    run_now(stream.dropDuplicates(), on_batch, checkpoint)
 
 
 def ingest_ledger(stream: DataFrame, ledger: str, checkpoint: str, keys: list[str]) -> None:
-    """One row per distinct key of arrivals, once, however often they arrive."""
-    run_now(stream.select(*keys), lambda df, _: append_new_rows(df.distinct(), ledger), checkpoint)
+    """One row per distinct key of arrivals, once, however often they arrive; keys that were seen are in the state store."""
+    append_batches(stream.select(*keys).dropDuplicates(), ledger, checkpoint)
 
 
 def newest_wins(parts: DataFrame, key: str, ts: str, *ties: str, keep_days: int | None = None) -> DataFrame:
@@ -46,7 +55,7 @@ def newest_wins(parts: DataFrame, key: str, ts: str, *ties: str, keep_days: int
 
 def merge_newest(stream: DataFrame, table: str, checkpoint: str) -> None:
     """Append every version that arrives; readers take newest_wins. Merging on read keeps batches cheap and replays harmless."""
-    run_now(stream, lambda df, _: append_new_rows(df, table), checkpoint)
+    append_batches(stream, table, checkpoint)
 
 
 def windowed_counts(stream: DataFrame, ts: str, key: str, window: str = "1 day", slide: str | None = None, late: str = "2 days") -> DataFrame:

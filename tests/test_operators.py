@@ -112,3 +112,135 @@ def test_text_functions(spark):
         T.seen_date(F.lit("20240102T030405Z")).alias("s"), T.seen_date(F.lit("x")).alias("b"), T.strip_markup(F.lit("<p>a &amp; b<script>x</script></p>")).alias("m"),
     ).first()
     assert r.n == "FOO BAR" and r.g and r.i == ["1.01", "2.02"] and r.s == "2024-01-02T03:04:05Z" and r.b == "" and r.m == "a & b"
+
+
+def test_factor_regression_matches_a_direct_computation(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    n = 90
+    x1, x2 = r.normal(0, 1, n), r.normal(0, 2, n)
+    u = np.convolve(r.normal(0, 1, n + 2), [1, 0.6, 0.3], "valid")
+    y = 0.4 + 1.5 * x1 - 0.7 * x2 + u
+    rows = [("a", i, float(y[i]), float(x1[i]), float(x2[i])) for i in range(n)] + [("a", n, None, 1.0, 1.0), ("b", 0, 1.0, 2.0, 3.0), ("b", 1, 1.0, 2.0, 3.0)]
+    out = inference.factor_regression(spark.createDataFrame(rows, "k string, t int, y double, x1 double, x2 double"), ["k"], "t", "y", "x1", "x2").collect()
+    assert [x.k for x in out] == ["a"]  # b has no spread
+    z = np.c_[np.ones(n), x1, x2]
+    inverse = np.linalg.inv(z.T @ z)
+    beta = inverse @ z.T @ y
+    e, lag = (y - z @ beta)[:, None] * z, 3
+    s = e.T @ e + sum((1 - k / (lag + 1)) * (e[k:].T @ e[:-k] + e[:-k].T @ e[k:]) for k in range(1, lag + 1))
+    se = np.sqrt(np.diag(inverse @ s @ inverse))
+    assert out[0].lag == lag and np.allclose([out[0].alpha, out[0].b1, out[0].b2], beta) and np.allclose([out[0].alpha_se, out[0].b1_se, out[0].b2_se], se)
+    assert abs(out[0].r2 - (1 - (y - z @ beta).var() / y.var())) < 1e-9
+
+
+def test_rolling_beta_equals_covariance_over_variance(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    rows = [("a", day(i), None if i % 7 == 3 else float(r.normal(0, 0.02)), float(r.normal(0, 0.01))) for i in range(60)]
+    out = rolling.with_beta(spark.createDataFrame(rows, "ticker string, date date, ret double, mkt double"), "b", 20, 10).orderBy("date").collect()
+    for i, x in enumerate(out):
+        held = [(a, b) for _, _, a, b in rows[max(0, i - 19) : i + 1] if a is not None]
+        if len(held) < 10:
+            assert x.b is None
+        else:
+            a, b = np.array(held).T
+            assert abs(x.b - np.cov(a, b)[0, 1] / b.var(ddof=1)) < 1e-9
+
+
+def test_normal_quantile_inverts_the_distribution(spark):
+    from statistics import NormalDist
+
+    ps = [1e-9, 0.001, 0.02, 0.3, 0.5, 0.77, 0.99, 1 - 1e-6]
+    rows = spark.createDataFrame([(p,) for p in [*ps, 0.0, 1.0]], "p double").selectExpr("p", f"{inference.normal_quantile('p')} as z").collect()
+    assert all(abs(x.z - NormalDist().inv_cdf(x.p)) < 1e-6 if 0 < x.p < 1 else x.z is None for x in rows)
+
+
+def test_half_splits_rank_the_best_inside_outside(spark):
+    import itertools
+
+    r, blocks = [[0.3, 0.1, -0.2, 0.4], [0.2, 0.2, 0.1, 0.0], [-0.1, 0.5, 0.3, -0.4]], 4
+    rows = [(f"k{i}", b, v) for i, vs in enumerate(r) for b, v in enumerate(vs)]
+    out = {x["mask"]: (x.ticker, x.place, x.low, x.s) for x in inference.half_splits(spark.createDataFrame(rows, "ticker string, b int, ret double"), "b", blocks).collect()}
+    assert len(out) == 6
+    for inside in itertools.combinations(range(blocks), 2):
+        ins = [sum(vs[b] for b in inside) for vs in r]
+        oos = [sum(v for b, v in enumerate(vs) if b not in inside) for vs in r]
+        best = ins.index(max(ins))
+        assert out[sum(1 << b for b in inside)] == (f"k{best}", 1 + sum(o > oos[best] + 1e-12 for o in oos), 1 + sum(o < oos[best] - 1e-12 for o in oos), 3)
+
+
+def test_components_match_a_union_find(spark):
+    import random
+
+    from chronopanel.operators.graph import connected_components
+
+    r = random.Random(5)
+    edges = [(f"n{r.randrange(120)}", f"n{r.randrange(120)}") for _ in range(70)] + [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(50)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        lo, hi = sorted((find(a), find(b)))
+        root[hi] = lo
+    got = {x.node: x.root for x in connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {x: find(x) for x in root}
+
+
+def test_rules_negation_precedence_conflict_and_abstention(spark):
+    rules = [(1, "a", "apache", False), (1, "g", "general public", False), (2, "o", "license", False), (3, "v", "void", True)]
+    texts = ["Apache License", "not under the Apache license", "no one two three four apache", "apache, general public", "void apache", "nothing", None, "without any license"]
+    got = [x.c for x in spark.createDataFrame([*enumerate(texts)], "i int, t string").orderBy("i").select(T.classified(F.coalesce("t", F.lit("")), rules).alias("c")).collect()]
+    assert got == ["a", "o", "a", "conflict", "abstain", "abstain", "abstain", "abstain"]
+
+
+def test_ages_are_stripped_only_on_evidence(spark):
+    rows = [("Jane Doe 63", "63", "x"), ("John Roe 41", None, "x"), ("John Roe", None, "y"), ("Max Mo 55", None, "x"), ("Ann Po 12", "13", "z")]
+    got = {x.name: (x.n, x.roles, x.n_stripped) for x in T.merged_persons(spark.createDataFrame(rows, "raw string, age string, role string")).collect()}
+    assert got == {"jane doe": (1, "x", 1), "john roe": (2, "x,y", 1), "max mo 55": (1, "x", 0), "ann po 12": (1, "z", 0)}
+
+
+def test_keyless_asof_maps_times_once(spark):
+    left = spark.createDataFrame([(1, day(3)), (2, day(3)), (3, day(0)), (4, None)], "i int, t date")
+    right = spark.createDataFrame([(day(1), "x", 1), (day(1), "y", 2), (day(3), "z", 0)], "at date, v string, o int")
+    got = {x.i: (x.at, x.v) for x in asof_join(left, right, "t", "at", strict=True, ties=("o",)).collect()}
+    assert got == {1: (day(1), "y"), 2: (day(1), "y"), 3: (None, None), 4: (None, None)}
+    assert {x.i for x in asof_join(left, right, "t", "at", how="semi").collect()} == {1, 2}
+
+
+def test_bootstrap_means_match_plain_python(spark):
+    import hashlib
+
+    xs = [0.5, -1.0, 2.0, 0.25, 3.0, -0.75, 1.5, 0.0]
+    rows = spark.createDataFrame([("s", i, x) for i, x in enumerate(xs)], "k string, t int, x double")
+    got = {x.replicate: x["mean"] for x in inference.bootstrap_means(rows, ["k"], "t", "x", n_boot=20, block=3).collect()}
+    for rep in range(20):
+        drawn = []
+        for b in range(3):
+            start = int(hashlib.md5(f"7|s|{rep}|{b}".encode()).hexdigest()[:8], 16) % 6
+            drawn += [xs[min(start + o, 7)] for o in range(3) if b * 3 + o < 8]
+        assert abs(got[rep] - sum(drawn) / 8) < 1e-12
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    import pytest
+
+    from chronopanel.shared import shared_dir
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+    with pytest.raises(ValueError):
+        shared_dir(Session())
