@@ -54,11 +54,11 @@ def hash_permuted(df: DataFrame, value: str, within: list[str], order: list[str]
     return place.join(other, [*within, "__i"]).drop("__i", value).withColumnRenamed("__v", value)
 
 
-def fit_lines(tagged: DataFrame, x: str, y: str, least: int = 10) -> DataFrame:
-    """Test rows of each fold with the intercept, slope and score of the line fitted on its training rows; folds of fewer
+def fit_lines(tagged: DataFrame, x: str, y: str, least: int = 10, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Test rows of each fold (of each group ``by``) with the intercept, slope and score of the line fitted on its training rows; folds of fewer
     than ``least`` training rows give none. Fits are aggregates, so no fold is gathered in a task."""
-    fits = tagged.where("role = 'train'").groupBy("fold").agg(F.count("*").alias("__n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept")).where(F.col("__n") >= least).drop("__n")
-    return tagged.where("role = 'test'").join(F.broadcast(fits), "fold").withColumn("score", F.col("intercept") + F.col("slope") * F.col(x))  # a row per fold
+    fits = tagged.where("role = 'train'").groupBy(*by, "fold").agg(F.count("*").alias("__n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept")).where(F.col("__n") >= least).drop("__n")
+    return tagged.where("role = 'test'").join(F.broadcast(fits), [*by, "fold"]).withColumn("score", F.col("intercept") + F.col("slope") * F.col(x))  # a row per fold
 
 
 def per_fold(tagged: DataFrame, fit_predict: Callable, schema: str) -> DataFrame:

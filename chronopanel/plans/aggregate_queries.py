@@ -432,5 +432,8 @@ def d47_ledger_flatten(spark, d):
 def d48_trending(spark, d):
     on = lambda day: F.coalesce(F.sum(F.when(F.col("date") == day, F.col("mentions"))), F.lit(0))
     m = A.mentions(spark, d).groupBy("ticker").agg(on("2024-01-20").alias("n"), on("2024-01-19").alias("p"))
-    rank = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "ticker")).cast("long")
-    return m.withColumns({"rank": rank("n"), "before": rank("p")}).where("rank <= 50").select("ticker", "n", "rank", (F.col("before") - F.col("rank")).alias("rise"))
+    top = m.orderBy(F.desc("n"), "ticker").limit(50).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "ticker")).cast("long"))  # 50 rows
+    board = F.broadcast(top.select(F.col("ticker").alias("t"), F.col("p").alias("tp")))
+    ahead = (F.col("p") > F.col("tp")) | ((F.col("p") == F.col("tp")) & (F.col("ticker") <= F.col("t")))
+    before = m.crossJoin(board).groupBy("t").agg(F.count_if(ahead).alias("before"))  # each ticker is counted, none is sorted
+    return top.join(before, F.col("ticker") == F.col("t")).select("ticker", "n", "rank", (F.col("before") - F.col("rank")).alias("rise"))

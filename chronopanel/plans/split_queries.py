@@ -108,16 +108,38 @@ def k09_cross_section_shuffle(spark, d):
     return S.hash_permuted(A.prices_monthly(spark, d), "close", ["date"], ["ticker"], 9).select("date", "ticker", F.round("close", 10).alias("close"))
 
 
-@query("select arm, count(*) as n, count(value) as known from (select 'filed' as arm, f.value from months m join (select distinct ticker, metric from facts) k using (ticker) asof left join (select ticker, metric, filed, max(value) as value from facts group by all) f on f.ticker = m.ticker and f.metric = k.metric and m.date >= f.filed union all select 'period', f.value from months m join (select distinct ticker, metric from facts) k using (ticker) asof left join (select ticker, metric, cast(\"end\" + case when form = '10-K' then interval 6 month else interval 4 month end as date) as avail, max(value) as value from facts group by all) f on f.ticker = m.ticker and f.metric = k.metric and m.date >= f.avail) group by 1", {"months": "select distinct cast(date_trunc('month', date) as date) as date, ticker from prices"})
-def k10_two_arms(spark, d):
-    from .join_queries import month_keys
+ARMS = {
+    "mc": "select ticker, cast(date_trunc('month', date) as date) as month, max_by(close, date) as close from prices group by 1, 2",
+    "lay": "select *, cast((dense_rank() over (order by month) - 1) % 4 as int) as own from (select ticker, month, lead(close) over (partition by ticker order by month) / close - 1 as y from mc) where y is not null",
+    "fa": "select ticker, filed as known, max(value) as value from facts where metric = '1-URGENT' group by 1, 2",
+    "fp": "select ticker, cast(\"end\" + case when form = '10-K' then interval 6 month else interval 4 month end as date) as known, max(value) as value from facts where metric = '1-URGENT' group by 1, 2",
+    "armed": "select 'filed' as arm, l.*, f.value from lay l asof left join fa f on f.ticker = l.ticker and l.month >= f.known union all select 'period', l.*, f.value from lay l asof left join fp f on f.ticker = l.ticker and l.month >= f.known",
+    "afit": "select arm, fold, regr_slope(y, ln(value)) as b, regr_intercept(y, ln(value)) as a from armed, (select unnest([0, 1, 2, 3]) as fold) where (own + 2) % 4 = fold and value > 0 group by 1, 2",
+}
 
-    dates = month_keys(spark, d)
-    a = pit_align(dates, latest_facts(spark, d))
+
+@query("select arm, fold, count(*) as n, round(avg(abs(y - (a + b * ln(value)))), 6) as mae, (select count(*) = 0 from (select ticker, month, count(distinct arm) as arms, count(*) as k from armed group by 1, 2) where arms <> 2 or k <> 2) as same_layout from armed join afit using (arm) where own = fold and value > 0 group by 1, 2", ARMS)
+def k10_two_arms(spark, d):
+    """Two arms, by filing date and by period end with a lag, out of sample on shared folds of months: a fold is predicted
+    from months that are not next to any of it. The arms must hold the same rows."""
+    p = A.prices(spark, d).groupBy("ticker", F.trunc("date", "month").alias("month")).agg(F.max_by("close", "date").alias("close"))
+    by = R.by_ticker(order="month")
+    layout = p.select("ticker", "month", (F.lead("close").over(by) / F.col("close") - 1).alias("y")).where("y is not null")
+    months = layout.select("month").distinct().withColumn("own", (F.dense_rank().over(Window.orderBy("month")) - 1) % 4)  # a calendar
+    layout = layout.join(F.broadcast(months), "month")
+    facts = A.facts(spark, d).where("metric = '1-URGENT'")
     avail = F.add_months("end", F.when(F.col("form") == "10-K", 6).otherwise(4))
-    facts = A.facts(spark, d).withColumn("avail", avail).groupBy("ticker", "metric", "avail").agg(F.max_by("value", F.struct("end", "value")).alias("value"), F.max("end").alias("end"))
-    b = pit_align(dates, facts, "avail")
-    return a.select(F.lit("filed").alias("arm"), "value").unionByName(b.select(F.lit("period").alias("arm"), "value")).groupBy("arm").agg(F.count("*").alias("n"), F.count("value").alias("known"))
+    arms = None
+    for name, known in (("filed", F.col("filed")), ("period", avail)):
+        f = facts.groupBy("ticker", known.alias("known")).agg(F.max("value").alias("value"))
+        arm = asof_join(layout, f, "month", "known", by=["ticker"]).select(F.lit(name).alias("arm"), "ticker", "month", "own", "y", "value")
+        arms = arm if arms is None else arms.unionByName(arm)
+    arms = stored(arms, "arms")
+    check = arms.groupBy("ticker", "month").agg(F.count_distinct("arm").alias("arms"), F.count("*").alias("k")).agg((F.count_if((F.col("arms") != 2) | (F.col("k") != 2)) == 0).alias("same_layout"))
+    known = arms.where("value > 0").withColumn("x", F.log("value"))
+    train = known.withColumns({"fold": (F.col("own") + 2) % 4, "role": F.lit("train")})
+    tagged = train.unionByName(known.withColumns({"fold": F.col("own"), "role": F.lit("test")}))
+    return S.fit_lines(tagged, "x", "y", by=["arm"]).groupBy("arm", "fold").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("y") - F.col("score"))), 6).alias("mae")).crossJoin(F.broadcast(check))  # one row
 
 
 @query("select t.fold, count(*) as n, round(any_value(m.b), 6) as slope, round(sqrt(avg((t.y - (m.a + m.b * ln(t.close))) * (t.y - (m.a + m.b * ln(t.close))))), 6) as rmse from tagged t join (select fold, regr_slope(y, ln(close)) as b, regr_intercept(y, ln(close)) as a from tagged where role = 'train' group by 1 having count(*) >= 10) m using (fold) where t.role = 'test' group by 1", WF)

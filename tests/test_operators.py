@@ -244,3 +244,21 @@ def test_shared_folder_must_be_named_on_a_cluster():
 
     with pytest.raises(ValueError):
         shared_dir(Session())
+
+
+def test_autoregressive_surprise_is_the_error_of_the_window_fit(spark):
+    import numpy as np
+
+    from chronopanel.operators.hooks import ar_surprises
+
+    r = np.random.default_rng(6)
+    v = [0.0, 0.1, -0.2, 0.3, 0.0]
+    for _ in range(40):
+        v.append(0.6 * v[-1] - 0.2 * v[-3] + float(r.normal(0, 0.1)))
+    out = ar_surprises(spark.createDataFrame([("a", i, x) for i, x in enumerate(v)], "k string, t int, x double"), "k", "t", "x", 12, 5).orderBy("t").collect()
+    assert [x.surprise for x in out[:17]] == [None] * 17
+    for t in (17, 30, 44):
+        z = np.array([[1.0, *v[i - 5 : i]] for i in range(t - 12, t)])
+        y = np.array(v[t - 12 : t])
+        b = np.linalg.pinv(z) @ y
+        assert abs(out[t].surprise - (v[t] - np.array([1.0, *v[t - 5 : t]]) @ b) / (y - z @ b).std(ddof=1)) < 1e-5

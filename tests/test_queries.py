@@ -16,7 +16,8 @@ CHOSEN = """a02_vintage_json a03_company_facts a13_cumulative_append a14_replace
 c06_asof_tolerance c07_forward_asof c10_event_alignment c11_membership_mask c17_frame_diff c24_shared_items d16_population_stability d18_reliability
 d22_price_anomalies e01_simple_return e07_beta e12_rolling_rank e16_time_to_high e25_surprise e29_peer_mean f06_stratified_sample g05_membership_rebuild
 h02_issuer_name h10_strip_markup i01_snapshot_ingest i03_newest_wins i07_checkpointed_resume k01_walk_forward k02_group_kfold k17_selection_panel
-l02_ic_summary l12_backtest_overfit l17_event_study m03_components""".split()
+k08_month_placebo k13_naive_baselines k16_platt_calibration l02_ic_summary l04_block_bootstrap_dm l11_sharpe_moments l12_backtest_overfit l13_factor_regression l14_rolling_exposure
+l17_event_study m01_node_table m04_isolated""".split()
 
 
 def plain(v):
