@@ -117,3 +117,28 @@ def merged_persons(rows: DataFrame) -> DataFrame:
     keyed = keyed.withColumn("__strip", F.col("__tail") & (seen | F.col("__known").isNotNull()))
     name = F.when(F.col("__strip"), F.col("__bare")).otherwise(person_key(F.col("raw")))
     return keyed.groupBy(name.alias("name")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("role")), ",").alias("roles"), F.count_if("__strip").alias("n_stripped"))
+
+
+# Fixed patterns: where a percentage of a class stands, in order of trust, and the former one of an amendment.
+PERCENT_NOW = [("tag", r"(?i)<percentofclass>\s*([0-9]+(?:\.[0-9]+)?)\s*</percentofclass>"), ("label", r"(?i)percent of class[^0-9]{0,20}([0-9]+(?:\.[0-9]+)?)\s*%"), ("narrative", r"(?i)represent(?:s|ing) ([0-9]+(?:\.[0-9]+)?)\s*% of")]
+PERCENT_BEFORE = r"(?i)previously[^0-9]{0,20}([0-9]+(?:\.[0-9]+)?)\s*%"
+
+
+def percent_of_class(text: Column, is_amendment: Column) -> tuple[Column, Column, Column]:
+    """Percentage now, the kind of place it was found in (none if nowhere), and that before, for amendments only. Numbers
+    over 100 are nobody's share and count as not found."""
+    value, source = first_of(text, PERCENT_NOW)
+    clean = lambda c: F.when(c.cast("double") <= 100, c.cast("double"))
+    now = clean(value)
+    before = clean(F.nullif(F.regexp_extract(text, PERCENT_BEFORE, 1), F.lit("")))
+    return now, F.when(now.isNotNull(), source).otherwise("none"), F.when(is_amendment, before)
+
+
+def offer_price(text: Column) -> tuple[Column, Column]:
+    """Price per share and how sure it is: exact at its anchor, low for any other amount, none for a range, a draft with an
+    open amount, or an example."""
+    amount = r"\$([0-9]+(?:\.[0-9]+)?)"
+    refused = text.rlike(rf"(?i)between {amount} and|\$\[|for example|hypothetical")
+    at, loose = F.regexp_extract(text, rf"(?i)price of {amount} per share", 1), F.regexp_extract(text, amount, 1)
+    kind = F.when(refused, "none").when(at != "", "exact").when(loose != "", "low").otherwise("none")
+    return F.when(kind == "exact", at.cast("double")).when(kind == "low", loose.cast("double")), kind

@@ -10,6 +10,7 @@ from ..operators import monitor as M
 from ..operators import rolling as R
 from ..operators.asof import mask_to_members
 from .price_queries import labelled, returns
+from ..shared import scratch
 from .registry import query
 
 BOOK = "select manager, cusip, sum(value_usd) as v from holdings where quarter = '1998Q2' group by 1, 2"
@@ -428,6 +429,32 @@ def d47_ledger_flatten(spark, d):
     return e.select("event_id", "ts", F.explode("m").alias("key", "value"))
 
 
+@query("select event_id, ts, coalesce(case when event_id % 2 = 0 then event_type end, event_type || '?') as verdict, round(value, 2) as metric from events where event_type <> 'view' and event_type <> 'error'")
+def d47_claim_timeline(spark, d):
+    """Claims out of a mixed ledger: verdict and metric stand at different places in records of different shape."""
+    path = scratch(spark, "ledger")
+    e = A.table(spark, d, "events").where("event_type != 'view'").select("event_id", "ts", "event_type", F.round("value", 2).alias("v"))
+    even, kind = F.col("event_id") % 2 == 0, F.when(F.col("event_type") == "error", "note").otherwise("claim")
+    shaped = e.select("event_id", "ts", kind.alias("kind"), F.when(even, F.col("event_type")).alias("verdict"), F.when(~even, F.struct(F.concat("event_type", F.lit("?")).alias("verdict"), F.col("v").alias("metric"))).alias("result"), F.when(even, F.col("v")).alias("metric"))
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    shaped.write.options(**exact).json(path)
+    raw = spark.read.options(**exact).schema("event_id long, ts timestamp, kind string, verdict string, metric double, result struct<verdict: string, metric: double>").json(path)
+    return raw.where("kind = 'claim'").select("event_id", "ts", F.coalesce("verdict", "result.verdict").alias("verdict"), F.coalesce("metric", "result.metric").alias("metric"))
+
+
+@query("select user_id % 20 as study, 'h' || hour(ts) % 4 as horizon, case when day(ts) <= 15 then 'train' else 'test' end as phase, round(avg(value), 6) as result from events group by 1, 2, 3")
+def d47_sweep_flatten(spark, d):
+    """Sweeps as nested JSON, study to horizon to phase, flattened by exploding both maps."""
+    path = scratch(spark, "sweeps")
+    phase = F.when(F.dayofmonth("ts") <= 15, "train").otherwise("test")
+    g = A.table(spark, d, "events").groupBy((F.col("user_id") % 20).alias("study"), F.concat(F.lit("h"), (F.hour("ts") % 4).cast("string")).alias("horizon"), phase.alias("phase")).agg(F.round(F.avg("value"), 6).alias("result"))
+    inner = g.groupBy("study", "horizon").agg(F.map_from_entries(F.collect_list(F.struct("phase", "result"))).alias("phases"))
+    inner.groupBy("study").agg(F.map_from_entries(F.collect_list(F.struct("horizon", "phases"))).alias("results")).write.json(path)
+    raw = spark.read.schema("study long, results map<string, map<string, double>>").json(path)
+    flat = raw.select("study", F.explode("results").alias("horizon", "phases"))
+    return flat.select("study", "horizon", F.explode("phases").alias("phase", "result"))
+
+
 @query("select ticker, n::bigint as n, rank, (rank_before - rank) as rise from (select ticker, n, row_number() over (order by n desc, ticker) as rank, row_number() over (order by p desc, ticker) as rank_before from (select ticker, coalesce(sum(mentions) filter (date = date '2024-01-20'), 0) as n, coalesce(sum(mentions) filter (date = date '2024-01-19'), 0) as p from mentions group by 1)) where rank <= 50")
 def d48_trending(spark, d):
     on = lambda day: F.coalesce(F.sum(F.when(F.col("date") == day, F.col("mentions"))), F.lit(0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -244,6 +246,25 @@ def h10_strip_markup(spark, d):
     return A.table(spark, d, "pages").select("page_id", F.length(t).cast("long").alias("chars"), F.md5(t).alias("digest"))
 
 
+FILINGS = "select *, case when l_orderkey % 5 = 4 then null else l_quantity * 1.5 end as pct, l_quantity + 0.25 as was, l_linenumber % 2 = 0 as amended from lineitem"
+# What a filing says, by kind; p, q and x stand for a percentage, the former one and a price.
+SAYS = ("<percentOfClass> {p} </percentOfClass>", "Percent of class (a): {p} %", "shares representing {p}% of all", "no figure here", "Percent of class: 250%")
+OFFERS = ("at a price of ${x} per share", "between ${x} and $99.00 per share", "for example, a price of ${x} per share", "about ${x} in all", "a price of $[ ] per share")
+
+
+@query("select l_orderkey, l_linenumber, case when l_orderkey % 5 < 3 then pct end as pct, case l_orderkey % 5 when 0 then 'tag' when 1 then 'label' when 2 then 'narrative' else 'none' end as source, case when amended then was end as before, case when l_partkey % 5 in (0, 3) then l_suppkey + 0.5 end as price, case l_partkey % 5 when 0 then 'exact' when 3 then 'low' else 'none' end as confidence from filings", {"filings": FILINGS})
+def h10_figures(spark, d):
+    """Percentages and offer prices read back from the wording of filings."""
+    money = lambda c: F.format_string("%.2f", c)
+    fill = lambda t, **v: F.concat(*[F.lit(part) if k % 2 == 0 else v[part] for k, part in enumerate(re.split(r"[{}]", t))])
+    pick = lambda k, forms, **v: F.element_at(F.array(*[fill(t, **v) for t in forms]), (F.col(k) % len(forms) + 1).cast("int"))
+    li = A.table(spark, d, "lineitem")
+    text = F.concat_ws(". ", pick("l_orderkey", SAYS, p=money(F.col("l_quantity") * 1.5)), F.concat(F.lit("Previously reported "), money(F.col("l_quantity") + 0.25), F.lit(" %")), pick("l_partkey", OFFERS, x=money(F.col("l_suppkey") + 0.5)))
+    now, source, before = T.percent_of_class(text, F.col("l_linenumber") % 2 == 0)
+    price, sure = T.offer_price(text)
+    return li.select("l_orderkey", "l_linenumber", now.alias("pct"), source.alias("source"), before.alias("before"), price.alias("price"), sure.alias("confidence"))
+
+
 @query("select p_partkey, case when p_size <= 10 then 'small' when p_size <= 30 then 'medium' else 'large' end as sector from part")
 def h11_range_table(spark, d):
     ranges = spark.createDataFrame([(0, 10, "small"), (11, 30, "medium"), (31, 999, "large")], "lo int, hi int, sector string")
