@@ -436,9 +436,9 @@ def d47_claim_timeline(spark, d):
     e = A.table(spark, d, "events").where("event_type != 'view'").select("event_id", "ts", "event_type", F.round("value", 2).alias("v"))
     even, kind = F.col("event_id") % 2 == 0, F.when(F.col("event_type") == "error", "note").otherwise("claim")
     shaped = e.select("event_id", "ts", kind.alias("kind"), F.when(even, F.col("event_type")).alias("verdict"), F.when(~even, F.struct(F.concat("event_type", F.lit("?")).alias("verdict"), F.col("v").alias("metric"))).alias("result"), F.when(even, F.col("v")).alias("metric"))
-    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    exact = {k: "yyyy-MM-dd'T'HH:mm:ss.SSSSSS" for k in ("timestampFormat", "timestampNTZFormat")}
     shaped.write.options(**exact).json(path)
-    raw = spark.read.options(**exact).schema("event_id long, ts timestamp, kind string, verdict string, metric double, result struct<verdict: string, metric: double>").json(path)
+    raw = spark.read.options(**exact).schema(f"event_id long, ts {dict(e.dtypes)['ts']}, kind string, verdict string, metric double, result struct<verdict: string, metric: double>").json(path)
     return raw.where("kind = 'claim'").select("event_id", "ts", F.coalesce("verdict", "result.verdict").alias("verdict"), F.coalesce("metric", "result.metric").alias("metric"))
 
 
