@@ -146,6 +146,62 @@ def bootstrap_means(df: DataFrame, series: list[str], order: str, x: str, n_boot
     return draws.join(rows.drop("__n"), [*series, "__i"]).groupBy(*series, "replicate").agg(F.avg("__x").alias("mean"))
 
 
+def spillover_index(v, horizon: int = 10, max_lag: int = 2) -> float | None:
+    """Total spillover of two series (rows, 2), in percent: a vector autoregression whose lag has the least information
+    criterion, its generalised forecast error variance decomposition, and the share that comes from the other series."""
+    import numpy as np
+
+    def fit(p: int, drop: int):
+        y = v[drop:]
+        z = np.hstack([np.ones((len(y), 1)), *(v[drop - j : len(v) - j] for j in range(1, p + 1))])
+        b = np.linalg.lstsq(z, y, rcond=None)[0]
+        return b, y - z @ b
+
+    if len(v) < 10 * max_lag + 10 or not np.isfinite(v).all():
+        return None
+    scores = {}
+    for p in range(1, max_lag + 1):
+        _, e = fit(p, max_lag)  # one sample for all lags
+        scores[p] = np.linalg.slogdet(e.T @ e / len(e))[1] + 2 / len(e) * (4 * p + 2)
+    p = min(scores, key=scores.get)
+    b, e = fit(p, p)
+    cov = e.T @ e / (len(e) - 2 * p - 1)
+    if np.linalg.cond(cov) > 1e12:
+        return None
+    steps, num, den = [np.eye(2)], np.zeros((2, 2)), np.zeros(2)
+    for h in range(1, horizon):
+        steps.append(sum(b[1 + 2 * (j - 1) : 1 + 2 * j].T @ steps[h - j] for j in range(1, min(p, h) + 1)))
+    for a in steps:
+        num += (a @ cov) ** 2 / np.diag(cov)
+        den += np.diag(a @ cov @ a.T)
+    share = num / den[:, None]
+    share /= share.sum(axis=1, keepdims=True)
+    return float(100 * (share[0, 1] + share[1, 0]) / 2)
+
+
+def rolling_spillover(pairs: DataFrame, window: int = 250, step: int = 21, horizon: int = 10, ends: int = 32) -> DataFrame:
+    """(x, y, i, index) for every ``step``-th row i of pairs (x, y, i, rx, ry; i counts the rows of a pair from 0): the
+    spillover of the ``window`` rows up to i. Rows are dealt to groups of ``ends`` windows, and to the next groups that
+    reach back to them, so a group holds at most window + ends * step rows however long the series is."""
+    span = ends * step
+    rows = pairs.select("*", F.explode(F.sequence(F.floor(F.col("i") / span), F.floor((F.col("i") + window - 1) / span))).alias("__g"))
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("i")
+        at, v, g = pdf["i"].to_numpy(), pdf[["rx", "ry"]].to_numpy(float), int(pdf["__g"].iloc[0])
+        out = []
+        for end in range(max(g * span, window - 1), (g + 1) * span):
+            if end % step == 0 and at[0] <= end - window + 1 and end <= at[-1]:
+                lo = int(end - window + 1 - at[0])
+                value = spillover_index(v[lo : lo + window], horizon)
+                out.append((pdf["x"].iloc[0], pdf["y"].iloc[0], end, None if value is None else round(value, 6)))
+        return pd.DataFrame(out, columns=["x", "y", "i", "index"])
+
+    return rows.groupBy("x", "y", "__g").applyInPandas(run, "x string, y string, i long, index double")
+
+
 def half_splits(df: DataFrame, block: str, n: int, key: str = "ticker", r: str = "ret") -> DataFrame:
     """Per way to choose half of n blocks as the inside: the key with the best mean inside, its rank outside from the top
     (place) and from the bottom (low), and the number of keys (s). All work is on sums by key and block."""

@@ -308,34 +308,13 @@ def l18_event_frames(spark, d):
 
 @query()
 def l19_spillover(spark, d):
-    """Spillover of pairs of sector return series: a vector autoregression per (pair, block of 24 months)."""
-    p = monthly_returns(spark, d).where("ret is not null").withColumn("g", F.concat(F.lit("G"), (F.xxhash64("ticker") % 3).cast("string")))
-    series = p.groupBy("date", "g").agg(F.avg("ret").alias("r"))
-    pair = series.alias("a").join(series.alias("b"), "date").where(F.col("a.g") < F.col("b.g")).select("date", F.col("a.g").alias("x"), F.col("b.g").alias("y"), F.col("a.r").alias("rx"), F.col("b.r").alias("ry"))
-    pair = pair.withColumn("block", F.floor((F.year("date") * 12 + F.month("date")) / 24).cast("int"))
-
-    def total(pdf):
-        import numpy as np
-        import pandas as pd
-
-        v = pdf.sort_values("date")[["rx", "ry"]].to_numpy()
-        out = pd.DataFrame({"x": [pdf["x"].iloc[0]], "y": [pdf["y"].iloc[0]], "block": [pdf["block"].iloc[0]], "index": [None]})
-        if len(v) < 10:
-            return out
-        z = np.c_[np.ones(len(v) - 1), v[:-1]]
-        b = np.linalg.lstsq(z, v[1:], rcond=None)[0]
-        cov = np.cov((v[1:] - z @ b).T)
-        a, power, num, den = b[1:].T, np.eye(2), np.zeros((2, 2)), np.zeros(2)
-        for _ in range(10):
-            num += (power @ cov) ** 2 / np.diag(cov)
-            den += np.diag(power @ cov @ power.T)
-            power = a @ power
-        share = num / den[:, None]
-        share /= share.sum(axis=1, keepdims=True)
-        out["index"] = round(float(100 * (share[0, 1] + share[1, 0]) / 2), 6)
-        return out
-
-    return pair.groupBy("x", "y", "block").applyInPandas(total, "x string, y string, block int, index double")
+    """Rolling spillover of pairs of sectors' daily mean returns, over 250 sessions, every 21 sessions."""
+    r = returns(spark, d).where("ret is not null").join(F.broadcast(A.sectors(spark, d)), "ticker").groupBy("date", "sector").agg(F.avg("ret").alias("r"))  # one row a ticker
+    left, right = (r.select("date", F.col("sector").alias(k), F.col("r").alias(f"r{k}")) for k in "xy")
+    pairs = left.join(right, "date").where("x < y")
+    pairs = pairs.withColumn("i", F.row_number().over(Window.partitionBy("x", "y").orderBy("date")) - 1)
+    out = I.rolling_spillover(pairs.select("x", "y", "i", "rx", "ry"))
+    return out.join(pairs.select("x", "y", "i", "date"), ["x", "y", "i"]).select("x", "y", "date", "index")
 
 
 @query("select h, count(ic) as months, round(avg(ic), 6) as mean_ic from (select h, month, corr(rs, ry) as ic from (select h, date as month, rank() over (partition by h, date order by close) + (count(*) over (partition by h, date, close) - 1) / 2.0 as rs, rank() over (partition by h, date order by y) + (count(*) over (partition by h, date, y) - 1) / 2.0 as ry from (select 1 as h, date, close, lead(close, 1) over (partition by ticker order by date) / close - 1 as y from prices_monthly union all select 3, date, close, lead(close, 3) over (partition by ticker order by date) / close - 1 from prices_monthly) where y is not null) group by 1, 2 having count(*) >= 5) where not isnan(ic) group by 1")

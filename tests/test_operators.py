@@ -262,3 +262,24 @@ def test_autoregressive_surprise_is_the_error_of_the_window_fit(spark):
         y = np.array(v[t - 12 : t])
         b = np.linalg.pinv(z) @ y
         assert abs(out[t].surprise - (v[t] - np.array([1.0, *v[t - 5 : t]]) @ b) / (y - z @ b).std(ddof=1)) < 1e-5
+
+
+def test_rolling_spillover_finds_what_the_process_spills(spark):
+    import numpy as np
+
+    r = np.random.default_rng(7)
+    a, cov = np.array([[0.3, 0.25], [0.0, 0.4]]), np.array([[1.0, 0.3], [0.3, 1.0]])
+    noise = r.multivariate_normal([0, 0], cov, 6000)
+    v = np.zeros((6000, 2))
+    for t in range(1, 6000):
+        v[t] = a @ v[t - 1] + noise[t]
+    power, num, den = np.eye(2), np.zeros((2, 2)), np.zeros(2)
+    for _ in range(10):
+        num, den, power = num + (power @ cov) ** 2, den + np.diag(power @ cov @ power.T), a @ power
+    share = num / den[:, None]
+    share /= share.sum(axis=1, keepdims=True)
+    assert abs(inference.spillover_index(v) - 50 * (share[0, 1] + share[1, 0])) < 1.5
+    rows = [("p", "q", i, float(x), float(y)) for i, (x, y) in enumerate(v[:200])]
+    got = {x.i: x["index"] for x in inference.rolling_spillover(spark.createDataFrame(rows, "x string, y string, i long, rx double, ry double"), 60, 7, 10, 4).collect()}
+    assert got == {i: round(inference.spillover_index(v[i - 59 : i + 1]), 6) for i in range(63, 200, 7)}
+    assert inference.spillover_index(v[:20]) is None
