@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from .. import adapters as A
 from ..operators import monitor as M
 from ..operators import rolling as R
-from ..operators.asof import mask_to_members
-from .price_queries import labelled, returns
 from ..shared import scratch
+from .price_queries import returns
 from .registry import query
 
 BOOK = "select manager, cusip, sum(value_usd) as v from holdings where quarter = '1998Q2' group by 1, 2"

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..operators import hooks as H
-from ..operators import rolling as R
 from ..operators.asof import asof_join
 from ..operators.joins import safe_divide
 from .registry import query

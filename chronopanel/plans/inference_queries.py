@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import adapters as A
 from ..operators import inference as I
 from ..operators import rolling as R
-from ..operators.asof import asof_join, mask_to_members, sessions_of
+from ..operators.asof import asof_join, sessions_of
 from .price_queries import labelled, returns, with_market
 from .registry import query
 

@@ -10,11 +10,10 @@ from ..operators import monitor as M
 from ..operators import rolling as R
 from ..operators import splits as S
 from ..operators.asof import align_to_sessions, asof_join, mask_to_members, sessions_of
-from .inference_queries import monthly_ic, monthly_returns
-from .join_queries import latest_facts, pit_align
+from ..shared import stored
+from .inference_queries import monthly_returns
 from .price_queries import labelled, returns, with_market
 from .registry import query
-from ..shared import stored
 
 PANEL = "select *, cast(date + interval 1 month as date) as label_end from (select date, ticker, close, lead(close) over (partition by ticker order by date) / close - 1 as y from prices_monthly) where y is not null"
 FOLDS = "select b as fold, min(date) as test_start, max(date) as test_end from (select date, ntile(5) over (order by date) - 1 as b from (select distinct date from pan)) where b > 0 group by 1"
