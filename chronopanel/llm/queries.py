@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, license_scan, line_dedup, lm_score, near_dedup, quality, repeats, warc
+from . import bpe, chat, decontaminate, lexical_search, license_scan, line_dedup, lm_score, near_dedup, quality, repeats, warc
 from .common import table
 
 
@@ -68,5 +68,9 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_order_minhash, op2_recurrent_lm, op3_line_dedup, op4_license_scan, op5_bpe_codec, op6_quotation_linking, op7_decontamination, op8_warc, op9_quality_rules, op10_suffix_repeats)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_recurrent_lm, op3_line_dedup, op4_license_scan, op5_bpe_codec, op6_quotation_linking, op7_decontamination, op8_warc, op9_quality_rules, op10_suffix_repeats, op11_lexical_search)}
