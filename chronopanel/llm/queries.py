@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, lexical_search, license_scan, line_dedup, lm_score, near_dedup, quality, repeats, warc
+from . import bpe, chat, conversation_repair, decontaminate, lexical_search, license_scan, line_dedup, lm_score, near_dedup, quality, repeats, url_filter, warc
 from .common import table
 
 
@@ -72,5 +72,14 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_conversations(conversation_repair.damaged(rows), rows.select("conv_id"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_order_minhash, op2_recurrent_lm, op3_line_dedup, op4_license_scan, op5_bpe_codec, op6_quotation_linking, op7_decontamination, op8_warc, op9_quality_rules, op10_suffix_repeats, op11_lexical_search)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_recurrent_lm, op3_line_dedup, op4_license_scan, op5_bpe_codec, op6_quotation_linking, op7_decontamination, op8_warc, op9_quality_rules, op10_suffix_repeats, op11_lexical_search, op12_conversation_repair, op13_url_filter)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from . import lexical_search
+from . import conversation_repair, lexical_search, url_filter
 from .common import LOWER, UPPER
 from .license_scan import COPYRIGHT_LINE, KNOWN, SPELLINGS, whole_licenses
 
@@ -85,4 +85,4 @@ from bodies b left join parents p using (conv_id, turn) left join roots r using
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINE_DEDUP, "op4_license_scan": licenses(), "op6_quotation_linking": CHAT, "op8_warc": WARC, "op11_lexical_search": lexical_search.SQL}
+    return {"op3_line_dedup": LINE_DEDUP, "op4_license_scan": licenses(), "op6_quotation_linking": CHAT, "op8_warc": WARC, "op11_lexical_search": lexical_search.SQL, "op12_conversation_repair": conversation_repair._sql(), "op13_url_filter": url_filter.SQL}
