@@ -26,14 +26,27 @@ def unique_lookup(rows: DataFrame, directory: DataFrame, on: list[str], value: s
     return rows.join(single, on, "left")
 
 
-def shared_items(pairs: DataFrame, left: str, item: str, sample: int = 8) -> DataFrame:
-    """Projection of (left, item) on pairs of left: weight (shared items) and the first items. The item's own degree is
-    the cost of the self-join, so items are meant to be held by few."""
-    distinct = pairs.select(left, item).distinct()
-    other = distinct.select(F.col(left).alias("b"), item)
-    joined = distinct.withColumnRenamed(left, "a").join(other, item).where(F.col("a") < F.col("b"))
-    shared = F.sort_array(F.collect_set(item))
-    return joined.groupBy("a", "b").agg(F.count("*").alias("w"), F.slice(shared, 1, sample).alias("shared"), (F.size(shared) > sample).alias("truncated"))
+def shared_items(pairs: DataFrame, left: str, item: str, sample: int = 8, by: list[str] | tuple[str, ...] = (), block: int = 1000) -> DataFrame:
+    """Projection of (by, left, item) on pairs of left that share an item: (by, a, b, w, shared, truncated): how many items
+    they share, the first ``sample`` of them, and whether there are more.
+
+    All pairs are wanted, so an item of n holders makes n squared of them; what must not grow is a task. Holders of an item
+    with more than ``block`` are dealt to blocks, and every two blocks of an item meet under a key of their own, so a key
+    holds at most about two blocks of rows and their pairs, however many hold the item. Pairs then meet once by (a, b), in
+    a window that spills. Rows with a null in any of the columns link nothing; repeated rows count once.
+    """
+    by = list(by)
+    distinct = pairs.select(*by, left, item).dropna().distinct()
+    heavy = distinct.groupBy(*by, item).agg(F.count("*").alias("__n")).where(F.col("__n") > block)
+    parts = F.coalesce(F.ceil(F.col("__n") / block), F.lit(1)).cast("int")
+    rows = distinct.join(heavy, [*by, item], "left").select(*by, item, F.col(left).alias("__l"), F.pmod(F.xxhash64(left), parts).cast("int").alias("__own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("__o"))
+    rows = rows.select(*by, item, "__l", "__own", F.least("__own", "__o").alias("__lo"), F.greatest("__own", "__o").alias("__hi"))
+    keys = [*by, item, "__lo", "__hi"]
+    a, b = (rows.select(*keys, F.col("__l").alias(n), F.col("__own").alias(f"__{n}")) for n in "ab")
+    linked = a.join(b, keys).where((F.col("a") < F.col("b")) & ((F.col("__lo") == F.col("__hi")) | (F.col("__a") != F.col("__b"))))
+    w = Window.partitionBy(*by, "a", "b")
+    first = linked.select(*by, "a", "b", item, F.count("*").over(w).alias("w"), F.row_number().over(w.orderBy(item)).alias("__k")).where(F.col("__k") <= sample)
+    return first.groupBy(*by, "a", "b").agg(F.max("w").alias("w"), F.sort_array(F.collect_list(item)).alias("shared")).withColumn("truncated", F.col("w") > sample)
 
 
 def by_priority(sources: list[DataFrame], key: str) -> DataFrame:

@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def bucket(x: Column, edges: Column, right_closed: bool = True) -> Column:
     """Number of inner edges below x (right-closed buckets), or at or below x (left-closed)."""
     return F.aggregate(edges, F.lit(0), lambda n, e: n + F.when((x > e) if right_closed else (x >= e), 1).otherwise(0))
 
 
-def inner_edges(x: str, n: int) -> Column:
-    """Distinct inner quantiles that cut x into n buckets, interpolated."""
-    return F.array_distinct(F.percentile(x, F.array(*[F.lit(i / n) for i in range(1, n)])))
+def inner_edges(df: DataFrame, x: str, n: int, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """(by, edges): the distinct inner quantiles that cut x into n buckets, interpolated; groups may be of any size."""
+    return exact_quantiles(df, x, [i / n for i in range(1, n)], by).select(*by, F.array_distinct("quantiles").alias("edges"))
 
 
 def population_stability(reference: DataFrame, sample: DataFrame, x: str, n: int = 10, least: float = 1e-4, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """(by, psi): the population stability index of sample against reference over reference's quantile buckets. Shares
     under ``least`` count as that."""
     by = list(by)
-    edges = reference.groupBy(*by).agg(inner_edges(x, n).alias("edges"))
+    edges = inner_edges(reference, x, n, by)
 
     def shares(df: DataFrame, name: str) -> DataFrame:
         with_edges = df.join(F.broadcast(edges), by) if by else df.crossJoin(F.broadcast(edges))  # a row per group

@@ -12,11 +12,11 @@ from ..shared import scratch
 from .price_queries import returns
 from .registry import query
 
-BOOK = "select manager, cusip, sum(value_usd) as v from holdings where quarter = '1998Q2' group by 1, 2"
+BOOK = "select quarter, manager, cusip, sum(value_usd) as v from holdings group by 1, 2, 3"
 
 
 def book(spark, d) -> DataFrame:
-    return A.holdings(spark, d).where("quarter = '1998Q2'").groupBy("manager", "cusip").agg(F.sum("value_usd").alias("v"))
+    return A.holdings(spark, d).groupBy("quarter", "manager", "cusip").agg(F.sum("value_usd").alias("v"))
 
 
 @query("select quarter, cusip, option_type, min(manager) as first_manager, round(sum(value_usd), 2) as value_usd, round(sum(shares), 2) as shares from holdings group by 1, 2, 3")
@@ -24,16 +24,19 @@ def d01_tranche_merge(spark, d):
     return A.holdings(spark, d).groupBy("quarter", "cusip", "option_type").agg(F.min("manager").alias("first_manager"), F.round(F.sum("value_usd"), 2).alias("value_usd"), F.round(F.sum("shares"), 2).alias("shares"))
 
 
-@query("select manager, cusip, round(v, 2) as v, round(total, 2) as total, n, round(v / total, 6) as share, rank from (select *, sum(v) over (partition by manager) as total, count(*) over (partition by manager) as n, row_number() over (partition by manager order by v desc, cusip) as rank from bk) where rank <= 5", {"bk": BOOK})
+@query("select quarter, manager, cusip, round(v, 2) as v, round(total, 2) as total, n, round(v / total, 6) as share, rank from (select *, sum(v) over (partition by quarter, manager) as total, count(*) over (partition by quarter, manager) as n, row_number() over (partition by quarter, manager order by v desc, cusip) as rank from bk) where rank <= 50", {"bk": BOOK})
 def d02_manager_book(spark, d):
-    w = Window.partitionBy("manager")
-    b = book(spark, d).withColumns({"total": F.sum("v").over(w), "n": F.count("*").over(w), "rank": F.row_number().over(w.orderBy(F.desc("v"), "cusip")).cast("long")}).where("rank <= 5")
-    return b.select("manager", "cusip", F.round("v", 2).alias("v"), F.round("total", 2).alias("total"), "n", F.round(F.col("v") / F.col("total"), 6).alias("share"), "rank")
+    """One book per manager and quarter: its total, number of positions, and the 50 largest with their weights."""
+    w = Window.partitionBy("quarter", "manager")
+    b = book(spark, d).withColumns({"total": F.sum("v").over(w), "n": F.count("*").over(w), "rank": F.row_number().over(w.orderBy(F.desc("v"), "cusip")).cast("long")}).where("rank <= 50")
+    return b.select("quarter", "manager", "cusip", F.round("v", 2).alias("v"), F.round("total", 2).alias("total"), "n", F.round(F.col("v") / F.col("total"), 6).alias("share"), "rank")
 
 
-@query("select manager, round(sum(v), 2) as total, max_by(cusip, v) as top from bk group by 1 order by 2 desc limit 5", {"bk": BOOK})
+@query("select quarter, manager, round(total, 2) as total, top, rank from (select *, row_number() over (partition by quarter order by round(total, 2) desc, manager) as rank from (select quarter, manager, sum(v) as total, arg_max(cusip, {v: v, c: cusip}) as top from bk group by 1, 2)) where rank <= 5", {"bk": BOOK})
 def d03_top_managers(spark, d):
-    return book(spark, d).groupBy("manager").agg(F.round(F.sum("v"), 2).alias("total"), F.max_by("cusip", "v").alias("top")).orderBy(F.desc("total"), "manager").limit(5)
+    """The five largest managers of each quarter, with their largest position."""
+    g = book(spark, d).groupBy("quarter", "manager").agg(F.round(F.sum("v"), 2).alias("total"), F.max_by("cusip", F.struct("v", "cusip")).alias("top"))
+    return g.withColumn("rank", F.row_number().over(Window.partitionBy("quarter").orderBy(F.desc("total"), "manager")).cast("long")).where("rank <= 5")
 
 
 @query("select l_suppkey, min(l_linenumber) as line from (select l_suppkey, l_linenumber, count(*) as n, max(count(*)) over (partition by l_suppkey) as most from lineitem group by 1, 2) where n = most group by 1")
@@ -102,7 +105,7 @@ TENTHS = "select f.date, cast(len(list_filter(e.q, lambda x: f.close > x)) as in
 def d14_quantile_returns(spark, d):
     """Mean forward return by tenth of each date with 30 names or more, and that of the top less the bottom tenth."""
     p = A.prices_monthly(spark, d).withColumn("r", R.forward_return(1)).where("r is not null")
-    edges = p.groupBy("date").agg(M.inner_edges("close", 10).alias("edges"), F.count("*").alias("k")).where("k >= 30").select("date", "edges")
+    edges = M.inner_edges(p, "close", 10, ["date"]).join(p.groupBy("date").agg(F.count("*").alias("k")).where("k >= 30").select("date"), "date")
     g = p.join(edges, "date").groupBy("date", M.bucket(F.col("close"), F.col("edges")).alias("bucket")).agg(F.count("*").alias("n"), F.avg("r").alias("m"))
     of = lambda k: F.max(F.when(F.col("bucket") == k, F.col("m"))).over(Window.partitionBy("date"))
     return g.select("date", "bucket", "n", F.round("m", 6).alias("mean_return"), F.round(of(9) - of(0), 6).alias("top_less_bottom"))
@@ -303,10 +306,10 @@ def d31_filer_directory(spark, d):
     return e.groupBy("ticker").agg(F.count("*").alias("filings"), F.count_if(F.col("event_type").rlike("^[12]")).alias("urgent"), F.max("event_date").alias("latest"))
 
 
-@query("select cusip, count(*) as funds, round(max(w), 6) as top_weight, string_agg(cast(manager as varchar), ',' order by manager) as held_by from (select *, v / sum(v) over (partition by manager) as w from bk) group by 1 having count(*) >= 2", {"bk": BOOK})
+@query("select quarter, cusip, count(*) as funds, round(max(w), 6) as top_weight, string_agg(cast(manager as varchar), ',' order by manager) as held_by from (select *, v / sum(v) over (partition by quarter, manager) as w from bk) group by 1, 2 having count(*) >= 2", {"bk": BOOK})
 def d32_fund_overlap(spark, d):
-    b = book(spark, d).withColumn("w", F.col("v") / F.sum("v").over(Window.partitionBy("manager")))
-    return b.groupBy("cusip").agg(F.count("*").alias("funds"), F.round(F.max("w"), 6).alias("top_weight"), F.array_join(F.transform(F.sort_array(F.collect_list("manager")), lambda x: x.cast("string")), ",").alias("held_by")).where("funds >= 2")
+    b = book(spark, d).withColumn("w", F.col("v") / F.sum("v").over(Window.partitionBy("quarter", "manager")))
+    return b.groupBy("quarter", "cusip").agg(F.count("*").alias("funds"), F.round(F.max("w"), 6).alias("top_weight"), F.array_join(F.transform(F.sort_array(F.collect_list("manager")), lambda x: x.cast("string")), ",").alias("held_by")).where("funds >= 2")
 
 
 @query("select member, string_agg(distinct direction, ',' order by direction) as roles, count(distinct ticker) as seats from member_trades group by 1")

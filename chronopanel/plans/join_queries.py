@@ -225,10 +225,9 @@ def c23_sign_table(spark, d):
     return landed.join(F.broadcast(signs), "event_type").join(F.broadcast(A.sectors(spark, d)), "sector").groupBy(F.col("landed").alias("date"), "ticker").agg(F.sum("sign").alias("shock"))
 
 
-@query("with x as (select distinct manager, cusip from holdings where quarter = '1998Q2') select a.manager as a, b.manager as b, count(*) as w, array_to_string(list_slice(list_sort(list(a.cusip)), 1, 8), ',') as shared, count(*) > 8 as truncated from x a join x b on a.cusip = b.cusip and a.manager < b.manager group by 1, 2")
+@query("with x as (select distinct quarter, manager, cusip from holdings) select a.quarter, a.manager as a, b.manager as b, count(*) as w, array_to_string(list_slice(list_sort(list(a.cusip)), 1, 8), ',') as shared, count(*) > 8 as truncated from x a join x b on a.quarter = b.quarter and a.cusip = b.cusip and a.manager < b.manager group by 1, 2, 3")
 def c24_shared_items(spark, d):
-    h = A.holdings(spark, d).where("quarter = '1998Q2'")
-    return J.shared_items(h, "manager", "cusip").withColumn("shared", F.array_join("shared", ","))
+    return J.shared_items(A.holdings(spark, d), "manager", "cusip", by=["quarter"]).withColumn("shared", F.array_join("shared", ","))
 
 
 @query("select event_id, ticker from member_trades t where not exists (select 1 from member_trades b where b.ticker = t.ticker and b.party <> t.party and b.transaction_date = t.transaction_date)")

@@ -41,27 +41,34 @@ def a03_company_facts(spark, d):
     return readers.company_facts(spark, path, {"m1": ["1-URGENT", "2-HIGH"]}).select("ticker", "metric", "end", "filed", "form", F.round("value", 2).alias("value"))
 
 
-@query("select 'F' || chr(cast(65 + manager as int)) as fund, cusip as ticker, round(sum(value_usd), 2) as weight, round(sum(shares), 2) as shares from holdings where quarter = '1998Q2' group by 1, 2")
+@query("select 'F' || chr(cast(65 + manager as int)) as fund, cusip as ticker, round(sum(value_usd), 2) as weight, round(sum(shares), 2) as shares from (select *, max(quarter) over (partition by manager) as newest from holdings) where quarter = newest group by 1, 2")
 def a04_fund_csv(spark, d):
+    """A file per fund and quarter, named by the quarter's last day; of each fund the newest is read."""
     path = scratch(spark, "funds")
-    h = A.holdings(spark, d).where("quarter in ('1998Q1', '1998Q2')")
-    h = h.withColumn("name", F.concat(F.lit("F"), F.chr(65 + F.col("manager")), F.when(F.col("quarter") == "1998Q1", "_19980331").otherwise("_19980630")))
+    h = A.holdings(spark, d)
+    end = F.date_format(F.last_day(F.make_date(F.left("quarter", F.lit(4)).cast("int"), 3 * F.right("quarter", F.lit(1)).cast("int"), F.lit(1))), "yyyyMMdd")
+    h = h.withColumn("name", F.concat(F.lit("F"), F.chr(65 + F.col("manager")), F.lit("_"), end))
     rows = h.groupBy("name", F.col("cusip").alias("ticker")).agg(F.format_string("%.2f", F.sum("value_usd")).alias("weight"), F.format_string("%.2f", F.sum("shares")).alias("shares"))
     rows.repartition("name").write.partitionBy("name").option("header", True).csv(path)
     lines = spark.read.option("header", True).csv(path)
     newest = lines.groupBy(F.regexp_extract("name", "^([A-Z]+)_", 1).alias("fund")).agg(F.max("name").alias("name"))
-    return lines.join(F.broadcast(newest), "name").select("fund", "ticker", F.col("weight").cast("double").alias("weight"), F.col("shares").cast("double").alias("shares"))
+    return lines.join(newest, "name").select("fund", "ticker", F.col("weight").cast("double").alias("weight"), F.col("shares").cast("double").alias("shares"))
 
 
-@query("select 'X' as issuer, cusip as ticker, round(shares, 2) as shares from holdings where quarter = '1998Q1' and manager = 1 union all select 'Y', cusip, round(shares, 2) from holdings where quarter = '1998Q1' and manager = 2")
+@query("select case when manager % 2 = 0 then 'X' else 'Y' end as issuer, quarter, manager, cusip as ticker, round(shares, 2) as shares from holdings")
 def a05_holdings_dialects(spark, d):
+    """Half of the managers file in one layout, half in another with other names, order and separator."""
     a, b = scratch(spark, "dialect"), scratch(spark, "dialect")
-    h = A.holdings(spark, d).where("quarter = '1998Q1'")
-    h.where("manager = 1").select(F.col("cusip").alias("Symbol"), F.format_string("%.2f", "shares").alias("Quantity")).write.option("header", True).csv(a)
-    h.where("manager = 2").select(F.format_string("%.2f", "shares").alias("Shares Held"), F.col("cusip").alias("Ticker")).write.option("header", True).option("sep", ";").csv(b)
-    x = spark.read.option("header", True).csv(a).select(F.lit("X").alias("issuer"), F.col("Symbol").alias("ticker"), F.col("Quantity").cast("double").alias("shares"))
-    y = spark.read.option("header", True).option("sep", ";").csv(b).select(F.lit("Y").alias("issuer"), F.col("Ticker").alias("ticker"), F.col("Shares Held").cast("double").alias("shares"))
-    return x.unionByName(y, allowMissingColumns=True)
+    h = A.holdings(spark, d)
+    number = F.format_string("%.2f", "shares")
+    h.where("manager % 2 = 0").select(F.col("cusip").alias("Symbol"), number.alias("Quantity"), "quarter", "manager").write.option("header", True).csv(a)
+    h.where("manager % 2 = 1").select("manager", number.alias("Shares Held"), F.col("cusip").alias("Ticker"), "quarter").write.option("header", True).option("sep", ";").csv(b)
+
+    def layout(path: str, issuer: str, sep: str, ticker: str, shares: str) -> DataFrame:
+        rows = spark.read.option("header", True).option("sep", sep).csv(path)
+        return rows.select(F.lit(issuer).alias("issuer"), "quarter", F.col("manager").cast("long").alias("manager"), F.col(ticker).alias("ticker"), F.col(shares).cast("double").alias("shares"))
+
+    return layout(a, "X", ",", "Symbol", "Quantity").unionByName(layout(b, "Y", ";", "Ticker", "Shares Held"))
 
 
 @query("select o_orderpriority as form, cast(o_custkey as varchar) as cik, cast(o_orderdate as date) as filed, count(*) as n from orders where o_orderpriority in ('1-URGENT', '2-HIGH') group by 1, 2, 3")
@@ -72,20 +79,18 @@ def a06_crawler_index(spark, d):
     return readers.crawler_index(spark, path, ["1-URGENT", "2-HIGH"]).groupBy("form", "cik", "filed").agg(F.count("*").alias("n"))
 
 
-@query("select cusip, option_type, round(value_usd, 2) as value_usd, round(shares, 2) as shares from holdings where quarter = '1998Q1'")
+@query("select 'M' || manager as issuer, quarter as title_class, upper(cusip) as cusip, option_type, round(value_usd, 2) as value_usd, round(shares, 2) as shares from holdings")
 def a07_information_table(spark, d):
     path = scratch(spark, "infotable")
-    h = A.holdings(spark, d).where("quarter = '1998Q1'")
     amount = F.struct(F.format_string("%.2f", "shares").alias("sshPrnamt"), F.lit("SH").alias("sshPrnamtType"))
-    h.select(F.lit("X").alias("nameOfIssuer"), F.lit("COM").alias("titleOfClass"), "cusip", F.format_string("%.2f", "value_usd").alias("value"), F.col("option_type").alias("putCall"), amount.alias("shrsOrPrnAmt")).write.format("xml").option("rowTag", "infoTable").option("rootTag", "informationTable").save(path)
-    t = readers.information_table(spark, path)
-    return t.select(F.col("cusip"), "option_type", F.round("value_usd", 2).alias("value_usd"), F.round("shares", 2).alias("shares")).join(h.select("cusip").distinct().select(F.upper("cusip").alias("u"), F.col("cusip").alias("c")), F.col("cusip") == F.col("u")).select(F.col("c").alias("cusip"), "option_type", "value_usd", "shares")
+    A.holdings(spark, d).select(F.concat(F.lit("M"), F.col("manager").cast("string")).alias("nameOfIssuer"), F.col("quarter").alias("titleOfClass"), "cusip", F.format_string("%.2f", "value_usd").alias("value"), F.col("option_type").alias("putCall"), amount.alias("shrsOrPrnAmt")).write.format("xml").option("rowTag", "infoTable").option("rootTag", "informationTable").save(path)
+    return readers.information_table(spark, path).select("issuer", "title_class", "cusip", "option_type", F.round("value_usd", 2).alias("value_usd"), F.round("shares", 2).alias("shares"))
 
 
-@query("select 'C' || (l_suppkey % 5) as ticker, case when l_returnflag = 'A' then 'P' else 'S' end as code, count(*) as n, round(sum(l_quantity), 2) as shares from lineitem where l_returnflag in ('A', 'R') and l_orderkey % 10 = 0 group by 1, 2")
+@query("select 'C' || (l_suppkey % 5) as ticker, case when l_returnflag = 'A' then 'P' else 'S' end as code, count(*) as n, round(sum(l_quantity), 2) as shares from lineitem where l_returnflag in ('A', 'R') group by 1, 2")
 def a08_insider_xml(spark, d):
     path = scratch(spark, "insider")
-    li = A.table(spark, d, "lineitem").where("l_orderkey % 10 = 0")
+    li = A.table(spark, d, "lineitem")
     code = F.when(F.col("l_returnflag") == "A", "P").when(F.col("l_returnflag") == "R", "S").otherwise("M")
     v = lambda c: F.struct(c.cast("string").alias("value"))
     tx = F.struct(v(F.to_date("l_shipdate")).alias("transactionDate"), F.struct(code.alias("transactionCode")).alias("transactionCoding"), F.struct(v(F.col("l_quantity")).alias("transactionShares"), v(F.col("l_extendedprice")).alias("transactionPricePerShare")).alias("transactionAmounts"))
@@ -135,12 +140,14 @@ def a13_cumulative_append(spark, d):
     return spark.read.schema(e.schema).parquet(path)
 
 
-@query("select manager, quarter, cusip from (select distinct manager, case when manager % 2 = 0 then '1998Q2' else '1998Q1' end as quarter from holdings) join (select distinct manager, quarter, cusip from holdings) using (manager, quarter)")
+@query("with h as (select distinct manager, quarter, cusip, max(quarter) over () as newest from holdings), fresh as (select distinct manager from h where quarter = newest and manager % 2 = 0) select manager, quarter, cusip from h where (manager in (from fresh) and quarter = newest) or (manager not in (from fresh) and quarter < newest)")
 def a14_replace_keys(spark, d):
+    """A table of all quarters before the newest; then half of the managers are replaced by their rows of the newest."""
     path = scratch(spark, "managers")
     h = A.holdings(spark, d).select("manager", "quarter", "cusip").distinct()
-    sinks.replace_keys(h.where("quarter = '1998Q1'"), path, "manager")
-    sinks.replace_keys(h.where("quarter = '1998Q2' and manager % 2 = 0"), path, "manager")
+    h = h.crossJoin(F.broadcast(h.agg(F.max("quarter").alias("newest"))))  # one row
+    sinks.replace_keys(h.where("quarter < newest").drop("newest"), path, "manager")
+    sinks.replace_keys(h.where("quarter = newest and manager % 2 = 0").drop("newest"), path, "manager")
     return spark.read.parquet(path).select(F.col("manager").cast("long").alias("manager"), "quarter", "cusip")
 
 

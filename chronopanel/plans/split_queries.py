@@ -73,9 +73,9 @@ def k06_relevance_bins(spark, d):
     """Bins per training month; months after training use the pooled edges."""
     p = panel(spark, d)
     train = p.where("date < '2000-01-01'")
-    edges = train.groupBy("date").agg(M.inner_edges("y", 4).alias("edges"))
-    pooled = train.agg(M.inner_edges("y", 4).alias("pooled"))
-    j = p.join(edges, "date", "left").crossJoin(F.broadcast(pooled))
+    edges = M.inner_edges(train, "y", 4, ["date"])
+    pooled = M.inner_edges(train, "y", 4).withColumnRenamed("edges", "pooled")
+    j = p.join(edges, "date", "left").crossJoin(F.broadcast(pooled))  # one row
     return j.groupBy("date", M.bucket(F.col("y"), F.coalesce("edges", "pooled")).alias("bin")).agg(F.count("*").alias("n"))
 
 
