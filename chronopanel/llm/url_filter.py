@@ -79,7 +79,7 @@ def judged(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     hosts = rows.select("host").distinct().select("host", F.explode(suffixes).alias("suffix"))
     found = hosts.join(by_host, "suffix").select("host", F.explode(F.transform("paths", lambda p: F.struct(F.concat("suffix", p["path"]).alias("rule"), p["path"].alias("path"), p["verdict"].alias("verdict")))).alias("r"))
-    found = found.groupBy(F.col("host").alias("__host")).agg(F.collect_set("r").alias("__rules"))
+    found = stored(found.groupBy(F.col("host").alias("__host")).agg(F.collect_set("r").alias("__rules")), "host-rules")  # so that AQE can split a hot host
     fits = F.filter("__rules", lambda r: F.startswith(F.col("path"), r["path"]))
     order = F.transform(fits, lambda r: F.struct((-F.length(r["rule"])).alias("n"), r["verdict"].alias("verdict"), r["rule"].alias("rule")))
     best = rows.join(found, F.col("host") == F.col("__host"), "left").withColumn("__best", F.array_min(order)).drop("__host", "__rules")
