@@ -64,5 +64,5 @@ def exact_quantiles(df: DataFrame, x: str, probabilities: list[float], by: list[
     known = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("__v"))
     both = size.alias("s").join(known.alias("k"), same("s", "k"))
     value = lambda r: F.element_at("__v", r.cast("long"))
-    each = [F.when(F.floor(a) == F.ceil(a), value(F.floor(a))).otherwise(value(F.floor(a)) * (F.ceil(a) - a) + value(F.ceil(a)) * (a - F.floor(a))) for a in at]
+    each = [F.when(value(F.floor(a)) == value(F.ceil(a)), value(F.floor(a))).otherwise(value(F.floor(a)) * (F.ceil(a) - a) + value(F.ceil(a)) * (a - F.floor(a))) for a in at]
     return both.select(*[F.col(f"s.{c}") for c in by], "n", F.array(*each).alias("quantiles"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import adapters as A
+from ..operators import boosting as B
 from ..operators import monitor as M
 from ..operators import rolling as R
 from ..operators import splits as S
@@ -148,6 +149,51 @@ def k11_fold_fit(spark, d):
     return scored.groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("n"), F.round(F.max("slope"), 6).alias("slope"), F.round(F.sqrt(F.avg((F.col("y") - F.col("score")) ** 2)), 6).alias("rmse"))
 
 
+TREE_PANEL = "select *, cast(date + interval 1 month as date) as label_end from (select date, ticker, close as x1, close / lag(close) over w - 1 as x2, close / lag(close, 3) over w - 1 as x3, volume / lag(volume) over w - 1 as x4, lead(close) over w / close - 1 as y from prices_monthly window w as (partition by ticker order by date)) where y is not null"
+TREES = B.BoostingParams(trees=6, depth=2, learning_rate=0.2, bins=8, feature_fraction=1.0, bagging_fraction=1.0, stage=3)
+TREE_FEATURES = ["x1", "x2", "x3", "x4"]
+
+
+def boosting_sql(p: B.BoostingParams, features: list[str]) -> str:
+    """The trees as a chain of tables: per level the sums by bin, the best cut of every node, and the rows' next node."""
+    k = len(features)
+    cuts = ", ".join(f"list_sort(list_distinct(quantile_cont({x}, [{', '.join(f'{i}/{p.bins}.0' for i in range(1, p.bins))}]))) as e{i}" for i, x in enumerate(features))
+    cell = ", ".join(f"case when {x} is null then 0 else 1 + len(list_filter(e{i}, lambda e: e < {x})) end" for i, x in enumerate(features))
+    known = "role = 'train' and y is not null"
+    parts = [
+        f"edges as materialized (select fold, {cuts}, count(*) as n from tagged where {known} group by fold)",
+        f"unit as materialized (select pow(2.0, ceil(log2(max(abs(y)))) - 24) as scale from tagged where {known})",
+        f"bases as materialized (select fold, round_even(sum(cast(round_even(y / scale, 0) as bigint))::double / count(*), 0) * scale as base from tagged, unit where {known} group by fold, scale)",
+        f"s0 as materialized (select fold, role, date, ticker, y, [{cell}] as b, base as total from tagged join edges using (fold) join bases using (fold) where role is not null)",
+    ]
+    for t in range(p.trees):
+        parts.append(f"n{t}_0 as materialized (select s{t}.*, 0 as node, cast(round_even((y - total) / scale, 0) as bigint) as g from s{t}, unit)")
+        for d in range(p.depth):
+            rows = f"(select fold, node, g, b[unnest(range(1, {k + 1}))] as b, unnest(range({k})) as f from n{t}_{d} where role = 'train')"
+            parts.append(f"h{t}_{d} as materialized (select fold, node, f, b, sum(sum(g)) over w as gl, sum(count(*)) over w as nl, sum(sum(g)) over v as g, sum(count(*)) over v as n from {rows} group by fold, node, f, b window w as (partition by fold, node, f order by b), v as (partition by fold, node, f))")
+            part = lambda g, c: f"pow(({g})::double * scale, 2) / ({c} + {p.reg_lambda})"
+            gain = f"{part('gl', 'nl')} + {part('g - gl', 'n - nl')} - {part('g', 'n')}"
+            # a cut between two filled bins is found at the lower one; bins without rows only repeat it
+            parts.append(f"c{t}_{d} as materialized (select fold, node, f, b, gl, nl, g, n, gain from (select *, {gain} as gain from h{t}_{d}, unit where nl >= {p.min_child} and n - nl >= {p.min_child}) where gain > 1e-12 qualify row_number() over (partition by fold, node order by gain desc, f, b) = 1)")
+            parts.append(f"n{t}_{d + 1} as materialized (select r.* replace (2 * r.node + 1 + case when c.fold is not null and r.b[c.f + 1] > c.b then 1 else 0 end as node) from n{t}_{d} r left join c{t}_{d} c on c.fold = r.fold and c.node = r.node)")
+        leaf = f"select fold, node, {p.learning_rate} * (sum(g)::double * scale) / (count(*) + {p.reg_lambda}) as v from n{t}_{p.depth}, unit where role = 'train' group by fold, node, scale"
+        parts.append(f"s{t + 1} as materialized (select r.fold, role, date, ticker, y, b, total + coalesce(v, 0) as total from n{t}_{p.depth} r left join ({leaf}) l on l.fold = r.fold and l.node = r.node)")
+    return f"with {', '.join(parts)} select cast(fold as int) as fold, date, ticker, round(total, 6) as score, round(y, 6) as y from s{p.trees} where role = 'test'"
+
+
+@query(boosting_sql(TREES, TREE_FEATURES), WF | {"pan": TREE_PANEL})
+def k11_boosted_trees(spark, d):
+    """Out-of-fold scores of boosted trees with frozen parameters, on returns, price and change of volume."""
+    by = R.by_ticker()
+    close, volume = F.col("close"), F.col("volume")
+    p = A.prices_monthly(spark, d).select(
+        "date", "ticker", close.alias("x1"), (close / F.lag("close").over(by) - 1).alias("x2"), (close / F.lag("close", 3).over(by) - 1).alias("x3"), (volume / F.lag("volume").over(by) - 1).alias("x4"), R.forward_return(1).alias("y")
+    ).where("y is not null").withColumn("label_end", F.add_months("date", 1))
+    t = stored(S.tag_walk_forward(p, S.walk_forward_folds(p, "date", 4), "date", "label_end"), "tagged")
+    out = B.boosted_scores(t, TREE_FEATURES, "y", ["date", "ticker"], TREES)
+    return out.select("fold", "date", "ticker", F.round("score", 6).alias("score"), F.round("y", 6).alias("y"))
+
+
 WEEKS = {
     "wk": "select ticker, week, max_by(close, date) as close from (select ticker, date, close, cast(date_trunc('week', date) as date) as week from prices) group by 1, 2",
     "wp": "select * from (select ticker, week, close / lag(close) over (partition by ticker order by week) - 1 as x, lead(close) over (partition by ticker order by week) / close - 1 as y from wk) where x is not null and y is not null",
