@@ -225,7 +225,7 @@ def i02_ingest_ledger(spark, d):
     path, schema = day_files(spark, d)
     ledger, ck = scratch(spark, "ledger"), scratch(spark, "ck")
     stream = feeds.file_stream(spark, path, schema, 3).withColumn("day", F.to_date("ts"))
-    feeds.ingest_ledger(stream, ledger, ck, ["day", "event_type"])
+    feeds.ingest_ledger(stream, ledger, ck, ["day", "event_type"], "day")
     return spark.read.schema("day date, event_type string").parquet(ledger).select("day", "event_type")
 
 
@@ -233,9 +233,9 @@ def i02_ingest_ledger(spark, d):
 def i03_newest_wins(spark, d):
     path, schema = day_files(spark, d)
     table, ck = scratch(spark, "table"), scratch(spark, "ck")
-    feeds.merge_newest(feeds.file_stream(spark, path, schema, 3), table, ck)
-    rows = spark.read.schema(schema).parquet(table)
-    return feeds.newest_wins(rows, "user_id", "ts", "event_id", keep_days=30).select("user_id", "event_id", "ts")
+    feeds.merge_newest(feeds.file_stream(spark, path, schema, 1), table, ck, "user_id", "ts", "event_id", keep_days=30, every=3)
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+    return feeds.read_newest(spark, table, names, "user_id", "ts", "event_id", keep_days=30).select("user_id", "event_id", "ts")
 
 
 def drained(spark, d, window: str, slide: str | None, view: str) -> DataFrame:
@@ -271,26 +271,64 @@ def i06_quarantine(spark, d):
     return spark.read.schema(schema).parquet(late).select("event_id")
 
 
-@query("select event_id, event_type from events")
+@query("select event_id, event_type from events where isodow(ts) <= 5")
 def i07_checkpointed_resume(spark, d):
-    """Half of the files, a stop, then the rest under the same checkpoint: every row arrives once."""
-    a, schema = day_files(spark, d)
+    """Daily files of business days: a collection that stops after some days, and one that finds which days are missing,
+    fetches them and goes on under the same checkpoint. Every row arrives once."""
     stage, table, ck = scratch(spark, "stage"), scratch(spark, "table"), scratch(spark, "ck")
-    rows = spark.read.schema(schema).parquet(a)
-    for part in ("event_id % 2 = 0", "event_id % 2 = 1"):
-        rows.where(part).write.mode("append").parquet(stage)
-        feeds.append_batches(feeds.file_stream(spark, stage, schema, 100).select("event_id", "event_type"), table, ck)
-    return spark.read.schema("event_id long, event_type string").parquet(table).select("event_id", "event_type")
-
-
-@query("select event_id, score, case when score <> sealed then 'rejected' when not due then 'early' else 'scored' end as status from (select event_id, round(value, 2) as sealed, case when event_id % 11 = 0 then round(value, 2) + 1 else round(value, 2) end as score, ts < timestamp '2024-01-20' as due from events)")
+    e = A.table(spark, d, "events").select("event_id", "event_type", F.to_date("ts").alias("day"))
+    first, last = e.agg(F.min("day"), F.max("day")).first()
+    held = e.limit(0)
+    for until in (first + (last - first) / 2, last) if first else ():
+        days = feeds.missing_business_days(held, "day", str(first), str(until))
+        e.join(F.broadcast(days), "day").write.mode("append").partitionBy("day").parquet(stage)  # a calendar
+        feeds.append_batches(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 100).parquet(stage), table, ck)
+        held = spark.read.schema(e.schema).parquet(table)
+    return held.select("event_id", "event_type")
+
+
+NOTICES = """select kind, event_id, arm, arrived, target_t, seal, case when kind = 'reveal' then value end as value from (
+select unnest([
+  {kind: 'commit', skip: event_id % 13 = 0, arm: '', arrived: ts - interval 5 day, seal: round(value, 2)},
+  {kind: 'commit', skip: event_id % 11 <> 0, arm: '', arrived: ts - interval 4 day, seal: round(value, 2) + 1},
+  {kind: 'commit', skip: event_id % 4 <> 0, arm: '', arrived: ts - interval 3 day, seal: round(value, 2)},
+  {kind: 'reveal', skip: event_id % 7 <> 0, arm: 'a', arrived: ts - interval 1 day, seal: null},
+  {kind: 'reveal', skip: false, arm: 'a', arrived: ts + interval 1 day, seal: null},
+  {kind: 'reveal', skip: event_id % 3 <> 0, arm: 'b', arrived: ts + interval 2 day, seal: null},
+  {kind: 'reveal', skip: event_id % 5 <> 0, arm: 'a', arrived: ts + interval 3 day, seal: null}], recursive := true), event_id, ts as target_t, value from events) where not skip"""
+SEALED = "select event_id, min(arrived) as at, arg_min(seal, arrived) as seal from notices where kind = 'commit' group by 1"
+JUDGED = """select n.kind, n.event_id, n.arm, n.arrived, case when n.kind = 'commit' then case when n.arrived = s.at then 'sealed' when n.seal = s.seal then 'repeated' else 'changed' end
+  when s.at is null or s.at > n.arrived then 'no commit' when n.arrived < n.target_t then 'early'
+  when exists (select 1 from notices o where o.event_id = n.event_id and o.kind = 'reveal' and o.arm = n.arm and o.arrived < n.arrived and o.arrived >= n.target_t and s.at <= o.arrived) then 'repeated' else 'scored' end as verdict
+from notices n left join sealed s using (event_id)"""
+
+
+@query("select kind, event_id, arm, arrived, verdict from judged", {"notices": NOTICES, "sealed": SEALED, "judged": JUDGED})
 def i08_commit_reveal(spark, d):
-    e = A.table(spark, d, "events").select("event_id", F.col("ts").alias("target"), F.round("value", 2).alias("sealed"))
-    commits = e.select("event_id", "target", F.sha2(F.format_string("%.2f", "sealed"), 256).alias("seal"))
-    shown = e.select("event_id", F.when(F.col("event_id") % 11 == 0, F.col("sealed") + 1).otherwise(F.col("sealed")).alias("score"))
-    j = shown.join(commits, "event_id")
-    status = F.when(F.sha2(F.format_string("%.2f", "score"), 256) != F.col("seal"), "rejected").when(F.col("target") >= F.lit("2024-01-20").cast("timestamp"), "early").otherwise("scored")
-    return j.select("event_id", F.round("score", 2).alias("score"), status.alias("status"))
+    """Predictions sealed, changed, revealed too early, in time and twice, as they arrive in three polls."""
+    stage, table, ck = scratch(spark, "stage"), scratch(spark, "table"), scratch(spark, "ck")
+    e = A.table(spark, d, "events").select("event_id", "ts", F.round("value", 2).alias("v"), "value")
+    n = F.col("event_id")
+    day = lambda k: F.col("ts") + F.expr(f"interval {k} day")
+    seal = lambda c: F.sha2(F.format_string("%.2f", c), 256)
+    made = [
+        ("commit", n % 13 != 0, "", -5, seal(F.col("v"))), ("commit", n % 11 == 0, "", -4, seal(F.col("v") + 1)), ("commit", n % 4 == 0, "", -3, seal(F.col("v"))),
+        ("reveal", n % 7 == 0, "a", -1, None), ("reveal", F.lit(True), "a", 1, None), ("reveal", n % 3 == 0, "b", 2, None), ("reveal", n % 5 == 0, "a", 3, None),
+    ]
+    notes = F.filter(F.array(*[F.when(c, F.struct(F.lit(k).alias("kind"), F.lit(arm).alias("arm"), day(at).alias("arrived"), (F.lit(None).cast("string") if s is None else s).alias("seal"))) for k, c, arm, at, s in made]), lambda x: x.isNotNull())
+    notes = e.select(n.cast("string").alias("config"), F.timestamp_micros(F.lit(0)).alias("predict_ts"), F.col("ts").alias("target_t"), "value", F.explode(notes).alias("n")).select("n.kind", "config", "predict_ts", "target_t", "n.arm", "n.seal", "value", "n.arrived")
+    notes.write.parquet(all_ := scratch(spark, "notices"))
+    notes = spark.read.parquet(all_)
+    names = [c.split()[0] for c in feeds.EVENTS.split(", ")]
+    first, last = notes.agg(F.min("arrived"), F.max("arrived")).first()
+    cuts = [first + (last - first) * k / 3 for k in range(3)] + [last] if first else []
+    for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        notes.where(F.col("arrived").between(F.lit(lo), F.lit(hi)) if k == 0 else (F.col("arrived") > F.lit(lo)) & (F.col("arrived") <= F.lit(hi))).select(*names).write.mode("append").parquet(stage)
+        verdicts = feeds.commit_reveal(spark.readStream.schema(feeds.EVENTS).parquet(stage), keep_days=30, late="1 day")
+        q = verdicts.writeStream.outputMode("append").format("parquet").option("path", table).option("checkpointLocation", ck).trigger(availableNow=True).start()
+        q.awaitTermination()
+    out = spark.read.schema(feeds.VERDICTS).parquet(table) if cuts else spark.createDataFrame([], feeds.VERDICTS)
+    return out.select("kind", F.col("config").cast("long").alias("event_id"), "arm", "arrived", "verdict")
 
 
 ARM_IC = "select {run} as run, arm, date as month, corr(rs, ry) as ic from (select *, rank() over (partition by arm, date order by x) + (count(*) over (partition by arm, date, x) - 1) / 2.0 as rs, rank() over (partition by arm, date order by y) + (count(*) over (partition by arm, date, y) - 1) / 2.0 as ry from (select unnest(['a', 'b']) as arm, date, unnest([close, volume]) as x, y from (select *, lead(close, {h}) over (partition by ticker order by date) / close - 1 as y from prices_monthly) where y is not null)) group by 2, 3 having count(*) >= 5"

@@ -2,25 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def children(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """The numbers after ``prefix`` in the names of the folders under path."""
+    fs, p = _file_system(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def row_hashes(columns: list[str]) -> list[Column]:
+    """Two 64-bit hashes of a whole row, in which it counts where a null stands."""
+    cells = [F.col(f"`{c}`") for c in columns]
+    cells += [c.isNull() for c in cells]
+    return [F.xxhash64(*cells), F.xxhash64(F.lit(1), *cells)]
 
 
 def append_new_rows(rows: DataFrame, path: str) -> None:
     """Append the distinct rows that the table does not hold yet; nulls compare equal. History is never rewritten."""
     spark = rows.sparkSession
     new = rows.distinct()
-    if _exists(spark, path):
+    if exists(spark, path):
         old = spark.read.schema(rows.schema).parquet(path)
-        row_hash = lambda df, n: df.withColumns({f"{n}1": F.xxhash64(*rows.columns), f"{n}2": F.xxhash64(F.lit(1), *rows.columns)})
-        seen = row_hash(old, "__o").select("__o1", "__o2")
-        fresh = row_hash(new, "__n")
-        new = fresh.join(seen, (F.col("__n1") == F.col("__o1")) & (F.col("__n2") == F.col("__o2")), "left_anti").drop("__n1", "__n2")
+        seen = old.select(*[h.alias(f"__s{i}") for i, h in enumerate(row_hashes(rows.columns))])
+        new = new.join(seen, [h == F.col(f"__s{i}") for i, h in enumerate(row_hashes(rows.columns))], "left_anti")
     new.write.mode("append").parquet(path)
 
 

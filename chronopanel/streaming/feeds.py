@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import children, exists, remove, row_hashes
+
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -16,9 +18,10 @@ def run_now(stream: DataFrame, on_batch, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def _put(df: DataFrame, table: str, batch: int) -> None:
-    """A batch of rows in a folder of its own: a replayed batch overwrites itself, and no batch reads what others wrote."""
-    df.write.mode("overwrite").parquet(f"{table}/batch={batch}")
+def _put(df: DataFrame, table: str, batch: int, *by: str) -> None:
+    """A batch of rows in a folder of its own: a replayed batch overwrites itself, and no batch touches what others wrote."""
+    w = df.write.mode("overwrite")
+    (w.partitionBy(*by) if by else w).parquet(f"{table}/batch={batch}")
 
 
 def append_batches(stream: DataFrame, table: str, checkpoint: str) -> None:
@@ -26,21 +29,39 @@ def append_batches(stream: DataFrame, table: str, checkpoint: str) -> None:
     run_now(stream, lambda df, i: _put(df, table, i), checkpoint)
 
 
+def unseen(rows: DataFrame, table: str, batch: int, day: str) -> DataFrame:
+    """The distinct rows that no other batch of the table holds. A row can only repeat under its own day (column ``day``, a
+    date), so only the folders of the days in ``rows`` are read: work follows the arrivals, not the history."""
+    spark = rows.sparkSession
+    new = rows.distinct()
+    if not exists(spark, table):
+        return new
+    schema = f"{', '.join(f'`{c}` {t}' for c, t in rows.dtypes)}, batch int"
+    days = new.select(F.col(day).alias("__day")).distinct()
+    old = spark.read.schema(schema).parquet(table).where(F.col("batch") != batch)
+    old = old.join(F.broadcast(days), F.col(day).eqNullSafe(F.col("__day")), "left_semi")  # a calendar
+    seen = old.select(*[h.alias(f"__s{i}") for i, h in enumerate(row_hashes(rows.columns))])
+    return new.join(seen, [h == F.col(f"__s{i}") for i, h in enumerate(row_hashes(rows.columns))], "left_anti")
+
+
 def collect_window(stream: DataFrame, table: str, late: str, checkpoint: str, ts: str, last_poll: str, snapshot: str) -> None:
-    """Append rows timed in (last_poll, snapshot] to ``table``; others, and untimed ones, go to ``late``. Repeated rows come
-    once: the state store knows the rows that were seen, so the work of a batch does not grow with the table."""
-    inside = F.col(ts).isNotNull() & (F.col(ts) > F.lit(last_poll).cast("timestamp")) & (F.col(ts) <= F.lit(snapshot).cast("timestamp"))
+    """Append rows timed in (last_poll, snapshot] to ``table``; others, and untimed ones, go to ``late``. A row that repeats
+    comes once, however late the copy is: batches are compared with what the tables hold of the same days, so there is no
+    state that could grow or expire. Tables have the folders batch and day."""
+    inside = F.coalesce((F.col(ts) > F.lit(last_poll).cast("timestamp")) & (F.col(ts) <= F.lit(snapshot).cast("timestamp")), F.lit(False))
 
     def on_batch(df: DataFrame, batch: int) -> None:
-        _put(df.where(inside), table, batch)
-        _put(df.where(~F.coalesce(inside, F.lit(False))), late, batch)
+        df = df.withColumn("day", F.to_date(ts)).persist()
+        _put(unseen(df.where(inside), table, batch, "day"), table, batch, "day")
+        _put(unseen(df.where(~inside), late, batch, "day"), late, batch, "day")
+        df.unpersist()
 
-    run_now(stream.dropDuplicates(), on_batch, checkpoint)
+    run_now(stream, on_batch, checkpoint)
 
 
-def ingest_ledger(stream: DataFrame, ledger: str, checkpoint: str, keys: list[str]) -> None:
-    """One row per distinct key of arrivals, once, however often they arrive; keys that were seen are in the state store."""
-    append_batches(stream.select(*keys).dropDuplicates(), ledger, checkpoint)
+def ingest_ledger(stream: DataFrame, ledger: str, checkpoint: str, keys: list[str], day: str) -> None:
+    """One row per distinct key of arrivals, once, however often and late they arrive; ``day`` is the key that dates it."""
+    run_now(stream.select(*keys), lambda df, i: _put(unseen(df, ledger, i, day), ledger, i, day), checkpoint)
 
 
 def newest_wins(parts: DataFrame, key: str, ts: str, *ties: str, keep_days: int | None = None) -> DataFrame:
@@ -53,9 +74,112 @@ def newest_wins(parts: DataFrame, key: str, ts: str, *ties: str, keep_days: int
     return out
 
 
-def merge_newest(stream: DataFrame, table: str, checkpoint: str) -> None:
-    """Append every version that arrives; readers take newest_wins. Merging on read keeps batches cheap and replays harmless."""
-    append_batches(stream, table, checkpoint)
+def merge_newest(stream: DataFrame, table: str, checkpoint: str, key: str, ts: str, *ties: str, keep_days: int, every: int = 8) -> None:
+    """Keep the newest version of each key, for ``keep_days`` before the newest of all; ``read_newest`` reads it.
+
+    Each batch writes its newest versions. Every so many batches all that is held is merged into one table without what is
+    outdated or outlived, and what went into the merge before is removed (the last one stays for readers at work). So the
+    table holds the keys alive and the versions of ``every`` batches, whatever has passed by. A replayed batch or merge
+    writes the same again.
+    """
+
+    def on_batch(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        _put(newest_wins(df, key, ts, *ties), f"{table}/part", batch)
+        if batch % every == every - 1:
+            before = merged_at(spark, table)
+            schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+            read_newest(spark, table, schema, key, ts, *ties, keep_days=keep_days, upto=batch).write.mode("overwrite").parquet(f"{table}/base/upto={batch}")
+            for at in (x for x in before if x < batch):
+                if at != max(before):
+                    remove(spark, f"{table}/base/upto={at}")
+            if before:
+                for at in children(spark, f"{table}/part", "batch="):
+                    if at <= max(before):
+                        remove(spark, f"{table}/part/batch={at}")
+
+    run_now(stream, on_batch, checkpoint)
+
+
+def merged_at(spark: SparkSession, table: str) -> list[int]:
+    """Batches up to which finished merges reach."""
+    return [x for x in children(spark, f"{table}/base", "upto=") if exists(spark, f"{table}/base/upto={x}/_SUCCESS")]
+
+
+def read_newest(spark: SparkSession, table: str, schema: str, key: str, ts: str, *ties: str, keep_days: int, upto: int | None = None) -> DataFrame:
+    """The newest version of each key: of the last merge and of the batches after it."""
+    bases = [x for x in merged_at(spark, table) if upto is None or x < upto]
+    last = max(bases, default=-1)
+    paths = [f"{table}/base/upto={last}"] if bases else []
+    paths += [f"{table}/part/batch={x}" for x in children(spark, f"{table}/part", "batch=") if x > last and (upto is None or x <= upto)]
+    rows = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return newest_wins(rows, key, ts, *ties, keep_days=keep_days)
+
+
+def missing_business_days(held: DataFrame, day: str, start: str, end: str) -> DataFrame:
+    """(day) of the weekdays from start to end that ``held`` has no row of: what a resumed collection has to fetch."""
+    days = held.sparkSession.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("day")).where(F.weekday("day") < 5)
+    return days.join(held.select(F.col(day).alias("__d")).distinct(), F.col("day") == F.col("__d"), "left_anti")
+
+
+#: Events of a commit-reveal stream, and what is said of each.
+EVENTS = "kind string, config string, predict_ts timestamp, target_t timestamp, arm string, seal string, value double, arrived timestamp"
+VERDICTS = f"{EVENTS}, verdict string, scored double"
+
+
+def commit_reveal(stream: DataFrame, keep_days: int = 30, late: str = "1 day") -> DataFrame:
+    """Each event of the stream (EVENTS; kind is commit or reveal) with its verdict, as it arrives.
+
+    A prediction is named by (config, predict_ts). Its first commit is ``sealed``; the same seal and target again is
+    ``repeated``, any other ``changed`` and refused. A reveal without a commit of that target is refused as ``no commit``,
+    one that arrives before the target as ``early``; the first one of an arm after it is ``scored``, and further ones are
+    ``repeated`` with the first one's value. Untimed events, and such without a name, are refused as ``unnamed``.
+
+    State per prediction: seal, target and the arms scored. It goes when the watermark (``late`` behind the arrivals)
+    passes ``keep_days`` after the target, so its size follows the predictions under way. Events of one prediction are
+    taken in the order of arrival within a batch; there are as many as arms and retries, not as rows of the corpus.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def judge(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["arrived", "kind", "arm", "seal", "value"], kind="stable")
+        seal, target, arms, values = state.get if state.exists else (None, None, [], [])
+        arms, values, out = list(arms), list(values), []
+        for r in rows.itertuples(index=False):
+            verdict, scored = "no commit", None
+            if pd.isna(r.predict_ts) or pd.isna(r.target_t) or r.config is None:
+                verdict = "unnamed"
+            elif r.kind == "commit":
+                if target is None:
+                    seal, target, verdict = r.seal, r.target_t, "sealed"
+                else:
+                    verdict = "repeated" if (r.seal, r.target_t) == (seal, target) else "changed"
+            elif target is not None and r.target_t == target:
+                if r.arrived < target:
+                    verdict = "early"
+                elif r.arm in arms:
+                    verdict, scored = "repeated", values[arms.index(r.arm)]
+                else:
+                    arms.append(r.arm)
+                    values.append(r.value)
+                    verdict, scored = "scored", r.value
+            out.append((*r, verdict, scored))
+        if target is not None:
+            state.update((seal, target, arms, values))
+            ends = int((target + pd.Timedelta(days=keep_days)).timestamp() * 1000)
+            if ends <= state.getCurrentWatermarkMs():
+                state.remove()
+            else:
+                state.setTimeoutTimestamp(ends)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in VERDICTS.split(", ")])
+
+    names = [c.split()[0] for c in EVENTS.split(", ")]
+    known = stream.select(*names).withWatermark("arrived", late)
+    return known.groupBy("config", "predict_ts").applyInPandasWithState(judge, VERDICTS, "seal string, target timestamp, arms array<string>, values array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(stream: DataFrame, ts: str, key: str, window: str = "1 day", slide: str | None = None, late: str = "2 days") -> DataFrame:
