@@ -27,27 +27,3 @@ def text_scorer(load: Callable[[], Callable], schema: str) -> Callable[[Column |
             yield model(texts)
 
     return F.pandas_udf(score, schema, F.PandasUDFType.SCALAR_ITER)
-
-
-def ar_surprises(df: DataFrame, key: str, order: str, x: str, window: int = 21, lags: int = 5) -> DataFrame:
-    """One-step surprise of a rolling autoregression per series: (key, order, surprise), in units of the window's residual
-    deviation. Null until the window is full."""
-    kinds = dict(df.dtypes)
-
-    def run(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values(order)
-        v, out = pdf[x].to_numpy(float), np.full(len(pdf), np.nan)
-        for t in range(window + lags, len(v)):
-            rows = np.array([v[i - lags : i] for i in range(t - window, t)])
-            y = v[t - window : t]
-            if np.isfinite(rows).all() and np.isfinite(y).all() and np.isfinite(v[t]):
-                z = np.c_[np.ones(window), rows]
-                b = np.linalg.lstsq(z, y, rcond=None)[0]
-                sd = (y - z @ b).std(ddof=1)
-                if sd > 1e-12:
-                    out[t] = round((v[t] - np.r_[1.0, v[t - lags : t]] @ b) / sd, 6)
-        return pdf[[key, order]].assign(surprise=[None if np.isnan(o) else o for o in out])
-
-    return df.select(key, order, x).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, surprise double")

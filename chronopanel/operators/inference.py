@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.special import student_p
+from ..shared import stored
 from .rolling import average_rank
 
 
@@ -15,25 +17,43 @@ def rank_ic(df: DataFrame, by: list[str], score: str, y: str, least: int = 5) ->
     return ranked.groupBy(*by).agg(F.corr("__s", "__y").alias("ic"), F.count("*").alias("n")).where(F.col("n") >= least).where(F.col("ic").isNotNull() & ~F.isnan("ic"))
 
 
-def hac(df: DataFrame, series: list[str], order: str, x: str, max_lag: int | None = None) -> DataFrame:
-    """Mean of each series with the Newey-West standard error, t and normal p; lag = max(1, floor(4 (n/100)^(2/9))).
+#: Lags that one pass over a series can hold; 4 (n/100)^(2/9) stays below for series of up to ten million rows.
+LAGS = 52
 
-    Deviations are numbered per series and joined to themselves on the number plus each lag, so the work is rows times
-    lags for any number of series.
+
+def hac(df: DataFrame, series: list[str], order: str, x: str, max_lag: int | None = None, carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Mean of each series with the Newey-West standard error, t and normal p; lag = max(1, floor(4 (n/100)^(2/9))) unless
+    given. Columns in ``carry``, constant in a series, come along.
+
+    One sorted pass per series: each deviation meets those up to LAGS rows before it in the same window, so rows are
+    exchanged once and nothing is joined or repeated. A series that needs more lags is an error, not a shorter sum.
     """
     w = Window.partitionBy(*series)
-    rows = df.where(F.col(x).isNotNull()).select(*series, F.col(x).alias("__x"), F.row_number().over(w.orderBy(order)).alias("__i"), F.count("*").over(w).alias("n"), F.avg(x).over(w).alias("mean"))
+    by = w.orderBy(order)
+    rows = df.where(F.col(x).isNotNull()).select(*series, order, *carry, F.col(x).alias("__x"), F.count("*").over(w).alias("n"), F.avg(x).over(w).alias("mean"))
     lag = F.lit(max_lag) if max_lag is not None else F.greatest(F.lit(1), F.floor(4 * F.pow(F.col("n") / 100, 2 / 9)).cast("int"))
     rows = rows.withColumns({"__d": F.col("__x") - F.col("mean"), "lag": F.least(lag, F.col("n").cast("int") - 1)})
-    later = rows.select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(series)], F.col("__i").alias("__j"), F.col("__d").alias("__e"))
-    lagged = rows.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.col("lag"), F.lit(0)))).alias("__k"))
-    on = [F.col(c).eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate(series)] + [F.col("__i") + F.col("__k") == F.col("__j")]
-    pairs = lagged.join(later, on)
-    weight = F.when(F.col("__k") == 0, 1.0).otherwise(2 * (1 - F.col("__k") / (F.col("lag") + 1)))
-    out = pairs.groupBy(*series).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.max("lag").alias("lag"), (F.sum(weight * F.col("__d") * F.col("__e")) / F.max("n")).alias("__v"))
+    rows = rows.withColumn("__l", F.when(F.col("lag") > LAGS, F.raise_error(F.lit(f"a series needs more than {LAGS} lags"))).otherwise(F.col("lag")))
+    bound = LAGS if max_lag is None else max_lag
+    products = F.col("__d") * F.col("__d")
+    for k in range(1, bound + 1):
+        products = products + F.when(F.col("__l") >= k, F.coalesce(2 * (1 - k / (F.col("__l") + 1)) * F.col("__d") * F.lag("__d", k).over(by), F.lit(0.0))).otherwise(0.0)
+    out = rows.withColumn("__p", products).groupBy(*series).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.max("lag").alias("lag"), (F.sum("__p") / F.max("n")).alias("__v"), *[F.max(c).alias(c) for c in carry])
     se = F.sqrt(F.greatest("__v", F.lit(0.0)) / F.col("n"))
     t = F.when(se > 1e-15, F.col("mean") / se)
-    return out.select(*series, "n", "mean", "lag", se.alias("se"), t.alias("t"), (2 * (1 - normal_cdf(F.abs(t)))).alias("p"))
+    return out.select(*series, *carry, "n", "mean", "lag", se.alias("se"), t.alias("t"), (2 * (1 - normal_cdf(F.abs(t)))).alias("p"))
+
+
+def diebold_mariano(df: DataFrame, series: list[str], date: str, dl: str, horizon: int = 1) -> DataFrame:
+    """(series, n, mean, se, dm, p): equal accuracy of two forecasts, from differences of their losses. Differences of a
+    date are averaged first, as they are not independent; errors are Newey-West ones with horizon - 1 lags; the statistic
+    has the small-sample factor and p comes from Student's t with n - 1 degrees of freedom. Null where the error is 0."""
+    means = df.where(F.col(dl).isNotNull()).groupBy(*series, date).agg(F.avg(dl).alias("__dl"))
+    h = hac(means, series, date, "__dl", max(0, horizon - 1))
+    n = F.col("n")
+    factor = F.sqrt(F.greatest((n + 1 - 2 * horizon + horizon * (horizon - 1) / n) / n, F.lit(0.0)))
+    dm = F.col("t") * factor
+    return h.select(*series, "n", "mean", "se", dm.alias("dm"), student_p(dm, n - 1).alias("p"))
 
 
 def normal_cdf(x: Column) -> Column:
@@ -104,35 +124,6 @@ def normal_quantile(p: str) -> str:
     return f"(case when {p} <= 0 or {p} >= 1 then null when {p} < 0.02425 then {tail(p)} when {p} > 1 - 0.02425 then -{tail(f'(1 - {p})')} else {mid} end)"
 
 
-def factor_regression(df: DataFrame, series: list[str], order: str, y: str, x1: str, x2: str) -> DataFrame:
-    """y on two factors and a constant per series, with Newey-West errors: (series, n, lag, r2, and per coefficient
-    alpha, b1, b2 its value, standard error and t).
-
-    Coefficients are closed forms of grouped moments. A coefficient is a sum of weighted residuals around its true value,
-    so its robust variance is that of one series of such terms: three series a regression go through hac().
-    """
-    known = df.where(F.col(y).isNotNull() & F.col(x1).isNotNull() & F.col(x2).isNotNull()).select(*series, order, F.col(y).alias("__y"), F.col(x1).alias("__x1"), F.col(x2).alias("__x2"))
-    m = known.groupBy(*series).agg(
-        F.count("*").alias("__n"), F.avg("__y").alias("__my"), F.avg("__x1").alias("__m1"), F.avg("__x2").alias("__m2"), F.var_pop("__x1").alias("__s11"), F.var_pop("__x2").alias("__s22"),
-        F.covar_pop("__x1", "__x2").alias("__s12"), F.covar_pop("__x1", "__y").alias("__s1y"), F.covar_pop("__x2", "__y").alias("__s2y"), F.var_pop("__y").alias("__syy"),
-    )
-    c = {k: F.col(f"__{k}") for k in ("n", "my", "m1", "m2", "s11", "s22", "s12", "s1y", "s2y", "syy")}
-    det = c["s11"] * c["s22"] - c["s12"] * c["s12"]
-    m = m.withColumn("__det", det).where((F.col("__det") > 1e-12 * c["s11"] * c["s22"]) & (c["n"] > 3))
-    m = m.withColumns({"__b1": (c["s22"] * c["s1y"] - c["s12"] * c["s2y"]) / F.col("__det"), "__b2": (c["s11"] * c["s2y"] - c["s12"] * c["s1y"]) / F.col("__det")})
-    m = m.withColumns({"__a": c["my"] - F.col("__b1") * c["m1"] - F.col("__b2") * c["m2"], "r2": (F.col("__b1") * c["s1y"] + F.col("__b2") * c["s2y"]) / c["syy"]})
-    d1, d2 = F.col("__x1") - c["m1"], F.col("__x2") - c["m2"]
-    u = F.col("__y") - F.col("__a") - F.col("__b1") * F.col("__x1") - F.col("__b2") * F.col("__x2")
-    w1, w2 = (c["s22"] * d1 - c["s12"] * d2) / F.col("__det"), (c["s11"] * d2 - c["s12"] * d1) / F.col("__det")
-    terms = {"alpha": (F.col("__a"), 1 - c["m1"] * w1 - c["m2"] * w2), "b1": (F.col("__b1"), w1), "b2": (F.col("__b2"), w2)}
-    long = known.join(m, series).select(*series, order, "r2", F.explode(F.array(*[F.struct(F.lit(k).alias("coef"), v.alias("value"), (u * w).alias("z")) for k, (v, w) in terms.items()])).alias("__t")).select(*series, order, "r2", "__t.*")
-    errors = hac(long, [*series, "coef"], order, "z").select(*series, "coef", "n", "lag", "se")
-    values = long.groupBy(*series, "coef").agg(F.max("value").alias("value"), F.max("r2").alias("r2")).join(errors, [*series, "coef"])
-    pick = lambda k, v: F.max(F.when(F.col("coef") == k, v))
-    per = [e for k in terms for e in (pick(k, F.col("value")).alias(k), pick(k, F.col("se")).alias(f"{k}_se"), pick(k, F.col("value") / F.col("se")).alias(f"{k}_t"))]
-    return values.groupBy(*series).agg(F.max("n").alias("n"), F.max("lag").alias("lag"), F.max("r2").alias("r2"), *per)
-
-
 def bootstrap_means(df: DataFrame, series: list[str], order: str, x: str, n_boot: int = 200, block: int = 6, seed: int = 7) -> DataFrame:
     """Moving-block bootstrap: (series, replicate, mean). Starts come from hashes, so replicates need no driver state."""
     w = Window.partitionBy(*series)
@@ -202,16 +193,56 @@ def rolling_spillover(pairs: DataFrame, window: int = 250, step: int = 21, horiz
     return rows.groupBy("x", "y", "__g").applyInPandas(run, "x string, y string, i long, index double")
 
 
-def half_splits(df: DataFrame, block: str, n: int, key: str = "ticker", r: str = "ret") -> DataFrame:
+def half_splits(df: DataFrame, block: str, n: int, key: str = "ticker", r: str = "ret", keys: int = 4096, masks: int = 256) -> DataFrame:
     """Per way to choose half of n blocks as the inside: the key with the best mean inside, its rank outside from the top
-    (place) and from the bottom (low), and the number of keys (s). All work is on sums by key and block."""
-    masks = [m for m in range(1 << n) if m.bit_count() == n // 2]
+    (place) and from the bottom (low), and the number of keys (s).
+
+    A key is a row of its sums and counts by block. Groups of about ``keys`` keys meet groups of ``masks`` ways, and each
+    meeting is one product of a 0/1 matrix and the sums: a first round finds the best inside, a second counts the keys above
+    and below it outside. A meeting emits a row a way, so nothing of the size keys x ways is dealt; the best keys, a row
+    for each way, are broadcast for the second round. Keys without rows inside or outside do not count for that way; of
+    equal means the least key is best.
+    """
+    import numpy as np
+
+    ways = np.array([m for m in range(1 << n) if m.bit_count() == n // 2])
+    spark, kind = df.sparkSession, dict(df.dtypes)[key]
     sums = df.groupBy(key, F.col(block).alias("__b")).agg(F.sum(r).alias("__s"), F.count("*").alias("__n"))
-    a = sums.select("*", F.explode(F.array(*map(F.lit, masks))).alias("mask")).withColumn("__in", F.expr("(shiftright(mask, __b) & 1) = 1"))
-    part = lambda c: F.sum(F.when(c, F.col("__s"))) / F.sum(F.when(c, F.col("__n")))
-    a = a.groupBy("mask", key).agg(part(F.col("__in")).alias("ins"), part(~F.col("__in")).alias("oos")).where("ins is not null and oos is not null")
-    w = Window.partitionBy("mask")
-    return a.withColumns({"__best": F.row_number().over(w.orderBy(F.desc("ins"), key)), "place": F.rank().over(w.orderBy(F.desc("oos"))), "low": F.rank().over(w.orderBy("oos")), "s": F.count("*").over(w)}).where("__best = 1").drop("__best")
+    at = lambda c: F.array(*[F.coalesce(F.sum(F.when(F.col("__b") == i, F.col(c))), F.lit(0)).cast("double") for i in range(n)])
+    rows = stored(sums.groupBy(key).agg(at("__s").alias("s"), at("__n").alias("c")), "split-sums")
+    parts = max(1, -(-rows.count() // keys))
+    dealt = rows.select("*", F.pmod(F.xxhash64(key), F.lit(parts)).alias("__k"), F.explode(F.sequence(F.lit(0), F.lit(-(-len(ways) // masks) - 1))).alias("__m"))
+
+    def means(pdf):
+        own = ways[int(pdf["__m"].iloc[0]) * masks :][:masks]
+        inside = (own[:, None] >> np.arange(n) & 1).astype(float)
+        s, c = (np.array(pdf[x].tolist(), float).T for x in ("s", "c"))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return own, (inside @ s) / (inside @ c), ((1 - inside) @ s) / ((1 - inside) @ c)
+
+    def best(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(key)
+        own, ins, oos = means(pdf)
+        ok = np.isfinite(ins) & np.isfinite(oos)
+        first, line = np.where(ok, ins, -np.inf).argmax(1), np.arange(len(own))
+        return pd.DataFrame({"mask": own, key: pdf[key].to_numpy()[first], "ins": ins[line, first], "oos": oos[line, first]})[ok.any(1)]
+
+    found = dealt.groupBy("__k", "__m").applyInPandas(best, f"mask int, `{key}` {kind}, ins double, oos double")
+    found = stored(found.groupBy("mask").agg(F.min_by(F.struct(key, "ins", "oos"), F.struct((-F.col("ins")).alias("i"), F.col(key).alias("k"))).alias("u")).select("mask", "u.*"), "split-best")
+    chosen = spark.sparkContext.broadcast({x["mask"]: x["oos"] for x in found.select("mask", "oos").collect()})  # a row for each way
+
+    def ranks(pdf):
+        import pandas as pd
+
+        own, ins, oos = means(pdf)
+        mark = np.array([chosen.value.get(int(m), np.nan) for m in own])[:, None]
+        ok = np.isfinite(ins) & np.isfinite(oos)
+        return pd.DataFrame({"mask": own, "above": (ok & (oos > mark)).sum(1), "below": (ok & (oos < mark)).sum(1), "s": ok.sum(1)})
+
+    counts = dealt.groupBy("__k", "__m").applyInPandas(ranks, "mask int, above long, below long, s long").groupBy("mask").agg((F.sum("above") + 1).alias("place"), (F.sum("below") + 1).alias("low"), F.sum("s").alias("s"))
+    return found.join(counts, "mask")
 
 
 def event_study(returns: DataFrame, events: DataFrame, sessions: DataFrame, before: int = 10, after: int = 20) -> DataFrame:

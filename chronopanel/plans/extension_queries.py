@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..operators import hooks as H
+from ..operators import regression as G
 from ..operators.asof import asof_join
 from ..operators.joins import safe_divide
 from .registry import query
@@ -14,7 +15,9 @@ from .registry import query
 
 @query()
 def e28_ar_surprise(spark, d):
-    return H.ar_surprises(A.prices_monthly(spark, d), "ticker", "date", "close", 21, 5)
+    """One-step errors of rolling autoregressions per ticker, in units of the deviation of the errors before."""
+    out = G.lagged_surprises(A.prices_monthly(spark, d), "ticker", "date", "close", 21, 5)
+    return out.select("ticker", "date", F.round("residual", 6).alias("residual"), F.round("surprise", 6).alias("surprise"))
 
 
 WIDE = "select ticker, filed, max(value) filter (metric = '1-URGENT') as income, max(value) filter (metric = '2-HIGH') as assets, max(value) filter (metric = '3-MEDIUM') as equity, max(value) filter (metric = '5-LOW') as debt from facts group by 1, 2"

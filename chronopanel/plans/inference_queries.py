@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import adapters as A
+from ..functions.special import student_p_sql
 from ..operators import inference as I
+from ..operators import regression as G
 from ..operators import rolling as R
 from ..operators.asof import asof_join, sessions_of
+from ..shared import stored
 from .price_queries import labelled, returns, with_market
 from .registry import query
 
@@ -23,11 +26,11 @@ def erf_p(t: str) -> str:
     return f"(1 - (1 - {k} * (0.254829592 + {k} * (-0.284496736 + {k} * (1.421413741 + {k} * (-1.453152027 + {k} * 1.061405429)))) * exp(-{z} * {z})))"
 
 
-def hac_ctes(src: str, series: str, order: str, x: str) -> dict[str, str]:
+def hac_ctes(src: str, series: str, order: str, x: str, lag: str = "greatest(1, cast(floor(4 * pow(n / 100.0, 2.0 / 9)) as int))") -> dict[str, str]:
     """CTEs hs (rows), hl (series, n, mean, lag, se, t)."""
     return {
         "hs": f"select {series} as sid, {x} as x, row_number() over (partition by {series} order by {order}) as i, count(*) over (partition by {series}) as n, avg({x}) over (partition by {series}) as mean from {src} where {x} is not null",
-        "hk": "select *, least(greatest(1, cast(floor(4 * pow(n / 100.0, 2.0 / 9)) as int)), cast(n as int) - 1) as lag from hs",
+        "hk": f"select *, least({lag}, cast(n as int) - 1) as lag from hs",
         "hl": "select sid, n, mean, lag, sqrt(greatest(v, 0) / n) as se, case when sqrt(greatest(v, 0) / n) > 1e-15 then mean / sqrt(greatest(v, 0) / n) end as t from (select a.sid, max(a.n) as n, max(a.mean) as mean, max(a.lag) as lag, sum((case when b.i = a.i then 1.0 else 2 * (1 - (b.i - a.i) / (a.lag + 1.0)) end) * (a.x - a.mean) * (b.x - b.mean)) / max(a.n) as v from hk a join hk b on a.sid = b.sid and b.i between a.i and a.i + a.lag group by 1)",
     }
 
@@ -37,10 +40,13 @@ def l01_rank_ic(spark, d):
     return monthly_ic(spark, d).select("month", F.round("ic", 6).alias("ic"))
 
 
-@query(f"select n, cast(lag as int) as lag, round(mean, 6) as mean, round(se, 6) as se, round(t, 5) as t, round({erf_p('t')}, 5) as p from hl", hac_ctes("ic", "1", "month", "ic"))
+@query(f"select n, cast(lag as int) as lag, round(mean, 6) as mean, round(se, 6) as se, round(t, 5) as t, round({erf_p('t')}, 5) as p, round(mean - 1.96 * se, 6) as low, round(mean + 1.96 * se, 6) as high, abs(mean) > 1.96 * se as publishable from hl", hac_ctes("ic", "1", "month", "ic"))
 def l02_ic_summary(spark, d):
+    """Mean rank IC with its robust error, its 95 % interval, and whether that leaves out zero."""
     h = I.hac(monthly_ic(spark, d).withColumn("sid", F.lit(1)), ["sid"], "month", "ic")
-    return h.select("n", "lag", F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"), F.round("t", 5).alias("t"), F.round("p", 5).alias("p"))
+    half = 1.96 * F.col("se")
+    ends = [F.round(F.col("mean") - half, 6).alias("low"), F.round(F.col("mean") + half, 6).alias("high"), (F.abs("mean") > half).alias("publishable")]
+    return h.select("n", "lag", F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"), F.round("t", 5).alias("t"), F.round("p", 5).alias("p"), *ends)
 
 
 RETS_M = "select date, ticker, close / lag(close) over (partition by ticker order by date) - 1 as ret from prices_monthly"
@@ -53,12 +59,16 @@ def monthly_returns(spark, d) -> DataFrame:
 LOSS = "select ticker, date, abs(ret) - abs(ret - lagged) as dl from (select *, lag(ret) over (partition by ticker order by date) as lagged from retsm)"
 
 
-@query("select sid as ticker, n, round(mean, 6) as mean, round(t * sqrt((n - 1.0) / n), 5) as dm from hl", {"retsm": RETS_M, "loss": LOSS} | hac_ctes("loss", "ticker", "date", "dl"))
+DM_STAT = "(t * sqrt((n + 1 - 2 * 3 + 3 * 2 / n::double) / n))"
+
+
+@query(f"select sid as ticker, n, round(mean, 6) as mean, round(se, 6) as se, round({DM_STAT}, 5) as dm, round({student_p_sql(DM_STAT, '(n - 1)')}, 5) as p from hl", {"retsm": RETS_M, "loss": LOSS} | hac_ctes("loss", "ticker", "date", "dl", "2"))
 def l03_diebold_mariano(spark, d):
-    """Loss of no forecast against the last return, per ticker, with the small-sample factor for one step."""
+    """Loss of no forecast against the last return, per ticker, three steps ahead: two lags, the small-sample factor, and p
+    from Student's t with n - 1 degrees of freedom."""
     r = monthly_returns(spark, d).withColumn("dl", F.abs("ret") - F.abs(F.col("ret") - F.lag("ret").over(R.by_ticker())))
-    h = I.hac(r, ["ticker"], "date", "dl")
-    return h.select("ticker", "n", F.round("mean", 6).alias("mean"), F.round(F.col("t") * F.sqrt((F.col("n") - 1) / F.col("n")), 5).alias("dm"))
+    h = I.diebold_mariano(r, ["ticker"], "date", "dl", 3)
+    return h.select("ticker", "n", F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"), F.round("dm", 5).alias("dm"), F.round("p", 5).alias("p"))
 
 
 def boot_ctes(src: str, series: str, order: str, x: str) -> dict[str, str]:
@@ -208,63 +218,77 @@ CSCV = "select mask, ticker, sum(s) filter ((mask >> blk) & 1 = 1) / sum(n) filt
 PLACED = "select mask, ticker, row_number() over (partition by mask order by ins desc, ticker) as best, rank() over (partition by mask order by oos desc) as place, rank() over (partition by mask order by oos) as low, count(*) over (partition by mask) as s from ({0}) where ins is not null and oos is not null"
 BLOCKS = {
     "b6": "select ticker, ret, cast((dense_rank() over (order by date) - 1) % 6 as int) as blk from retsm where ret is not null",
-    "b10": "select r.ticker, r.ret, k.blk from retsm r join (select date, cast(ntile(10) over (order by date) - 1 as int) as blk from (select distinct date from retsm where ret is not null)) k using (date) where ret is not null",
-    "combos10": "select m as mask from (select unnest(range(1024)) as m) where bit_count(m::int) = 5",
+    "b16": "select r.ticker, r.ret, k.blk from retsm r join (select date, cast(ntile(16) over (order by date) - 1 as int) as blk from (select distinct date from retsm where ret is not null)) k using (date) where ret is not null",
+    "combos16": "select m as mask from (select unnest(range(65536)) as m) where bit_count(m::int) = 8",
 }
 
 
-@query(f"select 'interleaved' as form, count(*) as splits, round(avg((place / s > 0.5)::int), 6) as pbo from ({PLACED.format(CSCV.format('b6', 'combos'))}) where best = 1 union all select 'contiguous', count(*), round(avg((ln((low / (s + 1.0)) / (1 - low / (s + 1.0))) < 0)::int), 6) from ({PLACED.format(CSCV.format('b10', 'combos10'))}) where best = 1", {"retsm": RETS_M, "combos": PBO_COMBOS} | BLOCKS)
+@query(f"select 'interleaved' as form, count(*) as splits, round(avg((place / s > 0.5)::int), 6) as pbo from ({PLACED.format(CSCV.format('b6', 'combos'))}) where best = 1 union all select 'contiguous', count(*), round(avg((ln((low / (s + 1.0)) / (1 - low / (s + 1.0))) < 0)::int), 6) from ({PLACED.format(CSCV.format('b16', 'combos16'))}) where best = 1", {"retsm": RETS_M, "combos": PBO_COMBOS} | BLOCKS)
 def l12_backtest_overfit(spark, d):
     """How often the strategy that is best inside does badly outside, over all ways to choose half of the blocks: six
-    interleaved ones, by its rank in the lower half; and ten contiguous ones, by a negative logit of its relative rank."""
+    interleaved ones, by its rank in the lower half; and sixteen contiguous ones (12,870 ways), by a negative logit of its relative rank."""
     r = monthly_returns(spark, d).where("ret is not null")
-    dates = r.select("date").distinct().select("date", ((F.dense_rank().over(Window.orderBy("date")) - 1) % 6).alias("i"), (F.ntile(10).over(Window.orderBy("date")) - 1).alias("c"))  # a calendar
+    dates = r.select("date").distinct().select("date", ((F.dense_rank().over(Window.orderBy("date")) - 1) % 6).alias("i"), (F.ntile(16).over(Window.orderBy("date")) - 1).alias("c"))  # a calendar
     r = r.join(F.broadcast(dates), "date")
     inter = I.half_splits(r, "i", 6).agg(F.lit("interleaved").alias("form"), F.count("*").alias("splits"), F.round(F.avg((F.col("place") / F.col("s") > 0.5).cast("int")), 6).alias("pbo"))
     share = F.col("low") / (F.col("s") + 1)
-    cont = I.half_splits(r, "c", 10).agg(F.lit("contiguous").alias("form"), F.count("*").alias("splits"), F.round(F.avg((F.log(share / (1 - share)) < 0).cast("int")), 6).alias("pbo"))
+    cont = I.half_splits(r, "c", 16).agg(F.lit("contiguous").alias("form"), F.count("*").alias("splits"), F.round(F.avg((F.log(share / (1 - share)) < 0).cast("int")), 6).alias("pbo"))
     return inter.unionByName(cont)
 
 
-FACTORS = "select date, ticker, ret, avg(ret) over (partition by date) as mkt, dv from (select date, ticker, close / lag(close) over (partition by ticker order by date) - 1 as ret, volume / lag(volume) over (partition by ticker order by date) - 1 as dv from prices_monthly)"
+FACTORS = "select date, ticker, ret, avg(ret) over (partition by date) as mkt, dv, avg(case when dv > 0 then ret end) over (partition by date) - avg(case when dv <= 0 then ret end) over (partition by date) as flow from (select date, ticker, close / lag(close) over (partition by ticker order by date) - 1 as ret, volume / lag(volume) over (partition by ticker order by date) - 1 as dv from {0})"
+NAMES = {"mkt": "market", "dv": "volume", "flow": "flow"}
+
+
+def inverse_sql(src: str, ys: str, keys: str, agg: str, xs: list[str], where: str = "") -> str:
+    """Columns of least squares on three factors: covariances, the adjugate of their matrix and its determinant."""
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    cov = ", ".join([f"covar_pop({xs[i]}, {xs[j]}) {agg} as s{i}{j}" for i, j in pairs] + [f"covar_pop({x}, {ys}) {agg} as c{i}" for i, x in enumerate(xs)] + [f"avg({x}) {agg} as m{i}" for i, x in enumerate(xs)])
+    s = lambda i, j: f"s{min(i, j)}{max(i, j)}"
+    minor = lambda i, j: "({} * {} - {} * {})".format(*[s(a, b) for a, b in ((((i + 1) % 3), (j + 1) % 3), ((i + 2) % 3, (j + 2) % 3), ((i + 1) % 3, (j + 2) % 3), ((i + 2) % 3, (j + 1) % 3))])
+    adj = ", ".join(f"{minor(i, j)} as a{i}{j}" for i, j in pairs)
+    a = lambda i, j: f"a{min(i, j)}{max(i, j)}"
+    beta = ", ".join("(" + " + ".join(f"{a(i, j)} * c{j}" for j in range(3)) + f") / nullif(det, 0) as b{i}" for i in range(3))
+    inner = f"select {keys}, count({ys}) {agg} as n, avg({ys}) {agg} as my, var_pop({ys}) {agg} as syy, {cov} from {src} {where}"
+    return f"select *, {beta} from (select *, {' + '.join(f's0{j} * {a(0, j)}' for j in range(3))} as det from (select *, {adj} from ({inner})))"
+
+
+FIT = inverse_sql("fr", "ret", "ticker", "", list(NAMES), "group by 1")
 REGRESSION = {
-    "fr": f"select * from ({FACTORS}) where ret is not null and dv is not null and mkt is not null",
-    "fm": "select *, s11 * s22 - s12 * s12 as det from (select ticker, avg(ret) as my, avg(mkt) as m1, avg(dv) as m2, var_pop(mkt) as s11, var_pop(dv) as s22, covar_pop(mkt, dv) as s12, covar_pop(mkt, ret) as s1y, covar_pop(dv, ret) as s2y, var_pop(ret) as syy from fr group by 1 having count(*) > 3)",
-    "fb": "select *, my - b1 * m1 - b2 * m2 as a from (select *, (s22 * s1y - s12 * s2y) / det as b1, (s11 * s2y - s12 * s1y) / det as b2 from fm where det > 1e-12 * s11 * s22)",
-    "fw": "select ticker, date, ret - a - b1 * mkt - b2 * dv as u, (s22 * (mkt - m1) - s12 * (dv - m2)) / det as w1, (s11 * (dv - m2) - s12 * (mkt - m1)) / det as w2, m1, m2 from fr join fb using (ticker)",
-    "fz": "select ticker || ':alpha' as sid, date, u * (1 - m1 * w1 - m2 * w2) as z from fw union all select ticker || ':b1', date, u * w1 from fw union all select ticker || ':b2', date, u * w2 from fw",
+    "fr": f"select * from ({FACTORS.format('prices_monthly')}) where ret is not null and dv is not null and mkt is not null and flow is not null",
+    "fb": f"select *, my - b0 * m0 - b1 * m1 - b2 * m2 as a from ({FIT}) where n >= 5 and det > 1e-10 * s00 * s11 * s22",
+    "fw": "select ticker, date, ret - a - b0 * mkt - b1 * dv - b2 * flow as u, " + ", ".join(f"({' + '.join(f'a{min(i, j)}{max(i, j)} * ({x} - m{j})' for j, x in enumerate(NAMES))}) / det as w{i}" for i in range(3)) + ", m0, m1, m2 from fr join fb using (ticker)",
+    "fz": "select ticker || ':alpha' as sid, date, u * (1 - m0 * w0 - m1 * w1 - m2 * w2) as z from fw" + "".join(f" union all select ticker || ':{v}', date, u * w{i} from fw" for i, v in enumerate(NAMES.values())),
 }
 
 
-@query("select b.ticker, h.n, cast(h.lag as int) as lag, round((b.b1 * b.s1y + b.b2 * b.s2y) / b.syy, 6) as r2, round(b.a, 6) as alpha, round(b.a / h.se, 4) as alpha_t, round(b.b1, 6) as market, round(b.b1 / h1.se, 4) as market_t, round(b.b2, 6) as volume, round(b.b2 / h2.se, 4) as volume_t from fb b join hl h on h.sid = b.ticker || ':alpha' join hl h1 on h1.sid = b.ticker || ':b1' join hl h2 on h2.sid = b.ticker || ':b2'", REGRESSION | hac_ctes("fz", "sid", "date", "z"))
+@query(f"select b.ticker, c.coef, round(case c.coef when 'alpha' then b.a when 'market' then b.b0 when 'volume' then b.b1 else b.b2 end, 6) as value, round(h.se, 7) as se, round(case c.coef when 'alpha' then b.a when 'market' then b.b0 when 'volume' then b.b1 else b.b2 end / h.se, 4) as t, round({erf_p("(case c.coef when 'alpha' then b.a when 'market' then b.b0 when 'volume' then b.b1 else b.b2 end / h.se)")}, 5) as p, h.n, cast(h.lag as int) as lag, round((b.b0 * b.c0 + b.b1 * b.c1 + b.b2 * b.c2) / b.syy, 6) as r2 from fb b, (select unnest(['alpha', 'market', 'volume', 'flow']) as coef) c join hl h on h.sid = b.ticker || ':' || c.coef", REGRESSION | hac_ctes("fz", "sid", "date", "z"))
 def l13_factor_regression(spark, d):
-    """Returns on market and volume change per ticker, with Newey-West errors."""
-    p = A.prices_monthly(spark, d).withColumns({"ret": R.simple_return(), "dv": R.simple_return("volume")}).withColumn("mkt", F.avg("ret").over(Window.partitionBy("date")))
-    g = I.factor_regression(p, ["ticker"], "date", "ret", "mkt", "dv")
-    names = {"alpha": "alpha", "b1": "market", "b2": "volume"}
-    return g.select("ticker", "n", "lag", F.round("r2", 6).alias("r2"), *[e for k, v in names.items() for e in (F.round(k, 6).alias(v), F.round(f"{k}_t", 4).alias(f"{v}_t"))])
+    """Returns on the market, the change of volume, and names with rising less names with falling volume, per ticker, with
+    Newey-West errors: any number of factors by name."""
+    w = Window.partitionBy("date")
+    p = A.prices_monthly(spark, d).withColumns({"ret": R.simple_return(), "volume": R.simple_return("volume")}).withColumns({"market": F.avg("ret").over(w), "flow": F.avg(F.when(F.col("volume") > 0, F.col("ret"))).over(w) - F.avg(F.when(F.col("volume") <= 0, F.col("ret"))).over(w)})
+    g = G.factor_regression(p, ["ticker"], "date", "ret", ["market", "volume", "flow"], least=5)
+    return g.select("ticker", "coef", F.round("value", 6).alias("value"), F.round("se", 7).alias("se"), F.round("t", 4).alias("t"), F.round("p", 5).alias("p"), "n", "lag", F.round("r2", 6).alias("r2"))
 
 
-EXPOSED = "select *, ret is not null and mkt is not null and vf is not null as ok from (select *, avg(ret) over (partition by date) as mkt, avg(dv) over (partition by date) as vf from (select date, ticker, close / lag(close) over (partition by ticker order by date) - 1 as ret, volume / lag(volume) over (partition by ticker order by date) - 1 as dv from grid))"
-EXPO_W = "select *, count(r) over w as n, var_pop(f1) over w as s11, var_pop(f2) over w as s22, covar_pop(f1, f2) over w as s12, covar_pop(f1, r) over w as s1y, covar_pop(f2, r) over w as s2y from (select date, ticker, case when ok then ret end as r, case when ok then mkt end as f1, case when ok then vf end as f2 from exposed) window w as (partition by ticker order by date rows between 251 preceding and current row)"
+EXPOSED = f"select date, ticker, ok, case when ok then ret end as r, case when ok then mkt end as f1, case when ok then vf end as f2, case when ok then flow end as f3 from (select *, ret is not null and mkt is not null and vf is not null and flow is not null as ok from (select *, avg(dv) over (partition by date) as vf from ({FACTORS.format('grid')})))"
+EXPO_W = inverse_sql("exposed", "r", "date, ticker", "over w", ["f1", "f2", "f3"], "window w as (partition by ticker order by date rows between 251 preceding and current row)")
 
 
-@query("select date, ticker, case when n >= 60 and s11 * s22 - s12 * s12 > 1e-9 * s11 * s22 then round((s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12), 5) end as market, case when n >= 60 and s11 * s22 - s12 * s12 > 1e-9 * s11 * s22 then round((s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12), 5) end as volume, case when n >= 60 then round(s1y / s11, 5) end as market_alone from expo_w where date in (select max(date) from grid group by date_trunc('month', date))", {"exposed": EXPOSED, "expo_w": EXPO_W})
+@query("select date, ticker, n, case when n >= 126 and det > 1e-7 * s00 * s11 * s22 then round(b0, 4) end as market, case when n >= 126 and det > 1e-7 * s00 * s11 * s22 then round(b1, 4) end as volume, case when n >= 126 and det > 1e-7 * s00 * s11 * s22 then round(b2, 4) end as flow, case when n >= 126 then round(c0 / s00, 4) end as market_alone from expo_w where date in (select max(date) from grid group by date_trunc('month', date))", {"exposed": EXPOSED, "expo_w": EXPO_W})
 def l14_rolling_exposure(spark, d):
-    """Month-end exposures to two factors together, and to the first alone, over 252 sessions: running sums of products."""
-    by_date = Window.partitionBy("date")
-    df = A.grid(spark, d).withColumns({"ret": R.simple_return(), "dv": R.simple_return("volume")}).withColumns({"mkt": F.avg("ret").over(by_date), "vf": F.avg("dv").over(by_date)})
-    ok = F.col("ret").isNotNull() & F.col("mkt").isNotNull() & F.col("vf").isNotNull()
-    y, f1, f2 = F.col("ret"), F.col("mkt"), F.col("vf")
-    terms = {"n": F.lit(1), "y": y, "x1": f1, "x2": f2, "x11": f1 * f1, "x22": f2 * f2, "x12": f1 * f2, "x1y": f1 * y, "x2y": f2 * y}
-    df = R.rolling_sums(df, 252, **{k: F.when(ok, t) for k, t in terms.items()})
+    """Month-end exposures to three factors together, and to the first alone, over 252 sessions, 126 of them known."""
+    w = Window.partitionBy("date")
+    df = A.grid(spark, d).withColumns({"ret": R.simple_return(), "dv": R.simple_return("volume")})
+    df = df.withColumns({"mkt": F.avg("ret").over(w), "vf": F.avg("dv").over(w), "flow": F.avg(F.when(F.col("dv") > 0, F.col("ret"))).over(w) - F.avg(F.when(F.col("dv") <= 0, F.col("ret"))).over(w)})
+    known = F.col("mkt").isNotNull() & F.col("vf").isNotNull() & F.col("flow").isNotNull()
+    df = stored(df.select("date", "ticker", F.when(known, F.col("ret")).alias("ret"), "mkt", "vf", "flow"), "factor-panel")
     ends = df.select("date").distinct().groupBy(F.trunc("date", "month").alias("month")).agg(F.max("date").alias("date")).select("date")
-    df = df.join(F.broadcast(ends), "date", "left_semi")  # a calendar
-    n, centered = F.col("n"), lambda ab, a, b: F.col(ab) - F.try_divide(F.col(a) * F.col(b), F.col("n"))
-    s11, s22, s12, s1y, s2y = centered("x11", "x1", "x1"), centered("x22", "x2", "x2"), centered("x12", "x1", "x2"), centered("x1y", "x1", "y"), centered("x2y", "x2", "y")
-    det = s11 * s22 - s12 * s12
-    both = (n >= 60) & (det > 1e-9 * s11 * s22)
-    return df.select("date", "ticker", F.when(both, F.round(F.try_divide(s22 * s1y - s12 * s2y, det), 5)).alias("market"), F.when(both, F.round(F.try_divide(s11 * s2y - s12 * s1y, det), 5)).alias("volume"), F.when(n >= 60, F.round(F.try_divide(s1y, s11), 5)).alias("market_alone"))
+    all3 = G.rolling_exposures(df, "ret", ["mkt", "vf", "flow"], 252, 126, ends)
+    alone = G.rolling_exposures(df, "ret", ["mkt"], 252, 126, ends).select("date", "ticker", F.col("b")[0].alias("alone"))
+    b = lambda i: F.round(F.col("b")[i], 4)
+    return all3.join(alone, ["date", "ticker"]).select("date", "ticker", "n", b(0).alias("market"), b(1).alias("volume"), b(2).alias("flow"), F.round("alone", 4).alias("market_alone"))
 
 
 @query("select round(regr_slope(ic, v), 9) as slope, round(regr_intercept(ic, v), 6) as intercept, round(regr_r2(ic, v), 6) as r2, count(*) as n from (select i.month, i.ic, f.value / 1000 as v from (select * from ic where ic is not null and not isnan(ic)) i asof join first_print f on i.month >= f.realtime_start)", {"first_print": "select realtime_start, max_by(value, ref_date) as value from (select ref_date, min(realtime_start) as realtime_start, min_by(value, realtime_start) as value from vintages group by ref_date) group by 1"})

@@ -144,3 +144,121 @@ def test_boosted_trees_match_a_plain_booster(spark):
     assert again == got  # to the bit
     held = np.array([i for i in range(n) if test[i]])
     assert np.mean((y[held] - np.array([got[int(i)] for i in held])) ** 2) < 0.4 * np.var(y[held])
+
+
+def test_student_t_equals_published_values(spark):
+    from chronopanel.functions.special import incomplete_beta, log_gamma, student_p
+
+    # Two-sided 5 % and 1 % points of Student's t, and one-sided ones of other sizes.
+    table = [(12.706, 1, 0.05), (4.303, 2, 0.05), (2.571, 5, 0.05), (2.228, 10, 0.05), (2.042, 30, 0.05), (1.980, 120, 0.05), (63.657, 1, 0.01), (3.169, 10, 0.01), (2.617, 120, 0.01), (1.9623, 1000, 0.05), (1.9602, 10000, 0.05)]
+    df = spark.createDataFrame(table, "t double, n int, p double").repartition(2)
+    for x in df.select("p", student_p(F.col("t"), F.col("n")).alias("got"), student_p(-F.col("t"), F.col("n")).alias("other")).collect():
+        assert abs(x.got - x.p) < 4e-5 * (1 if x.p > 0.01 else 0.5) and x.got == x.other
+    one = spark.range(1).select(student_p(F.lit(0.0), F.lit(7)).alias("a"), student_p(F.lit(1.0), F.lit(1)).alias("b"), student_p(F.lit(None).cast("double"), F.lit(3)).alias("c"), student_p(F.lit(1.0), F.lit(0)).alias("d"), student_p(F.lit(60.0), F.lit(40)).alias("e"), log_gamma(F.lit(0.5)).alias("g"), incomplete_beta(F.lit(2.0), F.lit(3.0), F.lit(0.4)).alias("h")).first()
+    assert (one.a, one.c, one.d) == (1.0, None, None) and abs(one.b - 0.5) < 1e-14 and 0 < one.e < 1e-38
+    assert abs(one.g - np.log(np.pi) / 2) < 1e-14 and abs(one.h - 0.5248) < 1e-14
+
+
+def newey_west(x, y, lag):
+    z = np.c_[np.ones(len(y)), x]
+    inv = np.linalg.inv(z.T @ z)
+    b = inv @ z.T @ y
+    u = z * (y - z @ b)[:, None]
+    meat = u.T @ u
+    for k in range(1, lag + 1):
+        g = u[k:].T @ u[:-k]
+        meat += (1 - k / (lag + 1)) * (g + g.T)
+    return b, np.sqrt(np.diag(inv @ meat @ inv))
+
+
+def test_regressions_on_five_factors_match_the_sandwich(spark):
+    from chronopanel.operators.regression import factor_regression
+
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for s, n in (("a", 140), ("b", 60), ("c", 6), ("flat", 40)):
+        x = rng.normal(size=(n, 5)) + 3
+        if s == "flat":
+            x[:, 4] = x[:, 3] * 2
+        y = 0.2 + x @ [0.5, -1, 0, 2, 0.1] + rng.normal(size=n).cumsum() * 0.1
+        rows += [(s, i, float(y[i]), *map(float, x[i])) for i in range(n)]
+        if s in "ab":
+            want[s] = (*newey_west(x, y, max(1, int(4 * (n / 100) ** (2 / 9)))), 1 - np.var(y - np.c_[np.ones(n), x] @ np.linalg.lstsq(np.c_[np.ones(n), x], y, rcond=None)[0]) / np.var(y))
+    rows += [("a", 1000, None, 1.0, 1.0, 1.0, 1.0, 1.0), ("a", 1001, 1.0, 1.0, float("nan"), 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "s string, i int, y double, " + ", ".join(f"x{j} double" for j in range(5))).repartition(3)
+    got = {(r.s, r.coef): r for r in factor_regression(df, ["s"], "i", "y", [f"x{j}" for j in range(5)]).collect()}
+    assert {k[0] for k in got} == {"a", "b"}
+    for s in "ab":
+        b, se, r2 = want[s]
+        for j, name in enumerate(["alpha", *[f"x{j}" for j in range(5)]]):
+            r = got[s, name]
+            assert np.allclose([r.value, r.se, r.t, r.r2], [b[j], se[j], b[j] / se[j], r2], rtol=1e-8)
+
+
+def test_rolling_exposures_match_least_squares(spark):
+    from chronopanel.operators.regression import rolling_exposures
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for t in "uv":
+        x = rng.normal(size=(90, 4)) * [1, 0.01, 5, 1] + [0, 1, -2, 0]
+        y = x @ [1, 50, 0.2, -1] + rng.normal(size=90) * 0.1
+        rows += [(t, i, None if rng.random() < 0.1 else float(y[i]), *map(float, x[i])) for i in range(90)]
+    df = spark.createDataFrame(rows, "ticker string, date int, y double, a double, b double, c double, d double").repartition(3)
+    ends = spark.createDataFrame([(i,) for i in range(4, 90, 5)], "date int")
+    got = {(r.ticker, r.date): r for r in rolling_exposures(df, "y", list("abcd"), 30, 20, ends).collect()}
+    assert len(got) == 2 * 18
+    for (t, end), r in got.items():
+        part = np.array([x[2:] for x in rows if x[0] == t and end - 30 < x[1] <= end and x[2] is not None], float)
+        assert r.n == len(part)
+        if len(part) < 20:
+            assert r.b is None
+        else:
+            assert np.allclose(r.b, np.linalg.lstsq(np.c_[np.ones(len(part)), part[:, 1:]], part[:, 0], rcond=None)[0][1:], rtol=1e-6, atol=1e-6)
+
+
+def test_lagged_surprises_match_a_loop(spark):
+    from chronopanel.operators.regression import lagged_surprises
+
+    rng = np.random.default_rng(6)
+    window, lags = 12, 3
+    series = {k: np.cumsum(rng.normal(size=n)) + 100 for k, n in (("a", 130), ("b", 40), ("c", 10))}
+    series["a"][50] = np.nan
+    df = spark.createDataFrame([(k, i, None if np.isnan(x) else float(x)) for k, v in series.items() for i, x in enumerate(v)], "k string, i int, x double").repartition(3)
+    for ends in (17, 2048):
+        got = {(r.k, r.i): r for r in lagged_surprises(df, "k", "i", "x", window, lags, 5.0, ends).collect()}
+        assert len(got) == 180
+        for k, v in series.items():
+            e = np.full(len(v), np.nan)
+            for t in range(window + lags, len(v)):
+                z = np.array([[1, *v[i - lags : i][::-1]] for i in range(t - window, t)])
+                y = v[t - window : t]
+                if np.isfinite(z).all() and np.isfinite(y).all() and np.isfinite(v[t - lags : t + 1]).all():
+                    e[t] = v[t] - np.r_[1, v[t - lags : t][::-1]] @ np.linalg.lstsq(z, y, rcond=None)[0]
+            for t in range(len(v)):
+                before = [x for x in e[max(0, t - window) : t] if np.isfinite(x)]
+                want = np.clip(e[t] / np.std(before, ddof=1), -5, 5) if len(before) >= max(lags + 2, window // 2) and np.isfinite(e[t]) else None
+                assert (got[k, t].residual is None) == bool(np.isnan(e[t])) and (got[k, t].surprise is None) == (want is None)
+                if np.isfinite(e[t]):
+                    assert abs(got[k, t].residual - e[t]) < 1e-6
+                if want is not None:
+                    assert abs(got[k, t].surprise - want) < 1e-5
+
+
+def test_half_splits_in_groups_match_a_loop(spark):
+    from chronopanel.operators.inference import half_splits
+
+    rng = np.random.default_rng(7)
+    rows = [(f"k{k:02}", b, float(rng.normal())) for k in range(23) for b in range(6) for _ in range(rng.integers(0, 3))]
+    want = {}
+    for m in (m for m in range(64) if m.bit_count() == 3):
+        means = {}
+        for k in sorted({r[0] for r in rows}):
+            ins, oos = ([x for kk, b, x in rows if kk == k and (m >> b & 1) == side] for side in (1, 0))
+            if ins and oos:
+                means[k] = (sum(ins) / len(ins), sum(oos) / len(oos))
+        best = max(means, key=lambda k: (round(means[k][0], 9), [-ord(c) for c in k]))
+        want[m] = (best, 1 + sum(o > means[best][1] + 1e-9 for _, o in means.values()), 1 + sum(o < means[best][1] - 1e-9 for _, o in means.values()), len(means))
+    df = spark.createDataFrame(rows, "ticker string, b int, ret double")
+    got = {r.mask: (r.ticker, r.place, r.low, r.s) for r in half_splits(df, "b", 6, keys=5, masks=7).collect()}
+    assert got == want
