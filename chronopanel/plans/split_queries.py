@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..operators import boosting as B
+from ..operators import components as C
 from ..operators import monitor as M
 from ..operators import rolling as R
 from ..operators import splits as S
@@ -352,6 +353,15 @@ def k21_event_vectors(spark, d):
     return e.select("event_id", *hot, F.round(F.log1p("o_totalprice"), 6).alias("log_value"), F.round(F.col("c_acctbal") / 1000, 6).alias("balance"))
 
 
+@query()
+def k21_embedding_components(spark, d):
+    """Events with a vector: label as indicators, its length, and the vector on its eight axes of largest variance."""
+    e = A.table(spark, d, "embeddings")
+    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    out = C.event_vectors(e.withColumn("kind", F.col("label").cast("string")), {"kind": [str(i) for i in range(10)]}, {"size": F.round(size, 5)}, "embedding", 8)
+    return out.select("vec_id", *[f"kind_{i}" for i in range(10)], "size", *[F.round(f"emb_{i}", 5).alias(f"emb_{i}") for i in range(8)])
+
+
 @query("select m.date, m.ticker, round(f.value, 4) as fact, round(l.value, 4) as macro from (select distinct date, ticker from prices_m) m asof left join (select ticker, filed, max(value) as value from facts group by 1, 2) f on f.ticker = m.ticker and m.date >= f.filed left join (select d.date, v.value from (select distinct date from prices_m) d asof left join (select ref_date, min(realtime_start) as realtime_start, min_by(value, realtime_start) as value from vintages group by ref_date) v on d.date > v.realtime_start) l on l.date = m.date", {"prices_m": "select cast(date_trunc('month', date) as date) as date, ticker from prices"})
 def k22_surprise_bundle(spark, d):
     from .join_queries import month_keys

@@ -262,3 +262,34 @@ def test_half_splits_in_groups_match_a_loop(spark):
     df = spark.createDataFrame(rows, "ticker string, b int, ret double")
     got = {r.mask: (r.ticker, r.place, r.low, r.s) for r in half_splits(df, "b", 6, keys=5, masks=7).collect()}
     assert got == want
+
+
+def test_components_equal_numpy(spark):
+    from chronopanel.operators import components as C
+    from chronopanel.plans import QUERIES
+
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = e.select("vec_id", "embedding").collect()
+    x = np.array([r.embedding for r in rows], float)
+    c = C.fit_components(e.repartition(5), "embedding", 8)
+    _, s, axes = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    axes = axes[:8] * np.where(axes[np.arange(8), np.abs(axes[:8]).argmax(1)] < 0, -1, 1)[:, None]
+    assert np.allclose(c.axes, axes, atol=1e-8) and np.allclose(c.variance, s[:8] ** 2 / (len(x) - 1)) and np.allclose(c.share, s[:8] ** 2 / (s**2).sum())
+    want = {r.vec_id: v for r, v in zip(rows, (x - x.mean(0)) @ axes.T, strict=True)}
+    got = QUERIES["k21_embedding_components"](spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(want) and all(np.allclose([r[f"emb_{i}"] for i in range(8)], want[r.vec_id], atol=2e-5) for r in got)
+
+
+def test_components_of_odd_vectors(spark):
+    import pytest
+
+    from chronopanel.operators import components as C
+
+    good = [([float(i), 2.0 * i, 1.0],) for i in range(6)]
+    df = spark.createDataFrame([*good, (None,), ([1.0, None, 2.0],), ([1.0, float("nan"), 2.0],)], "v array<double>")
+    c = C.fit_components(df, "v", 2)
+    assert c.n == 6 and np.allclose(c.axes[0], np.array([1, 2, 0]) / 5**0.5) and abs(c.variance[1]) < 1e-12
+    assert [x.p is None for x in df.select(C.projected("v", c).alias("p")).collect()][:7] == [False] * 6 + [True]
+    for rows in ([([1.0, 2.0],), ([1.0],), ([2.0, 3.0],)], good[:2], []):
+        with pytest.raises(ValueError):
+            C.fit_components(spark.createDataFrame(rows, "v array<double>"), "v", 2)
