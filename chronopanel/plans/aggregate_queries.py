@@ -208,34 +208,29 @@ def d21_jaccard_verdict(spark, d):
     return j.agg(F.round(F.min("j"), 6).alias("worst"), F.min_by("date", F.struct("j", "date")).alias("month"), F.round(F.avg("j"), 6).alias("mean"), (F.avg("j") >= 0.5).alias("agrees"))
 
 
-ANOM = "select ticker, 'stale' as kind, min(date) as date, cast(count(*) as double) as detail from (select *, sum(new) over (partition by ticker order by date) as run from (select *, case when floor(close / 100) = lag(floor(close / 100)) over (partition by ticker order by date) then 0 else 1 end as new from prices_monthly)) group by ticker, run having count(*) >= 3 union all select ticker, 'jump', date, round(r, 6) from (select *, close / lag(close) over (partition by ticker order by date) - 1 as r from prices_monthly) where abs(r) > 0.1 union all select ticker, 'nonpositive', date, round(close, 6) from prices_monthly where close <= 0 union all select ticker, 'gap', date, null from (select g.*, lead(n) over (partition by ticker order by date) as nxt, lag(n) over (partition by ticker order by date) as prv from (select t.ticker, m.date, p.close as n from (select distinct ticker from prices_monthly) t cross join (select distinct date from prices_monthly) m left join prices_monthly p on p.ticker = t.ticker and p.date = m.date) g) where n is null and nxt is not null and prv is not null"
+COARSE = "select t.ticker, m.date, floor(p.close / 100) * 100 as x from (select distinct ticker from prices_monthly) t cross join (select distinct date from prices_monthly) m left join prices_monthly p on p.ticker = t.ticker and p.date = m.date where m.date not in (select date from prices_monthly group by date having date_part('month', date) = 5) or t.ticker like '%1'"
+ANOM = {
+    "coarse": COARSE,
+    "moved": "select *, case when lag(x) over w <> 0 then abs(x / lag(x) over w - 1) when x <> 0 and lag(x) over w = 0 then 'inf'::double end as move, min(case when x is not null then date end) over (partition by ticker) as lo, max(case when x is not null then date end) over (partition by ticker) as hi, case when x = lag(x) over w then 0 else 1 end as new from (select t.ticker, m.date, c.x from (select distinct ticker from coarse) t cross join (select distinct date from coarse) m left join coarse c on c.ticker = t.ticker and c.date = m.date) window w as (partition by ticker order by date)",
+    "stale": "select ticker, 'stale' as kind, sum(n)::bigint as count, max(n)::varchar as detail from (select ticker, run, count(x) as n from (select *, sum(new) over (partition by ticker order by date) as run from moved) group by 1, 2) where n >= 3 group by 1",
+    "anom": "select ticker, 'nonpositive' as kind, count(*) as count, min(date)::varchar as detail from moved where x <= 0 group by 1 union all select ticker, 'interior_gap', count(*), '' from moved where x is null and date between lo and hi group by 1 union all select ticker, 'jump', count(*) filter (move > 0.1), printf('%.6f', coalesce(max(move) filter (move < 'inf'::double), 'inf'::double)) from moved group by 1 having count(*) filter (move > 0.1) > 0 union all select * from stale",
+}
 
 
 def anomalies(spark, d) -> DataFrame:
-    """Nonpositive values, jumps over 10 %, single missing sessions between known ones, and runs of three sessions or more
-    in the same hundred (stale), with the value, the jump or the length."""
-    from ..operators.rolling import dense_grid
+    """Defects of monthly prices in steps of a hundred, most of whose Mays are taken out."""
+    p = A.prices_monthly(spark, d).select("date", "ticker", (F.floor(F.col("close") / 100) * 100).cast("double").alias("close")).where((F.month("date") != 5) | F.col("ticker").like("%1"))
+    return M.price_anomalies(R.dense_grid(p), 0.1, 3)
 
-    p = A.prices_monthly(spark, d)
-    w = R.by_ticker()
-    g = dense_grid(p).withColumns({"r": R.simple_return(), "next": F.lead("close").over(w), "prior": F.lag("close").over(w)})
-    raw = p.withColumn("r", R.simple_return())
-    jump = raw.where(F.abs("r") > 0.1).select("ticker", F.lit("jump").alias("kind"), "date", F.round("r", 6).alias("detail"))
-    low = p.where("close <= 0").select("ticker", F.lit("nonpositive").alias("kind"), "date", F.round("close", 6).alias("detail"))
-    gap = g.where("close is null and next is not null and prior is not null").select("ticker", F.lit("gap").alias("kind"), "date", F.lit(None).cast("double").alias("detail"))
-    runs = R.run_lengths(p.withColumn("v", F.floor(F.col("close") / 100)), "v").where("length >= 3")
-    stale = runs.select("ticker", F.lit("stale").alias("kind"), F.col("first").alias("date"), F.col("length").cast("double").alias("detail"))
-    return jump.unionByName(low).unionByName(gap).unionByName(stale)
-
-
-@query("select * from anom", {"anom": ANOM})
+
+@query("select * from anom", ANOM)
 def d22_price_anomalies(spark, d):
     return anomalies(spark, d)
 
 
-@query("select kind, count(*) as n, count(distinct ticker) as tickers from anom group by 1", {"anom": ANOM})
+@query("select kind, sum(count)::bigint as n, count(distinct ticker) as tickers from anom group by 1", ANOM)
 def d23_anomaly_summary(spark, d):
-    return anomalies(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("ticker").alias("tickers"))
+    return anomalies(spark, d).groupBy("kind").agg(F.sum("count").alias("n"), F.count_distinct("ticker").alias("tickers"))
 
 
 VARIATION = "select date, feature, count(*) as n, count(x) as known, count(distinct x) as distinct_x, stddev_samp(x) as sd from (select date, 'close' as feature, close as x from prices_monthly union all select date, 'volume', volume from prices_monthly union all select date, 'lots', case when volume > 300 then 1.0 end from prices_monthly) group by 1, 2"
@@ -337,12 +332,15 @@ def d35_mention_snapshot(spark, d):
     return posts.join(mood, "doc_id", "left").groupBy("ticker").agg(F.count("*").alias("mentions"), F.round(F.avg(m), 6).alias("sentiment"), F.round(F.try_divide(F.count_if(m > 0), F.count_if(m != 0)), 6).alias("bull_ratio"), F.sum("score").cast("long").alias("score"))
 
 
-@query("select ticker, n7::bigint as n7, p7::bigint as p7, round(n7 / nullif(p7, 0) - 1, 6) as velocity, round(mood, 6) as mood, case when n7 >= 2 * p7 and n7 >= 10 then 'high' when n7 > p7 then 'rising' else 'calm' end as grade from (select ticker, coalesce(sum(mentions) filter (date > date '2024-01-21' and date <= date '2024-01-28'), 0) as n7, coalesce(sum(mentions) filter (date > date '2024-01-14' and date <= date '2024-01-21'), 0) as p7, avg(sentiment) as mood from mentions group by 1 having count(*) >= 5)")
+PRESSURE = "select *, case when prev <= 0 then (cur > 0)::int::double else (cur - prev) / prev::double end as velocity, case when sd < 1e-9 then 0 else (latest - mean) / sd end as z from (select ticker, arg_max(mentions, date) as latest, coalesce(sum(mentions) filter (date > last - 7), 0) as cur, coalesce(sum(mentions) filter (date <= last - 7 and date > last - 14), 0) as prev, avg(mentions) as mean, stddev_samp(mentions) as sd, coalesce(avg(sentiment), 0) as lean, count(*) as n_days from mentions, (select max(date) as last from mentions) where date > last - 30 group by 1 having count(*) >= 14)"
+
+
+@query("select ticker, latest as latest_mentions, round(velocity, 4) as velocity, round(z, 4) as crowding_z, round(lean, 4) as lean, case when velocity >= 1 or z >= 2.5 then 'surge' when velocity >= 0.5 or z >= 1.5 then 'elevated' when velocity <= -0.3 and z <= -1 then 'quiet' else 'normal' end as grade, n_days from press", {"press": PRESSURE})
 def d36_retail_pressure(spark, d):
-    between = lambda a, b: F.coalesce(F.sum(F.when((F.col("date") > a) & (F.col("date") <= b), F.col("mentions"))), F.lit(0))
-    m = A.mentions(spark, d).groupBy("ticker").agg(between("2024-01-21", "2024-01-28").alias("n7"), between("2024-01-14", "2024-01-21").alias("p7"), F.avg("sentiment").alias("mood"), F.count("*").alias("days")).where("days >= 5")
-    grade = F.when((F.col("n7") >= 2 * F.col("p7")) & (F.col("n7") >= 10), "high").when(F.col("n7") > F.col("p7"), "rising").otherwise("calm")
-    return m.select("ticker", "n7", "p7", F.round(F.try_divide(F.col("n7"), F.col("p7")) - 1, 6).alias("velocity"), F.round("mood", 6).alias("mood"), grade.alias("grade"))
+    m = A.mentions(spark, d)
+    m = m.crossJoin(F.broadcast(m.agg(F.max("date").alias("last"))))  # one row
+    out = M.pressure(m, F.col("last"))
+    return out.select("ticker", "latest_mentions", *[F.round(c, 4).alias(c) for c in ("velocity", "crowding_z", "lean")], "grade", "n_days")
 
 
 @query("select 'prices' as name, count(*) as n, max(date) as as_of, true as present from prices union all select 'facts', count(*), max(filed), true from facts union all select 'mentions', count(*), max(date), true from mentions")
@@ -396,12 +394,31 @@ def d43_reconciliation(spark, d):
     return j.groupBy(F.col("date").alias("month")).agg(F.count_if(F.col("b").isNull()).alias("only_first"), F.count_if(F.col("a").isNull()).alias("only_second"), F.when(F.size(lone) > 0, F.array_join(lone, ",")).alias("missing"))
 
 
-@query("select round(sum(n * (p - o) * (p - o)) / sum(n), 6) as reliability, round(sum(n * (o - b) * (o - b)) / sum(n), 6) as resolution, round(max(b * (1 - b)), 6) as uncertainty from (select cast(least(floor(p * 10), 9) as int) as k, count(*) as n, avg(p) as p, avg(y) as o from cal group by 1), (select avg(y) as b from cal)", {"cal": CAL})
+MURPHY = {
+    "mf": "select doc_id, round(n_chars / (n_chars + 500.0), 2) as p, cast(quality as double) as y from labels join documents using (doc_id)",
+    "mb": "select *, sb / nb as o, sum(nb) over () as n, sum(sb) over () / sum(nb) over () as base, row_number() over (order by p) as i, sum(nb) over (order by p) as cum from (select p, count(*) as nb, sum(y) as sb from mf group by 1)",
+    "mc": "select e1, e2, e3, greatest(e4, e3 + 1) as e4 from (select e1, e2, greatest(e3, e2 + 1) as e3, e4 from (select e1, greatest(e2, e1 + 1) as e2, e3, e4 from (select " + ", ".join(f"arg_min(i, {{d: abs(cum - n * {b} / 5.0), i: i}}) as e{b}" for b in range(1, 5)) + " from mb)))",
+    "me": "select sum(abs(sp - sy) / n) as ece from (select (i > e1)::int + (i > e2)::int + (i > e3)::int + (i > e4)::int as b, sum(p * nb) as sp, sum(sb) as sy, max(n) as n from mb, mc group by 1)",
+    "mr": "select max(n) as n, sum(nb * (p - o) * (p - o)) / max(n) as rel, sum(nb * (o - base) * (o - base)) / max(n) as res, max(base * (1 - base)) as unc from mb",
+}
+
+
+def dated_forecasts(spark, d) -> DataFrame:
+    docs = A.table(spark, d, "documents").select("doc_id", "n_chars")
+    return A.table(spark, d, "labels").join(docs, "doc_id").select("doc_id", (F.col("n_chars") / (F.col("n_chars") + 500.0)).alias("p"), F.col("quality").cast("double").alias("y"))
+
+
+@query("select n::bigint as n, round((select avg((p - y) * (p - y)) from mf), 6) as brier, round(rel, 6) as reliability, round(res, 6) as resolution, round(unc, 6) as uncertainty, round(ece, 6) as ece, round(1 - (select avg((p - y) * (p - y)) from mf) / unc, 6) as skill from mr, me", MURPHY)
 def d44_murphy(spark, d):
-    rows = calibration_rows(spark, d)
-    bins = M.reliability(rows, "p", "y").crossJoin(rows.agg(F.avg("y").alias("b")))  # one row
-    gap = lambda x, y: F.round(F.sum(F.col("n") * (F.col(x) - F.col(y)) ** 2) / F.sum("n"), 6)
-    return bins.agg(gap("predicted", "observed").alias("reliability"), gap("observed", "b").alias("resolution"), F.round(F.max(F.col("b") * (1 - F.col("b"))), 6).alias("uncertainty"))
+    report, _ = M.murphy(dated_forecasts(spark, d), "p", "y", "doc_id", 2)
+    return report.select("n", *[F.round(c, 6).alias(c) for c in ("brier", "reliability", "resolution", "uncertainty", "ece", "skill")])
+
+
+@query("select doc_id, round(res - (n * res - nb * (o - base) * (o - base) + case when nb > 1 then (nb - 1) * ((sb - y) / (nb - 1) - base) * ((sb - y) / (nb - 1) - base) else 0 end) / (n - 1), 8) as delta from mf join (select mb.*, res from mb, mr) using (p)", MURPHY)
+def d44_leave_one_out(spark, d):
+    """By how much the resolution falls without each forecast."""
+    _, each = M.murphy(dated_forecasts(spark, d), "p", "y", "doc_id", 2)
+    return each.select("doc_id", F.round("delta", 8).alias("delta"))
 
 
 @query("select min(date) as first, max(date) as last, min(n) as fewest, max(n) as most, min(n) >= 15 and max(n) <= 25 as ok from (select date, count(*) as n from membership group by 1)")
