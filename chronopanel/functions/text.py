@@ -54,8 +54,10 @@ def items(c: Column) -> Column:
 
 
 def cashtags(c: Column) -> Column:
-    """Upper-case words, with or without a dollar sign, of one to five letters."""
-    return F.regexp_extract_all(c, F.lit(r"(?:^|[^A-Za-z0-9])\$?([A-Z]{2,5})(?![A-Za-z0-9])"), 1)
+    """Ticker mentions of a text, upper-case: words of one to five letters after a dollar sign, in any case, and bare words
+    of two to five letters in upper case. Which of them are tickers is for a join with the universe to say."""
+    words = F.split(c, r"[^\p{L}\p{N}_$]+")
+    return F.transform(F.filter(words, lambda w: w.rlike(r"^([A-Z]{2,5}|\$[A-Za-z]{1,5})$")), lambda w: F.upper(F.replace(w, F.lit("$"), F.lit(""))))
 
 
 def seen_date(c: Column) -> Column:
@@ -82,16 +84,22 @@ def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[
     return F.when(n > 0, (mid - half) / d), F.when(n > 0, (mid + half) / d)
 
 
-def rule_hit(text: Column, pattern: str, window: int = 3, negations: str = "no|not|never|without") -> Column:
-    """Whether a text has a match of pattern (case ignored) that no negation stands up to ``window`` words before."""
-    negated = rf"(?i)(^|[^A-Za-z0-9])({negations})([^A-Za-z0-9]+[A-Za-z0-9]+){{0,{window - 1}}}[^A-Za-z0-9]+({pattern})"
-    return F.regexp_replace(text, negated, " ").rlike(f"(?i)({pattern})")
+def rule_hit(text: Column, pattern: str, before: int = 3, after: int = 0, negations: str = "no|not|never|without") -> Column:
+    """Whether a text has a match of pattern (case ignored) without a negation among the ``before`` words ahead of it and
+    the ``after`` words behind it."""
+    word, gap = "[A-Za-z0-9]+", "[^A-Za-z0-9]+"
+    if before:
+        text = F.regexp_replace(text, rf"(?i)(^|[^A-Za-z0-9])({negations})({gap}{word}){{0,{before - 1}}}{gap}({pattern})", " ")
+    if after:
+        text = F.regexp_replace(text, rf"(?i)({pattern})[A-Za-z0-9]*({gap}{word}){{0,{after - 1}}}{gap}({negations})($|[^A-Za-z0-9])", " ")
+    return text.rlike(f"(?i)({pattern})")
 
 
-def classified(text: Column, rules: list[tuple[int, str, str, bool]]) -> Column:
+def classified(text: Column, rules: list[tuple[int, str, str, bool]], windows: dict[str, tuple[int, int]] | None = None) -> Column:
     """Label of a text under frozen rules (rank, label, pattern, abstain only): abstain if an abstain-only rule hits or none
-    does; else the label of the least rank that hits, conflict if it has several."""
-    hits = [(rank, label, rule_hit(text, pattern), only) for rank, label, pattern, only in rules]
+    does; else the label of the least rank that hits, conflict if it has several. ``windows``: by label, the words before
+    and after a match in which a negation undoes it (default: 3 and 0)."""
+    hits = [(rank, label, rule_hit(text, pattern, *(windows or {}).get(label, (3, 0))), only) for rank, label, pattern, only in rules]
     stop = F.lit(False)
     for _, _, hit, only in hits:
         stop = stop | hit if only else stop
@@ -137,8 +145,9 @@ def percent_of_class(text: Column, is_amendment: Column) -> tuple[Column, Column
 def offer_price(text: Column) -> tuple[Column, Column]:
     """Price per share and how sure it is: exact at its anchor, low for any other amount, none for a range, a draft with an
     open amount, or an example."""
-    amount = r"\$([0-9]+(?:\.[0-9]+)?)"
+    amount = r"\$([0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?)"
     refused = text.rlike(rf"(?i)between {amount} and|\$\[|for example|hypothetical")
     at, loose = F.regexp_extract(text, rf"(?i)price of {amount} per share", 1), F.regexp_extract(text, amount, 1)
     kind = F.when(refused, "none").when(at != "", "exact").when(loose != "", "low").otherwise("none")
-    return F.when(kind == "exact", at.cast("double")).when(kind == "low", loose.cast("double")), kind
+    number = lambda c: F.replace(c, F.lit(","), F.lit("")).cast("double")
+    return F.when(kind == "exact", number(at)).when(kind == "low", number(loose)), kind

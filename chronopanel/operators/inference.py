@@ -75,8 +75,21 @@ def long_short(df: DataFrame, by: str, score: str, y: str, share: float = 0.2, p
     return ranked.where(F.col("__n") >= 2 * per_leg).groupBy(by).agg(long.alias("long"), short.alias("short"), (long - short).alias("spread"))
 
 
+def net_cost(spreads: DataFrame, traded: DataFrame, date: str, bps: float, periods: int = 12) -> DataFrame:
+    """One row on a strategy's returns (date, spread) and what it trades (date, traded, as a share of its value): n, mean and
+    annual Sharpe gross and net of ``bps`` for each traded unit on its own date, the mean traded, all costs in basis points,
+    and the drawdown and volatility of the gross returns. Dates without trading cost nothing."""
+    rows = spreads.select(date, "spread").join(traded.select(date, "traded"), date, "left").withColumn("net", F.col("spread") - F.coalesce("traded", F.lit(0.0)) * bps / 1e4)
+    w = Window.orderBy(date).rowsBetween(Window.unboundedPreceding, 0)  # a calendar
+    rows = rows.withColumn("__c", F.product(1 + F.col("spread")).over(w))
+    rows = rows.withColumn("__dd", F.col("__c") / F.greatest(F.max("__c").over(w), F.lit(1.0)) - 1)
+    sharpe = lambda c: F.try_divide(F.avg(c) * periods**0.5, F.stddev_samp(c))
+    return rows.agg(F.count("*").alias("n"), sharpe("spread").alias("gross_sharpe"), sharpe("net").alias("net_sharpe"), F.avg("traded").alias("avg_traded"), (F.sum(F.coalesce("traded", F.lit(0.0))) * bps).alias("cost_bps"), F.min("__dd").alias("drawdown"), (F.stddev_samp("spread") * periods**0.5).alias("vol"))
+
+
 def risk_summary(df: DataFrame, series: list[str], order: str, r: str, periods: int = 12) -> DataFrame:
-    """Annual return and volatility, Sharpe, Sortino, drawdown, Calmar, value at risk and expected shortfall per series."""
+    """Annual return and volatility, Sharpe, Sortino, drawdown, Calmar, Omega (gains over losses), value at risk and expected
+    shortfall per series."""
     w = Window.partitionBy(*series).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     rows = df.where(F.col(r).isNotNull()).withColumn("__c", F.exp(F.sum(F.log(1 + F.col(r))).over(w)))
     rows = rows.withColumn("__dd", F.col("__c") / F.greatest(F.max("__c").over(w), F.lit(1.0)) - 1)
@@ -85,11 +98,12 @@ def risk_summary(df: DataFrame, series: list[str], order: str, r: str, periods:
     g = rows.groupBy(*series).agg(
         F.count("*").alias("n"), F.sum(F.log(1 + F.col(r))).alias("__l"), F.stddev_samp(r).alias("__sd"), F.avg(r).alias("__m"), F.min("__dd").alias("drawdown"),
         F.sqrt(F.avg(F.least(F.col(r), F.lit(0.0)) ** 2)).alias("__down"), F.max("__q").alias("var95"), F.avg(F.when(F.col(r) <= F.col("__q"), F.col(r))).alias("cvar95"),
+        F.try_divide(F.sum(F.greatest(F.col(r), F.lit(0.0))), F.sum(F.greatest(-F.col(r), F.lit(0.0)))).alias("omega"),
     )
     annual = F.exp(F.col("__l") * periods / F.col("n")) - 1
     return g.select(
         *series, "n", annual.alias("annual"), (F.col("__sd") * periods**0.5).alias("vol"), F.try_divide(F.col("__m") * periods**0.5, F.col("__sd")).alias("sharpe"),
-        F.try_divide(F.col("__m") * periods**0.5, F.col("__down")).alias("sortino"), "drawdown", F.try_divide(annual, F.abs("drawdown")).alias("calmar"), "var95", "cvar95",
+        F.try_divide(F.col("__m") * periods**0.5, F.col("__down")).alias("sortino"), "drawdown", F.try_divide(annual, F.abs("drawdown")).alias("calmar"), "omega", "var95", "cvar95",
     )
 
 
@@ -137,6 +151,34 @@ def bootstrap_means(df: DataFrame, series: list[str], order: str, x: str, n_boot
     return draws.join(rows.drop("__n"), [*series, "__i"]).groupBy(*series, "replicate").agg(F.avg("__x").alias("mean"))
 
 
+def stratified_f1(rows: DataFrame, stratum: str, gold: str, predicted: str, key: str, n_boot: int = 1000, seed: int = 13) -> DataFrame:
+    """(stratum, low, mean, high, n, warning): a row ``macro`` with the mean F1 over strata and its 95 % bootstrap interval,
+    and a row per stratum with its own F1, the rows that count in it (gold or predicted), and a warning: ``undefined``
+    without such rows, ``tiny`` under 30.
+
+    Only the three counts tp, fp, fn of a stratum matter to its F1. A resample of its n rows takes place numbers 0..n-1 by
+    md5; rows stand in the order of ``key``, and a place falls to the cell whose row stands there. Cells of a stratum are
+    looked up by place in a join, and counts of cells are combined before the exchange, so a resample costs n small rows
+    wherever they are. Undefined strata take no part in the macro mean.
+    """
+    both = rows.select(F.col(stratum).alias("stratum"), F.col(gold).alias("g"), F.col(predicted).alias("p"), F.col(key).alias("k"))
+    cell = F.when(F.col("g") & F.col("p"), 0).when(F.col("p"), 1).otherwise(2)
+    w = Window.partitionBy("stratum")
+    cells = stored(both.where("g or p").select("stratum", cell.alias("cell"), (F.row_number().over(w.orderBy("k")) - 1).alias("i"), F.count("*").over(w).alias("n")), "f1-cells")
+    draws = cells.groupBy("stratum").agg(F.max("n").alias("n")).select("stratum", "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
+    draws = draws.select("stratum", "n", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
+    draws = draws.select("stratum", "rep", F.pmod(text_hash(F.lit(seed), "stratum", "rep", "j"), F.col("n")).alias("i"))
+    f1 = 2.0 * F.count_if(F.col("cell") == 0) / (F.count("*") + F.count_if(F.col("cell") == 0))
+    macro = draws.join(cells.select("stratum", "i", "cell"), ["stratum", "i"]).groupBy("stratum", "rep").agg(f1.alias("f1")).groupBy("rep").agg(F.avg("f1").alias("f1"))
+    q = F.percentile("f1", F.array(F.lit(0.025), F.lit(0.975)))  # of n_boot values
+    top = macro.agg(F.lit("macro").alias("stratum"), F.round(q[0], 6).alias("low"), F.round(F.avg("f1"), 6).alias("mean"), F.round(q[1], 6).alias("high"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("string").alias("warning"))
+    n, tp = F.count_if(F.col("g") | F.col("p")), F.count_if(F.col("g") & F.col("p"))
+    own = both.groupBy("stratum").agg(F.round(F.try_divide(2.0 * tp, n + tp), 6).alias("mean"), n.alias("n"))
+    warn = F.when(F.col("n") == 0, "undefined").when(F.col("n") < 30, "tiny")
+    null = F.lit(None).cast("double")
+    return top.unionByName(own.select("stratum", null.alias("low"), "mean", null.alias("high"), "n", warn.alias("warning")))
+
+
 def spillover_index(v, horizon: int = 10, max_lag: int = 2) -> float | None:
     """Total spillover of two series (rows, 2), in percent: a vector autoregression whose lag has the least information
     criterion, its generalised forecast error variance decomposition, and the share that comes from the other series."""
@@ -246,7 +288,8 @@ def half_splits(df: DataFrame, block: str, n: int, key: str = "ticker", r: str =
 
 
 def event_study(returns: DataFrame, events: DataFrame, sessions: DataFrame, before: int = 10, after: int = 20) -> DataFrame:
-    """Mean cumulative abnormal return by event type and offset; events with an incomplete window are dropped.
+    """Mean cumulative abnormal return by event type and offset, with its 95 % interval; events with an incomplete window
+    are dropped.
 
     returns: (date, ticker, ab), events: (event_id, event_type, ticker, date on a session), sessions: (date, idx).
     """
@@ -257,4 +300,5 @@ def event_study(returns: DataFrame, events: DataFrame, sessions: DataFrame, befo
     full = at.withColumn("__n", F.count("*").over(w)).where(F.col("__n") == before + after + 1)
     car = full.withColumn("car", F.sum("ab").over(w.orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)))
     g = car.groupBy("event_type", "offset").agg(F.count("*").alias("n"), F.avg("car").alias("mean"), F.stddev_samp("car").alias("sd"))
-    return g.withColumn("se", F.col("sd") / F.sqrt("n"))
+    g = g.withColumn("se", F.col("sd") / F.sqrt("n"))
+    return g.withColumns({"low": F.col("mean") - 1.96 * F.col("se"), "high": F.col("mean") + 1.96 * F.col("se")})

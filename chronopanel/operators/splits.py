@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import ranked
+
 
 def walk_forward_folds(times: DataFrame, date: str, n_folds: int) -> DataFrame:
     """(fold, test_start, test_end) of equal runs of the distinct dates after a first train part; a calendar-sized table."""
@@ -45,15 +47,26 @@ def chronology(tagged: DataFrame, date: str, label_end: str) -> DataFrame:
 
 def hash_permuted(df: DataFrame, value: str, within: list[str], order: list[str], seed: int) -> DataFrame:
     """df with value permuted among the rows of each group: natural order joined to the order of an md5 of the seed and the
-    order columns. Rows that agree in all of these must agree in value as well."""
-    natural = Window.partitionBy(*within).orderBy(*order)
+    order columns. Rows that agree in all of these must agree in value as well. Without ``within`` the whole table is one
+    group, which is ranked by ranges, so no task holds it."""
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in order]))
+    if not within:
+        place = ranked(df, "__i", *order)
+        other = ranked(df.select(F.col(value).alias("__v"), key.alias("__h"), *order), "__i", "__h", *order).select("__v", "__i")
+        return place.join(other, "__i").drop("__i", value).withColumnRenamed("__v", value)
+    natural = Window.partitionBy(*within).orderBy(*order)
     mixed = Window.partitionBy(*within).orderBy(key, *order)
     place = df.withColumn("__i", F.row_number().over(natural))
     other = df.select(*within, F.col(value).alias("__v"), F.row_number().over(mixed).alias("__i"))
     return place.join(other, [*within, "__i"]).drop("__i", value).withColumnRenamed("__v", value)
 
 
+def known_permuted(df: DataFrame, value: str, within: list[str], order: list[str], seed: int) -> DataFrame:
+    """hash_permuted among the rows whose value is known; the others keep their null, so coverage stays as it is."""
+    known = df.where(F.col(value).isNotNull())
+    return hash_permuted(known, value, within, order, seed).unionByName(df.where(F.col(value).isNull()))
+
+
 def fit_lines(tagged: DataFrame, x: str, y: str, least: int = 10, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """Test rows of each fold (of each group ``by``) with the intercept, slope and score of the line fitted on its training rows; folds of fewer
     than ``least`` training rows give none. Fits are aggregates, so no fold is gathered in a task."""

@@ -183,7 +183,7 @@ ROUNDED = "tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) as precision, round(tp
 
 def gold_rows(spark, d) -> DataFrame:
     docs = A.table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
-    return A.table(spark, d, "labels").join(docs, "doc_id").select("lang", (F.col("quality") == 1).alias("gold"), F.when(F.col("n_chars") >= 300, F.col("source") != "src0").alias("predicted"))
+    return A.table(spark, d, "labels").join(docs, "doc_id").select("doc_id", "lang", (F.col("quality") == 1).alias("gold"), F.when(F.col("n_chars") >= 300, F.col("source") != "src0").alias("predicted"))
 
 
 @query(f"select {ROUNDED} from (select {SCORES}, count(predicted) / count(*) as cov from gold)", {"gold": GOLD})

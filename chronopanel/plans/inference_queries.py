@@ -97,33 +97,23 @@ def l05_bootstrap_interval(spark, d):
     return means.groupBy("ticker").agg(F.round(q[0], 6).alias("low"), F.round(q[1], 6).alias("high"))
 
 
-@query()
-def l06_stratified_f1(spark, d):
-    """Bootstrap of macro F1: per stratum a multinomial of (tp, fp, fn) by resampling rows with hashed Poisson weights."""
-    from .aggregate_queries import gold_rows
-
-    rows = gold_rows(spark, d).where("predicted is not null").withColumn("id", F.xxhash64("lang", "gold", "predicted"))
-    cell = rows.groupBy("lang").agg(F.count_if(F.col("gold") & F.col("predicted")).alias("tp"), F.count_if(~F.col("gold") & F.col("predicted")).alias("fp"), F.count_if(F.col("gold") & ~F.col("predicted")).alias("fn"))
+GOLD_ROWS = "select doc_id, lang, quality = 1 as gold, case when n_chars >= 300 then source <> 'src0' end as predicted from labels join documents using (doc_id)"
+STRATA = {
+    "f1rows": "select lang, case when gold and predicted then 0 when predicted then 1 else 2 end as cell, doc_id from goldrows where predicted is not null and (gold or predicted)",
+    "f1cells": "select lang, cell, row_number() over (partition by lang order by doc_id) - 1 as i, count(*) over (partition by lang) as n from f1rows",
+    "f1draws": "select lang, rep, j, ('0x' || substr(md5('13|' || lang || '|' || rep || '|' || j), 1, 8))::bigint % n as i from (select lang, any_value(n) as n from f1cells group by 1), (select unnest(range(200)) as rep), (select unnest(range((select max(n) from f1cells))) as j) where j < n",
+    "f1reps": "select rep, avg(f1) as f1 from (select lang, rep, 2.0 * count(*) filter (cell = 0) / (count(*) + count(*) filter (cell = 0)) as f1 from f1draws join f1cells using (lang, i) group by 1, 2) group by 1",
+}
 
-    def draw(batches):
-        import numpy as np
-        import pandas as pd
 
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                n = r.tp + r.fp + r.fn
-                if n:
-                    rng = np.random.default_rng(sum(map(ord, r.lang)))
-                    tp, fp, fn = rng.multinomial(n, np.array([r.tp, r.fp, r.fn]) / n, 500).T
-                    f1 = np.where(2 * tp + fp + fn > 0, 2 * tp / np.maximum(2 * tp + fp + fn, 1), 0.0)
-                    out.append(pd.DataFrame({"replicate": range(500), "f1": f1}))
-            if out:
-                yield pd.concat(out)
+@query("select 'macro' as stratum, round(quantile_cont(f1, 0.025), 6) as low, round(avg(f1), 6) as mean, round(quantile_cont(f1, 0.975), 6) as high, null::bigint as n, null as warning from f1reps union all select lang, null, round(2.0 * count(*) filter (gold and predicted) / nullif(count(*) filter (gold and predicted) * 2 + count(*) filter (gold <> predicted), 0), 6), null, count(*) filter (gold or predicted), case when count(*) = 0 then 'empty' when count(*) filter (gold or predicted) = 0 then 'undefined' when count(*) filter (gold or predicted) < 30 then 'tiny' end from (select lang, gold, coalesce(predicted, false) as predicted, predicted is not null as known from goldrows) where known group by lang", {"goldrows": GOLD_ROWS} | STRATA)
+def l06_stratified_f1(spark, d):
+    """Bootstrap of macro F1: 200 resamples of the rows of every stratum, drawn by md5, the mean of their F1 and its 95 %
+    interval; per stratum its own F1 and a warning where it has no rows, no defined F1, or fewer than 30 rows that count."""
+    from .aggregate_queries import gold_rows
 
-    macro = cell.mapInPandas(draw, "replicate int, f1 double").groupBy("replicate").agg(F.avg("f1").alias("f1"))
-    q = F.percentile("f1", F.array(F.lit(0.025), F.lit(0.975)))
-    return macro.agg(F.round(q[0], 6).alias("low"), F.round(F.avg("f1"), 6).alias("mean"), F.round(q[1], 6).alias("high"))
+    rows = gold_rows(spark, d).where("predicted is not null")
+    return I.stratified_f1(rows, "lang", "gold", "predicted", "doc_id", 200, 13)
 
 
 @query("select ticker, round(avg(((ret > 0) = (lagged > 0))::int), 6) as accuracy, round(avg((ret > 0)::int), 6) as up, round(avg(abs(ret - lagged)), 6) as mae, round(avg((ret - lagged) * (ret - lagged)), 6) as mse from (select *, lag(ret) over (partition by ticker order by date) as lagged from retsm) where lagged is not null and ret is not null group by 1", {"retsm": RETS_M})
@@ -167,13 +157,31 @@ def l09_turnover_cost(spark, d):
     return turnover(spark, d).select("date", F.round("turnover", 6).alias("turnover"), F.round(F.col("turnover") * 10 / 10000, 8).alias("cost"))
 
 
+BOTH_LEGS = "select date, ticker, case when up <= k then 1.0 / k else 0.0 end - case when down <= k then 1.0 / k else 0.0 end as w from (select *, greatest(1, floor(count(*) over (partition by date) * 0.2)) as k, row_number() over (partition by date order by close desc, ticker) as up, row_number() over (partition by date order by close, ticker desc) as down from fwdm)"
+TRADED = "select date, sum(abs(w - coalesce(p, 0))) as traded from (select *, lag(w) over (partition by ticker order by date) as p from (select m.date, t.ticker, coalesce(x.w, 0) as w from (select distinct date from fwdm) m cross join (select distinct ticker from fwdm) t left join both_legs x on x.date = m.date and x.ticker = t.ticker)) group by 1"
+
+
+@query("select count(*) as n, round(avg(s) * sqrt(12) / stddev_samp(s), 5) as gross_sharpe, round(avg(net) * sqrt(12) / stddev_samp(net), 5) as net_sharpe, round(avg(traded), 6) as avg_traded, round(sum(traded) * 5, 4) as cost_bps, round(min(c / greatest(m, 1) - 1), 6) as drawdown, round(stddev_samp(s) * sqrt(12), 6) as vol from (select *, max(c) over (order by date) as m from (select date, long - short as s, traded, long - short - traded * 5 / 10000 as net, product(1 + long - short) over (order by date) as c from legs join traded using (date)))", {"fwdm": FWDM, "legs": LEGS, "both_legs": BOTH_LEGS, "traded": TRADED})
+def l09_net_cost(spark, d):
+    """A long-short strategy by price, gross and net of five basis points on all that it trades at each rebalance."""
+    p = monthly_panel(spark, d)
+    w = Window.partitionBy("date")
+    k = F.greatest(F.lit(1), F.floor(F.count("*").over(w) * 0.2))
+    held = p.withColumns({"k": k, "up": F.row_number().over(w.orderBy(F.desc("close"), "ticker")), "down": F.row_number().over(w.orderBy("close", F.desc("ticker")))})
+    leg = lambda c: F.when(F.col(c) <= F.col("k"), 1 / F.col("k")).otherwise(0.0)
+    full = R.dense_grid(held.select("date", "ticker", (leg("up") - leg("down")).alias("w"))).withColumn("w", F.coalesce("w", F.lit(0.0)))
+    traded = full.withColumn("c", F.abs(F.col("w") - F.coalesce(F.lag("w").over(R.by_ticker()), F.lit(0.0)))).groupBy("date").agg(F.sum("c").alias("traded"))
+    out = I.net_cost(I.long_short(p, "date", "close", "r"), traded, "date", 5.0)
+    return out.select("n", F.round("gross_sharpe", 5).alias("gross_sharpe"), F.round("net_sharpe", 5).alias("net_sharpe"), F.round("avg_traded", 6).alias("avg_traded"), F.round("cost_bps", 4).alias("cost_bps"), F.round("drawdown", 6).alias("drawdown"), F.round("vol", 6).alias("vol"))
+
+
 RISK = "select ticker, date, ret, c, c / greatest(max(c) over (partition by ticker order by date), 1) - 1 as dd from (select *, exp(sum(ln(1 + ret)) over (partition by ticker order by date)) as c from retsm where ret is not null)"
 
 
-@query("select ticker, n, round(exp(l * 12 / n) - 1, 6) as annual, round(sd * sqrt(12), 6) as vol, round(m * sqrt(12) / sd, 6) as sharpe, round(m * sqrt(12) / dn, 6) as sortino, round(dd, 6) as drawdown, round((exp(l * 12 / n) - 1) / abs(dd), 6) as calmar, round(q, 6) as var95, round(cv, 6) as cvar95 from (select ticker, count(*) as n, sum(ln(1 + ret)) as l, stddev_samp(ret) as sd, avg(ret) as m, min(dd) as dd, sqrt(avg(pow(least(ret, 0), 2))) as dn, max(q) as q, avg(ret) filter (ret <= q) as cv from risk join (select ticker, quantile_cont(ret, 0.05) as q from risk group by 1) using (ticker) group by 1)", {"retsm": RETS_M, "risk": RISK})
+@query("select ticker, n, round(exp(l * 12 / n) - 1, 6) as annual, round(sd * sqrt(12), 6) as vol, round(m * sqrt(12) / sd, 6) as sharpe, round(m * sqrt(12) / dn, 6) as sortino, round(dd, 6) as drawdown, round((exp(l * 12 / n) - 1) / abs(dd), 6) as calmar, round(omega, 6) as omega, round(q, 6) as var95, round(cv, 6) as cvar95 from (select ticker, count(*) as n, sum(ln(1 + ret)) as l, stddev_samp(ret) as sd, avg(ret) as m, min(dd) as dd, sqrt(avg(pow(least(ret, 0), 2))) as dn, max(q) as q, avg(ret) filter (ret <= q) as cv, sum(greatest(ret, 0)) / sum(greatest(-ret, 0)) as omega from risk join (select ticker, quantile_cont(ret, 0.05) as q from risk group by 1) using (ticker) group by 1)", {"retsm": RETS_M, "risk": RISK})
 def l10_risk_summary(spark, d):
     s = I.risk_summary(monthly_returns(spark, d), ["ticker"], "date", "ret")
-    return s.select("ticker", "n", *[F.round(c, 6).alias(c) for c in ("annual", "vol", "sharpe", "sortino", "drawdown", "calmar", "var95", "cvar95")])
+    return s.select("ticker", "n", *[F.round(c, 6).alias(c) for c in ("annual", "vol", "sharpe", "sortino", "drawdown", "calmar", "omega", "var95", "cvar95")])
 
 
 def trial_hurdles() -> dict[int, float]:
@@ -310,16 +318,21 @@ def l16_group_sequential(spark, d):
     return h.select("look", "n", F.round("mean", 6).alias("mean"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), "equivalent", (F.col("equivalent") & (F.col("look") == stop)).alias("stops"))
 
 
-STUDY = "with e as (select event_id, event_type, ticker, min(s.idx) as idx from study_events join sessions s on s.date >= event_date group by 1, 2, 3), r as (select ticker, idx, ret - mkt as ab from retm join sessions using (date) where ret is not null), c as (select e.event_id, e.event_type, r.idx - e.idx as off, sum(ab) over (partition by e.event_id order by r.idx) as car, count(*) over (partition by e.event_id) as n from e join r on r.ticker = e.ticker and r.idx between e.idx - 2 and e.idx + 3) select event_type, cast(off as int) as \"offset\", count(*) as n, round(avg(car), 6) as mean, round(stddev_samp(car) / sqrt(count(*)), 6) as se from c where n = 6 group by 1, 2"
+STUDY = "with ms as (select date, row_number() over (order by date) as idx from (select distinct date from prices_monthly)), e as (select distinct o_orderkey as event_id, o_orderpriority as event_type, 'S' || l_suppkey as ticker, idx from orders join lineitem on l_orderkey = o_orderkey join ms on ms.date = cast(date_trunc('month', o_orderdate) as date)), r as (select ticker, idx, ret - avg(ret) over (partition by date) as ab from retsm join ms using (date) where ret is not null), c as (select e.event_type, r.idx - e.idx as off, sum(ab) over w as car, count(*) over (partition by e.event_id, e.ticker) as n from e join r on r.ticker = e.ticker and r.idx between e.idx - 10 and e.idx + 20 window w as (partition by e.event_id, e.ticker order by r.idx)) select event_type, cast(off as int) as \"offset\", count(*) as n, round(avg(car), 6) as mean, round(stddev_samp(car) / sqrt(count(*)), 6) as se, round(avg(car) - 1.96 * stddev_samp(car) / sqrt(count(*)), 6) as low, round(avg(car) + 1.96 * stddev_samp(car) / sqrt(count(*)), 6) as high from c where n = 31 group by 1, 2"
 
 
-@query(STUDY)
+@query(STUDY, {"retsm": RETS_M})
 def l17_event_study(spark, d):
-    s = sessions_of(A.prices(spark, d))
-    r = with_market(spark, d).select("date", "ticker", (F.col("ret") - F.col("mkt")).alias("ab"))
-    landed = asof_join(A.study_events(spark, d), s.select("date"), "event_date", "date", forward=True, how="inner")
-    out = I.event_study(r, landed.select("event_id", "event_type", "ticker", "date"), s, 2, 3)
-    return out.select("event_type", "offset", "n", F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"))
+    """Ten sessions before to twenty after every order of a supplier, a session being a month: the excess over the mean of
+    all names, cumulated, with its interval by type of order."""
+    r = monthly_returns(spark, d).where("ret is not null")
+    s = A.prices_monthly(spark, d).select("date").distinct().withColumn("idx", F.row_number().over(Window.orderBy("date")))  # a calendar
+    ab = r.select("date", "ticker", (F.col("ret") - F.avg("ret").over(Window.partitionBy("date"))).alias("ab"))
+    o, li = A.table(spark, d, "orders"), A.table(spark, d, "lineitem")
+    pairs = li.select("l_orderkey", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker")).distinct()
+    e = o.join(pairs, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat_ws("|", F.col("o_orderkey").cast("string"), "ticker").alias("event_id"), F.col("o_orderpriority").alias("event_type"), "ticker", F.trunc("o_orderdate", "month").alias("date"))
+    out = I.event_study(ab, e, s, 10, 20)
+    return out.select("event_type", "offset", "n", *[F.round(c, 6).alias(c) for c in ("mean", "se", "low", "high")])
 
 
 @query("select 'filing' as kind, ticker, filed as date, count(*) as n from facts group by all union all select 'study', ticker, event_date, count(*) from study_events group by all union all select 'macro', 'ALL', realtime_start, count(*) from vintages group by all")
@@ -341,14 +354,27 @@ def l19_spillover(spark, d):
     return out.join(pairs.select("x", "y", "i", "date"), ["x", "y", "i"]).select("x", "y", "date", "index")
 
 
-@query("select h, count(ic) as months, round(avg(ic), 6) as mean_ic from (select h, month, corr(rs, ry) as ic from (select h, date as month, rank() over (partition by h, date order by close) + (count(*) over (partition by h, date, close) - 1) / 2.0 as rs, rank() over (partition by h, date order by y) + (count(*) over (partition by h, date, y) - 1) / 2.0 as ry from (select 1 as h, date, close, lead(close, 1) over (partition by ticker order by date) / close - 1 as y from prices_monthly union all select 3, date, close, lead(close, 3) over (partition by ticker order by date) / close - 1 from prices_monthly) where y is not null) group by 1, 2 having count(*) >= 5) where not isnan(ic) group by 1")
+SWEEP = {
+    "swept": "select date, ticker, sum(ret) over w21 as momentum, -sum(ret) over w5 as reversal, avg(volume) over w21 as turnover, lead(close, 10) over w / close - 1 as y10, lead(close, 42) over w / close - 1 as y42 from rets window w as (partition by ticker order by date), w21 as (partition by ticker order by date rows between 20 preceding and current row), w5 as (partition by ticker order by date rows between 4 preceding and current row)",
+    "arms": " union all ".join(f"select '{a}' as arm, {h} as h, date, {a} as x, y{h} as y from swept where {a} is not null and y{h} is not null" for a in ("momentum", "reversal", "turnover") for h in (10, 42)),
+    "swic": "select arm, h, date, corr(rs, ry) as ic from (select arm, h, date, rank() over (partition by arm, h, date order by x) + (count(*) over (partition by arm, h, date, x) - 1) / 2.0 as rs, rank() over (partition by arm, h, date order by y) + (count(*) over (partition by arm, h, date, y) - 1) / 2.0 as ry from arms where date in (select max(date) from prices group by date_trunc('month', date))) group by 1, 2, 3 having count(*) >= 5",
+    "swl": "select arm || ':' || h as sid, date, ic from swic where not isnan(ic)",
+}
+
+
+@query("select split_part(sid, ':', 1) as arm, split_part(sid, ':', 2)::int as h, n as months, round(mean, 6) as mean_ic, round(se, 6) as se, abs(mean) <= 1.96 * se as null_holds from hl", SWEEP | hac_ctes("swl", "sid", "date", "ic"))
 def l20_horizon_sweep(spark, d):
-    p = A.prices_monthly(spark, d)
-    arms = None
-    for h in (1, 3):
-        arm = p.select("date", "close", R.forward_return(h).alias("y"), F.lit(h).alias("h"))
-        arms = arm if arms is None else arms.unionByName(arm)
-    return I.rank_ic(arms, ["h", "date"], "close", "y").groupBy("h").agg(F.count("ic").alias("months"), F.round(F.avg("ic"), 6).alias("mean_ic"))
+    """Rank IC of every arm against returns over 10 and 42 sessions at month ends, and whether its interval holds zero: all
+    arms and horizons are series of one job."""
+    r = returns(spark, d)
+    w = R.by_ticker()
+    back = lambda k: w.rowsBetween(-k + 1, 0)
+    r = r.select("date", "ticker", F.sum("ret").over(back(21)).alias("momentum"), (-F.sum("ret").over(back(5))).alias("reversal"), F.avg("volume").over(back(21)).alias("turnover"), *[(F.lead("close", h).over(w) / F.col("close") - 1).alias(f"y{h}") for h in (10, 42)])
+    ends = A.prices(spark, d).groupBy(F.trunc("date", "month").alias("m")).agg(F.max("date").alias("date")).select("date")
+    cells = F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(h).alias("h"), F.col(a).alias("x"), F.col(f"y{h}").alias("y")) for a in ("momentum", "reversal", "turnover") for h in (10, 42)])
+    arms = r.join(F.broadcast(ends), "date").select("date", F.explode(cells).alias("c")).select("date", "c.*")  # a calendar
+    h = I.hac(I.rank_ic(arms, ["arm", "h", "date"], "x", "y"), ["arm", "h"], "date", "ic")
+    return h.select("arm", "h", F.col("n").alias("months"), F.round("mean", 6).alias("mean_ic"), F.round("se", 6).alias("se"), (F.abs("mean") <= 1.96 * F.col("se")).alias("null_holds"))
 
 
 @query("select n, round(mean, 6) as mean, round(se, 6) as se, mean - 1.96 * se > 0 as publish, (select round(avg((abs(b.mean - h.mean) >= abs(h.mean))::int), 6) from boots b) as p_boot from hl h", {"arms": "select month, a.ic - b.ic as d from (select date as month, corr(rs, ry) as ic from (select date, rank() over (partition by date order by close) + (count(*) over (partition by date, close) - 1) / 2.0 as rs, rank() over (partition by date order by y) + (count(*) over (partition by date, y) - 1) / 2.0 as ry from (select date, close, lead(close, 1) over (partition by ticker order by date) / close - 1 as y from prices_monthly) where y is not null) group by 1 having count(*) >= 5) a join (select date as month, corr(rs, ry) as ic from (select date, rank() over (partition by date order by volume) + (count(*) over (partition by date, volume) - 1) / 2.0 as rs, rank() over (partition by date order by y) + (count(*) over (partition by date, y) - 1) / 2.0 as ry from (select date, volume, lead(close, 1) over (partition by ticker order by date) / close - 1 as y from prices_monthly) where y is not null) group by 1 having count(*) >= 5) b using (month)"} | hac_ctes("arms", "1", "month", "d") | boot_ctes("arms", "1", "month", "d"))

@@ -51,13 +51,14 @@ def k03_chronology(spark, d):
     return S.chronology(tagged(spark, d), "date", "label_end")
 
 
-@query("select t.date as fold, count(*) filter (p.date < t.date) as train, count(*) filter (p.date = t.date) as test from (select distinct date from pan qualify dense_rank() over (order by date) > 60) t join pan p on p.date <= t.date group by 1", WF)
+@query("select t.region, t.date as fold, count(*) filter (p.date < t.date) as train, count(*) filter (p.date = t.date) as test from (select distinct region, date from regional qualify dense_rank() over (partition by region order by date) > 60) t join regional p on p.region = t.region and p.date <= t.date group by 1, 2", WF | {"regional": "select *, case when right(ticker, 1) < '5' then 'a' else 'b' end as region from pan"})
 def k04_monthly_walk_forward(spark, d):
-    """Each month tests on the months before it: counts from one running sum."""
-    m = panel(spark, d).groupBy("date").agg(F.count("*").alias("test"))
-    w = Window.orderBy("date")
+    """Each month of a region tests on the region's months before it, from 60 on: counts from one running sum."""
+    region = F.when(F.right("ticker", F.lit(1)) < "5", "a").otherwise("b")
+    m = panel(spark, d).groupBy(region.alias("region"), "date").agg(F.count("*").alias("test"))
+    w = Window.partitionBy("region").orderBy("date")
     m = m.withColumns({"train": F.sum("test").over(w.rowsBetween(Window.unboundedPreceding, -1)), "i": F.row_number().over(w)})
-    return m.where("i > 60").select(F.col("date").alias("fold"), "train", "test")
+    return m.where("i > 60").select("region", F.col("date").alias("fold"), "train", "test")
 
 
 @query("with s as (select max(idx) - 30 as pos from sessions), p as (select date as test_date from sessions, s where idx = pos), t as (select date as cutoff from sessions, s where idx = pos - 5) select count(*) filter (g.date <= cutoff) as train, count(*) filter (g.date = test_date) as test, count(distinct g.ticker) filter (g.date = test_date) as tickers from member_panel g, p, t")
@@ -109,6 +110,23 @@ def k09_cross_section_shuffle(spark, d):
     return S.hash_permuted(A.prices_monthly(spark, d), "close", ["date"], ["ticker"], 9).select("date", "ticker", F.round("close", 10).alias("close"))
 
 
+DAILY = "select date, case when count(*) >= 12 then round(avg(close), 6) end as level from prices group by 1"
+
+
+@query("select d.date, v.level from (select *, row_number() over (order by date) as i from daily where level is not null) d join (select level, row_number() over (order by md5('4|' || date), date) as i from daily where level is not null) v using (i) union all select date, null from daily where level is null", {"daily": DAILY})
+def k09_date_shuffle(spark, d):
+    """A series that all names share, permuted across the dates on which it is known; gaps stay where they are."""
+    daily = A.prices(spark, d).groupBy("date").agg(F.when(F.count("*") >= 12, F.round(F.avg("close"), 6)).alias("level"))
+    return S.known_permuted(daily, "level", [], ["date"], 4).select("date", "level")
+
+
+@query("select d.vec_id, v.source, v.label from (select vec_id, row_number() over (order by vec_id) as i from embeddings) d join (select vec_id as source, label, row_number() over (order by md5('6|' || vec_id), vec_id) as i from embeddings) v using (i)")
+def k09_vector_relabel(spark, d):
+    """Every event gets another event's vector."""
+    e = A.table(spark, d, "embeddings").select("vec_id", F.struct(F.col("vec_id").alias("source"), "label", "embedding").alias("v"))
+    return S.hash_permuted(e, "v", [], ["vec_id"], 6).select("vec_id", "v.source", "v.label")
+
+
 ARMS = {
     "mc": "select ticker, cast(date_trunc('month', date) as date) as month, max_by(close, date) as close from prices group by 1, 2",
     "lay": "select *, cast((dense_rank() over (order by month) - 1) % 4 as int) as own from (select ticker, month, lead(close) over (partition by ticker order by month) / close - 1 as y from mc) where y is not null",
@@ -200,20 +218,20 @@ WEEKS = {
     "wp": "select * from (select ticker, week, close / lag(close) over (partition by ticker order by week) - 1 as x, lead(close) over (partition by ticker order by week) / close - 1 as y from wk) where x is not null and y is not null",
     "ws": "select week, count(*) as n, sum(x) as x, sum(y) as y, sum(x * x) as xx, sum(x * y) as xy from wp group by 1",
     "wc": "select week, sum(n) over w as n, sum(x) over w as x, sum(y) over w as y, sum(xx) over w as xx, sum(xy) over w as xy from ws window w as (order by week rows between unbounded preceding and 5 preceding)",
-    "wf": "select week, n, (n * xy - x * y) / (n * xx - x * x) as b, (y - (n * xy - x * y) / (n * xx - x * x) * x) / n as a from wc where n >= 1000",
+    "wf": "select week, n, (n * xy - x * y) / (n * xx - x * x) as b, (y - (n * xy - x * y) / (n * xx - x * x) * x) / n as a from wc where n >= 5000",
 }
 
 
 @query("select year(p.week) as year, count(*) as n, round(avg(abs(y - (f.a + f.b * p.x))), 6) as refit, round(avg(abs(y - (z.a + z.b * p.x))), 6) as frozen from wp p join wf f using (week), (select * from wf order by week limit 1) z group by 1", WEEKS)
-def k12_frozen_vs_refit(spark, d):
+def k12_frozen_vs_refit(spark, d, least: int = 5000):
     """A line fitted once, and one fitted anew each week on all weeks up to five before it (so that their labels are known),
-    from 1,000 rows on. Fits are running sums over weeks: no week is read twice."""
+    from 5,000 rows on. Fits are running sums over weeks: no week is read twice."""
     w = A.prices(spark, d).groupBy("ticker", F.to_date(F.date_trunc("week", "date")).alias("week")).agg(F.max_by("close", "date").alias("close"))
     by = R.by_ticker(order="week")
     p = w.select("ticker", "week", (F.col("close") / F.lag("close").over(by) - 1).alias("x"), (F.lead("close").over(by) / F.col("close") - 1).alias("y")).where("x is not null and y is not null")
     sums = p.groupBy("week").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
     before = Window.orderBy("week").rowsBetween(Window.unboundedPreceding, -5)  # weeks
-    c = sums.select("week", *[F.sum(k).over(before).alias(k) for k in ("n", "sx", "sy", "sxx", "sxy")]).where("n >= 1000")
+    c = sums.select("week", *[F.sum(k).over(before).alias(k) for k in ("n", "sx", "sy", "sxx", "sxy")]).where(f"n >= {least}")
     b = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
     fits = c.select("week", b.alias("b"), ((F.col("sy") - b * F.col("sx")) / F.col("n")).alias("a"))
     frozen = fits.agg(F.min_by("a", "week").alias("fa"), F.min_by("b", "week").alias("fb"))

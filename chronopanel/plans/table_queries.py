@@ -13,6 +13,7 @@ from ..operators import joins as J
 from ..operators import rolling as R
 from ..operators.asof import asof_join
 from ..operators.graph import connected_components, isolated, node_table
+from ..operators.sampling import stratified_sample
 from .registry import query
 
 
@@ -137,13 +138,41 @@ def f05_keep_last(spark, d):
     return last.select("ticker", "metric", "end", "filed", F.round("value", 2).alias("value"))
 
 
-@query("select doc_id, lang, k from (select doc_id, lang, row_number() over (partition by lang order by sha256('0|' || doc_id || '|' || sha256(text)), doc_id) as k from (select min(doc_id) as doc_id, min(lang) as lang, text from documents group by text having count(distinct lang) = 1)) where k <= 10")
+RECORDS = """select 'E' || (doc_id - case when doc_id % 31 = 0 then 1 else 0 end) as event_id, lang as event_type, source as sector,
+  case when doc_id % 37 = 0 then null else timestamp '2023-06-01' + interval 1 day * (doc_id % 400) end as filed, case when doc_id % 41 = 0 then 'none' else sha256(text) end as h from documents"""
+GOLD_SAMPLE = {
+    "records": RECORDS,
+    "sorted": "select *, case when filed is null then 'missing_filed' when filed > timestamp '2024-06-01' then 'future_filed' when not regexp_full_match(h, '[0-9a-f]{64}') then 'illegal_hash' end as reason from records",
+    "legal": "select distinct event_id, event_type, sector, filed, h from sorted where reason is null",
+    "twice": "select event_id from legal group by 1 having count(distinct h) > 1",
+    "badhash": "select distinct h from legal where event_id in (from twice) union select h from legal group by h having count(distinct event_id) > 1",
+    "first_": "select event_id, h, min(event_type) as event_type, min_by(sector, event_type || '|' || sector) as sector, min(filed) as filed from legal where h not in (from badhash) group by 1, 2",
+    "strata": "select *, year(filed)::int as year, row_number() over (partition by event_type, year(filed), sector order by sha256('0|' || event_id || '|' || h), event_id) as k from first_",
+    "quotas": "select t.event_type, y.year, s.sector, 5 as quota from (select distinct lang as event_type from documents where lang <> 'de' union select 'xx') t, (select unnest([2022, 2023, 2024]) as year) y, (select distinct source as sector from documents) s",
+}
+
+
+@query("select s.event_type, s.year, s.sector, s.k, s.event_id, s.h from strata s join quotas q on q.event_type = s.event_type and q.year = s.year and q.sector = s.sector where k <= quota", GOLD_SAMPLE)
 def f06_stratified_sample(spark, d):
-    """A fixed quota per stratum in hash order: a sampling operator, so its limit is the feature. Texts in conflict are rejected."""
-    docs = A.table(spark, d, "documents").withColumn("h", F.sha2("text", 256))
-    one = docs.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min("lang").alias("lang"), F.max("lang").alias("other")).where("lang = other")
-    order = F.sha2(F.concat_ws("|", F.lit("0"), F.col("doc_id").cast("string"), F.col("h")), 256)
-    return one.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id")).cast("long")).where("k <= 10").select("doc_id", "lang", "k")
+    """A quota for each stratum of type, year and sector in hash order: a sampling operator, so its limit is the feature."""
+    return sampled(spark, d)[0].select("event_type", "year", "sector", "k", "event_id", "h")
+
+
+@query("select 'shortfall' as kind, q.event_type, q.year, q.sector, any_value(q.quota)::bigint as requested, count(s.event_id) as found from quotas q left join strata s on q.event_type = s.event_type and q.year = s.year and q.sector = s.sector group by 2, 3, 4 having count(s.event_id) < any_value(q.quota) union all select 'unrequested', event_type, year, sector, 0, count(*) from strata s where not exists (select 1 from quotas q where q.event_type = s.event_type and q.year = s.year and q.sector = s.sector) group by 2, 3, 4 union all select reason, null, null, null, null, count(*) from sorted where reason is not null group by 1 union all select 'event_hash_conflict', null, null, null, null, count(*) from twice having count(*) > 0 union all select 'conflicting_hash', null, null, null, null, count(*) from badhash having count(*) > 0", GOLD_SAMPLE)
+def f06_sample_report(spark, d):
+    """What the sample could not give: strata short of their quota, strata nobody asked for, and rejected records."""
+    return sampled(spark, d)[1]
+
+
+def sampled(spark, d):
+    n, day = F.col("doc_id"), F.expr("interval 1 day")
+    docs = A.table(spark, d, "documents")
+    filed = F.when(n % 37 != 0, F.lit("2023-06-01").cast("timestamp") + (n % 400).cast("int") * day)
+    event = F.concat(F.lit("E"), (n - F.when(n % 31 == 0, 1).otherwise(0)).cast("string"))
+    records = docs.select(event.alias("event_id"), F.col("lang").alias("event_type"), F.col("source").alias("sector"), filed.alias("filed"), F.when(n % 41 == 0, "none").otherwise(F.sha2("text", 256)).alias("h"))
+    kinds = docs.where("lang <> 'de'").select(F.col("lang").alias("event_type")).distinct().unionByName(spark.createDataFrame([("xx",)], "event_type string"))
+    quotas = kinds.crossJoin(docs.select(F.col("source").alias("sector")).distinct()).select("event_type", F.explode(F.array(*map(F.lit, (2022, 2023, 2024)))).alias("year"), "sector", F.lit(5).alias("quota"))  # languages, sources
+    return stratified_sample(records, quotas, F.lit("2024-06-01").cast("timestamp"))
 
 
 @query("select region, count(*) as n, count(volume) as with_volume from (select 'daily' as region, volume from prices union all select 'monthly', null from prices_monthly) group by 1")
@@ -222,10 +251,17 @@ def h06_status_map(spark, d):
     return A.table(spark, d, "orders").select("o_orderkey", F.coalesce(F.try_element_at(names, F.col("o_orderstatus")), F.lit("other")).alias("status"))
 
 
-@query("select tag as ticker, count(*) as n, count(distinct doc_id) as docs from (select doc_id, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9])\\$?([A-Z]{2,5})\\b', 1)) as tag from documents) where tag in ('THE', 'AND', 'DER', 'QUE', 'LES', 'UND', 'CC', 'BY') group by 1")
+@query("with posts as (select doc_id, text || case when doc_id % 3 = 0 then ' $' || left(lang, 1) || ' $' || upper(lang) || ', $' || lang || 'x' else '' end as t from documents), u as (select distinct tag from (select upper(lang) as tag from documents union all select upper(left(lang, 1)) from documents union all select unnest(regexp_extract_all(text, '(?:^|[ .,])([A-Z]{2,5})(?:[ .,]|$)', 1)) from benchmark)) select upper(replace(w, '$', '')) as ticker, count(*) as n, count(distinct doc_id) as docs from (select doc_id, unnest(string_split_regex(t, '[^\\p{L}\\p{N}_$]+')) as w from posts) where regexp_full_match(w, '[A-Z]{2,5}|\\$[A-Za-z]{1,5}') and upper(replace(w, '$', '')) in (from u) group by 1")
 def h07_cashtags(spark, d):
-    words = A.table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?:^|[^A-Za-z0-9])\$?([A-Z]{2,5})\b"), 1)).alias("ticker"))
-    return words.where(F.col("ticker").isin("THE", "AND", "DER", "QUE", "LES", "UND", "CC", "BY")).groupBy("ticker").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    """Mentions in documents, some of which get tags of their language, of a universe that is a table: languages, their
+    initials, and the upper-case words of the benchmark."""
+    docs = A.table(spark, d, "documents")
+    tags = F.concat(F.lit(" $"), F.left("lang", F.lit(1)), F.lit(" $"), F.upper("lang"), F.lit(", $"), F.col("lang"), F.lit("x"))
+    posts = docs.select("doc_id", F.concat("text", F.when(F.col("doc_id") % 3 == 0, tags).otherwise("")).alias("t"))
+    bare = A.table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"(?:^|[ .,])([A-Z]{2,5})(?:[ .,]|$)"), 1)).alias("ticker"))
+    universe = docs.select(F.upper("lang").alias("ticker")).unionByName(docs.select(F.upper(F.left("lang", F.lit(1))).alias("ticker"))).unionByName(bare).distinct()
+    words = posts.select("doc_id", F.explode(T.cashtags(F.col("t"))).alias("ticker"))
+    return words.join(universe, "ticker", "left_semi").groupBy("ticker").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
 @query("select event_id, case when event_id % 5 = 0 then '' else strftime(ts, '%Y-%m-%dT%H:%M:%SZ') end as seen from events")
@@ -252,14 +288,14 @@ SAYS = ("<percentOfClass> {p} </percentOfClass>", "Percent of class (a): {p} %",
 OFFERS = ("at a price of ${x} per share", "between ${x} and $99.00 per share", "for example, a price of ${x} per share", "about ${x} in all", "a price of $[ ] per share")
 
 
-@query("select l_orderkey, l_linenumber, case when l_orderkey % 5 < 3 then pct end as pct, case l_orderkey % 5 when 0 then 'tag' when 1 then 'label' when 2 then 'narrative' else 'none' end as source, case when amended then was end as before, case when l_partkey % 5 in (0, 3) then l_suppkey + 0.5 end as price, case l_partkey % 5 when 0 then 'exact' when 3 then 'low' else 'none' end as confidence from filings", {"filings": FILINGS})
+@query("select l_orderkey, l_linenumber, case when l_orderkey % 5 < 3 then pct end as pct, case l_orderkey % 5 when 0 then 'tag' when 1 then 'label' when 2 then 'narrative' else 'none' end as source, case when amended then was end as before, case when l_partkey % 5 in (0, 3) then l_suppkey * 100 + 0.5 end as price, case l_partkey % 5 when 0 then 'exact' when 3 then 'low' else 'none' end as confidence from filings", {"filings": FILINGS})
 def h10_figures(spark, d):
     """Percentages and offer prices read back from the wording of filings."""
     money = lambda c: F.format_string("%.2f", c)
     fill = lambda t, **v: F.concat(*[F.lit(part) if k % 2 == 0 else v[part] for k, part in enumerate(re.split(r"[{}]", t))])
     pick = lambda k, forms, **v: F.element_at(F.array(*[fill(t, **v) for t in forms]), (F.col(k) % len(forms) + 1).cast("int"))
     li = A.table(spark, d, "lineitem")
-    text = F.concat_ws(". ", pick("l_orderkey", SAYS, p=money(F.col("l_quantity") * 1.5)), F.concat(F.lit("Previously reported "), money(F.col("l_quantity") + 0.25), F.lit(" %")), pick("l_partkey", OFFERS, x=money(F.col("l_suppkey") + 0.5)))
+    text = F.concat_ws(". ", pick("l_orderkey", SAYS, p=money(F.col("l_quantity") * 1.5)), F.concat(F.lit("Previously reported "), money(F.col("l_quantity") + 0.25), F.lit(" %")), pick("l_partkey", OFFERS, x=F.when(F.col("l_orderkey") % 2 == 0, F.format_number(F.col("l_suppkey") * 100 + 0.5, 2)).otherwise(money(F.col("l_suppkey") * 100 + 0.5))))
     now, source, before = T.percent_of_class(text, F.col("l_linenumber") % 2 == 0)
     price, sure = T.offer_price(text)
     return li.select("l_orderkey", "l_linenumber", now.alias("pct"), source.alias("source"), before.alias("before"), price.alias("price"), sure.alias("confidence"))
@@ -320,12 +356,23 @@ def h19_json_path(spark, d):
 
 # Fixed values of this query: rank, label, pattern, abstain only.
 RULES = [(1, "permissive", "apache|mit", False), (1, "copyleft", "general public|by-sa", False), (2, "other", "license|released under", False), (3, "void", "all rights reserved", True)]
-HIT = "regexp_matches(regexp_replace(text, '(?i)(^|[^A-Za-z0-9])(no|not|never|without)([^A-Za-z0-9]+[A-Za-z0-9]+){{0,2}}[^A-Za-z0-9]+({0})', ' ', 'g'), '(?i)({0})')"
+WINDOWS = {"permissive": (3, 2), "other": (1, 4)}
+BEFORE = "regexp_replace({1}, '(?i)(^|[^A-Za-z0-9])(no|not|never|without)([^A-Za-z0-9]+[A-Za-z0-9]+){{0,{2}}}[^A-Za-z0-9]+({0})', ' ', 'g')"
+AFTER = "regexp_replace({1}, '(?i)({0})[A-Za-z0-9]*([^A-Za-z0-9]+[A-Za-z0-9]+){{0,{2}}}[^A-Za-z0-9]+(no|not|never|without)($|[^A-Za-z0-9])', ' ', 'g')"
+
+
+def rule_hit_sql(pattern: str, before: int = 3, after: int = 0) -> str:
+    text = BEFORE.format(pattern, "text", before - 1)
+    return f"regexp_matches({AFTER.format(pattern, text, after - 1) if after else text}, '(?i)({pattern})')"
+
+
 
 
-@query(f"select doc_id, case when v then 'abstain' when p and c then 'conflict' when p then 'permissive' when c then 'copyleft' when o then 'other' else 'abstain' end as label from (select doc_id, {HIT.format('apache|mit')} as p, {HIT.format('general public|by-sa')} as c, {HIT.format('license|released under')} as o, {HIT.format('all rights reserved')} as v from documents)")
+@query(f"select doc_id, case when v then 'abstain' when p and c then 'conflict' when p then 'permissive' when c then 'copyleft' when o then 'other' else 'abstain' end as label from (select doc_id, {rule_hit_sql('apache|mit', 3, 2)} as p, {rule_hit_sql('general public|by-sa')} as c, {rule_hit_sql('license|released under', 1, 4)} as o, {rule_hit_sql('all rights reserved')} as v from (select doc_id, text || case doc_id % 7 when 0 then '. Apache License? Certainly not.' when 1 then '. This is not an Apache product.' when 2 then '. Released under terms we never saw.' else '' end as text from documents))")
 def h20_rule_classes(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", T.classified(F.col("text"), RULES).alias("label"))
+    """Labels of documents, some of which get a sentence with a negation before or after a hit; each rule has its own window."""
+    said = F.when(F.col("doc_id") % 7 == 0, ". Apache License? Certainly not.").when(F.col("doc_id") % 7 == 1, ". This is not an Apache product.").when(F.col("doc_id") % 7 == 2, ". Released under terms we never saw.").otherwise("")
+    return A.table(spark, d, "documents").select("doc_id", T.classified(F.concat("text", said), RULES, WINDOWS).alias("label"))
 
 
 PERSONS = "select role, role || ' Member' || (conv_id % 7) || case when turn % 3 = 0 then ' ' || (30 + conv_id % 40) else '' end as raw, case when turn % 4 = 0 then 30 + conv_id % 40 end as age from conversations"

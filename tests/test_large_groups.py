@@ -293,3 +293,51 @@ def test_components_of_odd_vectors(spark):
     for rows in ([([1.0, 2.0],), ([1.0],), ([2.0, 3.0],)], good[:2], []):
         with pytest.raises(ValueError):
             C.fit_components(spark.createDataFrame(rows, "v array<double>"), "v", 2)
+
+
+def test_whole_table_permutations_keep_values_and_gaps(spark):
+    from chronopanel.operators import splits as S
+
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else float(i)) for i in range(300)], "k int, v double").repartition(5)
+    got = {r.k: r.v for r in S.known_permuted(df, "v", [], ["k"], 3).collect()}
+    assert {k for k, v in got.items() if v is None} == set(range(0, 300, 7)) and sorted(v for v in got.values() if v is not None) == [float(i) for i in range(300) if i % 7]
+    assert sum(v == k for k, v in got.items()) < 15 and got == {r.k: r.v for r in S.known_permuted(df.repartition(2), "v", [], ["k"], 3).collect()}
+
+
+def test_sample_rejects_conflicts_and_reports(spark):
+    from datetime import datetime
+
+    from chronopanel.operators.sampling import stratified_sample
+
+    h = lambda c: c * 64
+    day = datetime(2024, 1, 1)
+    rows = [
+        ("a", "t", "s", day, h("1")), ("a", "t", "s", day, h("1")), ("b", "t", "s", day, h("2")), ("b", "t", "s", day, h("3")), ("c", "t", "s", day, h("3")), ("d", "t", "s", day, h("4")), ("e", "t", "s", day, h("4")),
+        ("f", "t", "s", None, h("5")), ("g", "t", "s", datetime(2030, 1, 1), h("6")), ("i", "t", "s", day, "XYZ"), ("j", "u", "s", day, h("7")), ("k", "t", "s", day, h("8")), ("l", "t", "s", day, None),
+    ]
+    records = spark.createDataFrame(rows, "event_id string, event_type string, sector string, filed timestamp, h string")
+    quotas = spark.createDataFrame([("t", 2024, "s", 1), ("v", 2024, "s", 2)], "event_type string, year int, sector string, quota int")
+    sample, report = stratified_sample(records, quotas, F.lit("2025-01-01").cast("timestamp"))
+    import hashlib
+
+    first = min(("a", h("1")), ("k", h("8")), key=lambda x: hashlib.sha256(f"0|{x[0]}|{x[1]}".encode()).hexdigest())
+    assert [(r.event_id, r.h, r.k) for r in sample.collect()] == [(*first, 1)]
+    assert {(r.kind, r.event_type, r.requested, r.found) for r in report.collect()} == {
+        ("shortfall", "v", 2, 0), ("unrequested", "u", 0, 1), ("missing_filed", None, None, 1), ("future_filed", None, None, 1), ("illegal_hash", None, None, 2), ("event_hash_conflict", None, None, 1), ("conflicting_hash", None, None, 3),
+    }
+    empty, none = stratified_sample(records.limit(0), quotas.limit(0), F.lit("2025-01-01").cast("timestamp"))
+    assert empty.collect() == [] and none.collect() == []
+
+
+def test_offer_prices_with_commas_and_negation_windows(spark):
+    from chronopanel.functions import text as T
+
+    df = spark.createDataFrame([("at a price of $1,250.00 per share",), ("about $12,345,678.5 in all",), ("a price of $17 per share",)], "t string")
+    price, kind = T.offer_price(F.col("t"))
+    assert [tuple(r) for r in df.select(price, kind).collect()] == [(1250.0, "exact"), (12345678.5, "low"), (17.0, "exact")]
+    texts = [("mit is fine", True, True), ("it is not under mit", False, False), ("mit? certainly not", True, False), ("not one two three mit", True, True), ("mit a b not", True, True), ("Mit never", True, False)]
+    df = spark.createDataFrame([t[:1] for t in texts], "t string")
+    got = df.select(T.rule_hit(F.col("t"), "mit", 3, 0), T.rule_hit(F.col("t"), "mit", 3, 2)).collect()
+    assert [tuple(r) for r in got] == [t[1:] for t in texts]
+    tags = spark.createDataFrame([("Buy $a, $gme and TSLA; not $toolong or A or tsla or ÉTÉ $X_Y",)], "t string").select(T.cashtags(F.col("t"))).first()[0]
+    assert tags == ["A", "GME", "TSLA"]
