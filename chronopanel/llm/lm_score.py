@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import zlib
 from collections import Counter
@@ -21,8 +22,12 @@ HEAD, HEAD_BYTES, COUNTED = 1 << 18, 64, 400_000
 EMBED, HIDDEN = 16, 16
 #: Lanes and steps of a training window; most lanes and steps of a scoring window; tokens packed into lanes at a time.
 TRAIN_LANES, STEPS, LANES, SCORE_STEPS, PACK = 128, 32, 512, 64, 4_000_000
-#: Rounds of training: each reads one of ROUNDS parts of the training documents, chosen by a hash of their id.
-ROUNDS, RATE = 2, 0.01
+#: Rounds of training: each reads one of ROUNDS parts of the training documents, chosen by a hash. Step size of the first
+#: round, and what it is multiplied with from round to round.
+ROUNDS, RATE, COOLING = 4, 0.02, 0.7
+#: Copies of the model that a round trains apart: the root of the training tokens over this number, rounded up. Tokens that
+#: are cut into lanes together.
+APART, LESSON = 4_000_000, 500_000
 PIECE = 1 << 22
 COLUMNS = 512
 SPACE = re.compile(rb"[ \t-\r]")
@@ -164,7 +169,7 @@ class Model:
         own = v[k, i]
         np.exp(v, out=v)
         total = v.sum(axis=0)
-        own -= np.log(total)
+        own -= np.log(np.maximum(total, np.float32(1e-38)))  # a class without counted words has no mass
         if grad is None:
             return own, None
         v *= 1 / total
@@ -397,7 +402,7 @@ def fit_vocabulary(train: DataFrame, text: str) -> tuple[Vocabulary, DataFrame]:
 
 
 def tokens(rows: DataFrame, vocabulary) -> DataFrame:
-    """rows (id, out, share, t) with their token ids, counts of tokens and known ones, the sums of log counts of known
+    """rows (id, out, t) with their token ids, counts of tokens and known ones, the sums of log counts of known
     words and of shares of tail classes, the words outside the head, and a number of the row."""
     kind = dict(rows.dtypes)["id"]
 
@@ -411,7 +416,7 @@ def tokens(rows: DataFrame, vocabulary) -> DataFrame:
             while lo < batch.num_rows:
                 out, ids, size = [], [], 0
                 while lo + len(out) < batch.num_rows and size < PACK // 4:
-                    place, own, rare = v.codes(batch.column(3)[lo + len(out)].as_py())
+                    place, own, rare = v.codes(batch.column(2)[lo + len(out)].as_py())
                     at = place[place >= 0]
                     tail = own >= SHORT
                     inside = v.log_count[place[tail & (place >= 0)]].sum() + v.tail_base[own[tail] - SHORT].sum()
@@ -423,40 +428,67 @@ def tokens(rows: DataFrame, vocabulary) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
                 cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
                 part = batch.slice(lo, len(out))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *cols, lists], names=["id", "out", "share", "row", "n", "known", "logs", "inside", "rare", "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *cols, lists], names=["id", "out", "row", "n", "known", "logs", "inside", "rare", "ids"])
                 lo += len(out)
 
-    return rows.mapInArrow(run, f"id {kind}, out boolean, share int, row long, n long, known long, logs double, inside double, rare array<binary>, ids array<smallint>")
+    return rows.mapInArrow(run, f"id {kind}, out boolean, row long, n long, known long, logs double, inside double, rare array<binary>, ids array<smallint>")
 
 
-def train(coded: DataFrame, flat: np.ndarray) -> np.ndarray:
-    """One round: every task trains a copy on its ids; the weights are averaged by tokens seen, block by block."""
-    spark = coded.sparkSession
+def lessons(texts, size: int):
+    """Texts (arrays of ids), one after the other, in lists of about ``size`` tokens."""
+    held, n = [], 0
+    for ids in texts:
+        held.append(ids)
+        n += len(ids)
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def train(rows: DataFrame, flat: np.ndarray, shards: int, rate: float = RATE) -> np.ndarray:
+    """One round on rows (h, ids): texts are dealt by their hash to ``shards`` copies of the model, each learns from its own
+    in the order of the hash, and the weights are averaged by tokens seen, block by block. Which text comes when to which
+    copy depends on the texts alone, not on how many tasks or executors there are."""
+    spark = rows.sparkSession
     start = spark.sparkContext.broadcast(flat)
 
     def run(batches):
+        from itertools import groupby
+
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        model = Model(flat=start.value)
-        adam, seen = Adam(model), 0
-        for batch in batches:
-            for _, ids, at in _packs(batch.column(0)):
-                seen += train_texts(model, adam, ids[at[0] : at[-1]], at)
-        if seen:
+        def texts():
+            for batch in batches:
+                shard, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+                ids, at = column.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]
+                for i, k in enumerate(shard):
+                    yield k, ids[at[i] : at[i + 1]]
+
+        for shard, own in groupby(texts(), key=lambda x: x[0]):
+            model = Model(flat=start.value)
+            adam, seen = Adam(model, rate), 0
+            for part in lessons((x[1] for x in own), LESSON):
+                seen += train_texts(model, adam, np.concatenate(part), np.r_[0, np.cumsum([len(x) for x in part])])
             out = model.flat()
             blocks = [out[i : i + BLOCK] * np.float32(seen) for i in range(0, len(out), BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([TaskContext.get().partitionId() % 32] * len(blocks), pa.int32()), pa.array([float(seen)] * len(blocks)), pa.array(blocks, pa.list_(pa.float32()))], names=["block", "salt", "seen", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([int(shard)] * len(blocks), pa.int32()), pa.array([float(seen)] * len(blocks)), pa.array(blocks, pa.list_(pa.float32()))], names=["block", "salt", "seen", "w"])
 
     kind = "block int, salt int, seen double, w array<float>"
 
     def summed(pdf):
         import pandas as pd
 
+        pdf = pdf.sort_values("part" if "part" in pdf else "salt")  # so that sums come out alike
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "salt": [pdf["salt"].iloc[0]], "seen": [pdf["seen"].sum()], "w": [np.sum(np.stack(pdf["w"].tolist()), axis=0, dtype=np.float64).astype(np.float32)]})
 
-    rows = coded.mapInArrow(run, kind).groupBy("block", "salt").applyInPandas(summed, kind).withColumn("salt", F.lit(0)).groupBy("block", "salt").applyInPandas(summed, kind).orderBy("block").collect()
-    return np.concatenate([np.array(r["w"], np.float32) / np.float32(r["seen"]) for r in rows]) if rows else flat
+    shard = F.pmod(F.shiftright("h", 16), F.lit(shards)).cast("int")
+    dealt = rows.select(shard.alias("shard"), "ids", "h").repartition(shards, "shard").sortWithinPartitions("shard", "h").select("shard", "ids")
+    copies = stored(dealt.mapInArrow(run, kind), "lm-copies")
+    part = copies.select("block", (F.col("salt") % 32).alias("salt"), "seen", "w", F.col("salt").alias("part"))
+    out = part.groupBy("block", "salt").applyInPandas(summed, kind).withColumn("part", F.col("salt")).withColumn("salt", F.lit(0)).groupBy("block", "salt").applyInPandas(summed, kind).orderBy("block").collect()
+    return np.concatenate([np.array(r["w"], np.float32) / np.float32(r["seen"]) for r in out]) if out else flat
 
 
 def scores(coded: DataFrame, flat: np.ndarray) -> DataFrame:
@@ -482,28 +514,30 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     over all others. Model: GRU over softmax words and tail classes; a word of the softmax has the probability of its
     class times that within its class, any other word that of its tail class times its smoothed share of the class, so
     unknown words have some as well. Training: ROUNDS rounds of truncated backpropagation that together read every training
-    document once, dealt over the rounds by id, in every task at once, with weights averaged.
+    document once. A round trains copies side by side, one more for each fourfold of the corpus' root, and averages their
+    weights; texts are dealt to rounds and copies by a hash of id and text, so scores do not depend on partitions or tasks.
 
     Returns id_col, held_out, n_tokens, n_known, train_tokens, base_score and score. Null and empty text are one end
     token. Every row is scored, repeated ones and null ids included; a table without rows gives none; other columns are
     ignored. The head of at most HEAD words goes to all tasks; counts of other words are joined to the texts' rare words.
     Token ids of all texts are written once to the shared folder and read by each round and for the scores. Texts never
-    move between tasks.
+    move between tasks; token ids of training documents are dealt to their copy once.
     """
     spark = docs.sparkSession
     sum_of = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    share = F.pmod(F.xxhash64(id_col), F.lit(ROUNDS)).cast("int")
-    rows = docs.select(F.col(id_col).alias("id"), (sum_of % held_out == 0).alias("out"), share.alias("share"), text_of(text_col).cast("binary").alias("t"))
+    rows = docs.select(F.col(id_col).alias("id"), (sum_of % held_out == 0).alias("out"), text_of(text_col).cast("binary").alias("t"))
     vocabulary, counts = fit_vocabulary(rows.where(~F.col("out")).select(F.col("t").cast("string")), "t")
     coded = stored(tokens(rows, spark.sparkContext.broadcast(vocabulary)), "lm-tokens")
     flat = Model(vocabulary).flat()
+    shards = max(1, math.ceil(math.sqrt(vocabulary.total / APART)))
+    lesson = coded.where(~F.col("out")).select(F.xxhash64("id", "ids").alias("h"), "ids")
     for k in range(ROUNDS):
-        flat = train(coded.where(~F.col("out") & (F.col("share") == k)).select("ids"), flat)
+        flat = train(lesson.where(F.pmod("h", F.lit(ROUNDS)) == k), flat, shards, RATE * COOLING**k)
     rare = coded.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
     rare = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("rare_logs"), F.count("c").alias("rare_known"))
     scored = stored(scores(coded, flat), "lm-scores")
     zero = F.lit(0.0)
-    return coded.drop("rare", "ids", "share").join(scored, "row").join(rare, "row", "left").select(
+    return coded.drop("rare", "ids").join(scored, "row").join(rare, "row", "left").select(
         F.col("id").alias(id_col), F.col("out").alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(vocabulary.total).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("rare_logs", zero) + F.col("n") * F.lit(float(vocabulary.base))).alias("base_score"), (F.col("score") + F.col("inside") + F.coalesce("rare_logs", zero)).alias("score"),
     )

@@ -506,7 +506,7 @@ def test_scores_are_probabilities_and_base_is_exact(spark):
 
 def test_rounds_read_all_training_documents(spark, monkeypatch):
     read, words = [], []
-    monkeypatch.setattr(lm_score, "train", lambda coded, flat: read.extend(tuple(x.ids) for x in coded.collect()) or flat)
+    monkeypatch.setattr(lm_score, "train", lambda rows, flat, shards, rate: read.extend(tuple(x.ids) for x in rows.collect()) or flat)
     fit = lm_score.fit_vocabulary
     monkeypatch.setattr(lm_score, "fit_vocabulary", lambda *a: words.append(fit(*a)[0]) or fit(*a))
     rows = lm_score.score_documents(docs_of(spark, [f"text {i}" for i in range(60)] + ["text None"], [*range(60), None])).collect()
@@ -514,6 +514,15 @@ def test_rounds_read_all_training_documents(spark, monkeypatch):
     assert sorted(read) == sorted(tuple(words[0].codes(t)[1]) for t in want) and len(set(want)) == len(want)
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "APART", 400)  # several copies
+    r = random.Random(14)
+    texts = [sentence(r, r.randrange(5, 60)) for _ in range(90)] + [None, sentence(r, 4000), "same", "same"]
+    docs = docs_of(spark, texts, [*range(92), 3, 3])
+    one, many = (sorted((x.doc_id, round(x.score, 3)) for x in lm_score.score_documents(docs.repartition(n)).collect()) for n in (1, 16))
+    assert all(a == b and abs(x - y) <= 0.002 * max(1, abs(x)) for (a, x), (b, y) in zip(one, many, strict=True))
+
+
 def small_model(seed=1):
     vocabulary = lm_score.Vocabulary([(b"w%d" % i, 100 - i) for i in range(90)], 10, 5000, 120, {k: (5, 2) for k in range(lm_score.TAILS)})
     model, r = lm_score.Model(vocabulary), np.random.default_rng(seed)
