@@ -6,13 +6,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, text_of, words_of
+from .common import SPACES, let, stored, text_of, words_of
 
 #: Runs of letters, digits and underscores, or runs of other visible characters.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 WINDOW = 5
 #: Weight of the raw corpus in the trusted multinomial, in n-grams.
 PRIOR = 1000
+#: Most trusted ids, each of up to some tens of bytes, that every task gets; more are joined.
+MARKS = 1 << 20
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -79,23 +81,22 @@ def ngram_buckets(text: Column, buckets: int) -> Column:
     return let(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0), grams)
 
 
-def bucket_counts(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
-    return docs.select(F.explode(ngram_buckets(text_of(text_col), buckets)).alias("bucket")).groupBy("bucket").count()
-
-
 def fit_ratio(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 10_000) -> np.ndarray:
     """log of the trusted over the raw bucket probability, for each of ``buckets`` hash buckets.
 
     The multinomials count every n-gram of every document (raw, one added to each bucket) and of every trusted document,
     with PRIOR pseudo-counts dealt as the raw ones: without evidence the ratio is 1, so that a small trusted corpus rejects
-    nothing by chance. Only the bucket sums, at most ``buckets`` rows each, reach the driver.
+    nothing by chance. One pass over the texts counts both. Up to MARKS trusted ids, which are counted first, go to every
+    task, so texts stay where they are; beyond that documents and ids meet in a join that exchanges the texts. Only the
+    bucket sums, at most ``buckets`` rows, reach the driver.
     """
-    ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("trusted")).distinct()
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids.hint("merge"), F.col("id") == F.col("trusted"), "left_semi")
-    both = bucket_counts(docs, text_col, buckets).withColumn("trusted", F.lit(0)).unionByName(bucket_counts(chosen, "text", buckets).withColumn("trusted", F.lit(1)))
+    ids = stored(trusted_ids.select(F.col(trusted_ids.columns[0]).alias("trusted")).where("trusted is not null").distinct(), "trusted")
+    marks = F.broadcast(ids) if ids.count() <= MARKS else ids
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(marks, F.col("id") == F.col("trusted"), "left")
+    grams = rows.select(F.col("trusted").isNotNull().alias("good"), F.explode(ngram_buckets(F.col("text"), buckets)).alias("bucket"))
     counts = np.zeros((2, buckets))
-    for r in both.collect():
-        counts[r["trusted"], r["bucket"]] += r["count"]
+    for r in grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("good").alias("target")).collect():
+        counts[:, r["bucket"]] = r["raw"], r["target"]
     raw = (counts[0] + 1) / (counts[0].sum() + buckets)
     target = (counts[1] + PRIOR * raw) / (counts[1].sum() + PRIOR)
     return np.log(target) - np.log(raw)

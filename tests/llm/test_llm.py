@@ -119,7 +119,9 @@ def base_fails(t):
     return len(w) < 10 or 100 * len(covered) > 20 * len(w)
 
 
-def test_verdict_matches_brute_force(spark):
+@pytest.mark.parametrize("marks", [1 << 20, 3])
+def test_verdict_matches_brute_force(spark, monkeypatch, marks):
+    monkeypatch.setattr(quality, "MARKS", marks)
     r = random.Random(18)
     texts = [" ".join(r.choice("alpha beta gamma delta epsilon zeta eta the of".split()) + r.choice(["", "", ",", "!?"]) for _ in range(r.randrange(5, 80))) for _ in range(50)]
     texts += [" ".join(r.choice("buy now $$$ click *** win <<".split()) for _ in range(40)) for _ in range(12)] + [None, "", "Straße ÉTÉ x_1 " * 5]
