@@ -27,8 +27,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that stored() wrote, in order.
+_WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
+    """df written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors. The table stays
+    until release() takes it away."""
     at = scratch(df.sparkSession, name)
     df.write.parquet(at)
+    _WRITTEN.append(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def mark() -> int:
+    """A point in time for release()."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Remove the tables that stored() wrote after the mark ``since``, but the last ``keep``; how many went. Call it when
+    what was made from them is written: frames that still read them fail afterwards."""
+    gone = _WRITTEN[since : len(_WRITTEN) - keep]
+    for at in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _WRITTEN[since : len(_WRITTEN) - keep]
+    return len(gone)

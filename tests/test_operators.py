@@ -249,6 +249,22 @@ def test_shared_folder_must_be_named_on_a_cluster():
         shared_dir(Session())
 
 
+def test_released_tables_are_gone_and_others_stay(spark):
+    import os
+
+    from chronopanel import shared
+
+    kept = shared.stored(spark.range(3), "kept")
+    at = shared.mark()
+    for n in range(2):
+        shared.stored(spark.range(n), "step")
+    last = shared.stored(spark.range(5), "last")
+    gone = [p.removeprefix("file://") for p in shared._WRITTEN[at:-1]]
+    assert all(map(os.path.exists, gone))
+    assert shared.release(spark, at, 1) == 2 and not any(map(os.path.exists, gone))
+    assert (kept.count(), last.count()) == (3, 5) and shared.release(spark, at) == 1
+
+
 def test_rolling_spillover_finds_what_the_process_spills(spark):
     import numpy as np
 
