@@ -98,13 +98,12 @@ def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def search(index: Index, passage: np.ndarray, term: np.ndarray, n: int, least: float = MIN_SCORE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(passage, item, score) of all scores of ``least`` or more; input: distinct (passage, term) of n passages.
 
-    Block-max WAND for many passages at a time. WAND moves a pivot: the first list at which the sum of largest impacts
-    reaches the threshold; items before it are skipped, and so is a block whose maxima stay below. Here the threshold is
-    fixed, as all items above it are wanted, so where pivots can lie does not depend on what was found before: terms are
-    sorted by their largest impact, those whose sum stays below ``least`` can't lift an item alone, and pivots are the
-    items of the lists after them. Blocks of items with a pivot are bounded by the block maxima of all terms (the shallow
-    move), and only those that reach ``least`` are scored (the deep move); all others are skipped unread. So the same
-    blocks are scored as by a pivot that moves through one passage after the other.
+    Block maxima for many passages at a time, without WAND's moving pivot: as all items above a fixed threshold are wanted,
+    terms are parted once per passage, by their largest impacts. Those whose sum stays below ``least`` can't lift an item
+    alone; blocks of the lists after them are candidates. Each is bounded by the block maxima of all terms of the passage,
+    only those that reach ``least`` are scored, and all others are skipped unread. This scores a superset of the blocks that
+    a pivot would stop at (one that skips by the current positions of the lists can pass over more), and finds the same
+    items: whatever is left out stays below the threshold.
     """
     top = index.term_max[term]
     order = np.lexsort((top, passage))

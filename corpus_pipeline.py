@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronopanel.llm import bpe, decontaminate, line_dedup, near_dedup, quality
 from chronopanel.llm.common import stored, table
 from chronopanel.llm.queries import trusted, vocabulary
+from chronopanel.shared import mark, release
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, each stage's rows written as Parquet and read back."""
+    """Apply the stages to documents, each stage's rows written as Parquet and read back. Once a stage is written, its own
+    intermediate tables and the rows of the stage before are removed."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
+        since = mark() - (k > 0)
         docs = stored(stage(spark, docs, sf_dir), name)
+        release(spark, since, 1)
     return docs
