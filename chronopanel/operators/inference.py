@@ -34,10 +34,11 @@ def hac(df: DataFrame, series: list[str], order: str, x: str, max_lag: int | Non
     lag = F.lit(max_lag) if max_lag is not None else F.greatest(F.lit(1), F.floor(4 * F.pow(F.col("n") / 100, 2 / 9)).cast("int"))
     rows = rows.withColumns({"__d": F.col("__x") - F.col("mean"), "lag": F.least(lag, F.col("n").cast("int") - 1)})
     rows = rows.withColumn("__l", F.when(F.col("lag") > LAGS, F.raise_error(F.lit(f"a series needs more than {LAGS} lags"))).otherwise(F.col("lag")))
-    bound = LAGS if max_lag is None else max_lag
-    products = F.col("__d") * F.col("__d")
-    for k in range(1, bound + 1):
-        products = products + F.when(F.col("__l") >= k, F.coalesce(2 * (1 - k / (F.col("__l") + 1)) * F.col("__d") * F.lag("__d", k).over(by), F.lit(0.0))).otherwise(0.0)
+    bound, products = LAGS if max_lag is None else max_lag, F.col("__d") * F.col("__d")
+    if bound:
+        past = F.reverse(F.collect_list("__d").over(by.rowsBetween(-bound, -1)))  # the latest first
+        near = F.transform(F.slice(past, F.lit(1), F.greatest(F.col("__l"), F.lit(0))), lambda e, k: 2 * (1 - (k + 1) / (F.col("__l") + 1)) * e)
+        products = products + F.col("__d") * F.aggregate(near, F.lit(0.0), lambda s, e: s + e)
     out = rows.withColumn("__p", products).groupBy(*series).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.max("lag").alias("lag"), (F.sum("__p") / F.max("n")).alias("__v"), *[F.max(c).alias(c) for c in carry])
     se = F.sqrt(F.greatest("__v", F.lit(0.0)) / F.col("n"))
     t = F.when(se > 1e-15, F.col("mean") / se)

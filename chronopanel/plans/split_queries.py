@@ -320,8 +320,9 @@ K17 = "with labels21 as (select *, lead(close, 21) over (partition by ticker ord
 @query(K17)
 def k17_selection_panel(spark, d):
     """The flagship panel: grid, label, point-in-time facts, ratios, market, membership. Facts of all metrics come in one
-    as-of pass over one exchange by ticker."""
-    g = returns(spark, d).withColumns({"y": R.forward_return(21), "mkt": F.avg("ret").over(Window.partitionBy("date"))})
+    as-of pass over one exchange by ticker; the market is a small table by date, so the panel is not dealt anew for it."""
+    g = stored(returns(spark, d).withColumn("y", R.forward_return(21)), "returns")
+    g = g.join(F.broadcast(g.groupBy("date").agg(F.avg("ret").alias("mkt"))), "date")  # a calendar
     wide = A.facts(spark, d).where(F.col("metric").isin("1-URGENT", "2-HIGH"))
     wide = wide.groupBy("ticker", "metric", "filed").agg(F.max_by("value", F.struct("end", "value")).alias("value"))
     pit = wide.groupBy("ticker", "filed").pivot("metric", ["1-URGENT", "2-HIGH"]).agg(F.max("value"))
