@@ -24,10 +24,10 @@ EMBED, HIDDEN = 16, 16
 TRAIN_LANES, STEPS, LANES, SCORE_STEPS, PACK = 128, 32, 512, 64, 4_000_000
 #: Rounds of training: each reads one of ROUNDS parts of the training documents, chosen by a hash. Step size of the first
 #: round, and what it is multiplied with from round to round.
-ROUNDS, RATE, COOLING = 4, 0.02, 0.7
+ROUNDS, RATE, COOLING = 3, 0.025, 0.8
 #: Copies of the model that a round trains apart: the root of the training tokens over this number, rounded up. Tokens that
 #: are cut into lanes together.
-APART, LESSON = 4_000_000, 500_000
+APART, LESSON = 1_000_000, 500_000
 PIECE = 1 << 22
 COLUMNS = 512
 SPACE = re.compile(rb"[ \t-\r]")
@@ -484,7 +484,7 @@ def train(rows: DataFrame, flat: np.ndarray, shards: int, rate: float = RATE) ->
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "salt": [pdf["salt"].iloc[0]], "seen": [pdf["seen"].sum()], "w": [np.sum(np.stack(pdf["w"].tolist()), axis=0, dtype=np.float64).astype(np.float32)]})
 
     shard = F.pmod(F.shiftright("h", 16), F.lit(shards)).cast("int")
-    dealt = rows.select(shard.alias("shard"), "ids", "h").repartition(shards, "shard").sortWithinPartitions("shard", "h").select("shard", "ids")
+    dealt = rows.select(shard.alias("shard"), "ids", "h").repartitionById(shards, "shard").sortWithinPartitions("shard", "h").select("shard", "ids")
     copies = stored(dealt.mapInArrow(run, kind), "lm-copies")
     part = copies.select("block", (F.col("salt") % 32).alias("salt"), "seen", "w", F.col("salt").alias("part"))
     out = part.groupBy("block", "salt").applyInPandas(summed, kind).withColumn("part", F.col("salt")).withColumn("salt", F.lit(0)).groupBy("block", "salt").applyInPandas(summed, kind).orderBy("block").collect()
