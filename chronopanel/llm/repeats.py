@@ -26,6 +26,8 @@ M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 RUN = "ra long, rb long, lo int, h long, a int, n int, ca long, cb long"
 KEY = ["h", "a", "n", "ca", "cb"]
 IS_SPACE = np.isin(np.arange(256), [ord(c) for c in SPACES])
+#: Bits of the sieve that keeps texts at home which a join would drop; a row of it holds 32,768 of them (Spark's bitmaps).
+SIEVE = 1 << 25
 
 
 def anchors(units: np.ndarray, gram: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -302,15 +304,29 @@ def resolve(contexts: DataFrame, width: int, group: int, bins: int = 16) -> Data
     return small.unionByName(back.groupBy(*key).agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
 
+def sifted(rows: DataFrame, wanted: DataFrame, key: str = "ra") -> DataFrame:
+    """rows whose hash ``key`` is one of wanted's, and some others: a join's rows before they are exchanged.
+
+    A bit is set for each hash in wanted. The bits, SIEVE / 8 bytes at most whatever the input, go to all tasks.
+    """
+    place = F.pmod(key, F.lit(SIEVE))
+    bits = wanted.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    held = rows.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "bucket")  # SIEVE bits
+    return held.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def _shared_words(kept: DataFrame, rows: DataFrame) -> DataFrame:
     """(ra, rb, n): words of what is left of documents in passages that what is left of another one holds as well.
 
     kept: (ra, rb, h, lo, n) with the word runs as lists, rows: (t, ra, rb). Anchor hashes are counted; the windows of
-    those that two documents have are hashed, from the texts of these documents only, and compared.
+    those that two documents have are hashed, from the texts of these documents only, and compared. Texts without such an
+    anchor are not exchanged. Joins are by merging at any size, as their smaller sides grow with the corpus.
     """
     left = kept.select("ra", "rb", F.explode(F.arrays_zip("h", "lo", "n")).alias("x")).select("ra", "rb", "x.h", "x.lo", "x.n")
     several = left.groupBy("h").agg(F.min("ra").alias("p"), F.max("ra").alias("q")).where("p != q").select("h")
-    wanted = left.join(stored(several, "word-anchors"), "h").groupBy("ra", "rb").agg(F.collect_set(F.struct("lo", "n")).alias("want"))
+    wanted = left.join(stored(several, "word-anchors").hint("merge"), "h").groupBy("ra", "rb").agg(F.collect_set(F.struct("lo", "n")).alias("want"))
 
     def windows(batches):
         import pyarrow as pa
@@ -327,10 +343,11 @@ def _shared_words(kept: DataFrame, rows: DataFrame) -> DataFrame:
             cols = [batch.column(2).take(taken), batch.column(3).take(taken), pa.array(off, pa.int32()), *(pa.array([f[c] for f in found], pa.int64()) for c in (0, 1))]
             yield pa.RecordBatch.from_arrays(cols, names=["ra", "rb", "k", "wa", "wb"])
 
-    texts = rows.select("t", "ra", "rb").join(stored(wanted, "word-runs"), ["ra", "rb"]).select("t", "want", "ra", "rb")
+    wanted = stored(wanted, "word-runs")
+    texts = sifted(rows.select("t", "ra", "rb"), wanted).join(wanted.hint("merge"), ["ra", "rb"]).select("t", "want", "ra", "rb")
     hashed = stored(texts.mapInArrow(windows, "ra long, rb long, k int, wa long, wb long"), "word-windows")
     both = hashed.groupBy("wa", "wb").agg(F.min("ra").alias("p"), F.max("ra").alias("q")).where("p != q").select("wa", "wb")
-    k = hashed.join(stored(both, "shared-windows"), ["wa", "wb"]).groupBy("ra", "rb").agg(F.sort_array(F.collect_set("k")).alias("k"))
+    k = hashed.join(stored(both, "shared-windows").hint("merge"), ["wa", "wb"]).groupBy("ra", "rb").agg(F.sort_array(F.collect_set("k")).alias("k"))
     steps = F.zip_with(F.slice("k", 1, F.size("k") - 1), F.slice("k", 2, F.size("k") - 1), lambda x, y: F.least(F.lit(PASSAGE), y - x))
     return k.select("ra", "rb", F.aggregate(steps, F.lit(PASSAGE), lambda n, s: n + s).cast("long").alias("n"))
 

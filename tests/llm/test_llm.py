@@ -777,3 +777,26 @@ def test_pipeline_keeps_documents_columns(spark):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == docs.columns
         docs, kept = out, n
+
+
+def test_sieve_keeps_all_wanted_rows_and_few_others(spark, monkeypatch):
+    hashed = lambda n: spark.range(n).select(F.xxhash64("id").alias("ra"), "id")
+    wanted = hashed(3000).where("id % 3 = 0").select("ra").unionByName(hashed(50).select("ra"))
+    for bits in (1 << 25, 1 << 15):
+        monkeypatch.setattr(repeats, "SIEVE", bits)
+        kept = {x.id for x in repeats.sifted(hashed(3000), wanted).collect()}
+        assert kept >= {*range(0, 3000, 3), *range(50)}
+        assert len(kept) < (1040 if bits > 1 << 20 else 1200)
+    assert repeats.sifted(hashed(10), wanted.limit(0)).count() == 0
+
+
+def test_texts_without_a_shared_word_anchor_are_not_exchanged(spark, monkeypatch):
+    r = random.Random(15)
+    shared = " ".join(r.choice("abcdefgh") + str(r.randrange(99)) for _ in range(repeats.PASSAGE + 20))
+    texts = [sentence(r, 60) for _ in range(40)] + [f"{sentence(r, 5)} {shared} {sentence(r, 5)}" for _ in range(3)]
+    seen = []
+    real = repeats.sifted
+    monkeypatch.setattr(repeats, "sifted", lambda rows, wanted: seen.append((real(rows, wanted).count(), rows.count())) or real(rows, wanted))
+    out = {x.doc_id: x.n_shared_words for x in repeats.remove_repeats(docs_of(spark, texts)).collect()}
+    assert seen and seen[0][0] < seen[0][1] / 2
+    assert [out[i] > 0 for i in range(43)] == [False] * 40 + [True] * 3
