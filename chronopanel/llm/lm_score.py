@@ -131,25 +131,31 @@ class Model:
 
     def states(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, table: np.ndarray, keep: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Hidden states and a row of ones (HIDDEN + 1, steps, lanes) for inputs x (steps, lanes), and the last state;
-        fresh marks where a text begins. keep: gets what backward needs."""
-        out = np.empty((HIDDEN + 1, *x.shape), np.float32)
+        fresh marks where a text begins. keep: gets what backward needs, (steps, features, lanes), as a step's numbers
+        must lie together: rows that are a power of two apart push each other out of the cache."""
+        steps, lanes = x.shape
+        x = x.astype(np.intp)
+        out = np.empty((HIDDEN + 1, steps, lanes), np.float32)
         out[HIDDEN] = 1
-        gates, wh = np.take(table, x, axis=1, mode="clip"), self.p["wh"]
+        wh = self.p["wh"]
+        gates = np.empty((1 if keep is None else steps, 3 * HIDDEN, lanes), table.dtype)
         if keep is not None:
-            keep["h0"], keep["an"] = np.empty((HIDDEN, *x.shape), np.float32), np.empty((HIDDEN, *x.shape), np.float32)
+            keep["h0"], keep["an"] = (np.empty((steps, HIDDEN, lanes), np.float32) for _ in "ha")
         begins = fresh.any(axis=1)
-        for t in range(len(x)):
+        for t in range(steps):
             if begins[t]:
                 h = h * ~fresh[t]
             a = wh @ h
-            zr, n = gates[: 2 * HIDDEN, t], gates[2 * HIDDEN :, t]
+            g = gates[0 if keep is None else t]
+            np.take(table, x[t], axis=1, out=g, mode="clip")
+            zr, n = g[: 2 * HIDDEN], g[2 * HIDDEN :]
             zr += a[: 2 * HIDDEN]
             np.exp(np.negative(zr, out=zr), out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
             an = a[2 * HIDDEN :]
             if keep is not None:
-                keep["h0"][:, t], keep["an"][:, t] = h, an
+                keep["h0"][t], keep["an"][t] = h, an
             n += zr[HIDDEN:] * an
             np.tanh(n, out=n)
             h = h - n
@@ -157,7 +163,7 @@ class Model:
             h += n
             out[:HIDDEN, t] = h
         if keep is not None:
-            keep["z"], keep["r"], keep["n"] = gates[:HIDDEN], gates[HIDDEN : 2 * HIDDEN], gates[2 * HIDDEN :]
+            keep["z"], keep["r"], keep["n"] = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
         return out, h
 
     def _softmax(self, name: str, span: slice, h: np.ndarray, k: np.ndarray, grad: dict | None, clip: bool) -> tuple[np.ndarray, np.ndarray | None]:
@@ -172,10 +178,12 @@ class Model:
         own -= np.log(np.maximum(total, np.float32(1e-38)))  # a class without counted words has no mass
         if grad is None:
             return own, None
-        v *= 1 / total
-        v[k, i] -= 1
-        grad[name][span] += v @ h.T
-        return own, w[:, :HIDDEN].T @ v
+        share = 1 / total  # goes to the narrow sides of both products
+        v[k, i] -= total
+        grad[name][span] += v @ (h * share).T
+        d = np.ascontiguousarray(w[:, :HIDDEN].T) @ v
+        d *= share
+        return own, d
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of targets y (class and, if short, word) from columns of h. grad: also adds the
@@ -232,30 +240,26 @@ class Model:
         by_n = n * n
         np.subtract(1, by_n, out=by_n)
         by_n *= rest
-        dg, da = np.empty((3 * HIDDEN, *x.shape), np.float32), np.empty((3 * HIDDEN, *x.shape), np.float32)
+        dg, da = (np.empty((len(x), 3 * HIDDEN, x.shape[1]), np.float32) for _ in "ga")
         back, carry, begins = np.ascontiguousarray(self.p["wh"].T), np.zeros_like(last), fresh.any(axis=1)
         for t in range(len(x) - 1, -1, -1):
             d = carry
             d += dh[:, t]
-            dn = np.multiply(d, by_n[:, t], out=dg[2 * HIDDEN :, t])
-            np.multiply(d, by_z[:, t], out=dg[:HIDDEN, t])
-            np.multiply(dn, by_r[:, t], out=dg[HIDDEN : 2 * HIDDEN, t])
-            da[: 2 * HIDDEN, t] = dg[: 2 * HIDDEN, t]
-            np.multiply(dn, r[:, t], out=da[2 * HIDDEN :, t])
-            carry = back @ da[:, t]
-            d *= z[:, t]
+            dn = np.multiply(d, by_n[t], out=dg[t, 2 * HIDDEN :])
+            np.multiply(d, by_z[t], out=dg[t, :HIDDEN])
+            np.multiply(dn, by_r[t], out=dg[t, HIDDEN : 2 * HIDDEN])
+            da[t, : 2 * HIDDEN] = dg[t, : 2 * HIDDEN]
+            np.multiply(dn, r[t], out=da[t, 2 * HIDDEN :])
+            carry = back @ da[t]
+            d *= z[t]
             carry += d
             if begins[t]:
                 carry *= ~fresh[t]
-        grad["wh"] = da.reshape(3 * HIDDEN, -1) @ h0.reshape(HIDDEN, -1).T
-        dg, ids = dg.reshape(3 * HIDDEN, -1), x.ravel()
+        grad["wh"] = (da @ h0.transpose(0, 2, 1)).sum(axis=0)
+        dg, ids = dg.transpose(1, 0, 2).reshape(3 * HIDDEN, -1), x.ravel().astype(np.intp)
         grad["b"] = dg.sum(axis=1)
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        used, summed = ids[first], np.add.reduceat(np.ascontiguousarray(dg.T)[order], first, axis=0)
-        grad["wx"] = summed.T @ self.p["emb"][used]
-        grad["emb"][used] = summed @ self.p["wx"]
+        grad["wx"] = dg @ self.p["emb"][ids]
+        grad["emb"] = np.stack([np.bincount(ids, v, len(self.p["emb"])) for v in self.p["wx"].T @ dg], axis=1).astype(np.float32)
         for g in grad.values():
             g /= max(len(logp), 1)
         return grad, float(-logp.mean()), last
@@ -312,15 +316,26 @@ class Adam:
         self.m, self.v = ({k: np.zeros_like(p) for k, p in model.p.items()} for _ in "mv")
 
     def step(self, grad: dict) -> None:
+        """One step along grad, which is scaled in place."""
         self.t += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
         scale = min(1.0, 1.0 / max(norm, 1e-9))
         rate = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
         for k, g in grad.items():
-            g = g * np.float32(scale)
-            self.m[k] += np.float32(0.1) * (g - self.m[k])
-            self.v[k] += np.float32(0.001) * (g * g - self.v[k])
-            self.model.p[k] -= np.float32(rate) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8))
+            m, v = self.m[k], self.v[k]
+            g *= np.float32(scale)
+            d = g - m
+            d *= np.float32(0.1)
+            m += d
+            np.multiply(g, g, out=d)
+            d -= v
+            d *= np.float32(0.001)
+            v += d
+            np.sqrt(v, out=d)
+            d += np.float32(1e-8)
+            np.divide(m, d, out=d)
+            d *= np.float32(rate)
+            self.model.p[k] -= d
 
 
 def train_texts(model: Model, adam: Adam, ids: np.ndarray, at: np.ndarray) -> int:

@@ -800,3 +800,25 @@ def test_texts_without_a_shared_word_anchor_are_not_exchanged(spark, monkeypatch
     out = {x.doc_id: x.n_shared_words for x in repeats.remove_repeats(docs_of(spark, texts)).collect()}
     assert seen and seen[0][0] < seen[0][1] / 2
     assert [out[i] > 0 for i in range(43)] == [False] * 40 + [True] * 3
+
+
+def test_numbers_of_a_training_step_lie_together_and_adam_works_in_place():
+    model, r = small_model(3)
+    x, y = (r.integers(0, 90, (6, 5)).astype(np.int16) for _ in "xy")
+    fresh, h, keep = np.zeros((6, 5), bool), np.zeros((lm_score.HIDDEN, 5), np.float32), {}
+    model.states(x, fresh, h, model.table(), keep)
+    for v in keep.values():
+        assert v.shape == (6, lm_score.HIDDEN, 5) and v[2].flags.c_contiguous
+    adam = lm_score.Adam(model)
+    m, v, p = ({k: w.astype(float) for k, w in d.items()} for d in (adam.m, adam.v, model.p))
+    held = [*adam.m.values(), *adam.v.values(), *model.p.values()]
+    for t in (1, 2):
+        grad, _, _ = model.gradients(x, fresh, y, np.ones((6, 5), bool), h)
+        scale = min(1, 1 / math.sqrt(sum(float((g.astype(float) ** 2).sum()) for g in grad.values())))
+        for k, g in grad.items():
+            g = g.astype(float) * scale
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
+            p[k] -= lm_score.RATE * math.sqrt(1 - 0.999**t) / (1 - 0.9**t) * m[k] / (np.sqrt(v[k]) + 1e-8)
+        adam.step(grad)
+        assert all(np.abs(model.p[k] - p[k]).max() < 1e-3 for k in p)
+    assert all(a is b for a, b in zip(held, [*adam.m.values(), *adam.v.values(), *model.p.values()], strict=True))
