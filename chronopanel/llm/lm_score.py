@@ -19,6 +19,8 @@ from .common import stored, text_of
 SHORT, CLASSES, TAILS = 2000, 40, 32
 #: Words whose counts every task holds; longer words are looked up by a join. Different words that a task counts at once.
 HEAD, HEAD_BYTES, COUNTED = 1 << 18, 64, 400_000
+#: Bytes of texts whose words are counted together, and of texts that are split and looked up together.
+TOGETHER, LOOKUP = 1 << 24, 1 << 22
 EMBED, HIDDEN = 16, 16
 #: Lanes and steps of a training window; most lanes and steps of a scoring window; tokens packed into lanes at a time.
 TRAIN_LANES, STEPS, LANES, SCORE_STEPS, PACK = 128, 32, 512, 64, 4_000_000
@@ -30,6 +32,7 @@ ROUNDS, RATE, COOLING = 3, 0.025, 0.8
 APART, LESSON = 1_000_000, 500_000
 PIECE = 1 << 22
 COLUMNS = 512
+ONES, PLACES = np.ones(SHORT, np.float32), np.arange(COLUMNS)
 SPACE = re.compile(rb"[ \t-\r]")
 BLOCK = 1024
 #: First word of each class and the end: classes grow with the square of their number, so that frequent words share
@@ -37,6 +40,8 @@ BLOCK = 1024
 EDGES = np.unique(np.round(SHORT * (np.arange(CLASSES + 1) / CLASSES) ** 2).astype(int))
 WIDTH = len(EDGES) - 1
 CLASS_OF = np.repeat(np.arange(WIDTH), np.diff(EDGES))
+#: What the gates' inputs are multiplied with, as the two logistic gates take exp of the negative.
+SIGNS = np.repeat(np.array([-1, -1, 1], np.float32), HIDDEN)[:, None]
 CLASS_OF_ID = np.r_[CLASS_OF, WIDTH + np.arange(TAILS)].astype(np.int16)
 
 
@@ -55,6 +60,32 @@ def pieces(data: bytes):
         at = end
 
 
+def words_of(texts):
+    """Lower-cased words of an Arrow array of texts (binary, no nulls), one after the other, and where each text's begin."""
+    import pyarrow.compute as pc
+
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.view("string")))
+    words, at = split.flatten().cast("binary"), split.value_lengths().to_numpy(zero_copy_only=False)
+    some = pc.not_equal(words, b"")  # white space at either end leaves empty words
+    held = np.r_[0, np.cumsum(some.to_numpy(zero_copy_only=False))]
+    return words.filter(some), held[np.r_[0, np.cumsum(at)]]
+
+
+def portions(texts, most: int):
+    """Slices of an Arrow array of texts with about ``most`` bytes, each text of over PIECE bytes in one of its own."""
+    import pyarrow.compute as pc
+
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    lo = held = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > lo and (size > PIECE or sizes[lo] > PIECE or held + size > most):
+            yield texts[lo:i]
+            lo, held = i, 0
+        held += size
+    if lo < len(sizes):
+        yield texts[lo:]
+
+
 class Vocabulary:
     """Counts of frequent words, and what every token becomes: a softmax word, or a tail class and its share of it."""
 
@@ -87,11 +118,30 @@ class Vocabulary:
         ids[place < 0] = rare_class
         return place, ids, rare
 
+    def codes_of(self, texts, head) -> tuple[np.ndarray, np.ndarray, np.ndarray, object, np.ndarray]:
+        """The same of an Arrow array of texts: places, input ids and the bounds of texts in both, the words that are not
+        there and their bounds. head: Arrow array of the words of ``at``."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(texts) == 1 and len(texts[0].as_py()) > PIECE:
+            place, ids, rare = self.codes(texts[0].as_py())
+            return place, ids, np.array([0, len(ids)]), pa.array(rare, pa.binary()), np.array([0, len(rare)])
+        words, at = words_of(texts)
+        place = pc.fill_null(pc.index_in(words, value_set=head), -2).to_numpy(zero_copy_only=False) + np.int32(1)
+        missing = place < 0
+        rare, rare_at = words.filter(pa.array(missing)), np.r_[0, np.cumsum(missing)][at]
+        ids = self.input[place]
+        ends = pc.binary_slice(rare, -3).dictionary_encode()
+        ids[missing] = SHORT + np.array([tail_class(w) for w in ends.dictionary.to_pylist()], np.int16)[ends.indices.to_numpy(zero_copy_only=False)]
+        return np.insert(place, at[1:], 0), np.insert(ids, at[1:], 0), at + np.arange(len(at)), rare, rare_at
+
 
 class Model:
     """A GRU over token ids that predicts a class and, within classes of frequent words, a word.
 
-    Arrays hold features in rows and lanes or tokens in columns; the last column of the output weights is their bias.
+    The gates' arrays hold features in rows and lanes in columns; the softmax takes a token's state in a row, so that the
+    tokens of a class lie together. The last column of the output weights is their bias.
     """
 
     START = SHORT + TAILS
@@ -126,94 +176,96 @@ class Model:
         return np.concatenate([v.ravel() for v in self.p.values()])
 
     def table(self) -> np.ndarray:
-        """What each input id adds to the gates, (3 * HIDDEN, ids)."""
-        return np.ascontiguousarray((self.p["emb"] @ self.p["wx"].T + self.p["b"]).T)
+        """What each input id adds to the gates, times SIGNS (ids, 3 * HIDDEN)."""
+        table = self.p["emb"] @ (self.p["wx"] * SIGNS).T
+        table += self.p["b"] * SIGNS[:, 0]
+        return table
 
     def states(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, table: np.ndarray, keep: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden states and a row of ones (HIDDEN + 1, steps, lanes) for inputs x (steps, lanes), and the last state;
+        """Hidden states and ones (HIDDEN + 1, steps, lanes; a token's lie together) for inputs x (steps, lanes), and the last state;
         fresh marks where a text begins. keep: gets what backward needs, (steps, features, lanes), as a step's numbers
         must lie together: rows that are a power of two apart push each other out of the cache."""
         steps, lanes = x.shape
         x = x.astype(np.intp)
-        out = np.empty((HIDDEN + 1, steps, lanes), np.float32)
-        out[HIDDEN] = 1
-        wh = self.p["wh"]
-        gates = np.empty((1 if keep is None else steps, 3 * HIDDEN, lanes), table.dtype)
-        if keep is not None:
-            keep["h0"], keep["an"] = (np.empty((steps, HIDDEN, lanes), np.float32) for _ in "ha")
+        out = np.empty((steps, lanes, HIDDEN + 1), np.float32)
+        out[:, :, HIDDEN] = 1
+        added = np.empty((lanes, 3 * HIDDEN), table.dtype)
+        wh, held = self.p["wh"] * SIGNS, 1 if keep is None else steps
+        gates, by_state = (np.empty((held, 3 * HIDDEN, lanes), table.dtype) for _ in "gs")
+        before = np.empty((held + 1, HIDDEN, lanes), table.dtype)
+        before[0] = h
         begins = fresh.any(axis=1)
         for t in range(steps):
+            k = t % held
+            h, after = before[t % len(before)], before[(t + 1) % len(before)]
             if begins[t]:
-                h = h * ~fresh[t]
-            a = wh @ h
-            g = gates[0 if keep is None else t]
-            np.take(table, x[t], axis=1, out=g, mode="clip")
+                h *= ~fresh[t]
+            a = np.matmul(wh, h, out=by_state[k])
+            g = gates[k]
+            np.copyto(g, np.take(table, x[t], axis=0, out=added, mode="clip").T)
             zr, n = g[: 2 * HIDDEN], g[2 * HIDDEN :]
             zr += a[: 2 * HIDDEN]
-            np.exp(np.negative(zr, out=zr), out=zr)
+            np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            an = a[2 * HIDDEN :]
-            if keep is not None:
-                keep["h0"][t], keep["an"][t] = h, an
-            n += zr[HIDDEN:] * an
+            np.multiply(zr[HIDDEN:], a[2 * HIDDEN :], out=after)
+            n += after
             np.tanh(n, out=n)
-            h = h - n
-            h *= zr[:HIDDEN]
-            h += n
-            out[:HIDDEN, t] = h
+            np.subtract(h, n, out=after)
+            after *= zr[:HIDDEN]
+            after += n
+            out[t, :, :HIDDEN] = after.T
         if keep is not None:
-            keep["z"], keep["r"], keep["n"] = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
-        return out, h
-
-    def _softmax(self, name: str, span: slice, h: np.ndarray, k: np.ndarray, grad: dict | None, clip: bool) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log-probabilities of row k[i] for column i; with grad, also the gradient of their negative sum by h."""
-        w, i = self.p[name][span], np.arange(len(k))
-        v = w @ h
-        if clip:
-            np.minimum(v, 60, out=v)
-        own = v[k, i]
-        np.exp(v, out=v)
-        total = v.sum(axis=0)
-        own -= np.log(np.maximum(total, np.float32(1e-38)))  # a class without counted words has no mass
-        if grad is None:
-            return own, None
-        share = 1 / total  # goes to the narrow sides of both products
-        v[k, i] -= total
-        grad[name][span] += v @ (h * share).T
-        d = np.ascontiguousarray(w[:, :HIDDEN].T) @ v
-        d *= share
-        return own, d
+            keep |= {"h0": before[:-1], "an": by_state[:, 2 * HIDDEN :], "z": gates[:, :HIDDEN], "r": gates[:, HIDDEN : 2 * HIDDEN], "n": gates[:, 2 * HIDDEN :]}
+        return out.transpose(2, 0, 1), before[steps % len(before)]
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of targets y (class and, if short, word) from columns of h. grad: also adds the
         gradients of the negative sum and returns that with respect to h."""
         # states lie in (-1, 1) and biases are log shares, so exp stays finite below this bound
         clip = max(float((np.abs(w[:, :HIDDEN]).sum(axis=1) + np.maximum(w[:, HIDDEN], 0)).max()) for w in (self.p["wc"], self.p["wo"])) > 60
-        short = y < SHORT
+        order = np.argsort(CLASS_OF_ID[y], kind="stable")  # short words first, by class
+        rows, y = np.take(h.T, order, axis=0), y[order]
         cls = CLASS_OF_ID[y]
-        out, dh = np.empty(len(y), np.float32), np.empty((HIDDEN, len(y)), np.float32) if grad is not None else None
-        for lo in range(0, len(y), COLUMNS):  # a block of logits stays in the cache
-            at = slice(lo, lo + COLUMNS)
-            out[at], d = self._softmax("wc", slice(None), h[:, at], cls[at], grad, clip)
-            if dh is not None:
-                dh[:, at] = d
-        where = np.flatnonzero(short)
-        where = where[np.argsort(cls[where], kind="stable")]
-        bounds = np.searchsorted(cls[where], np.arange(WIDTH + 1))
-        hs, ys = np.take(h, where, axis=1), y[where]
-        own, ds = np.empty(len(where), np.float32), np.empty((HIDDEN, len(where)), np.float32) if grad is not None else None
+        bounds = np.searchsorted(cls, np.arange(WIDTH + 1)).tolist()
+        n, short = len(y), bounds[-1]
+        out = np.empty(n + short, np.float32)  # logits of the classes, then of the words in theirs
+        total, dh = np.empty_like(out), np.empty((n + short, HIDDEN), np.float32) if grad is not None else None
+
+        def softmax(name: str, span: slice, k: np.ndarray, lo: int, hi: int, to: int) -> None:
+            """Logits and their sums for row k[i] of the span of weights and tokens lo to hi, and gradients, from ``to`` on."""
+            w, at = self.p[name][span], slice(to + lo, to + hi)
+            v = w @ rows[lo:hi].T
+            if clip:
+                np.minimum(v, 60, out=v)
+            flat, own = v.ravel(), k * np.intp(hi - lo)
+            own += PLACES[: hi - lo]
+            out[at] = flat[own]
+            np.exp(v, out=v)
+            np.matmul(ONES[: len(v)], v, out=total[at])
+            if grad is not None:
+                v /= total[at]
+                flat[own] -= 1
+                grad[name][span] += v @ rows[lo:hi]
+                np.matmul(v.T, w[:, :HIDDEN], out=dh[at])
+
+        for lo in range(0, n, COLUMNS):  # a block of logits stays in the cache
+            hi = min(lo + COLUMNS, n)
+            softmax("wc", slice(None), cls[lo:hi], lo, hi, 0)
         for c in range(WIDTH):
-            at = slice(bounds[c], bounds[c + 1])
-            if bounds[c] == bounds[c + 1]:
-                continue
-            own[at], d = self._softmax("wo", slice(EDGES[c], EDGES[c + 1]), hs[:, at], ys[at] - EDGES[c], grad, clip)
-            if ds is not None:
-                ds[:, at] = d
-        out[where] += own
-        if dh is not None:
-            dh[:, where] += ds
-        return out, dh
+            for lo in range(bounds[c], bounds[c + 1], COLUMNS):
+                hi = min(lo + COLUMNS, bounds[c + 1])
+                softmax("wo", slice(EDGES[c], EDGES[c + 1]), y[lo:hi] - EDGES[c], lo, hi, n)
+        out -= np.log(np.maximum(total, np.float32(1e-38)))  # a class without counted words has no mass
+        out[:short] += out[n:]
+        logp = np.empty(n, np.float32)
+        logp[order] = out[:n]
+        if dh is None:
+            return logp, None
+        dh[:short] += dh[n:]
+        back = np.empty((n, HIDDEN), np.float32)
+        back[order] = dh[:n]
+        return logp, back.T
 
     def gradients(self, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[dict, float, np.ndarray]:
         """Of the mean negative log-probability of one window (steps, lanes), by backpropagation through its steps; the
@@ -226,40 +278,41 @@ class Model:
             logp, dh = self.log_probs(hs, y, grad)
         else:
             at = np.flatnonzero(live.ravel())
-            dh = np.zeros((HIDDEN, x.size), np.float32)
-            logp, dh[:, at] = self.log_probs(hs[:, at], y[at], grad)
-        dh = dh.reshape(HIDDEN, *x.shape)
+            dh = np.zeros((x.size, HIDDEN), np.float32).T
+            logp, dh[:, at] = self.log_probs(hs.T[at].T, y[at], grad)
+        dh = np.ascontiguousarray(dh.T.reshape(*x.shape, HIDDEN).transpose(0, 2, 1))
         h0, an, z, r, n = (keep[k] for k in ("h0", "an", "z", "r", "n"))
-        rest = 1 - z
-        by_z = h0 - n
+        # of a step, with respect to: the candidate's, both gates' inputs and r times the state's part of the candidate; at
+        # first without the factor that comes back from later steps
+        by = np.empty((len(x), 4, HIDDEN, x.shape[1]), np.float32)
+        rest, by_n, by_z, by_r, by_a = (1 - z, *by.transpose(1, 0, 2, 3))
+        np.multiply(n, n, out=by_n)
+        np.subtract(1, by_n, out=by_n)
+        by_n *= rest
+        np.subtract(h0, n, out=by_z)
         by_z *= z
         by_z *= rest
-        by_r = 1 - r
-        by_r *= r
+        np.multiply(by_n, r, out=by_a)
+        np.subtract(1, r, out=by_r)
+        by_r *= by_a
         by_r *= an
-        by_n = n * n
-        np.subtract(1, by_n, out=by_n)
-        by_n *= rest
-        dg, da = (np.empty((len(x), 3 * HIDDEN, x.shape[1]), np.float32) for _ in "ga")
+        flat = by.reshape(len(x), 4 * HIDDEN, -1)
         back, carry, begins = np.ascontiguousarray(self.p["wh"].T), np.zeros_like(last), fresh.any(axis=1)
         for t in range(len(x) - 1, -1, -1):
             d = carry
-            d += dh[:, t]
-            dn = np.multiply(d, by_n[t], out=dg[t, 2 * HIDDEN :])
-            np.multiply(d, by_z[t], out=dg[t, :HIDDEN])
-            np.multiply(dn, by_r[t], out=dg[t, HIDDEN : 2 * HIDDEN])
-            da[t, : 2 * HIDDEN] = dg[t, : 2 * HIDDEN]
-            np.multiply(dn, r[t], out=da[t, 2 * HIDDEN :])
-            carry = back @ da[t]
+            d += dh[t]
+            by[t] *= d
+            carry = back @ flat[t, HIDDEN:]
             d *= z[t]
             carry += d
             if begins[t]:
                 carry *= ~fresh[t]
-        grad["wh"] = (da @ h0.transpose(0, 2, 1)).sum(axis=0)
-        dg, ids = dg.transpose(1, 0, 2).reshape(3 * HIDDEN, -1), x.ravel().astype(np.intp)
-        grad["b"] = dg.sum(axis=1)
-        grad["wx"] = dg @ self.p["emb"][ids]
-        grad["emb"] = np.stack([np.bincount(ids, v, len(self.p["emb"])) for v in self.p["wx"].T @ dg], axis=1).astype(np.float32)
+        grad["wh"] = (flat[:, HIDDEN:] @ h0.transpose(0, 2, 1)).sum(axis=0)
+        dg, ids = flat[:, : 3 * HIDDEN].transpose(1, 0, 2).reshape(3 * HIDDEN, -1), x.ravel().astype(np.intp)
+        sums = np.roll(dg @ np.c_[self.p["emb"], np.ones(len(self.p["emb"]), np.float32)][ids], -HIDDEN, axis=0)
+        grad["wx"], grad["b"] = np.ascontiguousarray(sums[:, :EMBED]), sums[:, EMBED].copy()
+        by_id = np.roll(self.p["wx"], HIDDEN, axis=0).T @ dg
+        grad["emb"] = np.stack([np.bincount(ids, v, len(self.p["emb"])) for v in by_id], axis=1).astype(np.float32)
         for g in grad.values():
             g /= max(len(logp), 1)
         return grad, float(-logp.mean()), last
@@ -304,7 +357,7 @@ def score_texts(model: Model, ids: np.ndarray, at: np.ndarray, table: np.ndarray
         hs, y, owner = hs.reshape(HIDDEN + 1, -1), y.ravel(), owner.ravel()
         if not live.all():
             some = np.flatnonzero(live.ravel())
-            hs, y, owner = hs[:, some], y[some], owner[some]
+            hs, y, owner = hs.T[some].T, y[some], owner[some]
         logp, _ = model.log_probs(hs, y)
         out += np.bincount(owner, logp.astype(float), len(out))
     return out / np.log(10)
@@ -369,25 +422,37 @@ def _packs(column):
 
 
 def word_counts(train: DataFrame, text: str) -> DataFrame:
-    """(word binary, c) of all words of the texts. Tasks count by themselves, COUNTED different words at a time."""
+    """(word binary, c) of all words of the texts. Tasks count by themselves, about TOGETHER bytes of text at
+    a time; of longer texts COUNTED different words."""
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        def out(counts):
-            keys, values = list(counts), list(counts.values())
-            for lo in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 50_000], pa.binary()), pa.array(values[lo : lo + 50_000], pa.int64())], names=["word", "c"])
+        def out(words, counts):
+            for lo in range(0, len(words), 50_000):
+                yield pa.RecordBatch.from_arrays([words[lo : lo + 50_000], counts[lo : lo + 50_000]], names=["word", "c"])
 
-        counts = Counter()
+        held, size = [], 0
         for batch in batches:
-            for data in batch.column(0):
-                for words in pieces(data.as_py()):
-                    counts.update(words)
-                    if len(counts) > COUNTED:
-                        yield from out(counts)
-                        counts = Counter()
-        yield from out(counts)
+            for texts in portions(batch.column(0), LOOKUP):
+                if len(texts) == 1 and len(texts[0].as_py()) > PIECE:
+                    counts = Counter()
+                    for words in pieces(texts[0].as_py()):
+                        counts.update(words)
+                        if len(counts) > COUNTED:
+                            yield from out(pa.array(counts, pa.binary()), pa.array(counts.values(), pa.int64()))
+                            counts = Counter()
+                    yield from out(pa.array(counts, pa.binary()), pa.array(counts.values(), pa.int64()))
+                    continue
+                held.append(words_of(texts)[0])
+                size += texts.nbytes
+                if size > TOGETHER:
+                    counts = pc.value_counts(pa.chunked_array(held, pa.binary()))
+                    held, size = [], 0
+                    yield from out(*counts.flatten())
+        if held:
+            yield from out(*pc.value_counts(pa.chunked_array(held, pa.binary())).flatten())
 
     return train.select(text_of(text).cast("binary").alias("t")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -426,25 +491,22 @@ def tokens(rows: DataFrame, vocabulary) -> DataFrame:
         from pyspark import TaskContext
 
         v, row = vocabulary.value, TaskContext.get().partitionId() << 33
+        head = pa.array(v.at, pa.binary())
+        known, log_count = np.r_[v.known, False], np.r_[v.log_count, 0.0]  # the last is of words that are not there
         for batch in batches:
             lo = 0
-            while lo < batch.num_rows:
-                out, ids, size = [], [], 0
-                while lo + len(out) < batch.num_rows and size < PACK // 4:
-                    place, own, rare = v.codes(batch.column(2)[lo + len(out)].as_py())
-                    at = place[place >= 0]
-                    tail = own >= SHORT
-                    inside = v.log_count[place[tail & (place >= 0)]].sum() + v.tail_base[own[tail] - SHORT].sum()
-                    out.append((row, len(own), int(v.known[at].sum()), float(v.log_count[at].sum()), float(inside), rare))
-                    ids.append(own)
-                    size += len(own)
-                    row += 1
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in ids])], pa.int32()), pa.array(np.concatenate(ids), pa.int16()))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
-                cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
-                part = batch.slice(lo, len(out))
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], *cols, lists], names=["id", "out", "row", "n", "known", "logs", "inside", "rare", "ids"])
-                lo += len(out)
+            for texts in portions(batch.column(2), LOOKUP):
+                place, ids, at, rare, rare_at = v.codes_of(texts, head)
+                logs, tail = log_count[place], ids >= SHORT
+                inside = np.zeros(len(ids))
+                inside[tail] = logs[tail] + v.tail_base[ids[tail] - SHORT]
+                total = lambda x: pa.array(np.add.reduceat(x, at[:-1]))  # noqa: B023, E731
+                numbers = pa.array(np.arange(row, row + len(texts)))
+                lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values) for bounds, values in ((rare_at, rare), (at, pa.array(ids, pa.int16())))]
+                own = [c[lo : lo + len(texts)] for c in batch.columns[:2]]
+                yield pa.RecordBatch.from_arrays([*own, numbers, pa.array(np.diff(at)), total(known[place].astype(np.int64)), total(logs), total(inside), *lists], names=["id", "out", "row", "n", "known", "logs", "inside", "rare", "ids"])
+                lo += len(texts)
+                row += len(texts)
 
     return rows.mapInArrow(run, f"id {kind}, out boolean, row long, n long, known long, logs double, inside double, rare array<binary>, ids array<smallint>")
 
@@ -502,13 +564,14 @@ def train(rows: DataFrame, flat: np.ndarray, shards: int, rate: float = RATE) ->
     dealt = rows.select(shard.alias("shard"), "ids", "h").repartitionById(shards, "shard").sortWithinPartitions("shard", "h").select("shard", "ids")
     copies = stored(dealt.mapInArrow(run, kind), "lm-copies")
     part = copies.select("block", (F.col("salt") % 32).alias("salt"), "seen", "w", F.col("salt").alias("part"))
-    out = part.groupBy("block", "salt").applyInPandas(summed, kind).withColumn("part", F.col("salt")).withColumn("salt", F.lit(0)).groupBy("block", "salt").applyInPandas(summed, kind).orderBy("block").collect()
-    return np.concatenate([np.array(r["w"], np.float32) / np.float32(r["seen"]) for r in out]) if out else flat
+    out = part.groupBy("block", "salt").applyInPandas(summed, kind).withColumn("part", F.col("salt")).withColumn("salt", F.lit(0)).groupBy("block", "salt").applyInPandas(summed, kind).collect()
+    return np.concatenate([np.array(r["w"], np.float32) / np.float32(r["seen"]) for r in sorted(out, key=lambda r: r["block"])]) if out else flat
 
 
 def scores(coded: DataFrame, flat: np.ndarray) -> DataFrame:
-    """(row, score) of rows (row, ids): log10 probability of the classes and softmax words."""
+    """coded with the column ids replaced by score: log10 probability of the classes and softmax words."""
     final = coded.sparkSession.sparkContext.broadcast(flat)
+    kept = [x for x in coded.dtypes if x[0] != "ids"]
 
     def run(batches):
         import pyarrow as pa
@@ -516,10 +579,11 @@ def scores(coded: DataFrame, flat: np.ndarray) -> DataFrame:
         model = Model(flat=final.value)
         table = model.table()
         for batch in batches:
-            for lo, ids, at in _packs(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(at) - 1), pa.array(score_texts(model, ids, at, table))], names=["row", "score"])
+            for lo, ids, at in _packs(batch.column("ids")):
+                part = batch.slice(lo, len(at) - 1)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score_texts(model, ids, at, table))], names=[*part.schema.names[:-1], "score"])
 
-    return coded.select("row", "ids").mapInArrow(run, "row long, score double")
+    return coded.select(*(k for k, _ in kept), "ids").mapInArrow(run, ", ".join(f"{k} {t}" for k, t in kept) + ", score double")
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 10) -> DataFrame:
@@ -542,17 +606,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sum_of = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(F.col(id_col).alias("id"), (sum_of % held_out == 0).alias("out"), text_of(text_col).cast("binary").alias("t"))
     vocabulary, counts = fit_vocabulary(rows.where(~F.col("out")).select(F.col("t").cast("string")), "t")
-    coded = stored(tokens(rows, spark.sparkContext.broadcast(vocabulary)), "lm-tokens")
+    coded = stored(tokens(rows, spark.sparkContext.broadcast(vocabulary)).withColumn("h", F.xxhash64("id", "ids")), "lm-tokens")
     flat = Model(vocabulary).flat()
     shards = max(1, math.ceil(math.sqrt(vocabulary.total / APART)))
-    lesson = coded.where(~F.col("out")).select(F.xxhash64("id", "ids").alias("h"), "ids")
+    lesson = coded.where(~F.col("out")).select("h", "ids")
     for k in range(ROUNDS):
         flat = train(lesson.where(F.pmod("h", F.lit(ROUNDS)) == k), flat, shards, RATE * COOLING**k)
     rare = coded.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
     rare = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("rare_logs"), F.count("c").alias("rare_known"))
-    scored = stored(scores(coded, flat), "lm-scores")
+    scored = stored(scores(coded.drop("rare", "h"), flat), "lm-scores")
     zero = F.lit(0.0)
-    return coded.drop("rare", "ids").join(scored, "row").join(rare, "row", "left").select(
+    return scored.join(rare, "row", "left").select(
         F.col("id").alias(id_col), F.col("out").alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(vocabulary.total).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("rare_logs", zero) + F.col("n") * F.lit(float(vocabulary.base))).alias("base_score"), (F.col("score") + F.col("inside") + F.coalesce("rare_logs", zero)).alias("score"),
     )

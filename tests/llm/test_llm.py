@@ -822,3 +822,39 @@ def test_numbers_of_a_training_step_lie_together_and_adam_works_in_place():
         adam.step(grad)
         assert all(np.abs(model.p[k] - p[k]).max() < 1e-3 for k in p)
     assert all(a is b for a, b in zip(held, [*adam.m.values(), *adam.v.values(), *model.p.values()], strict=True))
+
+
+ODD = [b"", b" ", b"\t\x0b\x0c\r\n", b" W1 w2\nW0  \x1cw1\x85 ", "Éé İw1\u00a0w2 w1".encode(), b"\xff\xfeA \xc3 w1", bytes(range(256)), b"new NEW-words w89 x yz", b"w3" * 50]
+
+
+def test_words_are_looked_up_together_and_as_one_by_one(monkeypatch):
+    import pyarrow as pa
+
+    vocabulary = lm_score.Vocabulary([(b"w%d" % i, 100 - i) for i in range(90)], 10, 5000, 120, {k: (5, 2) for k in range(lm_score.TAILS)})
+    head, texts = pa.array(vocabulary.at, pa.binary()), ODD * 3
+    want = [vocabulary.codes(t) for t in texts]
+    vocabulary.at = None  # no word is looked up by Python
+    place, ids, at, rare, rare_at = vocabulary.codes_of(pa.array(texts, pa.binary()), head)
+    for i, (p, d, r) in enumerate(want):
+        own = slice(at[i], at[i + 1])
+        assert place[own].tolist() == p.tolist() and ids[own].tolist() == d.tolist() and rare[rare_at[i] : rare_at[i + 1]].to_pylist() == r
+    assert (at[-1], rare_at[-1]) == (sum(len(d) for _, d, _ in want), len(rare))
+    monkeypatch.setattr(lm_score, "PIECE", 100)
+    parts = list(lm_score.portions(pa.array(texts, pa.binary()), 150))
+    assert [t for p in parts for t in p.to_pylist()] == texts and all(len(p) == 1 or p.nbytes < 400 for p in parts)
+    assert all(len(p) == 1 for p in parts if max(map(len, p.to_pylist())) > 100)
+    assert list(lm_score.portions(pa.array([], pa.binary()), 150)) == []
+
+
+def test_words_of_short_and_very_long_texts_are_counted(spark):
+    texts = ["a B\tb", "", " ", None, "é É a", "Word w\x0bw " * (lm_score.PIECE // 8), "b"]
+    want = Counter(w for t in texts for w in (t or "").encode().lower().split())
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    assert {bytes(x.word): x.c for x in lm_score.word_counts(rows, "text").collect()} == want
+
+
+def test_states_of_a_token_lie_together():
+    model, r = small_model(4)
+    x, h = r.integers(0, 90, (6, 5)).astype(np.int16), np.zeros((lm_score.HIDDEN, 5), np.float32)
+    hs, _ = model.states(x, np.zeros((6, 5), bool), h, model.table())
+    assert hs.shape == (lm_score.HIDDEN + 1, 6, 5) and hs.transpose(1, 2, 0).flags.c_contiguous
