@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
 from pathlib import Path
 
+from chronopanel.operators import inference
 from chronopanel.plans import QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
@@ -17,3 +20,27 @@ def test_ownership_documents_are_written_small(spark):
     parts = list(made.glob("part-*"))
     assert len(rows) == 10 and parts and all(p.name.endswith(".gz") for p in parts)
     assert sum(p.stat().st_size for p in parts) < 4 * (DATA / "lineitem.parquet").stat().st_size
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_resamples_of_strata_are_never_broadcast(spark):
+    r = random.Random(3)
+    rows = [(k, r.choice("aab"), r.random() < 0.5, r.random() < 0.6) for k in range(400)]
+    out = inference.stratified_f1(spark.createDataFrame(rows, "k int, s string, g boolean, p boolean"), "s", "g", "p", "k", n_boot=30, seed=13)
+    got = {x.stratum: x for x in out.collect()}
+    assert "SortMergeJoin" in plan(out) and "BroadcastExchange" not in plan(out)
+    means = []
+    for rep in range(30):
+        f1 = []
+        for s in "ab":
+            cells = [g and p for k, t, g, p in rows if t == s and (g or p)]
+            n = len(cells)
+            tp = sum(cells[int(hashlib.md5(f"13|{s}|{rep}|{j}".encode()).hexdigest()[:8], 16) % n] for j in range(n))
+            f1.append(2 * tp / (n + tp))
+        means.append(sum(f1) / 2)
+    assert abs(got["macro"]["mean"] - sum(means) / 30) < 1e-6 and got["a"].n + got["b"].n == sum(g or p for _, _, g, p in rows)
+    low = sorted(means)[0] + 0.725 * (sorted(means)[1] - sorted(means)[0])
+    assert abs(got["macro"].low - low) < 1e-6
