@@ -293,14 +293,27 @@ def event_study(returns: DataFrame, events: DataFrame, sessions: DataFrame, befo
     """Mean cumulative abnormal return by event type and offset, with its 95 % interval; events with an incomplete window
     are dropped.
 
-    returns: (date, ticker, ab), events: (event_id, event_type, ticker, date on a session), sessions: (date, idx).
+    returns: (date, ticker, ab), a row per date and ticker; events: (event_id, event_type, ticker, date on a session), a row
+    per event; sessions: (date, idx).
+
+    All events of a ticker on a session share one path: it is made once, from the rows around, and weighed by the number of
+    events of each type. Returns and events go to their ticker's task in one exchange, an event as one row.
     """
-    at = events.join(F.broadcast(sessions), "date").select("event_id", "event_type", "ticker", "idx", F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("offset"))
-    rows = returns.where("ab is not null").join(F.broadcast(sessions), "date").select("ticker", F.col("idx").alias("place"), "ab")
-    at = at.withColumn("place", F.col("idx") + F.col("offset")).join(rows, ["ticker", "place"])
-    w = Window.partitionBy("event_id")
-    full = at.withColumn("__n", F.count("*").over(w)).where(F.col("__n") == before + after + 1)
-    car = full.withColumn("car", F.sum("ab").over(w.orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)))
-    g = car.groupBy("event_type", "offset").agg(F.count("*").alias("n"), F.avg("car").alias("mean"), F.stddev_samp("car").alias("sd"))
-    g = g.withColumn("se", F.col("sd") / F.sqrt("n"))
+    at = F.broadcast(sessions)
+    rows = returns.where("ab is not null").join(at, "date").select("ticker", "idx", F.lit(False).alias("__e"), F.lit(None).cast("string").alias("event_type"), "ab")
+    events = events.where("ticker is not null").join(at, "date").select("ticker", "idx", F.lit(True).alias("__e"), "event_type", F.lit(None).cast("double").alias("ab"))
+    by_type = rows.unionByName(events).repartition("ticker").groupBy("ticker", "idx", "__e", "event_type").agg(F.count("*").alias("__c"), F.max("ab").alias("ab"))
+    types = F.collect_list(F.when(F.col("__e"), F.struct("event_type", "__c"))).alias("__types")
+    days = by_type.groupBy("ticker", "idx").agg(F.max("ab").alias("ab"), types).where("ab is not null")
+    w = Window.partitionBy("ticker").orderBy("idx")
+    # a ticker has a row a session at most, so a window is whole if its ends stand where they should
+    days = days.withColumns({"__lo": F.lag("idx", before).over(w), "__hi": F.lead("idx", after).over(w), "__ab": F.collect_list("ab").over(w.rowsBetween(-before, after))})
+    whole = days.where((F.col("__lo") == F.col("idx") - before) & (F.col("__hi") == F.col("idx") + after) & (F.size("__types") > 0))
+    upto = F.aggregate("__ab", F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)) + x)))
+    cars = whole.select("__types", F.posexplode(upto).alias("__k", "car")).select("__k", "car", F.inline("__types"))
+    x, c = F.col("car"), F.col("__c")
+    g = cars.groupBy("event_type", (F.col("__k") - before).alias("offset")).agg(F.sum("__c").alias("n"), F.sum(c * x).alias("__s"), F.sum(c * x * x).alias("__q"))
+    g = g.withColumn("mean", F.col("__s") / F.col("n"))
+    g = g.withColumn("sd", F.when(F.col("n") > 1, F.sqrt(F.greatest(F.col("__q") - F.col("__s") * F.col("mean"), F.lit(0.0)) / (F.col("n") - 1))))
+    g = g.drop("__s", "__q").withColumn("se", F.col("sd") / F.sqrt("n"))
     return g.withColumns({"low": F.col("mean") - 1.96 * F.col("se"), "high": F.col("mean") + 1.96 * F.col("se")})

@@ -326,11 +326,12 @@ def l17_event_study(spark, d):
     """Ten sessions before to twenty after every order of a supplier, a session being a month: the excess over the mean of
     all names, cumulated, with its interval by type of order."""
     r = monthly_returns(spark, d).where("ret is not null")
-    s = A.prices_monthly(spark, d).select("date").distinct().withColumn("idx", F.row_number().over(Window.orderBy("date")))  # a calendar
-    ab = r.select("date", "ticker", (F.col("ret") - F.avg("ret").over(Window.partitionBy("date"))).alias("ab"))
     o, li = A.table(spark, d, "orders"), A.table(spark, d, "lineitem")
-    pairs = li.select("l_orderkey", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker")).distinct()
-    e = o.join(pairs, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat_ws("|", F.col("o_orderkey").cast("string"), "ticker").alias("event_id"), F.col("o_orderpriority").alias("event_type"), "ticker", F.trunc("o_orderdate", "month").alias("date"))
+    s = li.select(F.trunc("l_shipdate", "month").alias("date")).distinct().withColumn("idx", F.row_number().over(Window.orderBy("date")))  # a calendar
+    ab = r.select("date", "ticker", (F.col("ret") - F.avg("ret").over(Window.partitionBy("date"))).alias("ab"))
+    pairs = o.select("o_orderkey", "o_orderpriority", F.trunc("o_orderdate", "month").alias("date")).join(li.select("l_orderkey", "l_suppkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    pairs = pairs.select("o_orderkey", "o_orderpriority", "date", "l_suppkey").distinct()  # each order's rows are together already
+    e = pairs.select(F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("l_suppkey").cast("string")).alias("event_id"), F.col("o_orderpriority").alias("event_type"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"), "date")
     out = I.event_study(ab, e, s, 10, 20)
     return out.select("event_type", "offset", "n", *[F.round(c, 6).alias(c) for c in ("mean", "se", "low", "high")])
 

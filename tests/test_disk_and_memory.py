@@ -44,3 +44,25 @@ def test_resamples_of_strata_are_never_broadcast(spark):
     assert abs(got["macro"]["mean"] - sum(means) / 30) < 1e-6 and got["a"].n + got["b"].n == sum(g or p for _, _, g, p in rows)
     low = sorted(means)[0] + 0.725 * (sorted(means)[1] - sorted(means)[0])
     assert abs(got["macro"].low - low) < 1e-6
+
+
+def test_event_study_makes_a_path_once_for_all_events_of_a_day(spark):
+    r = random.Random(4)
+    ab = {(t, i): r.gauss(0, 1) for t in "AB" for i in range(40) if r.random() < 0.93}
+    events = [(f"e{k}", r.choice("xyz"), r.choice(["A", "B", "C", None]), r.randrange(40)) for k in range(500)]
+    rows = spark.createDataFrame([(t, i, x) for (t, i), x in ab.items()] + [("A", 41, None)], "ticker string, date int, ab double")
+    sessions = spark.createDataFrame([(i, i + 1) for i in range(42)], "date int, idx int")
+    out = inference.event_study(rows, spark.createDataFrame(events, "event_id string, event_type string, ticker string, date int"), sessions, 2, 3)
+    got = {(x.event_type, x.offset): x for x in out.collect()}
+    assert "explode(sequence" not in plan(out)
+    want = {}
+    for _, kind, t, i in events:
+        path = [ab.get((t, i + k)) for k in range(-2, 4)]
+        if None not in path:
+            for k in range(6):
+                want.setdefault((kind, k - 2), []).append(sum(path[: k + 1]))
+    assert set(got) == set(want) and len(want) == 18
+    for key, cars in want.items():
+        n, mean = len(cars), sum(cars) / len(cars)
+        se = (sum((x - mean) ** 2 for x in cars) / (n - 1) / n) ** 0.5
+        assert got[key].n == n and abs(got[key]["mean"] - mean) < 1e-9 and abs(got[key].se - se) < 1e-9 and abs(got[key].high - mean - 1.96 * se) < 1e-9
