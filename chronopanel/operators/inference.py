@@ -139,17 +139,27 @@ def normal_quantile(p: str) -> str:
     return f"(case when {p} <= 0 or {p} >= 1 then null when {p} < 0.02425 then {tail(p)} when {p} > 1 - 0.02425 then -{tail(f'(1 - {p})')} else {mid} end)"
 
 
-def bootstrap_means(df: DataFrame, series: list[str], order: str, x: str, n_boot: int = 200, block: int = 6, seed: int = 7) -> DataFrame:
-    """Moving-block bootstrap: (series, replicate, mean). Starts come from hashes, so replicates need no driver state."""
-    w = Window.partitionBy(*series)
-    rows = df.where(F.col(x).isNotNull()).select(*series, F.col(x).alias("__x"), (F.row_number().over(w.orderBy(order)) - 1).alias("__i"), F.count("*").over(w).alias("__n"))
-    size = rows.groupBy(*series).agg(F.max("__n").alias("__n"))
-    size = size.select(*series, "__n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
-    size = size.select("*", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("__n") / block) - 1).cast("int"))).alias("__b"))
-    start = F.pmod(text_hash(F.lit(seed), *series, "replicate", "__b"), F.greatest(F.col("__n") - block + 1, F.lit(1)))
-    draws = size.select(*series, "replicate", "__n", "__b", start.alias("__s")).select("*", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("__o"))
-    draws = draws.where(F.col("__b") * block + F.col("__o") < F.col("__n")).withColumn("__i", F.least(F.col("__s") + F.col("__o"), F.col("__n") - 1))
-    return draws.join(rows.drop("__n"), [*series, "__i"]).groupBy(*series, "replicate").agg(F.avg("__x").alias("mean"))
+def bootstrap_means(df: DataFrame, series: list[str], order: str, x: str, n_boot: int = 200, block: int = 6, seed: int = 7, carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Moving-block bootstrap: (series, replicate, mean), and columns in ``carry``, constant in a series. Starts come from
+    hashes, so replicates need no driver state.
+
+    A series meets its draws in the task that holds it, as an array of its numbers (8 bytes a row): only the rows given are
+    exchanged, and replicates stay by series, so that what is grouped by series next needs no exchange either.
+    """
+    rows = df.where(F.col(x).isNotNull()).dropna(subset=series).select(*series, order, *carry, F.col(x).alias("__x"))
+    # in the order of ``order``: nulls first, as windows have it
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).isNotNull().alias("known"), F.col(order).alias("at"), F.col("__x").alias("x")))), lambda r: r["x"])
+    held = rows.groupBy(*series).agg(*[F.first(c).alias(c) for c in carry], ordered.alias("__x")).withColumn("__n", F.size("__x"))
+    draws = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
+    draws = draws.select("*", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("__n") / block) - 1).cast("int"))).alias("__b"))
+    start = F.pmod(text_hash(F.lit(seed), *series, "replicate", "__b"), F.greatest(F.col("__n") - block + 1, F.lit(1))).cast("int")
+    draws = draws.select(*series, *carry, "replicate", "__x", "__n", "__b", start.alias("__s"))
+    drawn = [F.when(F.col("__b") * block + o < F.col("__n"), F.get("__x", F.least(F.col("__s") + o, F.col("__n") - 1))).otherwise(0.0) for o in range(block)]
+    total = drawn[0]
+    for d in drawn[1:]:
+        total = total + d
+    sums = draws.select(*series, *carry, "replicate", "__n", total.alias("__t")).groupBy(*series, *carry, "replicate", "__n").agg(F.sum("__t").alias("__t"))
+    return sums.select(*series, *carry, "replicate", (F.col("__t") / F.col("__n")).alias("mean"))
 
 
 def stratified_f1(rows: DataFrame, stratum: str, gold: str, predicted: str, key: str, n_boot: int = 1000, seed: int = 13) -> DataFrame:

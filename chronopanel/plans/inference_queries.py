@@ -84,10 +84,9 @@ def boot_ctes(src: str, series: str, order: str, x: str) -> dict[str, str]:
 @query("select sid as ticker, round(avg((abs(mean - m) >= abs(m))::int), 6) as p from boots join (select ticker, avg(ret) as m from retsm group by 1) on ticker = sid group by 1", {"retsm": RETS_M} | boot_ctes("retsm", "ticker", "date", "ret"))
 def l04_block_bootstrap_dm(spark, d):
     """Share of replicate means as far from the mean as the mean is from zero."""
-    r = monthly_returns(spark, d)
-    means = I.bootstrap_means(r, ["ticker"], "date", "ret")
-    base = r.groupBy("ticker").agg(F.avg("ret").alias("m"))
-    return means.join(base, "ticker").groupBy("ticker").agg(F.round(F.avg((F.abs(F.col("mean") - F.col("m")) >= F.abs("m")).cast("int")), 6).alias("p"))
+    r = monthly_returns(spark, d).withColumn("m", F.avg("ret").over(Window.partitionBy("ticker")))
+    means = I.bootstrap_means(r, ["ticker"], "date", "ret", carry=["m"])
+    return means.groupBy("ticker").agg(F.round(F.avg((F.abs(F.col("mean") - F.col("m")) >= F.abs("m")).cast("int")), 6).alias("p"))
 
 
 @query("select sid as ticker, round(quantile_cont(mean, 0.025), 6) as low, round(quantile_cont(mean, 0.975), 6) as high from boots group by 1", {"retsm": RETS_M} | boot_ctes("retsm", "ticker", "date", "ret"))

@@ -66,3 +66,26 @@ def test_event_study_makes_a_path_once_for_all_events_of_a_day(spark):
         n, mean = len(cars), sum(cars) / len(cars)
         se = (sum((x - mean) ** 2 for x in cars) / (n - 1) / n) ** 0.5
         assert got[key].n == n and abs(got[key]["mean"] - mean) < 1e-9 and abs(got[key].se - se) < 1e-9 and abs(got[key].high - mean - 1.96 * se) < 1e-9
+
+
+def test_bootstrap_exchanges_rows_and_no_draws(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(6)
+    series = {k: [r.choice([None, r.gauss(0, 1)]) if r.random() < 0.2 else r.gauss(0, 1) for _ in range(n)] for k, n in (("a", 1), ("b", 4), ("c", 6), ("d", 23), ("e", 0))}
+    rows = [(k, i, x, f"note {k}") for k, xs in series.items() for i, x in enumerate(xs)] + [(None, 0, 1.0, "nobody"), ("f", 0, None, "nothing")]
+    r.shuffle(rows)
+    means = inference.bootstrap_means(spark.createDataFrame(rows, "k string, t int, x double, note string"), ["k"], "t", "x", n_boot=9, carry=["note"])
+    by_series = means.groupBy("k").agg(F.avg("mean"))
+    assert plan(by_series).count("Exchange hashpartitioning") == 1 and "Join" not in plan(by_series)
+    want = {}
+    for k, xs in series.items():
+        xs = [x for x in xs if x is not None]
+        for rep in range(9 if xs else 0):
+            drawn = []
+            for b in range(-(-len(xs) // 6)):
+                start = int(hashlib.md5(f"7|{k}|{rep}|{b}".encode()).hexdigest()[:8], 16) % max(len(xs) - 5, 1)
+                drawn += [xs[min(start + o, len(xs) - 1)] for o in range(6) if b * 6 + o < len(xs)]
+            want[k, rep] = sum(drawn) / len(xs)
+    got = {(x.k, x.replicate): (x["mean"], x.note) for x in means.collect()}
+    assert set(got) == set(want) and all(abs(got[k][0] - want[k]) < 1e-12 and got[k][1] == f"note {k[0]}" for k in want)
