@@ -89,3 +89,10 @@ def test_bootstrap_exchanges_rows_and_no_draws(spark):
             want[k, rep] = sum(drawn) / len(xs)
     got = {(x.k, x.replicate): (x["mean"], x.note) for x in means.collect()}
     assert set(got) == set(want) and all(abs(got[k][0] - want[k]) < 1e-12 and got[k][1] == f"note {k[0]}" for k in want)
+
+
+def test_bootstrap_interval_groups_replicates_where_they_arise(spark):
+    out = QUERIES["l05_bootstrap_interval"](spark, str(DATA))
+    exchanges = [line for line in plan(out).splitlines() if "Exchange" in line]
+    assert exchanges and not any("replicate" in line or "__i" in line for line in exchanges) and "Join" not in plan(out)
+    assert len(exchanges) == 2  # prices by month and ticker, returns by ticker
