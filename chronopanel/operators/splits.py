@@ -76,9 +76,45 @@ def fit_lines(tagged: DataFrame, x: str, y: str, least: int = 10, by: list[str]
 
 def per_fold(tagged: DataFrame, fit_predict: Callable, schema: str) -> DataFrame:
     """Run a user's learner on each fold in parallel: fit_predict(train frame, test frame) -> frame of ``schema``. The
-    learner sees its fold as pandas frames, so a fold must fit in a task; fit_lines() has no such bound."""
+    learner sees its fold as pandas frames, so a fold must fit in a task; fit_lines() and per_fold_parts() have no such bound."""
 
     def run(pdf):
         return fit_predict(pdf[pdf["role"] == "train"], pdf[pdf["role"] == "test"])
 
     return tagged.groupBy("fold").applyInPandas(run, schema)
+
+
+def per_fold_parts(tagged: DataFrame, learn: Callable, merge: Callable, predict: Callable, schema: str) -> DataFrame:
+    """Run a user's learner on folds of any size: learn(train frame) -> what a batch teaches, merge(a, b) -> both of them,
+    predict(model, test frame) -> frame of ``schema``, where a model is all parts of its fold merged.
+
+    Rows are read in batches where they lie, and only parts, one per task and fold, are exchanged. A model goes along with
+    the test rows of its fold, so it should be coefficients or counts. Folds without training rows give none. Select the
+    columns that the learner needs beforehand.
+    """
+    import pickle
+    from functools import reduce
+
+    import pandas as pd
+
+    def learned(frames):
+        parts = {}
+        for frame in frames:
+            for fold, train in frame.groupby("fold"):
+                part = learn(train)
+                parts[fold] = merge(parts[fold], part) if fold in parts else part
+        yield pd.DataFrame({"fold": list(parts), "part": [pickle.dumps(p) for p in parts.values()]})
+
+    def merged(pdf):
+        return pd.DataFrame({"fold": pdf["fold"][:1], "model": [pickle.dumps(reduce(merge, map(pickle.loads, sorted(pdf["part"]))))]})
+
+    def predicted(frames):
+        for frame in frames:
+            for _, test in frame.groupby("fold"):
+                yield predict(pickle.loads(test["model"].iloc[0]), test.drop(columns="model"))
+
+    kind = dict(tagged.dtypes)["fold"]
+    parts = tagged.where("role = 'train'").mapInPandas(learned, f"fold {kind}, part binary")
+    models = parts.groupBy("fold").applyInPandas(merged, f"fold {kind}, model binary")
+    tests = tagged.where("role = 'test'").join(F.broadcast(models), "fold")  # a row per fold
+    return tests.mapInPandas(predicted, schema)

@@ -6,7 +6,7 @@ import hashlib
 import random
 from pathlib import Path
 
-from chronopanel.operators import inference
+from chronopanel.operators import inference, splits
 from chronopanel.plans import QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
@@ -96,3 +96,20 @@ def test_bootstrap_interval_groups_replicates_where_they_arise(spark):
     exchanges = [line for line in plan(out).splitlines() if "Exchange" in line]
     assert exchanges and not any("replicate" in line or "__i" in line for line in exchanges) and "Join" not in plan(out)
     assert len(exchanges) == 2  # prices by month and ticker, returns by ticker
+
+
+def test_a_learner_sees_batches_of_its_fold(spark):
+    rows = [(f, "test" if i % 5 == 0 else "train", float(i + f)) for f in (1, 2) for i in range(3000)] + [(3, "test", 1.0)]
+    tagged = spark.createDataFrame(rows, "fold int, role string, y double").repartition(3)
+    learn = lambda train: (train["y"].sum(), len(train), len(train))
+    merge = lambda a, b: (a[0] + b[0], a[1] + b[1], max(a[2], b[2]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        out = splits.per_fold_parts(tagged, learn, merge, lambda m, test: test[["fold", "y"]].assign(score=m[0] / m[1], most=max(m[2], len(test))), "fold int, y double, score double, most int").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    means = {f: sum(y for g, role, y in rows if g == f and role == "train") / 2400 for f in (1, 2)}
+    assert sorted((x.fold, x.y) for x in out) == sorted((f, y) for f, role, y in rows if role == "test" and f < 3)
+    assert all(abs(x.score - means[x.fold]) < 1e-9 and x.most <= 100 for x in out)
+    whole = [line for line in plan(QUERIES["j02_learner_callback"](spark, str(DATA))).splitlines() if "FlatMapGroupsInPandas" in line]
+    assert whole and all("part" in line for line in whole)
